@@ -11,11 +11,17 @@ one pass per character of the shorter text, so a pair costs O(len a * len b / w)
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+# ship this module's code with the UDF, so executors need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def lcs_length(a: str, b: str) -> int:
     if len(a) < len(b):

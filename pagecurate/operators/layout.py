@@ -52,17 +52,28 @@ def _band(scorer: str, la: Column, best: Column) -> tuple[Column, Column]:
 def match_blocks(segments: DataFrame, blocks: DataFrame, keys: list[str],
                  seg_id: str = "id", seg_text: str = "text", seg_ord: str = "elem_ord",
                  blk_id: str = "block_id", blk_text: str = "block_text", blk_idx: str = "block_idx",
-                 scorer: str = "indel") -> DataFrame:
+                 scorer: str = "indel", seg_colons: str | None = None) -> DataFrame:
     """D4 + G1: per segment the best block of the same ``keys`` (page).
 
     Best = highest score; ties -> block index nearest to the segment ordinal,
     then the lowest index. Returns keys, seg_id, blk_id, blk_idx, score;
     segments without any block on their page are absent.
+
+    ``seg_colons`` (speaker notes): name of a segment column with the colon
+    count n; each block text is cut to its first n+1 colon pieces before
+    scoring. The cut length depends on the pair, so this mode scores every
+    block of the page (speaker notes are a few per page).
     """
     seg = segments.select(*keys, F.col(seg_id).alias("_sid"), F.col(seg_text).alias("_st"),
-                          F.col(seg_ord).alias("_so"), F.length(seg_text).alias("_la"))
+                          F.col(seg_ord).alias("_so"), F.length(seg_text).alias("_la"),
+                          (F.col(seg_colons) if seg_colons else F.lit(None)).alias("_nc"))
     blk = blocks.select(*keys, F.col(blk_id).alias("_bid"), F.col(blk_text).alias("_bt"),
                         F.col(blk_idx).alias("_bi"), F.length(blk_text).alias("_lb"))
+    if seg_colons:
+        from pagecurate.functions.text import speaker_prefix
+        cand = (seg.join(blk, keys)
+                .withColumn("_score", _score(scorer, F.col("_st"), speaker_prefix(F.col("_bt"), F.col("_nc")))))
+        return _best(cand, keys, seg_id, blk_id, blk_idx)
     # pass 1: one seed candidate per segment -> a lower bound on its best score
     on = [seg[k] == blk[k] for k in keys] + [seg["_so"] == blk["_bi"]]
     seed = (seg.join(blk, on, "left")
@@ -76,6 +87,12 @@ def match_blocks(segments: DataFrame, blocks: DataFrame, keys: list[str],
     cand = (banded.join(blk_b, keys + ["_bk"])
             .filter(F.col("_lb").between(F.col("_lo"), F.col("_hi")))
             .withColumn("_score", _score(scorer, F.col("_st"), F.col("_bt"))))
+    return _best(cand, keys, seg_id, blk_id, blk_idx)
+
+
+def _best(cand: DataFrame, keys, seg_id, blk_id, blk_idx) -> DataFrame:
+    """G1: highest score, then the block index nearest the element ordinal,
+    then the lowest block index."""
     rank = F.struct(F.col("_score"), -F.abs(F.col("_bi") - F.col("_so")), -F.col("_bi"))
     best = cand.groupBy(*keys, "_sid").agg(
         F.max_by(F.struct("_bid", "_bi", "_score"), rank).alias("_m"))
@@ -144,7 +161,7 @@ def words_to_nth_colon(words: Column, n_colons) -> Column:
     flagged = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"),
                                                        w["content"].contains(":").alias("c")))
     colon_idx = F.transform(F.filter(flagged, lambda x: x["c"]), lambda x: x["i"])
-    cut = F.when((n > 0) & (F.size(colon_idx) >= n), F.element_at(colon_idx, n) + F.lit(1))
+    cut = F.when((n > 0) & (F.size(colon_idx) >= n), F.try_element_at(colon_idx, n) + F.lit(1))
     return F.when(cut.isNull(), words).otherwise(F.slice(words, 1, cut))
 
 

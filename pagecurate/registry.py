@@ -1108,3 +1108,121 @@ SELECT vec_id FROM pool1 WHERE vec_id NOT IN (SELECT vec_id FROM a2)
 def q_pool_minus(spark, sf):
     _, _, pool2 = al_two_rounds(spark, sf)
     return pool2.select("vec_id")
+
+
+# ---------------------------------------------------------------- learning J2-J9, I6, I7, A10 (rows-only)
+def labelled_docs(spark, sf, target="quality") -> DataFrame:
+    d = T(spark, sf, "documents").select("doc_id", "text", "n_chars", "lang")
+    lb = T(spark, sf, "labels").select("doc_id", F.col("quality").alias("marginal_text"),
+                                       F.col("toxic").alias("merged"))
+    j = d.join(lb, "doc_id")
+    tcol = {"quality": "marginal_text", "toxic": "merged"}.get(target, target)
+    return splits.stratified_split(j, tcol, "doc_id", seed=42)
+
+
+@register("text_classifier")
+def q_text_classifier(spark, sf):
+    from pagecurate.plans import learn
+    data = labelled_docs(spark, sf)
+    model = learn.fit_text_classifier(data.filter(F.col("split") == "train"), "text", "marginal_text")
+    return learn.predictions(model, data, ["doc_id", "split", "marginal_text"])
+
+
+@register("weighted_text_classifier")
+def q_weighted_text_classifier(spark, sf):
+    from pagecurate.plans import learn
+    data = labelled_docs(spark, sf)
+    model = learn.fit_text_classifier(data.filter(F.col("split") == "train"), "text", "marginal_text",
+                                      weighted=True, reg=0.01)
+    return learn.predictions(model, data, ["doc_id", "split", "marginal_text"])
+
+
+@register("merged_classifier")
+def q_merged_classifier(spark, sf):
+    from pagecurate.plans import learn
+    data = labelled_docs(spark, sf, target="toxic")
+    model = learn.fit_text_classifier(data.filter(F.col("split") == "train"), "text", "merged",
+                                      weighted=True, reg=0.01)
+    return learn.predictions(model, data, ["doc_id", "split", "merged"])
+
+
+@register("multiclass_classifier")
+def q_multiclass_classifier(spark, sf):
+    from pagecurate.plans import learn
+    data = labelled_docs(spark, sf).withColumn("final_target", fx.final_target("marginal_text", "merged"))
+    model = learn.fit_text_classifier(data.filter(F.col("split") == "train"), "text", "final_target",
+                                      family="multinomial", fixed_weights={0: 1.0, 1: 2.0, 2: 5.0})
+    return learn.predictions(model, data, ["doc_id", "split", "final_target"], n_logits=3)
+
+
+POS_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "ship_year"]
+POS_FLAGS = ["flag_a", "status_f", "even_line"]
+
+
+def positional_rows(spark, sf):
+    li = T(spark, sf, "lineitem")
+    return li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", *POS_NUMERIC[:5],
+        F.year("l_shipdate").cast("double").alias("ship_year"),
+        (F.col("l_returnflag") == "A").alias("flag_a"), (F.col("l_linestatus") == "F").alias("status_f"),
+        fx.even_page("l_linenumber").alias("even_line"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.when(F.year("l_shipdate") < 1997, "train").otherwise("test").alias("split"))
+
+
+@register("positional_classifier")
+def q_positional_classifier(spark, sf):
+    from pagecurate.plans import learn
+    rows = filters.drop_incomplete(positional_rows(spark, sf), POS_NUMERIC)
+    feats = learn.positional_features(rows, POS_NUMERIC, POS_FLAGS, fit_on=F.col("split") == "train")
+    model = learn.fit_positional_classifier(feats.filter(F.col("split") == "train"), "label", max_iter=20)
+    out = model.transform(feats)
+    raw = F.col("rawPrediction")
+    from pyspark.ml.functions import vector_to_array
+    return out.select("l_orderkey", "l_partkey", "split", "label",
+                      F.col("prediction").cast("int").alias("preds"),
+                      (vector_to_array(raw)[1] - vector_to_array(raw)[0]).alias("logits"))
+
+
+@register("combined_classifier")
+def q_combined_classifier(spark, sf):
+    from pagecurate.plans import learn
+    data = labelled_docs(spark, sf)
+    pos = data.select("doc_id", "split", F.col("n_chars").cast("double").alias("n_chars"),
+                      F.size(F.split("text", "\n", -1)).cast("double").alias("n_lines"),
+                      (F.col("lang") == "en").alias("is_en"))
+    pos = learn.positional_features(pos, ["n_chars", "n_lines"], ["is_en"], fit_on=F.col("split") == "train")
+    model = learn.fit_combined_classifier(data.filter(F.col("split") == "train"), pos, "doc_id", "text",
+                                          "marginal_text")
+    scored = data.join(pos.select("doc_id", "_pos"), "doc_id")
+    return learn.predictions(model, scored, ["doc_id", "split", "marginal_text"])
+
+
+@register("model_selection")
+def q_model_selection(spark, sf):
+    from pagecurate.plans import learn
+    data = labelled_docs(spark, sf)
+    _, table = learn.choose_model(data.filter(F.col("split") == "train"), data.filter(F.col("split") == "val"),
+                                  "text", "marginal_text")
+    return table
+
+
+@register("evaluate_saved_model")
+def q_evaluate_saved_model(spark, sf):
+    from pagecurate.plans import learn
+    data = labelled_docs(spark, sf)
+    model = learn.fit_text_classifier(data.filter(F.col("split") == "train"), "text", "marginal_text",
+                                      weighted=True)
+    path = learn.save_model(model, "weighted_text_classifier")
+    loaded = learn.load_model(path)
+    preds = learn.predictions(loaded, data.filter(F.col("split") == "test"), ["doc_id", "marginal_text"])
+    return metrics.weighted_metrics(preds, "marginal_text", "preds")
+
+
+@register("active_learning")
+def q_active_learning(spark, sf):
+    from pagecurate.plans.active import active_learning
+    e = emb(spark, sf)
+    labelled, _pool = active_learning(e.select("vec_id", "logits"), e.select("vec_id", "label"),
+                                      id_col="vec_id", rounds=5)
+    return labelled

@@ -135,7 +135,7 @@ def record_length(records: DataFrame, text_col: str = "value",
                   out: str = "last_page_link") -> DataFrame:
     """Link of the last ``pb`` of a record (F4: last following page break)."""
     links = F.regexp_extract_all(F.col(text_col), F.lit(r"<pb\s[^>]*facs\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    return records.withColumn(out, F.element_at(links, -1))
+    return records.withColumn(out, F.try_element_at(links, F.lit(-1)))
 
 
 def segments_table(pages: DataFrame, file_col: str = "file") -> DataFrame:
