@@ -1,0 +1 @@
+"""Incremental ingest of records as they arrive (Structured Streaming)."""
