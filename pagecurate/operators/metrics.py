@@ -132,8 +132,7 @@ def batch_accuracy(df: DataFrame, label_col: str, pred_col: str, order: list,
                    batch_size: int = 16) -> DataFrame:
     """Mean over batches (in ``order``) of the batch accuracy; a short last
     batch weighs as much as a full one."""
-    idx = global_index(df.select(label_col, pred_col, *[o for o in order if isinstance(o, str)]),
-                       order, "_idx")
+    idx = global_index(df, order, "_idx")
     per = (idx.groupBy(F.floor(F.col("_idx") / F.lit(batch_size)).alias("_b"))
            .agg(F.avg((F.col(label_col) == F.col(pred_col)).cast("double")).alias("_a")))
     return per.agg(F.avg("_a").alias("batch_accuracy"))
@@ -188,7 +187,7 @@ def batch_mean(df: DataFrame, value: Column, order: list, batch_size: int,
                how: str = "mean") -> DataFrame:
     """Mean ('mean') or sum ('sum') over batches of the batch mean of ``value``."""
     src = df.withColumn("_v", value)
-    idx = global_index(src.select("_v", *[o for o in order if isinstance(o, str)]), order, "_idx")
+    idx = global_index(src, order, "_idx")
     per = (idx.groupBy(F.floor(F.col("_idx") / F.lit(batch_size)).alias("_b"))
            .agg(F.avg("_v").alias("_m")))
     return per.agg((F.sum("_m") if how == "sum" else F.avg("_m")).alias("value"))

@@ -15,8 +15,15 @@ while the work stays spread over range partitions:
   ``WindowGroupLimit`` before the shuffle, so a group sends at most ``k`` rows
   per input partition.
 
-The order columns given to these helpers must form a total order (add a unique
-tie-break), otherwise positions among equal keys depend on the input order.
+Only the narrow key/order columns are range-partitioned. That tagged table is
+read twice (slice counts, rows), and range bounds are sampled anew on every
+execution, so it is materialised once with a reliable ``checkpoint()`` (the
+shared folder of ``spark.checkpoint.dir``): both reads see one partitioning,
+also after an executor loss. The results go back to the full rows by a join on
+the order columns.
+
+The order must be total (add a unique tie-break): positions among equal keys
+would otherwise depend on the input order, and the join back needs unique keys.
 """
 
 from __future__ import annotations
@@ -26,62 +33,75 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagecurate.session import shuffle_partitions
+from pagecurate.session import ensure_checkpoint_dir, shuffle_partitions
 
 _PID, _LOC, _MID = "_pc_pid", "_pc_loc", "_pc_mid"
 _LOCAL_BITS = 33  # monotonically_increasing_id puts the partition id above bit 33
 
 
-def _cols(xs) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
+class Desc:
+    """Marks a descending order item: ``Desc("n")``."""
 
+    def __init__(self, item):
+        self.item = item
 
-def _tag_partitions(df: DataFrame, keys: list, order: list, partitions: int | None) -> DataFrame:
-    n = partitions or shuffle_partitions(df.sparkSession)
-    by = _cols(keys) + _cols(order)
-    tagged = (df.repartitionByRange(n, *by)
-              .sortWithinPartitions(*by)
-              .withColumn(_MID, F.monotonically_increasing_id()))
-    return (tagged.withColumn(_PID, F.shiftright(F.col(_MID), _LOCAL_BITS))
-            .withColumn(_LOC, F.col(_MID).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-            .drop(_MID))
 
+def _expr(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in on],
-                     *[c for c in right.columns if c not in on])
-    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
-    return left.join(r, cond, "inner").drop(*[f"_r_{c}" for c in on])
+
+def _order(df: DataFrame, order: list) -> tuple[DataFrame, list[str], list[Column]]:
+    """Materialise the order items as columns _o0.. ; return sort expressions."""
+    names, sorts = [], []
+    for i, item in enumerate(order):
+        desc = isinstance(item, Desc)
+        e = _expr(item.item if desc else item)
+        n = f"_o{i}"
+        df = df.withColumn(n, e)
+        names.append(n)
+        sorts.append(F.col(n).desc_nulls_last() if desc else F.col(n).asc_nulls_first())
+    return df, names, sorts
+
+
+def _tagged(narrow: DataFrame, keys: list[str], sorts: list[Column], partitions: int | None) -> DataFrame:
+    spark = narrow.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or shuffle_partitions(spark)
+    by = [F.col(k).asc_nulls_first() for k in keys] + sorts
+    t = (narrow.repartitionByRange(n, *by).sortWithinPartitions(*by)
+         .withColumn(_MID, F.monotonically_increasing_id()))
+    t = (t.withColumn(_PID, F.shiftright(F.col(_MID), _LOCAL_BITS))
+         .withColumn(_LOC, F.col(_MID).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+         .drop(_MID))
+    return t.checkpoint(eager=True)
+
+
+def _join_back(df: DataFrame, result: DataFrame, on: list[str]) -> DataFrame:
+    r = result.select(*[F.col(c).alias(f"_r{c}") for c in on], *[c for c in result.columns if c not in on])
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in on])
+    return df.join(r, cond, "inner").drop(*[f"_r{c}" for c in on])
 
 
 def global_index(df: DataFrame, order: list, out: str = "row_idx",
                  partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of the row in ``order`` (BIGINT)."""
-    tagged = _tag_partitions(df, [], order, partitions)
-    counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per range partition: the table is bounded by the partition count
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), _PID)
-            .withColumn(out, (F.col("_off") + F.col(_LOC)).cast("bigint"))
-            .drop(_PID, _LOC, "_off"))
+    return rank_within(df, [], order, out, partitions)
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list, out: str = "rank",
                 partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = 0-based position of the row inside its ``keys`` group."""
-    if not keys:
-        return global_index(df, order, out, partitions)
-    tagged = _tag_partitions(df, keys, order, partitions)
-    # one row per (range partition, key) slice
-    slices = tagged.groupBy(_PID, *keys).agg(F.min(_LOC).alias("_first"),
-                                             F.count(F.lit(1)).alias("_n"))
+    """Add ``out`` = 0-based position of the row inside its ``keys`` group
+    (the whole table when ``keys`` is empty)."""
+    wide, names, sorts = _order(df, order)
+    t = _tagged(wide.select(*keys, *names), keys, sorts, partitions)
+    # one row per (range partition, key) slice: at most partitions + keys rows
+    slices = t.groupBy(_PID, *keys).agg(F.min(_LOC).alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(_PID, *keys, "_first",
-                           F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    joined = _null_safe_join(tagged, slices, [_PID] + list(keys))
-    return (joined.withColumn(out, (F.col("_before") + F.col(_LOC) - F.col("_first")).cast("bigint"))
-            .drop(_PID, _LOC, "_first", "_before"))
+    slices = slices.select(_PID, *keys, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    ranked = _join_back(t, slices, [_PID] + list(keys))
+    ranked = ranked.select(*keys, *names,
+                           (F.col("_before") + F.col(_LOC) - F.col("_first")).cast("bigint").alias(out))
+    return _join_back(wide, ranked, list(keys) + names).drop(*names)
 
 
 def running_scan(df: DataFrame, keys: list[str], order: list,
@@ -92,34 +112,29 @@ def running_scan(df: DataFrame, keys: list[str], order: list,
     """Per key group, in ``order``: ``sums`` -> running sum, ``lasts`` -> last
     non-null value so far. ``inclusive`` = the current row counts."""
     sums, lasts = sums or {}, lasts or {}
-    src = df
-    for name, expr in list(sums.items()) + list(lasts.items()):
-        src = src.withColumn(f"_v_{name}", expr)
-    tagged = _tag_partitions(src, keys, order, partitions)
+    wide, names, sorts = _order(df, order)
+    narrow = wide.select(*keys, *names, *[e.alias(f"_v_{n}") for n, e in list(sums.items()) + list(lasts.items())])
+    t = _tagged(narrow, keys, sorts, partitions)
     end = Window.currentRow if inclusive else -1
-    w_local = (Window.partitionBy(_PID, *keys).orderBy(_LOC)
-               .rowsBetween(Window.unboundedPreceding, end))
-    local = tagged
-    for name in sums:
-        local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w_local))
-    for name in lasts:
-        local = local.withColumn(f"_l_{name}", F.last(f"_v_{name}", ignorenulls=True).over(w_local))
+    w_local = Window.partitionBy(_PID, *keys).orderBy(_LOC).rowsBetween(Window.unboundedPreceding, end)
+    local = t
+    for n in sums:
+        local = local.withColumn(f"_l_{n}", F.sum(f"_v_{n}").over(w_local))
+    for n in lasts:
+        local = local.withColumn(f"_l_{n}", F.last(f"_v_{n}", ignorenulls=True).over(w_local))
     aggs = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
     aggs += [F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), F.col(_LOC))).alias(f"_t_{n}")
              for n in lasts]
-    slices = tagged.groupBy(_PID, *keys).agg(*aggs)
+    slices = t.groupBy(_PID, *keys).agg(*aggs)
     w_prev = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     carry = slices.select(_PID, *keys,
                           *[F.sum(f"_t_{n}").over(w_prev).alias(f"_c_{n}") for n in sums],
-                          *[F.last(f"_t_{n}", ignorenulls=True).over(w_prev).alias(f"_c_{n}")
-                            for n in lasts])
-    out = _null_safe_join(local, carry, [_PID] + list(keys))
-    for n in sums:
-        out = out.withColumn(n, F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.coalesce(F.col(f"_l_{n}"), F.lit(0)))
-    for n in lasts:
-        out = out.withColumn(n, F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")))
-    drop = [_PID, _LOC] + [f"_{p}_{n}" for n in list(sums) + list(lasts) for p in "vlc"]
-    return out.drop(*drop)
+                          *[F.last(f"_t_{n}", ignorenulls=True).over(w_prev).alias(f"_c_{n}") for n in lasts])
+    res = _join_back(local, carry, [_PID] + list(keys))
+    outs = [(F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.coalesce(F.col(f"_l_{n}"), F.lit(0))).alias(n) for n in sums]
+    outs += [F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in lasts]
+    res = res.select(*keys, *names, *outs)
+    return _join_back(wide, res, list(keys) + names).drop(*names)
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list, k: int,
@@ -130,6 +145,7 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list, k: int,
     exchange (map-side top-k), so the shuffle carries ``k`` rows per group and
     input partition, however large the group."""
     rn = out or "_pc_rn"
-    w = Window.partitionBy(*keys).orderBy(*_cols(order))
+    sorts = [(_expr(o.item).desc() if isinstance(o, Desc) else _expr(o)) for o in order]
+    w = Window.partitionBy(*keys).orderBy(*sorts)
     res = df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= F.lit(k))
     return res if out else res.drop(rn)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagecurate.operators.ordering import global_index
+from pagecurate.operators.ordering import Desc, global_index
 
 # Special token ids.
 PAD_ID, UNK_ID, START_ID, END_ID = 0, 1, 2, 3
@@ -57,7 +57,7 @@ def build_vocabulary(df: DataFrame, text_col: str, min_count: int = 1) -> DataFr
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     if min_count > 1:
         counts = counts.filter(F.col("n") >= min_count)
-    ranked = global_index(counts, [F.desc("n"), F.col("token")], "_r")
+    ranked = global_index(counts, [Desc("n"), "token"], "_r")
     return ranked.withColumn("token_id", (F.col("_r") + F.lit(FIRST_TOKEN_ID)).cast("bigint")).drop("_r")
 
 

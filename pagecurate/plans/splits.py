@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagecurate.operators.aggregates import files_by_decade
 from pagecurate.operators.joins import holdout_rows, train_rows
-from pagecurate.operators.ordering import global_index, rank_within, top_k_per_group
+from pagecurate.operators.ordering import Desc, global_index, rank_within, top_k_per_group
 from pagecurate.operators.sampling import hash_key
 
 TRAIN, VAL, TEST = "train", "val", "test"
@@ -63,14 +63,13 @@ def stratified_split(df: DataFrame, target: str, id_col: str, seed: int = 42,
 
     Rows with a NULL target form their own stratum."""
     quotas = split_quotas(df, target, test_size, second_test_size)
-    ranked = rank_within(df.withColumn("_h", hash_key(seed, id_col)), [target],
-                         ["_h", id_col], "_r")
+    ranked = rank_within(df, [target], [hash_key(seed, id_col), id_col], "_r")
     # one row per class: broadcast is bounded by the class count
     j = _join_quota(ranked, quotas, target)
     role = (F.when(F.col("_r") < F.col("n_train"), F.lit(TRAIN))
             .when(F.col("_r") < F.col("n_train") + F.col("n_val"), F.lit(VAL))
             .otherwise(F.lit(TEST)))
-    return j.withColumn(out, role).drop("_h", "_r", "n_train", "n_val")
+    return j.withColumn(out, role).drop("_r", "n_train", "n_val")
 
 
 def _join_quota(ranked: DataFrame, quotas: DataFrame, target: str) -> DataFrame:
@@ -83,7 +82,7 @@ def holdout_roles(files: DataFrame, decade_col: str, file_col: str, first_idx: s
     """per decade, files ranked from the last seen: 1..n_test test,
     next n_val val. Returns (decade, file, role) for held-out files only; the
     top-k filter runs map-side (partial WindowGroupLimit)."""
-    top = top_k_per_group(files, [decade_col], [F.desc(first_idx), F.desc(file_col)],
+    top = top_k_per_group(files, [decade_col], [Desc(first_idx), Desc(file_col)],
                           n_test + n_val, out="_rk")
     role = F.when(F.col("_rk") <= n_test, F.lit(TEST)).otherwise(F.lit(VAL))
     return top.select(decade_col, file_col, role.alias("role"))
