@@ -73,7 +73,7 @@ def match_blocks(segments: DataFrame, blocks: DataFrame, keys: list[str],
         from pagecurate.functions.text import speaker_prefix
         cand = (seg.join(blk, keys)
                 .withColumn("_score", _score(scorer, F.col("_st"), speaker_prefix(F.col("_bt"), F.col("_nc")))))
-        return _best(cand, keys, seg_id, blk_id, blk_idx)
+        return _best(cand, blk, keys, seg_id, blk_id, blk_idx)
     # pass 1: one seed candidate per segment -> a lower bound on its best score
     on = [seg[k] == blk[k] for k in keys] + [seg["_so"] == blk["_bi"]]
     seed = (seg.join(blk, on, "left")
@@ -87,17 +87,31 @@ def match_blocks(segments: DataFrame, blocks: DataFrame, keys: list[str],
     cand = (banded.join(blk_b, keys + ["_bk"])
             .filter(F.col("_lb").between(F.col("_lo"), F.col("_hi")))
             .withColumn("_score", _score(scorer, F.col("_st"), F.col("_bt"))))
-    return _best(cand, keys, seg_id, blk_id, blk_idx)
+    return _best(cand, blk, keys, seg_id, blk_id, blk_idx)
 
 
-def _best(cand: DataFrame, keys, seg_id, blk_id, blk_idx) -> DataFrame:
+_BITS = 21
+_MASK = (1 << _BITS) - 1
+
+
+def _best(cand: DataFrame, blk: DataFrame, keys, seg_id, blk_id, blk_idx) -> DataFrame:
     """G1: highest score, then the block index nearest the element ordinal,
-    then the lowest block index."""
-    rank = F.struct(F.col("_score"), -F.abs(F.col("_bi") - F.col("_so")), -F.col("_bi"))
-    best = cand.groupBy(*keys, "_sid").agg(
-        F.max_by(F.struct("_bid", "_bi", "_score"), rank).alias("_m"))
-    return best.select(*keys, F.col("_sid").alias(seg_id), F.col("_m._bid").alias(blk_id),
-                       F.col("_m._bi").alias(blk_idx), F.col("_m._score").alias("score"))
+    then the lowest block index.
+
+    The three criteria are packed into one BIGINT (score + 2^20, then
+    2^21-1-distance, then 2^21-1-index; 21 bits each), so the argmax is a
+    plain ``max`` in a hash aggregate with map-side partial aggregation."""
+    score = F.col("_score").cast("bigint") + F.lit(1 << (_BITS - 1))
+    dist = F.least(F.abs(F.col("_bi") - F.col("_so")), F.lit(_MASK)).cast("bigint")
+    idx = F.least(F.col("_bi"), F.lit(_MASK)).cast("bigint")
+    packed = (F.shiftleft(score, 2 * _BITS) + F.shiftleft(F.lit(_MASK) - dist, _BITS) + (F.lit(_MASK) - idx))
+    best = cand.groupBy(*keys, "_sid").agg(F.max(packed).alias("_p"))
+    best = best.select(*keys, "_sid",
+                       (F.lit(_MASK) - F.col("_p").bitwiseAND(F.lit(_MASK))).alias("_bi"),
+                       (F.shiftright(F.col("_p"), 2 * _BITS) - F.lit(1 << (_BITS - 1))).cast("double").alias("score"))
+    ids = blk.select(*keys, "_bi", "_bid")
+    return best.join(ids, keys + ["_bi"]).select(
+        *keys, F.col("_sid").alias(seg_id), F.col("_bid").alias(blk_id), F.col("_bi").alias(blk_idx), "score")
 
 
 def nearest_following(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
