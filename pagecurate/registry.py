@@ -1226,3 +1226,64 @@ def q_active_learning(spark, sf):
     labelled, _pool = active_learning(e.select("vec_id", "logits"), e.select("vec_id", "label"),
                                       id_col="vec_id", rounds=5)
     return labelled
+
+
+# ---------------------------------------------------------------- E8, E22 per split, I5, flagship
+@register("block_text", """
+SELECT conv_id, turn, array_to_string(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> ''), ' ')
+       AS block_text
+FROM conversations
+""")
+def q_block_text(spark, sf):
+    from pagecurate.operators.layout import block_text
+    c = T(spark, sf, "conversations")
+    words = F.transform(F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1), lambda w: w != ""),
+                        lambda w: F.struct(w.alias("content")))
+    return c.select("conv_id", "turn", block_text(words).alias("block_text"))
+
+
+@register("standardise_per_split", """
+WITH s AS (SELECT l_returnflag, avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq FROM lineitem GROUP BY l_returnflag)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l.l_returnflag,
+       round((l_quantity - mq) / CASE WHEN sq = 0 OR sq IS NULL THEN 1.0 ELSE sq END, 6) AS quantity_z
+FROM lineitem l JOIN s ON l.l_returnflag = s.l_returnflag
+""")
+def q_standardise_per_split(spark, sf):
+    from pagecurate.plans.features import standardise
+    li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    z = standardise(li, ["l_quantity"], per_split="l_returnflag")
+    return z.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_returnflag",
+                    r6("l_quantity").alias("quantity_z"))
+
+
+@register("profile_dataset", STRAT_SQL + """
+SELECT coalesce(split, 'total') AS split, count(*) AS n,
+       round(count(*) / sum(count(*)) FILTER (WHERE grouping(split) = 1) OVER (), 6) AS share,
+       CAST(sum(quality) AS DOUBLE) AS marginal_positives, round(avg(quality), 6) AS marginal_share,
+       CAST(sum(toxic) AS DOUBLE) AS merged_positives, round(avg(toxic), 6) AS merged_share
+FROM split GROUP BY ROLLUP (split)
+""")
+def q_profile_dataset(spark, sf):
+    from pagecurate.plans.profile import profile_dataset
+    s = strat(spark, sf).withColumnRenamed("quality", "marginal_text").withColumnRenamed("toxic", "merged")
+    p = profile_dataset(s, "split", targets=("marginal_text", "merged"))
+    sizes = p["split_sizes"].select("split", "n", r6("share").alias("share"))
+    m = p["label_shares_marginal_text"].select("split", F.col("positives").alias("marginal_positives"),
+                                              r6("share").alias("marginal_share"))
+    g = p["label_shares_merged"].select("split", F.col("positives").alias("merged_positives"),
+                                        r6("share").alias("merged_share"))
+    return sizes.join(m, "split").join(g, "split")
+
+
+@register("segment_label_profile", STRAT_SQL + f"""
+, seg AS (SELECT doc_id, {norm_sql('raw')} AS text_line FROM ({DOC_LINES_SQL})),
+j AS (SELECT seg.doc_id, split.split, split.quality AS m, split.toxic AS g
+      FROM seg JOIN split ON seg.doc_id = split.doc_id WHERE length(seg.text_line) > 0)
+SELECT coalesce(split, 'total') AS split, count(*) AS segments, count(DISTINCT doc_id) AS documents,
+       round(avg(m), 6) AS marginal_share, round(avg(g), 6) AS merged_share,
+       round(avg(CASE WHEN coalesce(m, 0) + coalesce(g, 0) = 2 THEN 1.0 ELSE 0.0 END), 6) AS merged_class_share
+FROM j GROUP BY ROLLUP (split)
+""")
+def q_segment_label_profile(spark, sf):
+    from pagecurate.plans.profile import segment_label_profile
+    return segment_label_profile(spark, sf)
