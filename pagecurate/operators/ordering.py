@@ -50,17 +50,30 @@ def _expr(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _order(df: DataFrame, order: list) -> tuple[DataFrame, list[str], list[Column]]:
-    """Materialise the order items as columns _o0.. ; return sort expressions."""
-    names, sorts = [], []
+def _order(df: DataFrame, order: list) -> tuple[DataFrame, list[str], list[str], list[Column]]:
+    """Order items as columns (expressions materialised as _o0..); returns the
+    frame, the order column names, the helper names to drop, sort expressions."""
+    names, helpers, sorts = [], [], []
     for i, item in enumerate(order):
         desc = isinstance(item, Desc)
-        e = _expr(item.item if desc else item)
-        n = f"_o{i}"
-        df = df.withColumn(n, e)
+        raw = item.item if desc else item
+        if isinstance(raw, str):
+            n = raw
+        else:
+            n = f"_o{i}"
+            df = df.withColumn(n, raw)
+            helpers.append(n)
         names.append(n)
         sorts.append(F.col(n).desc_nulls_last() if desc else F.col(n).asc_nulls_first())
-    return df, names, sorts
+    return df, names, helpers, sorts
+
+
+def _finish(wide: DataFrame, result: DataFrame, on: list[str], helpers: list[str]) -> DataFrame:
+    """Attach ``result`` to the full rows; when the narrow table already holds
+    every column, the checkpointed result is the answer (no second pass)."""
+    if set(wide.columns) <= set(on):
+        return result.select(*wide.columns, *[c for c in result.columns if c not in on]).drop(*helpers)
+    return _join_back(wide, result, on).drop(*helpers)
 
 
 def _tagged(narrow: DataFrame, keys: list[str], sorts: list[Column], partitions: int | None) -> DataFrame:
@@ -92,16 +105,16 @@ def rank_within(df: DataFrame, keys: list[str], order: list, out: str = "rank",
                 partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of the row inside its ``keys`` group
     (the whole table when ``keys`` is empty)."""
-    wide, names, sorts = _order(df, order)
-    t = _tagged(wide.select(*keys, *names), keys, sorts, partitions)
+    wide, names, helpers, sorts = _order(df, order)
+    on = list(dict.fromkeys(list(keys) + names))
+    t = _tagged(wide.select(*on), keys, sorts, partitions)
     # one row per (range partition, key) slice: at most partitions + keys rows
     slices = t.groupBy(_PID, *keys).agg(F.min(_LOC).alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(_PID, *keys, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     ranked = _join_back(t, slices, [_PID] + list(keys))
-    ranked = ranked.select(*keys, *names,
-                           (F.col("_before") + F.col(_LOC) - F.col("_first")).cast("bigint").alias(out))
-    return _join_back(wide, ranked, list(keys) + names).drop(*names)
+    ranked = ranked.select(*on, (F.col("_before") + F.col(_LOC) - F.col("_first")).cast("bigint").alias(out))
+    return _finish(wide, ranked, on, helpers)
 
 
 def running_scan(df: DataFrame, keys: list[str], order: list,
@@ -112,8 +125,9 @@ def running_scan(df: DataFrame, keys: list[str], order: list,
     """Per key group, in ``order``: ``sums`` -> running sum, ``lasts`` -> last
     non-null value so far. ``inclusive`` = the current row counts."""
     sums, lasts = sums or {}, lasts or {}
-    wide, names, sorts = _order(df, order)
-    narrow = wide.select(*keys, *names, *[e.alias(f"_v_{n}") for n, e in list(sums.items()) + list(lasts.items())])
+    wide, names, helpers, sorts = _order(df, order)
+    on = list(dict.fromkeys(list(keys) + names))
+    narrow = wide.select(*on, *[e.alias(f"_v_{n}") for n, e in list(sums.items()) + list(lasts.items())])
     t = _tagged(narrow, keys, sorts, partitions)
     end = Window.currentRow if inclusive else -1
     w_local = Window.partitionBy(_PID, *keys).orderBy(_LOC).rowsBetween(Window.unboundedPreceding, end)
@@ -133,8 +147,8 @@ def running_scan(df: DataFrame, keys: list[str], order: list,
     res = _join_back(local, carry, [_PID] + list(keys))
     outs = [(F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.coalesce(F.col(f"_l_{n}"), F.lit(0))).alias(n) for n in sums]
     outs += [F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in lasts]
-    res = res.select(*keys, *names, *outs)
-    return _join_back(wide, res, list(keys) + names).drop(*names)
+    res = res.select(*on, *outs)
+    return _finish(wide, res, on, helpers)
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list, k: int,
