@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 
 def holdout_rows(df: DataFrame, files: DataFrame, key: str = "file",
-                 bounded: bool = True) -> DataFrame:
-    """Rows whose ``key`` is in ``files`` (left semi)."""
+                 bounded: bool = False) -> DataFrame:
+    """Rows whose ``key`` is in ``files`` (left semi). ``bounded=True``
+    broadcasts ``files``; pass it only when its size is bounded by construction."""
     f = files.select(key).distinct()
     return df.join(F.broadcast(f) if bounded else f, key, "left_semi")
 
 
 def train_rows(df: DataFrame, *excluded: DataFrame, key: str = "file",
-               bounded: bool = True) -> DataFrame:
-    """Rows whose ``key`` is in none of ``excluded`` (left anti)."""
+               bounded: bool = False) -> DataFrame:
+    """Rows whose ``key`` is in none of ``excluded`` (left anti);
+    ``bounded`` as in ``holdout_rows``."""
     out = df
     for ex in excluded:
         e = ex.select(key).distinct()

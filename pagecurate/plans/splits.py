@@ -106,8 +106,10 @@ def holdout_parts(df: DataFrame, decade_col: str, file_col: str, idx_col: str,
     roles = holdout_roles(firsts, decade_col, file_col, "first_idx", n_test, n_val)
     test = roles.filter(F.col("role") == TEST)
     val = roles.filter(F.col("role") == VAL)
-    return {TEST: holdout_rows(df, test, file_col), VAL: holdout_rows(df, val, file_col),
-            TRAIN: train_rows(df, test, val, key=file_col)}
+    # held-out files: at most n_test + n_val per decade, so the broadcast is bounded
+    return {TEST: holdout_rows(df, test, file_col, bounded=True),
+            VAL: holdout_rows(df, val, file_col, bounded=True),
+            TRAIN: train_rows(df, test, val, key=file_col, bounded=True)}
 
 
 def split_contiguous(df: DataFrame, n: int, order: list, out: str = "part") -> DataFrame:
