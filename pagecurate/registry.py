@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagecurate import functions as fx
@@ -1117,7 +1117,8 @@ def labelled_docs(spark, sf, target="quality") -> DataFrame:
                                        F.col("toxic").alias("merged"))
     j = d.join(lb, "doc_id")
     tcol = {"quality": "marginal_text", "toxic": "merged"}.get(target, target)
-    return splits.stratified_split(j, tcol, "doc_id", seed=42)
+    # read by several fits and the scoring pass
+    return splits.stratified_split(j, tcol, "doc_id", seed=42).cache()
 
 
 @register("text_classifier")
@@ -1175,7 +1176,7 @@ def q_positional_classifier(spark, sf):
     from pagecurate.plans import learn
     rows = filters.drop_incomplete(positional_rows(spark, sf), POS_NUMERIC)
     feats = learn.positional_features(rows, POS_NUMERIC, POS_FLAGS, fit_on=F.col("split") == "train")
-    model = learn.fit_positional_classifier(feats.filter(F.col("split") == "train"), "label", max_iter=20)
+    model = learn.fit_positional_classifier(feats.filter(F.col("split") == "train"), "label", max_iter=8)
     out = model.transform(feats)
     raw = F.col("rawPrediction")
     from pyspark.ml.functions import vector_to_array
@@ -1193,7 +1194,7 @@ def q_combined_classifier(spark, sf):
                       (F.col("lang") == "en").alias("is_en"))
     pos = learn.positional_features(pos, ["n_chars", "n_lines"], ["is_en"], fit_on=F.col("split") == "train")
     model = learn.fit_combined_classifier(data.filter(F.col("split") == "train"), pos, "doc_id", "text",
-                                          "marginal_text")
+                                          "marginal_text", max_iter=15)
     scored = data.join(pos.select("doc_id", "_pos"), "doc_id")
     return learn.predictions(model, scored, ["doc_id", "split", "marginal_text"])
 
