@@ -33,8 +33,10 @@ def xml_unescape(c) -> Column:
     i.e. give the text a parser would hand to the caller."""
     s = _c(c)
     # numeric references: replace each distinct reference by its code point
+    # (the regex runs only on texts that hold one)
     refs = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(x[0-9A-Fa-f]+|[0-9]+);"), F.lit(0)))
-    s = F.aggregate(refs, s, lambda acc, r: F.replace(acc, r, _codepoint_char(r)))
+    s = F.when(s.contains("&#"), F.aggregate(refs, s, lambda acc, r: F.replace(acc, r, _codepoint_char(r)))) \
+        .otherwise(s)
     for ent, ch in XML_ENTITIES:
         s = F.replace(s, F.lit(ent), F.lit(ch))
     return s

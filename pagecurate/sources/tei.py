@@ -68,14 +68,19 @@ def element_pattern(tags) -> str:
     return r"<(?:" + "|".join(tags) + r")(?:\s[^>]*)?>[^<]*"
 
 
-def page_lines(chunk: Column, tags=SEGMENT_TAGS, id_attr: str | None = ID_ATTR,
+def found_elements(chunk: Column, tags=SEGMENT_TAGS) -> Column:
+    """Every start tag of ``tags`` in a page chunk with the text after it."""
+    return F.regexp_extract_all(chunk, F.lit(element_pattern(tags)), F.lit(0))
+
+
+def page_lines(found: Column, id_attr: str | None = ID_ATTR,
                position_tags=POSITION_TAGS, unescape: bool = True) -> Column:
-    """ARRAY<STRUCT<id, text_line, elem_ord>> of the segments of a page chunk,
-    in document order, non-blank text with an id only.
+    """ARRAY<STRUCT<id, text_line, elem_ord>> of the segments of a page, from
+    its ``found_elements`` column, in document order, non-blank text with an id
+    only. Pass a column reference: the lambdas read it per element.
 
     ``elem_ord`` (F8) = number of ``position_tags`` elements before the
     segment on its page, blank ones included."""
-    found = F.regexp_extract_all(chunk, F.lit(element_pattern(tags)), F.lit(0))
     pos_pat = r"^<(?:" + "|".join(position_tags) + r")[\s/>]"
 
     def one(m, i):
@@ -109,9 +114,11 @@ def explode_pages(records: DataFrame, text_col: str = "value", marker: str = PB_
                             .alias("page_ord", "chunk")).filter(F.col("page_ord") > 0)
     head = F.regexp_extract(F.col("chunk"), r"^([^>]*)>", 1)
     link = _attr(F.concat(F.lit(" "), head), link_attr) if link_attr else F.lit(None).cast("string")
+    # the element list is computed once per page and then read by the lambdas
     pages = chunks.select(*keep, F.col("page_ord").cast("int").alias("page_ord"),
-                          link.alias("page_link"),
-                          page_lines(F.col("chunk"), tags, id_attr, position_tags, unescape).alias("lines"))
+                          link.alias("page_link"), found_elements(F.col("chunk"), tags).alias("_found"))
+    pages = pages.select(*keep, "page_ord", "page_link",
+                         page_lines(F.col("_found"), id_attr, position_tags, unescape).alias("lines"))
     if link_attr:
         pages = pages.filter(F.col("page_link").isNotNull())
     return pages.filter(F.size("lines") > 0)
