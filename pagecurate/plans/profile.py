@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagecurate.functions.labels import final_target
 from pagecurate.functions.text import normalise_text
-from pagecurate.operators import aggregates as agg
 from pagecurate.operators.filters import keep_nonempty
 from pagecurate.operators.joins import update_by_id
 from pagecurate.plans.splits import stratified_split
@@ -15,18 +14,36 @@ from pagecurate.plans.splits import stratified_split
 
 def profile_dataset(df: DataFrame, split_col: str = "split",
                     targets=("marginal_text", "merged"),
-                    box_cols=("posLeft", "posUpper", "posRight", "posLower")) -> dict[str, DataFrame]:
-    """Sizes and shares per split, label shares per target, class counts
-    and the box NULL counts / extents when the box columns are present."""
-    out = {"split_sizes": agg.split_sizes(df, split_col)}
+                    box_cols=("posLeft", "posUpper", "posRight", "posLower")) -> DataFrame:
+    """I5 in one aggregation job: per split and in total (``rollup``) the row
+    count and share, positives and share of every target, and — when the box
+    columns are present — rows with a missing box value and the box extent."""
+    cols = set(df.columns)
+    aggs = [F.count(F.lit(1)).alias("n"), F.grouping(split_col).alias("_g")]
     for t in targets:
-        if t in df.columns:
-            out[f"label_shares_{t}"] = agg.label_shares(df, t, split_col)
-            out[f"class_distribution_{t}"] = agg.class_distribution(df, t, split_col)
-    if all(c in df.columns for c in box_cols):
-        out["null_count"] = agg.null_count(df, list(box_cols), split_col)
-        out["extent"] = agg.extent(df.na.drop(subset=list(box_cols)), *box_cols, group_cols=[split_col])
-    return out
+        if t in cols:
+            aggs += [F.coalesce(F.sum(t), F.lit(0)).cast("double").alias(f"{t}_positives")]
+    has_box = all(c in cols for c in box_cols)
+    if has_box:
+        floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+        miss = None
+        for c in box_cols:
+            m = (F.col(c).isNull() | F.isnan(F.col(c))) if c in floats else F.col(c).isNull()
+            miss = m if miss is None else (miss | m)
+        left, upper, right, lower = box_cols
+        aggs += [F.count_if(miss).alias("null_rows"), F.min(left).alias("min_left"),
+                 F.min(upper).alias("min_upper"), F.max(right).alias("max_right"), F.max(lower).alias("max_lower")]
+    r = df.rollup(split_col).agg(*aggs)
+    # the rollup has one row per split + 1: the global window over it is bounded
+    total = F.max(F.when(F.col("_g") == 1, F.col("n"))).over(Window.partitionBy())
+    out = [F.when(F.col("_g") == 1, F.lit("total")).otherwise(F.col(split_col).cast("string")).alias(split_col),
+           "n", (F.col("n") / total).alias("share")]
+    for t in targets:
+        if t in cols:
+            out += [f"{t}_positives", (F.col(f"{t}_positives") / F.col("n")).alias(f"{t}_share")]
+    if has_box:
+        out += ["null_rows", "min_left", "min_upper", "max_right", "max_lower"]
+    return r.select(*out)
 
 
 def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1268,12 +1268,10 @@ def q_profile_dataset(spark, sf):
     from pagecurate.plans.profile import profile_dataset
     s = strat(spark, sf).withColumnRenamed("quality", "marginal_text").withColumnRenamed("toxic", "merged")
     p = profile_dataset(s, "split", targets=("marginal_text", "merged"))
-    sizes = p["split_sizes"].select("split", "n", r6("share").alias("share"))
-    m = p["label_shares_marginal_text"].select("split", F.col("positives").alias("marginal_positives"),
-                                              r6("share").alias("marginal_share"))
-    g = p["label_shares_merged"].select("split", F.col("positives").alias("merged_positives"),
-                                        r6("share").alias("merged_share"))
-    return sizes.join(m, "split").join(g, "split")
+    return p.select("split", "n", r6("share").alias("share"),
+                    F.col("marginal_text_positives").alias("marginal_positives"),
+                    r6("marginal_text_share").alias("marginal_share"),
+                    F.col("merged_positives").alias("merged_positives"), r6("merged_share").alias("merged_share"))
 
 
 @register("segment_label_profile", STRAT_SQL + f"""

@@ -77,3 +77,19 @@ def test_plan_shapes(spark):
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "Exchange" not in plan("explode_segments")
     assert "WindowGroupLimit" in plan("sample_per_group")
+
+
+def test_profile_is_one_aggregation_and_weights_broadcast(spark):
+    from pagecurate.operators.metrics import with_class_weights
+    from pagecurate.plans.profile import profile_dataset
+    df = spark.range(100).select((F.col("id") % 3).cast("string").alias("split"),
+                                 (F.col("id") % 2).alias("marginal_text"), (F.col("id") % 5 == 0).cast("int").alias("merged"),
+                                 F.col("id").cast("double").alias("posLeft"), F.lit(1.0).alias("posUpper"),
+                                 F.lit(2.0).alias("posRight"), F.when(F.col("id") % 7 == 0, None).otherwise(3.0).alias("posLower"))
+    p = profile_dataset(df)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand") == 1
+    rows = {r.split: r for r in p.collect()}
+    assert rows["total"].n == 100 and rows["total"].null_rows == 15 and rows["total"].merged_positives == 20.0
+    w = with_class_weights(df, "marginal_text")
+    assert "BroadcastHashJoin" in w._jdf.queryExecution().executedPlan().toString()
