@@ -10,7 +10,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagecurate.operators.ordering import Desc, global_index
@@ -50,25 +50,40 @@ def tokenize(text) -> Column:
     return F.filter(F.split(F.lower(t), TOKEN_SPLIT, -1), lambda x: x != "")
 
 
-def build_vocabulary(df: DataFrame, text_col: str, min_count: int = 1) -> DataFrame:
-    """(token, n, token_id): every token of the corpus, counted with map-side
-    combine; ids by (count desc, token) from a distributed global rank."""
+def build_vocabulary(df: DataFrame, text_col: str, min_count: int = 1,
+                     max_size: int | None = None) -> DataFrame:
+    """(token, n, token_id): the tokens of the corpus, counted with map-side
+    combine; ids by (count desc, token) from a distributed global rank.
+
+    ``max_size`` keeps the most frequent tokens only (a fixed-size encoder
+    vocabulary; the rest encode as unknown): a top-N (TakeOrderedAndProject)
+    whose N rows are then numbered."""
     counts = (df.select(F.explode(tokenize(text_col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     if min_count > 1:
         counts = counts.filter(F.col("n") >= min_count)
+    if max_size is not None:
+        top = counts.orderBy(F.desc("n"), "token").limit(max_size)
+        # at most max_size rows: the global window is bounded
+        w = Window.orderBy(F.desc("n"), "token")
+        return top.withColumn("token_id", (F.row_number().over(w) - 1 + FIRST_TOKEN_ID).cast("bigint"))
     ranked = global_index(counts, [Desc("n"), "token"], "_r")
     return ranked.withColumn("token_id", (F.col("_r") + F.lit(FIRST_TOKEN_ID)).cast("bigint")).drop("_r")
 
 
 def encode_text(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame,
-                max_len: int = 128) -> DataFrame:
+                max_len: int = 128, vocab_bounded: bool = False) -> DataFrame:
     """(id, input_ids, attention_mask) of fixed length ``max_len``:
-    start id, the first ``max_len - 2`` token ids, end id, then padding."""
+    start id, the first ``max_len - 2`` token ids, end id, then padding.
+
+    ``vocab_bounded``: the vocabulary has a fixed size (``max_size``), so it is
+    broadcast; otherwise AQE picks the join from measured sizes and splits
+    the partitions of very frequent tokens."""
     body_len = max_len - 2
     # only the tokens that can be kept leave the row
     toks = df.select(id_col, F.posexplode(F.slice(tokenize(text_col), 1, body_len)).alias("pos", "token"))
-    ids = (toks.join(vocab.select("token", "token_id"), "token", "left")
+    v = vocab.select("token", "token_id")
+    ids = (toks.join(F.broadcast(v) if vocab_bounded else v, "token", "left")
            .select(id_col, "pos", F.coalesce("token_id", F.lit(UNK_ID).cast("bigint")).alias("token_id")))
     # at most max_len - 2 rows per id
     per = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_l"))

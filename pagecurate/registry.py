@@ -1054,6 +1054,28 @@ def q_encode_text(spark, sf):
                       F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_len"))
 
 
+@register("encode_text_fixed_vocab", f"""
+WITH tok AS (SELECT doc_id, unnest(tl) AS token, unnest(generate_series(1, len(tl))) AS pos FROM (
+               SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{TOKEN_RE}'), lambda x: x <> '') AS tl
+               FROM documents)),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS BIGINT) AS token_id FROM (
+            SELECT token, count(*) AS n FROM tok GROUP BY token ORDER BY n DESC, token LIMIT 5000)),
+ids AS (SELECT doc_id, list(coalesce(token_id, 1) ORDER BY pos) AS l FROM tok LEFT JOIN vocab USING (token)
+        WHERE pos <= 126 GROUP BY doc_id),
+enc AS (SELECT d.doc_id, [2] || coalesce(ids.l, []) || [3] AS body FROM documents d LEFT JOIN ids USING (doc_id))
+SELECT doc_id, array_to_string(body || list_transform(range(128 - len(body)), lambda x: 0), ' ') AS input_ids,
+       CAST(len(body) AS BIGINT) AS mask_len
+FROM enc
+""")
+def q_encode_text_fixed_vocab(spark, sf):
+    from pagecurate.plans.features import build_vocabulary, encode_text
+    d = T(spark, sf, "documents").select("doc_id", "text")
+    vocab = build_vocabulary(d, "text", max_size=5000)
+    enc = encode_text(d, "doc_id", "text", vocab, max_len=128, vocab_bounded=True)
+    return enc.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"),
+                      F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_len"))
+
+
 # ---------------------------------------------------------------- active learning: G2, G3, D8, H4, H5, I6
 def al_round(pool: DataFrame, annotations: DataFrame, seed: int):
     from pagecurate.plans.active import select_batch
