@@ -65,33 +65,39 @@ def element_pattern(tags) -> str:
     """Start tag of one of ``tags`` and the text after it up to the next markup
     (the element's own text; for a self-closed tag that text is not its own).
     Readable by Java regex and RE2 alike."""
-    return r"<(?:" + "|".join(tags) + r")(?:\s[^>]*)?>[^<]*"
+    return r"<(?:" + "|".join(tags) + r")(?:[\s/][^>]*)?>[^<]*"
 
 
-def found_elements(chunk: Column, tags=SEGMENT_TAGS) -> Column:
-    """Every start tag of ``tags`` in a page chunk with the text after it."""
-    return F.regexp_extract_all(chunk, F.lit(element_pattern(tags)), F.lit(0))
+def found_elements(chunk: Column, tags=SEGMENT_TAGS, position_tags=POSITION_TAGS) -> Column:
+    """ARRAY<STRUCT<m, ord>>: every start tag of ``tags`` in a page chunk with
+    the text after it, and ``ord`` = number of ``position_tags`` elements
+    before it on the page (F8).
 
+    Linear in the page: the chunk is split once before every position tag, so
+    piece k (k >= 1) starts with the k-th position tag and everything after
+    that tag in the piece has k position tags before it."""
+    before_pos = r"(?=<(?:" + "|".join(position_tags) + r")[\s/>])"
+    pieces = F.split(F.concat(F.lit(" "), chunk), before_pos, -1)
+    pat = F.lit(element_pattern(tags))
+    return F.flatten(F.transform(pieces, lambda piece, k: F.transform(
+        F.regexp_extract_all(piece, pat, F.lit(0)),
+        lambda m, j: F.struct(m.alias("m"),
+                              (k - F.when((k >= 1) & (j == 0), 1).otherwise(0)).alias("ord")))))
 
-def page_lines(found: Column, id_attr: str | None = ID_ATTR,
-               position_tags=POSITION_TAGS, unescape: bool = True) -> Column:
+
+def page_lines(found: Column, id_attr: str | None = ID_ATTR, unescape: bool = True) -> Column:
     """ARRAY<STRUCT<id, text_line, elem_ord>> of the segments of a page, from
     its ``found_elements`` column, in document order, non-blank text with an id
-    only. Pass a column reference: the lambdas read it per element.
-
-    ``elem_ord`` (F8) = number of ``position_tags`` elements before the
-    segment on its page, blank ones included."""
-    pos_pat = r"^<(?:" + "|".join(position_tags) + r")[\s/>]"
+    only."""
 
-    def one(m, i):
+    def one(e):
+        m = e["m"]
         tag = F.regexp_extract(m, r"^(<[^>]*>)", 1)
         raw = F.when(tag.endswith("/>"), F.lit("")).otherwise(
             F.regexp_extract(m, r"(?s)^<[^>]*>(.*)$", 1))
         text = normalise_text(xml_unescape(raw) if unescape else raw)
-        ident = _attr(tag, id_attr) if id_attr else None
-        before = F.size(F.filter(F.slice(found, 1, i), lambda x: x.rlike(pos_pat)))
-        return F.struct(ident.alias("id") if ident is not None else F.lit(None).cast("string").alias("id"),
-                        text.alias("text_line"), before.alias("elem_ord"))
+        ident = _attr(tag, id_attr) if id_attr else F.lit(None).cast("string")
+        return F.struct(ident.alias("id"), text.alias("text_line"), e["ord"].cast("int").alias("elem_ord"))
 
     lines = F.transform(found, one)
     keep = (lambda s: (F.length(s["text_line"]) > 0) & s["id"].isNotNull()) if id_attr else \
@@ -116,9 +122,10 @@ def explode_pages(records: DataFrame, text_col: str = "value", marker: str = PB_
     link = _attr(F.concat(F.lit(" "), head), link_attr) if link_attr else F.lit(None).cast("string")
     # the element list is computed once per page and then read by the lambdas
     pages = chunks.select(*keep, F.col("page_ord").cast("int").alias("page_ord"),
-                          link.alias("page_link"), found_elements(F.col("chunk"), tags).alias("_found"))
+                          link.alias("page_link"),
+                          found_elements(F.col("chunk"), tags, position_tags).alias("_found"))
     pages = pages.select(*keep, "page_ord", "page_link",
-                         page_lines(F.col("_found"), id_attr, position_tags, unescape).alias("lines"))
+                         page_lines(F.col("_found"), id_attr, unescape).alias("lines"))
     if link_attr:
         pages = pages.filter(F.col("page_link").isNotNull())
     return pages.filter(F.size("lines") > 0)
