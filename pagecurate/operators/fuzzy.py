@@ -23,14 +23,21 @@ from pyspark.sql.types import IntegerType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def lcs_length(a: str, b: str) -> int:
+def char_masks(a: str) -> dict[str, int]:
+    """Bit i of masks[ch] is set where a[i] == ch."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    return masks
+
+
+def lcs_length(a: str, b: str, masks_a: dict[str, int] | None = None) -> int:
     if len(a) < len(b):
         a, b = b, a
+        masks_a = None
     if not b:
         return 0
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
+    masks = masks_a if masks_a is not None else char_masks(a)
     full = (1 << len(a)) - 1
     v = full
     for ch in b:
@@ -40,19 +47,30 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - bin(v).count("1")
 
 
-def indel_ratio_py(a: str | None, b: str | None) -> int | None:
+def indel_ratio_py(a: str | None, b: str | None, masks_a: dict[str, int] | None = None) -> int | None:
     if a is None or b is None:
         return None
     total = len(a) + len(b)
-    if total == 0:
+    if total == 0 or a == b:
         return 100
-    dist = total - 2 * lcs_length(a, b)
+    dist = total - 2 * lcs_length(a, b, masks_a)
     return int(np.round(100.0 * (1.0 - dist / total)))
 
 
 @F.pandas_udf(IntegerType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = [indel_ratio_py(x, y) for x, y in zip(a, b)]
+    # a text meets several partners in a batch: build its bitmasks once
+    memo: dict[str, dict[str, int]] = {}
+    out = []
+    for x, y in zip(a, b):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        long_, short = (x, y) if len(x) >= len(y) else (y, x)
+        m = memo.get(long_)
+        if m is None:
+            m = memo[long_] = char_masks(long_)
+        out.append(indel_ratio_py(long_, short, m))
     return pd.Series(out, dtype="Int32")
 
 
