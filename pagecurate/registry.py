@@ -342,8 +342,8 @@ SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS year FROM orders
 WHERE year(o_orderdate) BETWEEN 1992 AND 1997 AND NOT year(o_orderdate) BETWEEN 1990 AND 1993
 """)
 def q_year_window(spark, sf):
-    o = T(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").cast("bigint").alias("year"))
-    return filters.year_window(o, "year", 1992, 1997)
+    o = filters.date_year_window(T(spark, sf, "orders"), "o_orderdate", 1992, 1997)
+    return o.select("o_orderkey", F.year("o_orderdate").cast("bigint").alias("year"))
 
 
 # ---------------------------------------------------------------- labels: B15-B17, B22, C4, C5

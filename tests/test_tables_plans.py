@@ -93,3 +93,13 @@ def test_profile_is_one_aggregation_and_weights_broadcast(spark):
     assert rows["total"].n == 100 and rows["total"].null_rows == 15 and rows["total"].merged_positives == 20.0
     w = with_class_weights(df, "marginal_text")
     assert "BroadcastHashJoin" in w._jdf.queryExecution().executedPlan().toString()
+
+
+def test_year_window_reaches_the_scan(spark):
+    from pagecurate.operators.filters import date_year_window
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    df = date_year_window(o, "o_orderdate", 1992, 1997)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+    years = {r.y for r in df.select(F.year("o_orderdate").alias("y")).distinct().collect()}
+    assert years and all(1994 <= y <= 1997 for y in years)
