@@ -2,9 +2,10 @@
 
 ``match_blocks`` links each text segment to the most similar OCR block of the
 same page. It never scores every (segment, block) pair blindly: a first pass
-scores one seed candidate per segment (the block at the segment's on-page
-ordinal), and the second pass only joins blocks whose length can still reach
-that score — an exact bound, so the argmax is unchanged. Blocks are bucketed by
+scores up to three seed candidates per segment (the blocks at the segment's
+on-page ordinal and its neighbours), and the second pass only joins blocks
+whose length can still reach the best seed score — an exact bound, so the
+argmax is unchanged. Blocks are bucketed by
 length on a geometric scale and the segment side lists the buckets its band
 covers, which turns the band into an equi-join on (page, bucket).
 """
@@ -74,11 +75,15 @@ def match_blocks(segments: DataFrame, blocks: DataFrame, keys: list[str],
         cand = (seg.join(blk, keys)
                 .withColumn("_score", _score(scorer, F.col("_st"), speaker_prefix(F.col("_bt"), F.col("_nc")))))
         return _best(cand, blk, keys, seg_id, blk_id, blk_idx)
-    # pass 1: one seed candidate per segment -> a lower bound on its best score
-    on = [seg[k] == blk[k] for k in keys] + [seg["_so"] == blk["_bi"]]
-    seed = (seg.join(blk, on, "left")
-            .select(*[seg[k] for k in keys], seg["_sid"], seg["_st"], seg["_so"], seg["_la"],
-                    F.when(blk["_bt"].isNotNull(), _score(scorer, seg["_st"], blk["_bt"])).alias("_seed")))
+    # pass 1: the blocks at the segment's own ordinal and its two neighbours
+    # (a constant number of equi-join probes) -> a lower bound on its best score
+    probes = seg.withColumn("_probe", F.explode(F.array(F.col("_so") - 1, F.col("_so"), F.col("_so") + 1)))
+    on = [probes[k] == blk[k] for k in keys] + [probes["_probe"] == blk["_bi"]]
+    scored = (probes.join(blk, on, "left")
+              .select(*[probes[k] for k in keys], probes["_sid"],
+                      F.when(blk["_bt"].isNotNull(), _score(scorer, probes["_st"], blk["_bt"])).alias("_s")))
+    best_seed = scored.groupBy(*keys, "_sid").agg(F.max("_s").alias("_seed"))
+    seed = seg.join(best_seed, keys + ["_sid"], "left")
     lo, hi = _band(scorer, F.col("_la"), F.col("_seed"))
     banded = (seed.withColumn("_lo", lo).withColumn("_hi", hi)
               .withColumn("_bk", F.explode(F.sequence(_bucket(F.col("_lo")),

@@ -970,8 +970,7 @@ def q_first_distinct_pairs(spark, sf):
 
 # ---------------------------------------------------------------- D4/G1, D5 on conversations / pages
 CONV_SQL = """
-WITH t AS (SELECT conv_id, turn, role,
-                  lower(left(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), 64)) AS txt FROM conversations),
+WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS txt FROM conversations),
 seg AS (SELECT conv_id, turn AS sid, turn AS so, txt AS st FROM t WHERE role = 'user'),
 blk AS (SELECT conv_id, turn AS bi, txt AS bt FROM t WHERE role <> 'user'),
 sc AS (SELECT seg.conv_id, sid, bi, -levenshtein(st, bt) AS score, abs(bi - so) AS dist
@@ -985,7 +984,9 @@ WHERE rn = 1
 def conv_parts(spark, sf):
     c = T(spark, sf, "conversations").select(
         "conv_id", "turn", "role",
-        F.lower(F.left(F.regexp_replace("text", r"[^\x00-\x7F]", ""), F.lit(64))).alias("txt"))
+        # whole turns; non-ASCII characters become '?' (one character each), so a
+        # byte-based and a character-based edit distance agree
+        F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("txt"))
     seg = c.filter(F.col("role") == "user").select("conv_id", F.col("turn").alias("sid"),
                                                   F.col("turn").alias("so"), F.col("txt").alias("st"))
     blk = c.filter(F.col("role") != "user").select("conv_id", F.col("turn").alias("bi"),
