@@ -419,19 +419,22 @@ def q_drop_incomplete(spark, sf):
 
 
 # ---------------------------------------------------------------- logits on embeddings: B18-B21
-def emb(spark, sf, n=10) -> DataFrame:
+def emb(spark, sf, n: int | None = None) -> DataFrame:
+    """The embedding vector as logits: the whole vector, or exactly ``n``
+    entries where a model with ``n`` classes is meant."""
     e = T(spark, sf, "embeddings")
-    return e.select("vec_id", "label", F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double")).alias("logits"))
+    v = F.col("embedding") if n is None else F.slice("embedding", 1, n)
+    return e.select("vec_id", "label", F.transform(v, lambda x: x.cast("double")).alias("logits"))
 
 
-EMB10 = "list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE))"
+EMB_ALL = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 
 
 @register("argmax_class", f"""
 SELECT vec_id, CAST(list_position(l, list_max(l)) - 1 AS BIGINT) AS pred,
        CAST(CASE WHEN 1.0 / (1.0 + exp(-l[1])) > 0.5 THEN 1 ELSE 0 END AS BIGINT) AS sigmoid_pred,
        round(l[1], 6) AS logits1, round(l[2], 6) AS logits2
-FROM (SELECT vec_id, {EMB10} AS l FROM embeddings)
+FROM (SELECT vec_id, {EMB_ALL} AS l FROM embeddings)
 """)
 def q_argmax_class(spark, sf):
     e = emb(spark, sf)
@@ -443,7 +446,7 @@ def q_argmax_class(spark, sf):
 
 UNC_SQL = f"""
 SELECT vec_id, label, 1.0 - 1.0 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) AS u
-FROM (SELECT vec_id, label, {EMB10} AS l FROM embeddings)
+FROM (SELECT vec_id, label, {EMB_ALL} AS l FROM embeddings)
 """
 
 
@@ -801,7 +804,7 @@ def q_batch_accuracy(spark, sf):
 
 NLL_SQL = f"""
 SELECT vec_id, label, l, list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) AS lse
-FROM (SELECT vec_id, label, {EMB10} AS l FROM embeddings)
+FROM (SELECT vec_id, label, {EMB_ALL} AS l FROM embeddings)
 """
 
 
@@ -1086,7 +1089,7 @@ def al_round(pool: DataFrame, annotations: DataFrame, seed: int):
 
 
 AL_SQL = f"""
-WITH pool0 AS (SELECT vec_id, label, {EMB10} AS l FROM embeddings),
+WITH pool0 AS (SELECT vec_id, label, {EMB_ALL} AS l FROM embeddings),
 s1 AS (SELECT * FROM pool0 ORDER BY {hash_sql(1, 'vec_id')}, vec_id LIMIT 50),
 u1 AS (SELECT vec_id, 1.0 - 1.0 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) AS u FROM s1),
 a1 AS (SELECT vec_id FROM u1 ORDER BY u DESC, vec_id LIMIT 10),
