@@ -106,7 +106,8 @@ def _best(cand: DataFrame, blk: DataFrame, keys, seg_id, blk_id, blk_idx) -> Dat
     The three criteria are packed into one BIGINT (score + 2^20, then
     2^21-1-distance, then 2^21-1-index; 21 bits each), so the argmax is a
     plain ``max`` in a hash aggregate with map-side partial aggregation."""
-    score = F.col("_score").cast("bigint") + F.lit(1 << (_BITS - 1))
+    # scores below -2^20 (edit distances over a million characters) clamp together
+    score = F.greatest(F.col("_score").cast("bigint"), F.lit(1 - (1 << (_BITS - 1)))) + F.lit(1 << (_BITS - 1))
     dist = F.least(F.abs(F.col("_bi") - F.col("_so")), F.lit(_MASK)).cast("bigint")
     idx = F.least(F.col("_bi"), F.lit(_MASK)).cast("bigint")
     packed = (F.shiftleft(score, 2 * _BITS) + F.shiftleft(F.lit(_MASK) - dist, _BITS) + (F.lit(_MASK) - idx))
