@@ -66,10 +66,11 @@ def draw_unseen(draws: DataFrame, files: DataFrame, item_col: str, file_col: str
 
     Draw *j* of a folder takes the *j*-th file of the folder's hash order, so a
     folder drawn twice yields two different files and excess draws yield none —
-    the same as removing taken files between draws, without a loop. ``k_max``
-    bounds the draws per folder (the draws per decade)."""
+    the same as removing taken files between draws, without a loop. ``draws``
+    carries a ``draw_key`` column (draw order); ``k_max`` bounds the draws per
+    folder (the draws per decade), so both windows see bounded groups."""
     per_folder = draws.withColumn(
-        "_j", F.row_number().over(Window.partitionBy(item_col).orderBy("draw_key")) )
+        "_j", F.row_number().over(Window.partitionBy(item_col).orderBy("draw_key")))
     ranked = top_k_per_group(files, [item_col], [hash_key(seed, file_col), F.col(file_col)],
                              k_max, out="_j")
     return per_folder.join(ranked, [item_col, "_j"]).drop("_j")
