@@ -39,7 +39,7 @@ def record_segments(records: DataFrame) -> DataFrame:
     rec_len = F.coalesce(page_index_from_facs("last_page_link"), page_idx)
     chamber = meta.record_chamber("pkg_name")
     return seg.select(
-        "id", "file", "page_ord", "page_link", "elem_ord", "text_line",
+        "id", "file", "page_ord", "page_link", "elem_ord", "elem_type", "text_line",
         package_id(page_stem_from_link("page_link")).alias("package_id"),
         page_idx.alias("page_index"),
         meta.record_year("pkg_name").alias("year"),
@@ -50,10 +50,12 @@ def record_segments(records: DataFrame) -> DataFrame:
 
 
 def positional_features(annotated: DataFrame, records: DataFrame, layouts: DataFrame,
-                        max_page_offset: int = 0, speaker_colons: bool = False) -> DataFrame:
+                        max_page_offset: int = 0, speaker_colons: bool | str = False) -> DataFrame:
     """I4. ``max_page_offset`` > 0 looks for the layout of the following pages
-    when a page's own layout is missing (D5); ``speaker_colons`` cuts the
-    matched block at the segment's colon count (speaker notes)."""
+    when a page's own layout is missing (D5). ``speaker_colons`` matches with
+    block texts cut at the segment's colon count and boxes the words up to that
+    colon: ``True`` for every segment, ``"by_type"`` for elements whose
+    ``type`` attribute is ``speaker`` (the others match whole blocks)."""
     segs = record_segments(records)
     ids = annotated.select("id").distinct()
     segs = segs.join(ids, "id", "left_semi")
@@ -67,14 +69,22 @@ def positional_features(annotated: DataFrame, records: DataFrame, layouts: DataF
             .withColumn("layout_index", F.when(F.col("page_width").isNotNull(), F.col("page_index")))
     blocks = explode_blocks(layouts).withColumnRenamed("page_index", "layout_index")
     seg_text = located.withColumn("n_colons", F.size(F.split("text_line", ":", -1)) - 1)
-    match = match_blocks(seg_text.filter(F.col("layout_index").isNotNull()), blocks,
-                         ["package_id", "layout_index"], "id", "text_line", "elem_ord",
-                         "block_id", "block_text", "block_idx", scorer="indel",
-                         seg_colons="n_colons" if speaker_colons else None)
+    if speaker_colons == "by_type":
+        is_speaker = F.coalesce(F.col("elem_type") == "speaker", F.lit(False))
+    else:
+        is_speaker = F.lit(bool(speaker_colons))
+    seg_text = seg_text.withColumn("_speaker", is_speaker)
+    usable = seg_text.filter(F.col("layout_index").isNotNull())
+    keys = ["package_id", "layout_index"]
+    whole = match_blocks(usable.filter(~F.col("_speaker")), blocks, keys, "id", "text_line", "elem_ord",
+                         "block_id", "block_text", "block_idx", scorer="indel")
+    cut = match_blocks(usable.filter(F.col("_speaker")), blocks, keys, "id", "text_line", "elem_ord",
+                       "block_id", "block_text", "block_idx", scorer="indel", seg_colons="n_colons")
+    match = whole.unionByName(cut)
     m = (match.join(blocks.select("package_id", "layout_index", "block_idx", "block_box", "words"),
                     ["package_id", "layout_index", "block_idx"])
-         .join(seg_text.select("id", "n_colons", "page_width", "page_height"), "id"))
-    box = speaker_box(F.col("words"), F.col("n_colons")) if speaker_colons else F.col("block_box")
+         .join(seg_text.select("id", "n_colons", "_speaker", "page_width", "page_height"), "id"))
+    box = F.when(F.col("_speaker"), speaker_box(F.col("words"), F.col("n_colons"))).otherwise(F.col("block_box"))
     norm = box_normalise(box, "page_width", "page_height")
     feats = m.select("id", *[norm[k].alias(c) for k, c in
                              zip(("left", "upper", "right", "lower"), POSITION_COLS)])

@@ -86,7 +86,7 @@ def found_elements(chunk: Column, tags=SEGMENT_TAGS, position_tags=POSITION_TAGS
 
 
 def page_lines(found: Column, id_attr: str | None = ID_ATTR, unescape: bool = True) -> Column:
-    """ARRAY<STRUCT<id, text_line, elem_ord>> of the segments of a page, from
+    """ARRAY<STRUCT<id, text_line, elem_ord, elem_type>> of the segments of a page, from
     its ``found_elements`` column, in document order, non-blank text with an id
     only."""
 
@@ -97,7 +97,8 @@ def page_lines(found: Column, id_attr: str | None = ID_ATTR, unescape: bool = Tr
             F.regexp_extract(m, r"(?s)^<[^>]*>(.*)$", 1))
         text = normalise_text(xml_unescape(raw) if unescape else raw)
         ident = _attr(tag, id_attr) if id_attr else F.lit(None).cast("string")
-        return F.struct(ident.alias("id"), text.alias("text_line"), e["ord"].cast("int").alias("elem_ord"))
+        return F.struct(ident.alias("id"), text.alias("text_line"), e["ord"].cast("int").alias("elem_ord"),
+                        _attr(tag, "type").alias("elem_type"))
 
     lines = F.transform(found, one)
     keep = (lambda s: (F.length(s["text_line"]) > 0) & s["id"].isNotNull()) if id_attr else \
@@ -136,7 +137,7 @@ def explode_segments(pages: DataFrame) -> DataFrame:
     keep = [c for c in pages.columns if c != "lines"]
     return (pages.select(*keep, F.posexplode("lines").alias("line_ord", "_s"))
             .select(*keep, F.col("line_ord").cast("int").alias("line_ord"),
-                    "_s.id", "_s.text_line", "_s.elem_ord"))
+                    "_s.id", "_s.text_line", "_s.elem_ord", "_s.elem_type"))
 
 
 def record_head(records: DataFrame, text_col: str = "value", out: str = "pkg_name") -> DataFrame:

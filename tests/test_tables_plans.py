@@ -103,3 +103,16 @@ def test_year_window_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
     years = {r.y for r in df.select(F.year("o_orderdate").alias("y")).distinct().collect()}
     assert years and all(1994 <= y <= 1997 for y in years)
+
+
+def test_speaker_notes_by_type(spark):
+    from pagecurate.plans.positional import positional_features
+    rec = read_records(spark, os.path.join(FIXTURES, "tei"))
+    ann = segments_table(explode_pages(rec))
+    lay = read_layout(spark, os.path.join(FIXTURES, "alto"))
+    out = {r.id: r for r in positional_features(ann, rec, lay, speaker_colons="by_type").collect()}
+    # the speaker note boxes the words up to its colon; plain notes take the whole block
+    assert (out["sp-1"].posLeft, out["sp-1"].posRight, out["sp-1"].posLower) == (0.0, 160.0, 20.0)
+    assert out["t-2"].posRight == 500.0
+    plain = {r.id: r for r in positional_features(ann, rec, lay).collect()}
+    assert plain["sp-1"].posRight == 500.0
