@@ -1312,3 +1312,17 @@ FROM j GROUP BY ROLLUP (split)
 def q_segment_label_profile(spark, sf):
     from pagecurate.plans.profile import segment_label_profile
     return segment_label_profile(spark, sf)
+
+
+@register("attach_predictions", f"""
+SELECT e.vec_id, CAST(e.label AS BIGINT) AS label, p.preds, p.logits1
+FROM embeddings e LEFT JOIN (
+  SELECT vec_id, CAST(list_position(l, list_max(l)) - 1 AS BIGINT) AS preds, round(l[1], 6) AS logits1
+  FROM (SELECT vec_id, {EMB_ALL} AS l FROM embeddings)) p ON e.vec_id = p.vec_id
+""")
+def q_attach_predictions(spark, sf):
+    e = emb(spark, sf)
+    preds = e.select("vec_id", fx.argmax_class("logits").cast("bigint").alias("preds"),
+                     r6(F.col("logits")[0]).alias("logits1"))
+    base = T(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"))
+    return joins.attach_predictions(base, preds, key="vec_id")
