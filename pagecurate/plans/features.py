@@ -80,14 +80,17 @@ def encode_text(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame,
     broadcast; otherwise AQE picks the join from measured sizes and splits
     the partitions of very frequent tokens."""
     body_len = max_len - 2
-    # only the tokens that can be kept leave the row
-    toks = df.select(id_col, F.posexplode(F.slice(tokenize(text_col), 1, body_len)).alias("pos", "token"))
+    # only the tokens that can be kept leave the row; a text without tokens
+    # still yields one (empty) row, so every id reaches the result
+    toks = df.select(id_col, F.posexplode_outer(F.slice(tokenize(text_col), 1, body_len)).alias("pos", "token"))
     v = vocab.select("token", "token_id")
     ids = (toks.join(F.broadcast(v) if vocab_bounded else v, "token", "left")
-           .select(id_col, "pos", F.coalesce("token_id", F.lit(UNK_ID).cast("bigint")).alias("token_id")))
-    # at most max_len - 2 rows per id
-    per = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_l"))
-    enc = df.select(id_col).join(per, id_col, "left")
+           .select(id_col, "pos",
+                   F.when(F.col("pos").isNotNull(), F.coalesce("token_id", F.lit(UNK_ID).cast("bigint")))
+                   .alias("token_id")))
+    # at most max_len - 2 entries per id
+    pair = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))
+    enc = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(pair)).alias("_l"))
     body = F.concat(F.array(F.lit(START_ID).cast("bigint")),
                     F.transform(F.coalesce(F.col("_l"), F.array().cast("array<struct<pos:int,token_id:bigint>>")),
                                 lambda s: s["token_id"]),
