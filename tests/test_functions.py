@@ -113,3 +113,40 @@ def test_boxes(spark):
     r = df.select("pw", "ph", b.alias("b")).select("b.*", fx.box_normalise("b", "pw", "ph").alias("n")).first()
     assert (r.left, r.upper, r.right, r.lower) == (10.0, 20.0, 40.0, 60.0)
     assert r.n.left == 100.0 and r.n.upper is None
+
+
+def py_page_number(link):
+    m = re.search(r"#page=(\d{1,3})", link)
+    if m:
+        return int(m.group(1))
+    m = re.search(r"(\d{3})\.jp2/_view", link)
+    return int(m.group(1)) + 1 if m else None
+
+
+def _strict_int(s):
+    # integer text as the links carry it (Python's int() would also take '1_0')
+    return int(s) if re.fullmatch(r"\s*[+-]?\d{1,9}\s*", s) else None
+
+
+def py_page_index(link):
+    parts = link.split(".")
+    a = _strict_int(parts[-2][-3:]) if len(parts) >= 2 else None
+    return a if a is not None else _strict_int(link.split("=")[-1])
+
+
+LINK_ALPHABET = st.sampled_from(list("0123456789./_#=page:jpvw") + [".jp2/_view", "#page=", "-"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(LINK_ALPHABET, max_size=12).map("".join))
+def test_link_parsers_property(spark, link):
+    df = spark.createDataFrame([(link,)], "a STRING")
+    r = df.select(fx.page_number_from_link("a").alias("n"), fx.page_index_from_facs("a").alias("i")).first()
+    assert r.n == py_page_number(link)
+    assert r.i == py_page_index(link)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab :", max_size=15), st.integers(min_value=0, max_value=4))
+def test_speaker_prefix_property(spark, text, n):
+    assert one(spark, fx.speaker_prefix("a", n), text) == "".join(re.split("(:)", text)[: n + 1])
