@@ -45,3 +45,16 @@ def test_positional_features_vector(spark):
     rows = {r.id: r._pos.toArray().tolist() for r in out.collect()}
     assert set(rows) == {1, 2}                 # the incomplete row is skipped
     assert rows[1] == [-1.0, 0.0, 1.0] and rows[2] == [1.0, 0.0, 0.0]
+
+
+def test_active_learning_rounds(spark):
+    from pagecurate.plans.active import active_learning
+    pool = spark.createDataFrame([(i, [float(i % 5), float((i * 7) % 5), 0.5]) for i in range(30)],
+                                 "id INT, logits ARRAY<DOUBLE>")
+    ann = spark.createDataFrame([(i, i % 3) for i in range(30)], "id INT, label INT")  # label 2 is rejected
+    labelled, rest = active_learning(pool, ann, id_col="id", rounds=3, pool_size=10, batch=4, seed=3)
+    lab = labelled.collect()
+    picked_rounds = {r["round"] for r in lab}
+    assert picked_rounds <= {1, 2, 3} and all(r.label in (0, 1) for r in lab)
+    assert rest.count() == 30 - 12                       # every picked row leaves the pool
+    assert not {r.id for r in lab} & {r.id for r in rest.collect()}
