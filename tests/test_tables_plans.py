@@ -2,6 +2,8 @@ import os
 import shutil
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import FIXTURES, SF_SMALL
@@ -116,3 +118,17 @@ def test_speaker_notes_by_type(spark):
     assert out["t-2"].posRight == 500.0
     plain = {r.id: r for r in positional_features(ann, rec, lay).collect()}
     assert plain["sp-1"].posRight == 500.0
+
+
+def test_read_part_files_in_name_order_and_validate(spark):
+    out = tempfile.mkdtemp(prefix="pc-partfiles-")
+    for i in (2, 0, 1):
+        spark.createDataFrame([(f"s{i}", "f", "l", i, 0.0, 0.0, f"t{i}")], schemas.SEGMENTS) \
+            .write.mode("overwrite").parquet(f"{out}/part_{i}")
+    merged = tables.read_part_files(spark, [f"{out}/part_{i}" for i in (2, 0, 1)])
+    # parts are unioned in name order; a union keeps its children's order
+    assert [r.part_file.split("_")[-1] for r in merged.collect()] == ["0", "1", "2"]
+    checked = schemas.validate(merged, schemas.SEGMENTS)
+    assert checked.columns[:7] == schemas.SEGMENTS.fieldNames()
+    with pytest.raises(ValueError):
+        schemas.validate(merged.drop("text_line"), schemas.SEGMENTS)
