@@ -132,3 +132,17 @@ def test_read_part_files_in_name_order_and_validate(spark):
     assert checked.columns[:7] == schemas.SEGMENTS.fieldNames()
     with pytest.raises(ValueError):
         schemas.validate(merged.drop("text_line"), schemas.SEGMENTS)
+
+
+def test_read_layout_blocks_in_reading_order(spark):
+    from pagecurate.sources.alto import explode_blocks
+    lay = read_layout(spark, os.path.join(FIXTURES, "alto", "prot-1921--ak--011"))
+    pages = {(r.package_id, r.page_index): r for r in lay.collect()}
+    assert set(pages) == {("prot-1921--ak--011", 4), ("prot-1921--ak--011", 5)}
+    assert (pages[("prot-1921--ak--011", 4)].page_width, pages[("prot-1921--ak--011", 4)].page_height) == (2000.0, 3000.0)
+    blocks = explode_blocks(lay).filter(F.col("page_index") == 4).orderBy("block_idx").collect()
+    assert [b.block_id for b in blocks] == ["B1", "B2", "B3"]
+    assert [b.block_text for b in blocks] == ["First page title.", "Spoken on the first page.", "42"]
+    b2 = blocks[1]
+    assert (b2.block_box.left, b2.block_box.upper, b2.block_box.right, b2.block_box.lower) == (100.0, 300.0, 1000.0, 360.0)
+    assert [w.content for w in b2.words][:2] == ["Spoken", "on"] and b2.words[0].box.right == 250.0
