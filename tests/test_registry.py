@@ -47,3 +47,9 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() >= 1 and "split" in df.columns
+
+
+@pytest.mark.parametrize("name", ["match_blocks_indel", "active_learning"])
+def test_rows_only_queries_run(spark, name):
+    df = entry.queries()[name](spark, SF_SMALL)
+    assert df.count() > 0
