@@ -36,17 +36,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    A cluster names a shared folder there; we never override it. Only when it is
-    unset (local tests) do we create a scratch folder of our own.
-    """
-    path = spark.conf.get(CHECKPOINT_CONF, None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="pagecurate-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    """Return the shared checkpoint folder and make sure ``DataFrame.checkpoint``
+    writes there.
+
+    A cluster names a shared folder in ``spark.checkpoint.dir`` (read from the
+    session, never overridden). Only when nothing is configured (local tests)
+    is a scratch folder of our own registered, through the SparkContext since
+    the setting itself cannot change in a running session."""
+    sc = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_CONF, None) or None
+    if sc.getCheckpointDir() is None:
+        if root is None:
+            root = tempfile.mkdtemp(prefix="pagecurate-ckpt-")
+        sc.setCheckpointDir(root)
+    if root is None:
+        # registered earlier without the setting: the folder above the
+        # application's own sub-folder
+        root = sc.getCheckpointDir().rstrip("/").rsplit("/", 1)[0]
+    return root
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
