@@ -1326,3 +1326,33 @@ def q_attach_predictions(spark, sf):
                      r6(F.col("logits")[0]).alias("logits1"))
     base = T(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"))
     return joins.attach_predictions(base, preds, key="vec_id")
+
+
+# ---------------------------------------------------------------- A5-A8 sinks and sources, round trip
+def _scratch(spark: SparkSession, what: str) -> str:
+    import uuid
+    from pagecurate.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
+
+
+@register("csv_roundtrip", """
+SELECT doc_id, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM labels
+""")
+def q_csv_roundtrip(spark, sf):
+    from pyspark.sql.types import LongType, StructField, StructType
+    from pagecurate.sources import tables
+    path = _scratch(spark, "labels-csv")
+    tables.write_table(T(spark, sf, "labels"), path, fmt="csv")
+    schema = StructType([StructField(c, LongType()) for c in ("doc_id", "quality", "toxic")])
+    return tables.read_annotations(spark, path, schema)
+
+
+@register("parts_roundtrip", """
+SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY o_orderkey) AS BIGINT) AS part FROM orders
+""")
+def q_parts_roundtrip(spark, sf):
+    from pagecurate.sources import tables
+    path = _scratch(spark, "orders-parts")
+    tables.write_parts(T(spark, sf, "orders").select("o_orderkey"), path, 5, ["o_orderkey"])
+    back = tables.read_parts(spark, path)
+    return back.select("o_orderkey", F.col("part").cast("bigint").alias("part"))
