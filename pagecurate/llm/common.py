@@ -66,3 +66,29 @@ def digest(spans: Column, base_kinds: list[str]) -> list[Column]:
 
 def n_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def with_ordinal(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Number all rows 0, 1, 2, ... in the given order without gathering them:
+    range partitions are sorted and written once, and each adds the rows of
+    the partitions before it (one count per partition)."""
+    spark = df.sparkSession
+    slot = "_slot"
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                   .withColumn(slot, F.monotonically_increasing_id()), "ordinal")
+    part = F.shiftright(F.col(slot), 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    before, offsets = 0, []
+    for r in counts:
+        offsets.append((r["_part"], before))
+        before += r["n"]
+    table = spark.createDataFrame(offsets, "_part long, _before long")
+    return (rows.join(F.broadcast(table), part == F.col("_part"))
+            .withColumn(out, F.col("_before") + F.col(slot).bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop(slot, "_part", "_before"))
+
+
+def hinted(df: DataFrame, most_rows: int) -> DataFrame:
+    """Broadcast hint for a table that has been counted and found to have at
+    most ``most_rows`` rows; a larger one stays with the shuffled join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from pagecurate.llm.mixing import OP1_SQL, op1_mix
 from pagecurate.llm.pii import op6_pii
 from pagecurate.llm.secret_links import op5_secrets
+from pagecurate.llm.sharding import op7_shards, op7_sql
 
 QUERIES = {
+    "op1_mix": op1_mix,
     "op5_secrets": op5_secrets,
     "op6_pii": op6_pii,
+    "op7_shards": op7_shards,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_mix": OP1_SQL,
+    "op7_shards": op7_sql(),
+}
