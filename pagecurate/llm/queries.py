@@ -6,9 +6,11 @@ from pagecurate.llm.mixing import OP1_SQL, op1_mix
 from pagecurate.llm.pii import op6_pii
 from pagecurate.llm.secret_links import op5_secrets
 from pagecurate.llm.sharding import op7_shards, op7_sql
+from pagecurate.llm.token_files import op4_tokens
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op4_tokens": op4_tokens,
     "op5_secrets": op5_secrets,
     "op6_pii": op6_pii,
     "op7_shards": op7_shards,
