@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pagecurate.llm.common import hinted, n_words, with_ordinal, written
 
 #: Rows of one source and hash prefix that one task may order.
-EDGE_ROWS = 50_000
+EDGE_ROWS = 2_000
 KEY_DIGITS = 15
 
 
