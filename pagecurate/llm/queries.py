@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagecurate.llm.mixing import OP1_SQL, op1_mix
 from pagecurate.llm.pii import op6_pii
+from pagecurate.llm.quality import op10_quality
 from pagecurate.llm.secret_links import op5_secrets
 from pagecurate.llm.sharding import op7_shards, op7_sql
 from pagecurate.llm.token_files import op4_tokens
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_pii": op6_pii,
     "op7_shards": op7_shards,
+    "op10_quality": op10_quality,
 }
 
 ORACLE = {
