@@ -51,6 +51,7 @@ _HEADER = struct.Struct("<8sII")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Marks a text's first piece; a blank, so that the cut rule sees the text as it is.
 _FIRST = "\u2028"
+_MARKS = ".,;:!?"
 
 
 # ---- packing ---------------------------------------------------------------
@@ -219,29 +220,48 @@ class PieceEncoder:
         if not pieces:
             return {}
         spaced = [" " + p for p in pieces]
-        ids = np.asarray(self.tokenizer.encode("".join(spaced), add_special_tokens=False).ids, "<u4")
+        ids = np.asarray(self._ids(["".join(spaced)])[0], "<u4")
         ends = np.cumsum([len(p.encode()) for p in spaced])
         cut = (4 * (np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)).tolist()
         data = ids.tobytes()
         return {p: data[i:j] for p, i, j in zip(pieces, [0, *cut], cut)}
 
-    def _encode_outer(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that open a text, or close it with a blank."""
-        plain = [p[1:] if p[0] == _FIRST else " " + p for p in pieces]
-        return {p: np.asarray(e.ids, "<u4").tobytes()
-                for p, e in zip(pieces, self.tokenizer.encode_batch(plain, add_special_tokens=False))}
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_each(self, texts: list[str]) -> dict[str, bytes]:
+        return {t: np.asarray(ids, "<u4").tobytes() for t, ids in zip(texts, self._ids(texts))}
+
+    def _encode_fresh(self, fresh: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not known. A run of letters and the
+        punctuation behind it never share a token, so "word," needs only
+        "word" and ","; pieces that open a text, or close it with a blank, are
+        encoded one by one."""
+        outer = [p for p in fresh if p[0] == _FIRST or p[-1].isspace()]
+        inner = fresh.difference(outer)
+        parts = {}
+        for p in inner:
+            core = p.rstrip(_MARKS)
+            if len(core) < len(p) and core.isalpha():
+                parts[p] = core
+        need = {c for c in parts.values() if c not in self.known}
+        found = self._encode_inner(list(need | inner.difference(parts)))
+        marks = self._encode_each(list({p[len(c):] for p, c in parts.items()}))
+        for p, c in parts.items():
+            found[p] = (self.known.get(c) or found[c]) + marks[p[len(c):]]
+        plain = self._encode_each([p[1:] if p[0] == _FIRST else " " + p for p in outer])
+        for p in outer:
+            found[p] = plain[p[1:] if p[0] == _FIRST else " " + p]
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         # a text's first piece has no leading space: it is known under a key of its own
         cut = [_CUT.split(_FIRST + t) if t else [] for t in texts]
-        fresh = {p for pieces in cut for p in pieces if p not in self.known}
-        outer = [p for p in fresh if p[0] == _FIRST or p[-1].isspace()]
-        inner = self._encode_inner(list(fresh.difference(outer)))
-        found = inner | self._encode_outer(outer)
         known = self.known
+        found = self._encode_fresh({p for pieces in cut for p in pieces if p not in known})
         out = [np.frombuffer(b"".join([known.get(p) or found[p] for p in pieces]), "<u4") for pieces in cut]
         if len(known) < CACHE_PIECES:
-            known |= inner
+            known |= found
         return out
 
 
