@@ -8,9 +8,11 @@ from pagecurate.llm.quality import op10_quality
 from pagecurate.llm.secret_links import op5_secrets
 from pagecurate.llm.sharding import op7_shards, op7_sql
 from pagecurate.llm.token_files import op4_tokens
+from pagecurate.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op3_toxicity": op3_toxicity,
     "op4_tokens": op4_tokens,
     "op5_secrets": op5_secrets,
     "op6_pii": op6_pii,
