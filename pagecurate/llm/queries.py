@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagecurate.llm.decontaminate import OP9_SQL, op9_decontaminate
 from pagecurate.llm.mixing import OP1_SQL, op1_mix
 from pagecurate.llm.pii import op6_pii
 from pagecurate.llm.quality import op10_quality
@@ -17,10 +18,12 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_pii": op6_pii,
     "op7_shards": op7_shards,
+    "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
 
 ORACLE = {
     "op1_mix": OP1_SQL,
     "op7_shards": op7_sql(),
+    "op9_decontaminate": OP9_SQL,
 }
