@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagecurate.llm.decontaminate import OP9_SQL, op9_decontaminate
 from pagecurate.llm.mixing import OP1_SQL, op1_mix
+from pagecurate.llm.near_dup import op8_near_dups
 from pagecurate.llm.pii import op6_pii
 from pagecurate.llm.quality import op10_quality
 from pagecurate.llm.secret_links import op5_secrets
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_pii": op6_pii,
     "op7_shards": op7_shards,
+    "op8_near_dups": op8_near_dups,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
