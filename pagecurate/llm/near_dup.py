@@ -16,15 +16,20 @@ The low bytes of all values are a sketch; two sets at 0.75 agree in fewer than
 Groups of copies. Documents with the same set are one node from the start. A
 bucket of a band never emits all its pairs:
 
-1. every member is paired with the bucket's first node (its pivot); the pairs
-   are verified, links make components, the pivot leaves the bucket;
+1. every member is paired with one node of the bucket (its pivot, drawn by
+   hash); the pairs are verified, links make components, the pivot leaves the
+   bucket;
 2. a bucket whose remaining members lie in one component is done. In the
    others, members of different components are compared by their sketches, in
-   blocks of ``BLOCK`` members by ``BLOCK``, and only pairs whose sketches agree
-   enough leave the block, to be verified;
-3. a bucket of more than ``BUCKET_ROWS`` open members is first split by bands of
-   further permutations (pairs above the threshold meet again in a sub-bucket
-   with the probability above).
+   blocks of ``BLOCK`` members by ``BLOCK``. A block returns no pairs but the
+   areas that agreeing pairs connect, as a spanning forest;
+3. the sets of an area are compared exactly, again in blocks, by one matrix
+   product per block; a block returns one link per two components it joins.
+
+A bucket of more than ``BUCKET_ROWS`` open members is first split by bands of
+further permutations (pairs above the threshold meet again in a sub-bucket with
+the probability above). So no step emits more rows than there are memberships
+of nodes in buckets, however many pairs a group holds.
 
 Texts are read twice: for signatures, and for the sets of nodes that occur in a
 pair. Everything else moves nodes (64-bit numbers), band hashes and the sets of
@@ -62,6 +67,7 @@ BUCKET_ROWS = 16_384
 MOST_SPLITS = 6
 MOST_BROADCAST = 500_000
 _CHUNK = 2048
+_COLUMNS = 4096
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -169,18 +175,16 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of the links (a, b); a component is
     named by its smallest node. Labels go to the smallest among a node and its
     neighbours, then to the label's own label, until none changes."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "dup-edges")
+    edges = written(links.select("a", "b").union(links.select("b", "a")), "dup-edges")
     labels = written(edges.groupBy("a").agg(F.min("b").alias("m"))
                      .select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "dup-labels")
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        hooked = written(labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "m").alias("component")), "dup-hooked")
+        hooked = written(labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "m").alias("component")), "dup-labels")
+        if not hooked.filter("old != component").limit(1).count():
+            return hooked.select("node", "component")
         jump = hooked.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        moved = written(hooked.join(jump, hooked["component"] == jump["_n"], "left")
-                        .select("node", "old", F.least("component", F.coalesce("_c", "component")).alias("component")), "dup-labels")
-        labels = moved.select("node", "component")
-        if not moved.filter("old != component").limit(1).count():
-            return labels
+        labels = hooked.join(jump, hooked["component"] == jump["_n"], "left").select("node", F.least("component", F.coalesce("_c", "component")).alias("component"))
 
 
 @F.arrow_udf(T.IntegerType())
@@ -190,23 +194,84 @@ def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((x == y).sum(axis=1).astype(np.int32))
 
 
-def _compare_block(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of one block of an open bucket: members of different components,
-    sizes that fit, sketches that agree enough."""
+def _forest(labels: np.ndarray, i: int, hits: np.ndarray) -> list[int]:
+    """Of ``hits``, one for each tree that ``i`` is not yet connected with; the
+    trees become one."""
+    trees, first = np.unique(labels[hits], return_index=True)
+    new = trees != labels[i]
+    if not new.any():
+        return []
+    labels[np.isin(labels, trees[new])] = labels[i]
+    return hits[first[new]].tolist()
+
+
+def _edges(node: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
+    a = np.array([node[i] for i, _ in found], np.int64)
+    b = np.array([node[j] for _, j in found], np.int64)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _fitting(n: np.ndarray, component: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    return others[(component[others] != component[i]) & (4 * np.minimum(n[others], n[i]) >= 3 * np.maximum(n[others], n[i]))]
+
+
+def _columns(key: tuple, table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """node, component, n of a block, and its two sides (equal for a block with itself)."""
     node, component, n, part = (table.column(c).to_numpy() for c in ("node", "component", "n", "part"))
+    return [node, component, n], np.flatnonzero(part == key[1].as_py()), np.flatnonzero(part == key[2].as_py())
+
+
+def _agreeing_block(key: tuple, table: pa.Table) -> pa.Table:
+    """Spanning forest of the pairs of a block whose sketches agree enough."""
+    (node, component, n), left, right = _columns(key, table)
     sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-    low, high = key[1].as_py(), key[2].as_py()
-    left = np.flatnonzero(part == low)
-    right = left if low == high else np.flatnonzero(part == high)
-    a, b = [], []
-    for i in left:
-        other = right[(component[right] != component[i]) & (4 * np.minimum(n[right], n[i]) >= 3 * np.maximum(n[right], n[i]))]
-        if low == high:
-            other = other[node[other] > node[i]]
-        hit = other[(sketches[other] == sketches[i]).sum(axis=1) >= MIN_AGREEING]
-        a.append(np.minimum(node[hit], node[i]))
-        b.append(np.maximum(node[hit], node[i]))
-    return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
+    trees, found = np.arange(len(node)), []
+    for i in left.tolist():
+        others = _fitting(n, component, i, right)
+        hits = others[(sketches[others] == sketches[i]).sum(axis=1) >= MIN_AGREEING]
+        found += [(i, j) for j in _forest(trees, i, hits)] if len(hits) else []
+    return _edges(node, found)
+
+
+def _linked_block(key: tuple, table: pa.Table) -> pa.Table:
+    """Links of a block by the full sets, one per two components joined."""
+    (node, component, n), left, right = _columns(key, table)
+    shingles = table.column("shingles").combine_chunks()
+    owner = np.repeat(np.arange(len(node)), np.diff(shingles.offsets.to_numpy()))
+    values, column, uses = np.unique(shingles.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = uses > 1  # others add to no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    place = np.full(len(node), -1)
+    place[right] = np.arange(len(right))
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), _COLUMNS):
+        a, b = np.searchsorted(column, [at, at + _COLUMNS])
+        wide = np.zeros((len(node), _COLUMNS), np.float32)
+        wide[owner[a:b], column[a:b] - at] = 1
+        common += wide[left] @ wide[right].T
+    # components that meet in this block grow together
+    _, trees = np.unique(component, return_inverse=True)
+    found = []
+    for row, i in enumerate(left.tolist()):
+        others = _fitting(n, trees, i, right)
+        c = common[row, place[others]].astype(np.int64)
+        hits = others[100 * c >= MIN_SIMILARITY * (n[i] + n[others] - c)]
+        found += [(i, j) for j in _forest(trees, i, hits)] if len(hits) else []
+    return _edges(node, found)
+
+
+def _in_blocks(rows: DataFrame, group: str, size: str, compare) -> DataFrame:
+    """Apply ``compare`` to the blocks of each group of rows: members are dealt
+    to ``size / BLOCK`` parts, and every two parts meet once."""
+    parts = F.ceil(F.col(size) / BLOCK).cast("int")
+    rows = (rows.withColumn("n", F.col("n").cast("long")).withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+            .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")))
+    return rows.drop("other", size).groupBy(group, "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def find_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -214,13 +279,15 @@ def find_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     every = classes.select("node", "rep", "set_hash")
     sketches = classes.select("node", "sketch")
     banded = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    first = F.min(F.struct("node", "n"))
-    buckets = banded.groupBy("key").agg(first.alias("pivot"), F.count("*").alias("m")).filter("m > 1").select("key", "pivot")
+    # a pivot by hash: the many buckets of a group of copies get many pivots, so that
+    # hardly a member is without a link to one of them
+    pivot = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "n"))
+    buckets = banded.groupBy("key").agg(pivot.alias("pivot"), F.count("*").alias("m")).filter("m > 1").select("key", "pivot")
     members = written(banded.join(buckets, "key").filter(F.col("node") != F.col("pivot.node")), "dup-members")
 
     # 1. members with their pivots
     fits = 4 * F.least("n", "pivot.n") >= 3 * F.greatest("n", "pivot.n")
-    star = members.filter(fits).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
+    star = members.filter(fits).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
     star = (star.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
             .filter(_agreeing("sa", "sb") >= MIN_AGREEING).select("a", "b"))
     links = _verified(star, docs, every, id_col, text_col)
@@ -234,17 +301,17 @@ def find_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str)
         per = per.groupBy("key").agg(F.sum("c").alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("key", "m")
         opened = written(named.join(per, "key"), "dup-open")
         large = F.lit(False) if times == MOST_SPLITS else F.col("m") > BUCKET_ROWS
-        parts = F.ceil(F.col("m") / BLOCK).cast("int")
-        part = F.pmod(F.xxhash64("node"), parts).cast("int")
-        blocks = (opened.filter(~large).join(sketches, "node").withColumn("part", part)
-                  .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-                  .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")))
-        pairs = (blocks.select("key", "low", "high", "part", "node", "component", F.col("n").cast("long").alias("n"), "sketch")
-                 .groupBy("key", "low", "high").applyInArrow(_compare_block, "a long, b long").distinct())
-        fresh = _verified(pairs, docs, every, id_col, text_col)
-        if fresh.limit(1).count():
-            links = links.unionByName(fresh)
-            found = components(links)
+        alike = written(_in_blocks(opened.filter(~large).join(sketches, "node"), "key", "m", _agreeing_block).distinct(), "dup-alike")
+        if alike.limit(1).count():
+            areas = components(alike).withColumnRenamed("component", "area")
+            sized = areas.join(areas.groupBy("area").agg(F.count("*").alias("m")), "area")
+            known = (sized.join(classes.select("node", F.col("n_shingles").alias("n")), "node").join(found, "node", "left")
+                     .withColumn("component", F.coalesce("component", "node")))
+            sets = _sets(docs, every.join(areas.select("node"), "node"), id_col, text_col).dropDuplicates(["node"])
+            fresh = written(_in_blocks(known.join(sets, "node"), "area", "m", _linked_block), "dup-links")
+            if fresh.limit(1).count():
+                links = links.unionByName(fresh)
+                found = components(links)
         if times == MOST_SPLITS or not opened.filter(large).limit(1).count():
             return links, found
         times += 1
