@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +31,21 @@ def spans_array(found: Iterable[list[tuple[str, int, int]]]) -> pa.Array:
     return pa.array(([{"kind": k, "start": s, "end": e} for k, s, e in row] for row in found), type=_ARROW_SPANS)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: functions that
+    run in Python workers import it there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pagecurate_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="pagecurate-")) / "pagecurate.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._pagecurate_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder, grouped by application."""
     root = ensure_checkpoint_dir(spark).rstrip("/")

@@ -10,6 +10,8 @@ _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_TOKEN = np.zeros(256, bool)
+_TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _powers = {"n": 0}
 
 
@@ -32,22 +34,50 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
+    padded = np.zeros(len(inside) + 2, np.int8)
+    padded[1:-1] = inside
+    turns = np.diff(padded)
+    return np.flatnonzero(turns > 0), np.flatnonzero(turns < 0)
+
+
+def _prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _tables(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=sums[1:])
+    return sums, down
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A hash for each word (run of bytes that are not blank): its polynomial
     in an odd base modulo 2**64, from prefix sums over the whole text."""
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_BLANK[raw]
-    turns = np.diff(inside)
-    starts, ends = np.flatnonzero(turns > 0), np.flatnonzero(turns < 0)
-    up, down = _tables(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=sums[1:])
+    starts, ends = _runs(~_BLANK[raw])
+    sums, down = _prefix_sums(raw)
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def token_features(data: bytes, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens (runs of ASCII letters and digits and of bytes beyond ASCII):
+    their starts, ends, and a row of hashes for each: the token, then its
+    prefixes of so many bytes (0 where the token is shorter)."""
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 1 + len(prefixes)), np.uint64)
+    starts, ends = _runs(_TOKEN[raw])
+    sums, down = _prefix_sums(raw)
+    base = sums[starts]
+    out = np.zeros((len(starts), 1 + len(prefixes)), np.uint64)
+    out[:, 0] = mix((sums[ends] - base) * down[starts])
+    for i, k in enumerate(prefixes, 1):
+        long = ends - starts >= k
+        out[long, i] = mix((sums[starts[long] + k] - base[long]) * down[starts[long]] + np.uint64(k))
+    return starts, ends, out
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of ``size`` consecutive word hashes."""
     n = len(words) - size + 1

@@ -1,19 +1,19 @@
 """Toxicity by maximum-scoring segments.
 
-Weights. A word has features: itself (lower case, outer punctuation removed)
-and its first 4, 5 and 6 characters, hashed to ``BUCKETS`` buckets, which bounds
-the model. For each bucket the log-odds of toxic against clean labelled texts
+Weights. A token is a run of letters and digits (A-Z in lower case). Its
+features, the token and its first 4, 5 and 6 bytes, are hashed to ``BUCKETS``
+buckets, which bounds the model. For each bucket the log-odds of toxic against clean labelled texts
 carry a Dirichlet prior in proportion to the bucket's frequency in the whole
-corpus; a word counts once per text. The bucket counts when its z-score
-reaches ``MIN_Z`` and its log-odds ``MIN_ODDS``. A word scores the log-odds of
-its most significant toxic bucket, and ``-DRIFT`` without one.
+corpus; a feature counts once per text. The bucket counts when its z-score
+reaches ``MIN_Z`` and its log-odds ``MIN_ODDS``. A token scores the log-odds
+of its most significant toxic bucket, and ``-DRIFT`` without one.
 
 Scan. All maximal scoring segments of a text are found in one pass, linear in
-its words (runs of unmarked words only add their length times the drift).
+its tokens (runs of unmarked ones only add their length times the drift).
 
 Calibration. Segment scores of clean text follow an extreme-value law: in n
-words, ``K n exp(-lam S)`` segments reach the score S by chance, with ``lam``
-the root of ``sum p_i exp(lam s_i) = 1`` over clean word scores and ``K`` from
+tokens, ``K n exp(-lam S)`` segments reach the score S by chance, with ``lam``
+the root of ``sum p_i exp(lam s_i) = 1`` over clean token scores and ``K`` from
 the number of segments in clean labelled texts. A segment is a significant
 toxic passage when that expectation is at most ``MAX_EXPECTED``. The
 evidence of a text adds ``lam S - ln(K n)`` over its significant segments (or
@@ -35,7 +35,6 @@ labels; existing columns of the output's names are replaced.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +43,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagecurate.llm.common import written
+from pagecurate.llm.common import hinted, written
+from pagecurate.llm.hashing import token_features
 
 BUCKETS = 1 << 20
 MAX_LABELLED = 200_000
+MOST_BROADCAST = 500_000
 PREFIXES = (4, 5, 6)
 #: Strength of the prior, as a share of the labelled word counts.
 PRIOR_SHARE = 0.05
@@ -55,21 +56,16 @@ MIN_Z = 3.0
 MIN_ODDS = 1.5
 DRIFT = 0.25
 MAX_EXPECTED = 0.01
-#: Distinct words whose buckets or scores a Python worker remembers.
-CACHE_WORDS = 300_000
 #: Evidence of a text without any marked word.
 NO_EVIDENCE = -30.0
 MOST_EVIDENCE = 100.0
-_OUTER = " .,;:!?\"'()[]{}<>*_-|#$%&"
 
 
-def word_buckets(word: bytes) -> tuple[int, ...]:
-    """Buckets of a word and of its prefixes."""
-    w = word.decode().lower().strip(_OUTER)
-    if not w:
-        return ()
-    features = [w, *(f"{w[:k]}\x00{k}" for k in PREFIXES if len(w) >= k)]
-    return tuple(dict.fromkeys(zlib.crc32(f.encode()) % BUCKETS for f in features))
+def token_buckets(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (in UTF-8 bytes) of a text's tokens, and their buckets:
+    a row for each token, -1 where it has no such prefix."""
+    starts, ends, hashes = token_features((text or "").encode().lower(), PREFIXES)  # bytes.lower() changes A-Z only
+    return starts, ends, np.where(hashes == 0, -1, (hashes % np.uint64(BUCKETS)).astype(np.int64))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,10 +77,10 @@ def labelled_sample(labels: DataFrame, id_col: str = "doc_id", label_col: str =
     """At most ``most`` labelled ids outside the held-out fifth, chosen by
     hash of the id: (id, label)."""
     usable = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
-              .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label")))
+              .groupBy(F.col(id_col).alias("_labelled")).agg(F.max(label_col).cast("int").alias("_label")))
     n = usable.count()
     if n > most:
-        usable = usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * (most / n)))
+        usable = usable.filter(F.pmod(F.xxhash64("_labelled"), F.lit(1 << 30)) < int((1 << 30) * (most / n)))
     return written(usable.limit(most), "toxic-labels")
 
 
@@ -95,30 +91,17 @@ def count_buckets(labelled: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, BUCKETS), np.int64)
-        seen: dict[bytes, int] = {}
-        uses: list[list[int]] = []
-
-        def settle():
-            for (word, i) in seen.items():
-                b = list(word_buckets(word))
-                sums[:, b] += np.array(uses[i])[:, None]
-            seen.clear()
-            uses.clear()
-
+        place = np.empty(BUCKETS, np.int64)
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in set((text or "").encode().split()):
-                    i = seen.get(word)
-                    if i is None:
-                        i = seen[word] = len(uses)
-                        uses.append([0, 0, 0])
-                    u = uses[i]
-                    u[0] += 1
-                    if label is not None:
-                        u[2 - label] += 1
-                if len(uses) > CACHE_WORDS:
-                    settle()
-        settle()
+                used = token_buckets(text)[2].reshape(-1)
+                used = used[used >= 0]
+                order = np.arange(len(used))
+                place[used] = order
+                once = used[place[used] == order]  # each bucket of the text once
+                sums[0, once] += 1
+                if label is not None:
+                    sums[2 - label, once] += 1
         used = np.flatnonzero(sums[0])
         for part in np.array_split(used, max(1, len(used) // 50_000)):
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(s[part]) for s in sums)],
@@ -132,7 +115,7 @@ def count_buckets(labelled: DataFrame) -> DataFrame:
 def fit_weights(counts: DataFrame) -> dict:
     """Log-odds of the buckets that count, and the constants of the scan."""
     total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_all", "n_toxic", "n_clean")]).first()
-    model = {"weights": {}, "lam": 1.0, "clean_words": float(total["n_clean"])}
+    model = {"weights": {}, "lam": 1.0, "clean_tokens": float(total["n_clean"])}
     if not (total["n_toxic"] and total["n_clean"]):
         return model
     strength = PRIOR_SHARE * (total["n_toxic"] + total["n_clean"])
@@ -182,53 +165,48 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, r - b) for s, e, b, r in stack]
 
 
-class _Scores(dict):
-    """Word -> score, filled on demand and bounded."""
-
-    def __init__(self, weights: dict):
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        marked = [self.weights[b] for b in word_buckets(word) if b in self.weights]
-        self[word] = score = max(marked, key=lambda m: m[1])[0] if marked else -DRIFT
-        return score
-
-
 SEGMENTS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
                                      T.StructField("score", T.DoubleType())]))
-_SCAN = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("segments", SEGMENTS)])
+_SCAN = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("segments", SEGMENTS)])
 _ARROW_SEGMENTS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-def scan_udf(weights: dict):
-    """Column function: text -> (n_words, segments in words)."""
-    known = _Scores(weights)
+def scan_udf(weights: dict[int, tuple[float, float]]):
+    """Column function: text -> (n_tokens, segments); segments in code points."""
+    marked = np.array(sorted(weights), np.int64)
+    values = np.array([weights[b] for b in marked.tolist()], float).reshape(-1, 2)
 
     @F.arrow_udf(_SCAN)
     def scan(texts: pa.Array) -> pa.Array:
+        odds, z = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)  # the last entry is for -1
+        odds[marked], z[marked] = values[:, 0], values[:, 1]
         n, found = [], []
         for text in texts.to_pylist():
-            words = (text or "").encode().split()
-            scores = np.fromiter(map(known.__getitem__, words), float, len(words))
-            n.append(len(words))
-            found.append([{"start": s, "end": e, "score": v} for s, e, v in maximal_segments(scores)] if (scores > 0).any() else [])
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(found, _ARROW_SEGMENTS)], names=["n_words", "segments"])
+            starts, ends, buckets = token_buckets(text)
+            n.append(len(starts))
+            found.append([])
+            strength = z[buckets]
+            if len(starts) and strength.any():
+                best = buckets[np.arange(len(starts)), strength.argmax(axis=1)]
+                scores = np.where(strength.max(axis=1) > 0, odds[best], -DRIFT)
+                raw = np.frombuffer(text.encode(), np.uint8)
+                chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                found[-1] = [{"start": int(chars[starts[s]]), "end": int(chars[ends[e - 1]]), "score": v}
+                             for s, e, v in maximal_segments(scores)]
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(found, _ARROW_SEGMENTS)], names=["n_tokens", "segments"])
 
     return scan
 
 
 # ---- calibration -----------------------------------------------------------
 
-def _normal_score(model: dict, score: Column, n_words: Column) -> Column:
+def _normal_score(model: dict, score: Column, n_tokens: Column) -> Column:
     """lam S - ln(K n): minus the log of the number of such segments expected by chance."""
-    return F.lit(model["lam"]) * score - F.log(F.lit(model["k"]) * F.greatest(n_words, F.lit(1)))
+    return F.lit(model["lam"]) * score - F.log(F.lit(model["k"]) * F.greatest(n_tokens, F.lit(1)))
 
 
 def _evidence(model: dict) -> Column:
-    normal = F.transform("segments", lambda s: _normal_score(model, s["score"], F.col("n_words")))
+    normal = F.transform("segments", lambda s: _normal_score(model, s["score"], F.col("n_tokens")))
     least = F.lit(-math.log(MAX_EXPECTED))
     summed = F.aggregate(F.filter(normal, lambda v: v >= least), F.lit(0.0), lambda a, v: a + v)
     best = F.coalesce(F.array_max(normal), F.lit(NO_EVIDENCE))
@@ -262,19 +240,19 @@ def fit_curve(bins: list[tuple[float, int, int]]) -> dict[float, float]:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    carry: list[str] | None = None) -> DataFrame:
-    """Append n_words, ``passages`` (significant toxic passages: start and end
-    word, score, expected by chance), evidence, held_out, score and predicted
+    """Append n_tokens, ``passages`` (significant toxic passages: start and
+    end in code points, score, expected by chance), evidence, held_out, score and predicted
     behind the columns ``carry`` (all by default)."""
-    out = ["n_words", "passages", "evidence", "held_out", "score", "predicted"]
+    out = ["n_tokens", "passages", "evidence", "held_out", "score", "predicted"]
     keep = [c for c in (docs.columns if carry is None else carry) if c not in out]
     sample = F.broadcast(labelled_sample(labels, id_col))  # at most MAX_LABELLED rows
-    marked = docs.join(sample, docs[id_col] == sample["_id"], "left").drop("_id")
+    marked = docs.join(sample, docs[id_col] == sample["_labelled"], "left").drop("_labelled")
     counts = written(count_buckets(marked.select(F.col(text_col), F.col("_label"))), "toxic-counts")
     model = fit_weights(counts)
     scanned = written(marked.withColumn("_held", held_out(F.col(id_col)))
                       .withColumn("_scan", scan_udf(model["weights"])(F.col(text_col)))
                       .select(*keep, "_held", "_label", "_scan.*"), "toxic-segments")
-    clean = scanned.filter("_label = 0").agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n"),
+    clean = scanned.filter("_label = 0").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"),
                                              F.coalesce(F.sum(F.size("segments")), F.lit(0)).alias("m")).first()
     least = min((w for w, _ in model["weights"].values()), default=0.0)
     model["k"] = (clean["m"] + 1) * math.exp(model["lam"] * least) / max(1, clean["n"])
@@ -284,7 +262,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     curve = fit_curve([(r["e"] / 10, r["_label"], r["count"]) for r in bins])
     table = F.broadcast(docs.sparkSession.createDataFrame([(round(e * 10), p) for e, p in curve.items()], "_tenth int, score double"))
     expected = F.transform("segments", lambda s: F.struct(s["start"], s["end"], s["score"],
-                                                          F.exp(-_normal_score(model, s["score"], F.col("n_words"))).alias("expected")))
+                                                          F.exp(-_normal_score(model, s["score"], F.col("n_tokens"))).alias("expected")))
     return (scored.join(table, tenth == F.col("_tenth")).withColumn("passages", F.filter(expected, lambda s: s["expected"] <= MAX_EXPECTED))
             .withColumn("held_out", F.col("_held"))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*keep, *out))
@@ -292,12 +270,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with the columns of ``docs``."""
-    packed = docs.select(F.col(id_col).alias("_id0"), F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    labels = labels.withColumnRenamed(id_col, "_id0")
-    return score_toxicity(packed, labels, "_id0", "_text", ["_row"]).filter("predicted = 0").select("_row.*")
+    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    scored = score_toxicity(keyed, labels.select(F.col(id_col).alias("_id"), "toxic"), "_id", "_text", ["_id", "_hash"])
+    toxic = scored.filter("predicted = 1").select("_id", "_hash").distinct()
+    same_row = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
+    return docs.join(hinted(toxic, MOST_BROADCAST), same_row, "left_anti")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_toxicity(docs, labels, carry=["doc_id"]).select("doc_id", "held_out", "score", "predicted", "evidence", "n_words", "passages")
+    return score_toxicity(docs, labels, carry=["doc_id"]).select("doc_id", "held_out", "score", "predicted", "evidence", "n_tokens", "passages")

@@ -44,15 +44,24 @@ def test_bucket_counts(spark):
            tx.count_buckets(spark.createDataFrame(rows, "text string, _label int").repartition(2)).collect()}
     want = {}
     for text, label in rows:
-        for w in set((text or "").split()):
-            for b in tx.word_buckets(w.encode()):
-                a = want.setdefault(b, [0, 0, 0])
-                a[0] += 1
-                if label is not None:
-                    a[2 - label] += 1
+        for b in set(tx.token_buckets(text)[2].reshape(-1).tolist()) - {-1}:
+            a = want.setdefault(b, [0, 0, 0])
+            a[0] += 1
+            if label is not None:
+                a[2 - label] += 1
     assert got == {b: tuple(v) for b, v in want.items()}
 
 
+def test_token_features():
+    text = "Ünder Understand, UNDER-9 a"
+    starts, ends, buckets = tx.token_buckets(text)
+    raw = text.encode()
+    assert [raw[s:e].decode() for s, e in zip(starts, ends)] == ["Ünder", "Understand", "UNDER", "9", "a"]
+    assert buckets[2, 0] == tx.token_buckets("under")[2][0, 0] and buckets[2, 2] == buckets[1, 2] and buckets[1, 0] != buckets[2, 0]
+    assert (buckets[2] >= 0).tolist() == [True, True, True, False] and (buckets[3] >= 0).tolist() == [True, False, False, False]
+    assert buckets[1, 3] == tx.token_buckets("unders")[2][0, 3]
+
+
 def test_weights_follow_the_formula(spark):
     counts = [(1, 400, 60, 0), (2, 4000, 100, 900), (3, 5000, 110, 1200)]
     model = tx.fit_weights(spark.createDataFrame(counts, "bucket long, n_all long, n_toxic long, n_clean long"))
@@ -100,7 +109,7 @@ def test_edge_rows(spark):
     tox, ok = "you utter scumbag fool " * 3, "a calm and quiet day near the lake "
     rows = [(i, tox + ok * 3 if i % 3 == 0 else ok * 4) for i in range(200)]
     rows += [(None, tox), (900, None), (901, ""), (902, tox), (902, tox), (903, ok * 50_000 + tox)]
-    docs = spark.createDataFrame([(*r, "mine", 7) for r in rows], "doc_id long, text string, score string, n_words int")
+    docs = spark.createDataFrame([(*r, "mine", 7) for r in rows], "doc_id long, text string, score string, n_tokens int")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(3, 0), (None, 1), (901, None)], "doc_id long, toxic int")
     got = tx.score_toxicity(docs, labels).collect()
     assert len(got) == len(rows)
@@ -108,9 +117,9 @@ def test_edge_rows(spark):
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
     assert by[None][0].predicted == 1 and [r.predicted for r in by[902]] == [1, 1]
-    assert by[900][0].predicted == by[901][0].predicted == 0 and by[900][0].n_words == 0
-    start = by[903][0].passages[0].start
-    assert start >= 350_000 and by[903][0].passages[0].expected <= tx.MAX_EXPECTED
+    assert by[900][0].predicted == by[901][0].predicted == 0 and by[900][0].n_tokens == 0
+    last = by[903][0].passages[-1]
+    assert last.start >= len(ok) * 50_000 and last.end <= len(ok) * 50_000 + len(tox) and last.expected <= tx.MAX_EXPECTED
     kept = tx.drop_toxic(docs, labels)
     assert kept.schema == docs.schema and kept.filter("doc_id = 902").count() == 0
     assert tx.score_toxicity(docs.limit(0), labels).count() == 0
