@@ -15,7 +15,7 @@ def _c(c):
 
 
 def _try_int(c: Column) -> Column:
-    return F.when(c.rlike(r"^\s*[+-]?\d{1,9}\s*$"), F.trim(c).cast("int"))
+    return F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).try_cast("bigint"))
 
 
 def page_number_from_link(link, direct: str = PAGE_PARAM_LINK,

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 # read it the same way.
 WHITESPACE_RUN = r"[\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}]+"
 
-# The predefined XML entities; `&amp;` must be replaced last.
+# The predefined XML entities.
 XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
+XML_REFERENCE = r"&(?:#x[0-9A-Fa-f]+|#[0-9]+|lt|gt|quot|apos|amp);"
 
 
 def _c(c):
@@ -29,25 +30,28 @@ def normalise_text(c) -> Column:
 
 
 def xml_unescape(c) -> Column:
-    """Resolve numeric character references and the five predefined entities,
-    i.e. give the text a parser would hand to the caller."""
+    """Resolve numeric character references and the five predefined entities in
+    one pass, i.e. give the text a parser would hand to the caller: what a
+    reference stands for is not read again (``&#38;lt;`` is ``&lt;``)."""
     s = _c(c)
-    # numeric references: replace each distinct reference by its code point
-    # (the regex runs only on texts that hold one)
-    refs = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(x[0-9A-Fa-f]+|[0-9]+);"), F.lit(0)))
-    s = F.when(s.contains("&#"), F.aggregate(refs, s, lambda acc, r: F.replace(acc, r, _codepoint_char(r)))) \
-        .otherwise(s)
-    for ent, ch in XML_ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    return s
+    between = F.split(s, XML_REFERENCE, -1)
+    refs = F.regexp_extract_all(s, F.lit(XML_REFERENCE), F.lit(0))
+    pieces = F.transform(between, lambda t, i: F.concat(t, F.coalesce(_resolved(F.get(refs, i)), F.lit(""))))
+    # the regex runs only on texts that can hold one
+    return F.when(s.contains("&"), F.array_join(pieces, "")).otherwise(s)
 
 
-def _codepoint_char(ref: Column) -> Column:
-    body = F.regexp_extract(ref, r"&#(x?)([0-9A-Fa-f]+);", 2)
-    is_hex = F.regexp_extract(ref, r"&#(x?)", 1) == F.lit("x")
-    cp = F.when(is_hex, F.conv(body, 16, 10)).otherwise(body).cast("bigint")
-    # UTF-32BE bytes of the code point -> string
-    return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+def _resolved(ref: Column) -> Column:
+    named = F.lit(None).cast("string")
+    for entity, char in XML_ENTITIES:
+        named = F.when(ref == entity, F.lit(char)).otherwise(named)
+    is_hex = ref.startswith("&#x")
+    digits = F.when(is_hex, F.substring(ref, F.lit(4), F.length(ref) - 4)).otherwise(F.substring(ref, F.lit(3), F.length(ref) - 3))
+    point = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    is_char = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    # UTF-32BE bytes of the code point -> string; no character: the reference stays
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(is_char, point)), 8, "0")), "UTF-32")
+    return F.when(ref.startswith("&#"), F.coalesce(char, ref)).otherwise(named)
 
 
 def speaker_prefix(c, n_colons) -> Column:

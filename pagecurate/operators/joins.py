@@ -34,16 +34,23 @@ def train_rows(df: DataFrame, *excluded: DataFrame, key: str = "file",
 def update_by_id(df: DataFrame, updates: DataFrame, key: str = "id",
                  order_col: str | None = None) -> DataFrame:
     """D3: set the ``updates`` columns on rows with the same ``key``; rows
-    without an update keep NULL. When a key is updated several times the last
-    one (largest ``order_col``) wins."""
+    without an update keep the value they have (NULL in a new column). When a
+    key is updated several times the last one (largest ``order_col``) wins;
+    without ``order_col`` a key that is updated twice fails the query, since
+    there is no last one."""
     cols = [c for c in updates.columns if c != key and c != order_col]
+    row = F.struct(F.lit(True).alias("_set"), *cols)
     if order_col:
-        last = updates.groupBy(key).agg(
-            *[F.max_by(F.col(c), F.col(order_col)).alias(c) for c in cols])
+        last = updates.groupBy(key).agg(F.max_by(row, F.col(order_col)).alias("_u"))
     else:
-        last = updates.dropDuplicates([key])
-    base = df.drop(*[c for c in cols if c in df.columns])
-    return base.join(last, key, "left")
+        twice = F.raise_error(F.concat(F.lit("update_by_id: several updates of key "), F.col(key).cast("string")))
+        last = (updates.groupBy(key).agg(F.first(row).alias("_u"), F.count(F.lit(1)).alias("_n"))
+                .select(key, F.when(F.col("_n") > 1, twice.cast(updates.select(row.alias("r")).schema["r"].dataType))
+                        .otherwise(F.col("_u")).alias("_u")))
+    joined = df.join(last, key, "left")
+    return joined.select(*[c for c in df.columns if c not in cols],
+                         *[(F.when(F.col("_u._set"), F.col(f"_u.{c}")).otherwise(df[c]) if c in df.columns
+                            else F.col(f"_u.{c}")).alias(c) for c in cols])
 
 
 def attach_predictions(df: DataFrame, preds: DataFrame, key: str = "id") -> DataFrame:

@@ -20,16 +20,27 @@ from pagecurate.functions.boxes import box_corners
 
 _BUCKET_BASE = 1.25
 
+# Fixed value: the left and upper edge that a box union starts from. A scan wider
+# or higher than this keeps it as the edge of boxes that lie wholly beyond it.
+BOX_START = 9999.0
+
 
 def _bucket(length: Column) -> Column:
     return F.floor(F.log(_BUCKET_BASE, length.cast("double") + F.lit(1.0))).cast("int")
 
 
-def _score(scorer: str, a: Column, b: Column) -> Column:
+def _score(scorer: str, a: Column, b: Column, least: Column | None = None) -> Column:
+    """Similarity of two texts; with ``least``, NULL below that score where the
+    scorer can stop early."""
     if scorer == "indel":
         return indel_ratio(a, b).cast("double")
     if scorer == "levenshtein":
-        return (-F.levenshtein(a, b)).cast("double")
+        if least is None:
+            return (-F.levenshtein(a, b)).cast("double")
+        # Spark's banded distance gives -1 beyond its limit
+        far = F.call_function("levenshtein", a, b, (-least).cast("int"))
+        near = F.when(least.isNull(), F.levenshtein(a, b)).otherwise(F.when(far >= 0, far))
+        return (-near).cast("double")
     raise ValueError(f"unknown scorer {scorer!r}")
 
 
@@ -46,8 +57,7 @@ def _band(scorer: str, la: Column, best: Column) -> tuple[Column, Column]:
         # -levenshtein >= best needs |la - lb| <= -best
         d = -best
         lo, hi = F.ceil(la - d), F.floor(la + d)
-    return (F.coalesce(F.greatest(lo, F.lit(0)), F.lit(0)).cast("bigint"),
-            F.coalesce(hi, F.lit(1 << 40)).cast("bigint"))
+    return F.coalesce(F.greatest(lo, F.lit(0)), F.lit(0)).cast("bigint"), hi.cast("bigint")
 
 
 def match_blocks(segments: DataFrame, blocks: DataFrame, keys: list[str],
@@ -74,50 +84,34 @@ def match_blocks(segments: DataFrame, blocks: DataFrame, keys: list[str],
         from pagecurate.functions.text import speaker_prefix
         cand = (seg.join(blk, keys)
                 .withColumn("_score", _score(scorer, F.col("_st"), speaker_prefix(F.col("_bt"), F.col("_nc")))))
-        return _best(cand, blk, keys, seg_id, blk_id, blk_idx)
+        return _best(cand, keys, seg_id, blk_id, blk_idx)
     # pass 1: the blocks at the segment's own ordinal and its two neighbours
     # (a constant number of equi-join probes) -> a lower bound on its best score
-    probes = seg.withColumn("_probe", F.explode(F.array(F.col("_so") - 1, F.col("_so"), F.col("_so") + 1)))
-    on = [probes[k] == blk[k] for k in keys] + [probes["_probe"] == blk["_bi"]]
-    scored = (probes.join(blk, on, "left")
-              .select(*[probes[k] for k in keys], probes["_sid"],
-                      F.when(blk["_bt"].isNotNull(), _score(scorer, probes["_st"], blk["_bt"])).alias("_s")))
+    probes = seg.select(*keys, "_sid", "_st", F.explode(F.array(F.col("_so") - 1, F.col("_so"), F.col("_so") + 1)).alias("_bi"))
+    scored = probes.join(blk.select(*keys, "_bi", "_bt"), [*keys, "_bi"]).withColumn("_s", _score(scorer, F.col("_st"), F.col("_bt")))
     best_seed = scored.groupBy(*keys, "_sid").agg(F.max("_s").alias("_seed"))
-    seed = seg.join(best_seed, keys + ["_sid"], "left")
+    # pass 2: blocks of a length that can reach it; without one, up to the
+    # longest block of the page
+    longest = blk.groupBy(*keys).agg(F.max("_lb").alias("_longest"))
     lo, hi = _band(scorer, F.col("_la"), F.col("_seed"))
-    banded = (seed.withColumn("_lo", lo).withColumn("_hi", hi)
-              .withColumn("_bk", F.explode(F.sequence(_bucket(F.col("_lo")),
-                                                      _bucket(F.least(F.col("_hi"), F.lit(1 << 30)))))))
-    blk_b = blk.withColumn("_bk", _bucket(F.col("_lb")))
-    cand = (banded.join(blk_b, keys + ["_bk"])
+    seed = seg.join(longest, keys).join(best_seed, [*keys, "_sid"], "left")
+    banded = (seed.withColumn("_lo", lo).withColumn("_hi", F.least(F.coalesce(hi, F.col("_longest")), F.col("_longest")))
+              .filter(F.col("_lo") <= F.col("_hi")).drop("_longest")
+              .withColumn("_bk", F.explode(F.sequence(_bucket(F.col("_lo")), _bucket(F.col("_hi"))))))
+    cand = (banded.join(blk.withColumn("_bk", _bucket(F.col("_lb"))), [*keys, "_bk"])
             .filter(F.col("_lb").between(F.col("_lo"), F.col("_hi")))
-            .withColumn("_score", _score(scorer, F.col("_st"), F.col("_bt"))))
-    return _best(cand, blk, keys, seg_id, blk_id, blk_idx)
-
-
-_BITS = 21
-_MASK = (1 << _BITS) - 1
+            .withColumn("_score", _score(scorer, F.col("_st"), F.col("_bt"), F.col("_seed")))
+            .filter(F.col("_score").isNotNull()))
+    return _best(cand, keys, seg_id, blk_id, blk_idx)
 
 
-def _best(cand: DataFrame, blk: DataFrame, keys, seg_id, blk_id, blk_idx) -> DataFrame:
+def _best(cand: DataFrame, keys, seg_id, blk_id, blk_idx) -> DataFrame:
     """G1: highest score, then the block index nearest the element ordinal,
-    then the lowest block index.
-
-    The three criteria are packed into one BIGINT (score + 2^20, then
-    2^21-1-distance, then 2^21-1-index; 21 bits each), so the argmax is a
-    plain ``max`` in a hash aggregate with map-side partial aggregation."""
-    # scores below -2^20 (edit distances over a million characters) clamp together
-    score = F.greatest(F.col("_score").cast("bigint"), F.lit(1 - (1 << (_BITS - 1)))) + F.lit(1 << (_BITS - 1))
-    dist = F.least(F.abs(F.col("_bi") - F.col("_so")), F.lit(_MASK)).cast("bigint")
-    idx = F.least(F.col("_bi"), F.lit(_MASK)).cast("bigint")
-    packed = (F.shiftleft(score, 2 * _BITS) + F.shiftleft(F.lit(_MASK) - dist, _BITS) + (F.lit(_MASK) - idx))
-    best = cand.groupBy(*keys, "_sid").agg(F.max(packed).alias("_p"))
-    best = best.select(*keys, "_sid",
-                       (F.lit(_MASK) - F.col("_p").bitwiseAND(F.lit(_MASK))).alias("_bi"),
-                       (F.shiftright(F.col("_p"), 2 * _BITS) - F.lit(1 << (_BITS - 1))).cast("double").alias("score"))
-    ids = blk.select(*keys, "_bi", "_bid")
-    return best.join(ids, keys + ["_bi"]).select(
-        *keys, F.col("_sid").alias(seg_id), F.col("_bid").alias(blk_id), F.col("_bi").alias(blk_idx), "score")
+    then the lowest block index; the block id travels with the winner."""
+    rank = F.struct("_score", (-F.abs(F.col("_bi") - F.col("_so"))).alias("_near"), (-F.col("_bi")).alias("_low"))
+    best = cand.groupBy(*keys, "_sid").agg(F.max_by(F.struct("_bid", "_bi", "_score"), rank).alias("_w"))
+    return best.select(*keys, F.col("_sid").alias(seg_id), F.col("_w._bid").alias(blk_id),
+                       F.col("_w._bi").alias(blk_idx), F.col("_w._score").alias("score"))
 
 
 def nearest_following(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
@@ -143,17 +137,17 @@ def nearest_following(left: DataFrame, right: DataFrame, keys: list[str], left_i
 
 def box_union_agg(df: DataFrame, group_cols: list[str], left: str, upper: str,
                   right: str, lower: str) -> DataFrame:
-    """E7 (grouped form): running min/min/max/max from (9999, 9999, 0, 0)."""
+    """E7 (grouped form): running min/min/max/max from (BOX_START, BOX_START, 0, 0)."""
     return df.groupBy(*group_cols).agg(
-        F.least(F.lit(9999.0), F.min(left)).alias("left"),
-        F.least(F.lit(9999.0), F.min(upper)).alias("upper"),
+        F.least(F.lit(BOX_START), F.min(left)).alias("left"),
+        F.least(F.lit(BOX_START), F.min(upper)).alias("upper"),
         F.greatest(F.lit(0.0), F.max(right)).alias("right"),
         F.greatest(F.lit(0.0), F.max(lower)).alias("lower"))
 
 
 def box_union(boxes: Column) -> Column:
     """E7 (array form): union box of an ARRAY<STRUCT<left,upper,right,lower>>."""
-    start = F.struct(F.lit(9999.0).alias("left"), F.lit(9999.0).alias("upper"),
+    start = F.struct(F.lit(BOX_START).alias("left"), F.lit(BOX_START).alias("upper"),
                      F.lit(0.0).alias("right"), F.lit(0.0).alias("lower"))
     return F.aggregate(boxes, start, lambda acc, b: F.struct(
         F.least(acc["left"], b["left"]).alias("left"), F.least(acc["upper"], b["upper"]).alias("upper"),

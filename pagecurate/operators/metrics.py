@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagecurate.functions.logits import log_softmax_at
-from pagecurate.operators.ordering import global_index
+from pagecurate.operators.ordering import Desc, global_index
 
 
 def _g(df: DataFrame, group_cols):
@@ -128,13 +128,24 @@ def classification_report(df: DataFrame, label_col: str, pred_col: str,
     return rows.unionByName(acc_row).unionByName(macro).unionByName(weighted)
 
 
+def _order_names(order: list) -> list:
+    return [Desc(f"_k{i}") if isinstance(o, Desc) else f"_k{i}" for i, o in enumerate(order)]
+
+
+def _ordered_value(df: DataFrame, order: list, value: Column) -> DataFrame:
+    """Only the order keys and the value: what the range partition has to carry."""
+    items = [o.item if isinstance(o, Desc) else o for o in order]
+    keys = [(F.col(o) if isinstance(o, str) else o).alias(f"_k{i}") for i, o in enumerate(items)]
+    return df.select(*keys, value.alias("_v"))
+
+
 def batch_accuracy(df: DataFrame, label_col: str, pred_col: str, order: list,
                    batch_size: int = 16) -> DataFrame:
     """Mean over batches (in ``order``) of the batch accuracy; a short last
     batch weighs as much as a full one."""
-    idx = global_index(df, order, "_idx")
-    per = (idx.groupBy(F.floor(F.col("_idx") / F.lit(batch_size)).alias("_b"))
-           .agg(F.avg((F.col(label_col) == F.col(pred_col)).cast("double")).alias("_a")))
+    hit = (F.col(label_col) == F.col(pred_col)).cast("double")
+    idx = global_index(_ordered_value(df, order, hit), _order_names(order), "_idx")
+    per = idx.groupBy(F.floor(F.col("_idx") / F.lit(batch_size)).alias("_b")).agg(F.avg("_v").alias("_a"))
     return per.agg(F.avg("_a").alias("batch_accuracy"))
 
 
@@ -186,8 +197,7 @@ def binary_logit_loss(df: DataFrame, logit_col: str, label_col: str, pos_weight:
 def batch_mean(df: DataFrame, value: Column, order: list, batch_size: int,
                how: str = "mean") -> DataFrame:
     """Mean ('mean') or sum ('sum') over batches of the batch mean of ``value``."""
-    src = df.withColumn("_v", value)
-    idx = global_index(src, order, "_idx")
+    idx = global_index(_ordered_value(df, order, value), _order_names(order), "_idx")
     per = (idx.groupBy(F.floor(F.col("_idx") / F.lit(batch_size)).alias("_b"))
            .agg(F.avg("_v").alias("_m")))
     return per.agg((F.sum("_m") if how == "sum" else F.avg("_m")).alias("value"))

@@ -4,9 +4,8 @@ A window without ``partitionBy`` (or one whose partition is a hot key) puts
 every row of the group into one task. The helpers here give the same numbers
 while the work stays spread over range partitions:
 
-* ``global_index`` — 0-based position in a total order (zipWithIndex in
-  DataFrame form: range partition, sort inside partitions, count per partition,
-  prefix-sum the counts, add the offset).
+* ``global_index`` — 0-based position in an order: range partition, sort inside
+  partitions, count per partition, prefix-sum the counts, add the offset.
 * ``rank_within`` — 0-based position inside key groups; a hot key spans many
   range partitions and each partition contributes its own slice.
 * ``running_scan`` — running sums and "last non-null so far" per key, by the
@@ -14,16 +13,16 @@ while the work stays spread over range partitions:
 * ``top_k_per_group`` — ``row_number() <= k``; Spark inserts a partial
   ``WindowGroupLimit`` before the shuffle, so a group sends at most ``k`` rows
   per input partition.
-
-Only the narrow key/order columns are range-partitioned. That tagged table is
-read twice (slice counts, rows), and range bounds are sampled anew on every
-execution, so it is materialised once with a reliable ``checkpoint()`` (the
-shared folder of ``spark.checkpoint.dir``): both reads see one partitioning,
-also after an executor loss. The results go back to the full rows by a join on
-the order columns.
-
-The order must be total (add a unique tie-break): positions among equal keys
-would otherwise depend on the input order, and the join back needs unique keys.
+* ``part_of`` — which of the parts between given positions a row falls into,
+  by comparing it with the rows at these positions; the wide rows do not move.
+
+The first three carry the columns they are given through the range partition,
+so select the ones that are needed. The numbered rows are materialised once with
+a reliable ``checkpoint()`` (the shared folder of ``spark.checkpoint.dir``):
+range bounds are sampled anew on every execution, and the counts must see the
+partitioning that the rows have, also after an executor loss. Nothing is joined
+back on the order, so rows that repeat an order key keep their number of rows;
+which of them comes first is open.
 """
 
 from __future__ import annotations
@@ -68,20 +67,13 @@ def _order(df: DataFrame, order: list) -> tuple[DataFrame, list[str], list[str],
     return df, names, helpers, sorts
 
 
-def _finish(wide: DataFrame, result: DataFrame, on: list[str], helpers: list[str]) -> DataFrame:
-    """Attach ``result`` to the full rows; when the narrow table already holds
-    every column, the checkpointed result is the answer (no second pass)."""
-    if set(wide.columns) <= set(on):
-        return result.select(*wide.columns, *[c for c in result.columns if c not in on]).drop(*helpers)
-    return _join_back(wide, result, on).drop(*helpers)
-
-
-def _tagged(narrow: DataFrame, keys: list[str], sorts: list[Column], partitions: int | None) -> DataFrame:
-    spark = narrow.sparkSession
+def _tagged(df: DataFrame, keys: list[str], sorts: list[Column], partitions: int | None) -> DataFrame:
+    """The rows with their range partition and their place inside it."""
+    spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or shuffle_partitions(spark)
     by = [F.col(k).asc_nulls_first() for k in keys] + sorts
-    t = (narrow.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    t = (df.repartitionByRange(n, *by).sortWithinPartitions(*by)
          .withColumn(_MID, F.monotonically_increasing_id()))
     t = (t.withColumn(_PID, F.shiftright(F.col(_MID), _LOCAL_BITS))
          .withColumn(_LOC, F.col(_MID).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
@@ -89,10 +81,12 @@ def _tagged(narrow: DataFrame, keys: list[str], sorts: list[Column], partitions:
     return t.checkpoint(eager=True)
 
 
-def _join_back(df: DataFrame, result: DataFrame, on: list[str]) -> DataFrame:
-    r = result.select(*[F.col(c).alias(f"_r{c}") for c in on], *[c for c in result.columns if c not in on])
-    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in on])
-    return df.join(r, cond, "inner").drop(*[f"_r{c}" for c in on])
+def _with_slices(rows: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach what is known per slice (range partition and key) to its rows."""
+    on = [_PID, *keys]
+    s = slices.select(*[F.col(c).alias(f"_s{c}") for c in on], *[c for c in slices.columns if c not in on])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in on])
+    return rows.join(s, same).drop(*[f"_s{c}" for c in on])
 
 
 def global_index(df: DataFrame, order: list, out: str = "row_idx",
@@ -105,16 +99,15 @@ def rank_within(df: DataFrame, keys: list[str], order: list, out: str = "rank",
                 partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of the row inside its ``keys`` group
     (the whole table when ``keys`` is empty)."""
-    wide, names, helpers, sorts = _order(df, order)
-    on = list(dict.fromkeys(list(keys) + names))
-    t = _tagged(wide.select(*on), keys, sorts, partitions)
+    columns = [c for c in df.columns if c != out]
+    wide, _, _, sorts = _order(df, order)
+    t = _tagged(wide, keys, sorts, partitions)
     # one row per (range partition, key) slice: at most partitions + keys rows
     slices = t.groupBy(_PID, *keys).agg(F.min(_LOC).alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(_PID, *keys, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    ranked = _join_back(t, slices, [_PID] + list(keys))
-    ranked = ranked.select(*on, (F.col("_before") + F.col(_LOC) - F.col("_first")).cast("bigint").alias(out))
-    return _finish(wide, ranked, on, helpers)
+    rank = (F.col("_before") + F.col(_LOC) - F.col("_first")).cast("bigint")
+    return _with_slices(t, slices, keys).select(*columns, rank.alias(out))
 
 
 def running_scan(df: DataFrame, keys: list[str], order: list,
@@ -125,10 +118,10 @@ def running_scan(df: DataFrame, keys: list[str], order: list,
     """Per key group, in ``order``: ``sums`` -> running sum, ``lasts`` -> last
     non-null value so far. ``inclusive`` = the current row counts."""
     sums, lasts = sums or {}, lasts or {}
-    wide, names, helpers, sorts = _order(df, order)
-    on = list(dict.fromkeys(list(keys) + names))
-    narrow = wide.select(*on, *[e.alias(f"_v_{n}") for n, e in list(sums.items()) + list(lasts.items())])
-    t = _tagged(narrow, keys, sorts, partitions)
+    columns = [c for c in df.columns if c not in sums and c not in lasts]
+    wide, _, _, sorts = _order(df, order)
+    wide = wide.withColumns({f"_v_{n}": e for n, e in list(sums.items()) + list(lasts.items())})
+    t = _tagged(wide, keys, sorts, partitions)
     end = Window.currentRow if inclusive else -1
     w_local = Window.partitionBy(_PID, *keys).orderBy(_LOC).rowsBetween(Window.unboundedPreceding, end)
     local = t
@@ -144,11 +137,80 @@ def running_scan(df: DataFrame, keys: list[str], order: list,
     carry = slices.select(_PID, *keys,
                           *[F.sum(f"_t_{n}").over(w_prev).alias(f"_c_{n}") for n in sums],
                           *[F.last(f"_t_{n}", ignorenulls=True).over(w_prev).alias(f"_c_{n}") for n in lasts])
-    res = _join_back(local, carry, [_PID] + list(keys))
+    res = _with_slices(local, carry, keys)
     outs = [(F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.coalesce(F.col(f"_l_{n}"), F.lit(0))).alias(n) for n in sums]
     outs += [F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in lasts]
-    res = res.select(*on, *outs)
-    return _finish(wide, res, on, helpers)
+    return res.select(*columns, *outs)
+
+
+def _compare(row: Column, bound: Column, desc: bool) -> tuple[Column, Column]:
+    """(row before bound, row level with it) in one order item: ascending with
+    NULL first or descending with NULL last."""
+    if desc:
+        before = (row.isNotNull() & bound.isNull()) | (row > bound)
+    else:
+        before = (row.isNull() & bound.isNotNull()) | (row < bound)
+    return F.coalesce(before, F.lit(False)), row.eqNullSafe(bound)
+
+
+def part_of(df: DataFrame, keys: list[str], order: list, starts: DataFrame, out: str) -> DataFrame:
+    """Add ``out``: how many of the group's start positions lie at or before
+    the row's 0-based position in ``order``.
+
+    ``starts`` has one row per group, ``keys`` and an array of ascending
+    positions (column ``starts``); it must be as small as it sounds, a few
+    classes by a few parts. Only the keys and order columns are ranked. The rows
+    found at the start positions, a handful, are then compared with every row
+    in a projection. Only rows that repeat the order key of a start are numbered
+    among themselves, so that the parts have exact sizes."""
+    columns = [c for c in df.columns if c != out]
+    wide, names, helpers, _ = _order(df.select(*columns), order)
+    desc = [isinstance(item, Desc) for item in order]
+    narrow = wide.select(*dict.fromkeys([*keys, *names]))
+    ranked = rank_within(narrow, keys, [Desc(n) if d else n for n, d in zip(names, desc)], "_rank")
+
+    def with_group(rows: DataFrame, table: DataFrame) -> DataFrame:
+        if not keys:
+            only = table.select(F.struct(*table.columns).alias("t")).scalar()
+            return rows.withColumn("_t", only).select("*", "_t.*").drop("_t")
+        t = table.select(*[F.col(k).alias(f"_g{k}") for k in keys], *[c for c in table.columns if c not in keys])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in keys])
+        return rows.join(F.broadcast(t), same, "left").drop(*[f"_g{k}" for k in keys])
+
+    hit = with_group(ranked, starts).filter(F.array_contains("starts", F.col("_rank")))
+    # the order key at a start, and how many starts (of empty parts) coincide there
+    times = F.size(F.filter("starts", lambda x: x == F.col("_rank")))
+    first = F.struct(F.col("_rank").alias("at"), times.alias("times"), *[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
+    found = hit.groupBy(*keys).agg(F.sort_array(F.collect_list(first)).alias("_bounds"))
+
+    def passed(reached) -> Column:
+        return F.aggregate(F.filter("_bounds", reached), F.lit(0).cast("bigint"), lambda n, b: n + b["times"])
+
+    def level(b: Column) -> Column:
+        return reduce(lambda x, y: x & y, [_compare(F.col(n), b[f"k{i}"], d)[1] for i, (n, d) in enumerate(zip(names, desc))])
+
+    def before(b: Column) -> Column:
+        out_, same = F.lit(False), F.lit(True)
+        for i, (n, d) in enumerate(zip(names, desc)):
+            less, equal = _compare(F.col(n), b[f"k{i}"], d)
+            out_, same = out_ | (same & less), same & equal
+        return out_
+
+    empty = F.array().cast(found.schema["_bounds"].dataType)
+    marked = with_group(wide, found).withColumn("_bounds", F.coalesce("_bounds", empty))
+    marked = marked.withColumn(out, passed(lambda b: ~before(b)))
+    repeated = with_group(ranked, found).filter(F.exists("_bounds", lambda b: level(b))).groupBy(*keys, *names).count().filter("count > 1")
+    if not repeated.limit(1).count():
+        return marked.select(*columns, out)
+    # rows level with a start: number them, and count the starts at or before
+    tied = F.exists("_bounds", lambda b: level(b))
+    numbered = rank_within(marked.filter(tied), [*keys, *[n for n in names if n not in keys]], names[:1], "_nth")
+    lowest = ranked.groupBy(*keys, *[n for n in names if n not in keys]).agg(F.min("_rank").alias("_lowest"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_l{c}")) for c in dict.fromkeys([*keys, *names])])
+    lowest = lowest.select(*[F.col(c).alias(f"_l{c}") for c in dict.fromkeys([*keys, *names])], "_lowest")
+    exact = numbered.join(lowest, same).withColumn(
+        out, passed(lambda b: b["at"] <= F.col("_lowest") + F.col("_nth")))
+    return marked.filter(~tied).select(*columns, out).unionByName(exact.select(*columns, out))
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list, k: int,

@@ -61,16 +61,17 @@ def sample_with_replacement(items: DataFrame, group_col: str, item_col: str, k:
 
 
 def draw_unseen(draws: DataFrame, files: DataFrame, item_col: str, file_col: str,
-                k_max: int, seed: int = 42) -> DataFrame:
+                seed: int = 42) -> DataFrame:
     """One not-yet-taken file per draw of a folder.
 
     Draw *j* of a folder takes the *j*-th file of the folder's hash order, so a
     folder drawn twice yields two different files and excess draws yield none —
     the same as removing taken files between draws, without a loop. ``draws``
-    carries a ``draw_key`` column (draw order); ``k_max`` bounds the draws per
-    folder (the draws per decade), so both windows see bounded groups."""
+    carries a ``draw_key`` column (draw order). The most draws of any folder are
+    counted first, so only that many files of a folder leave their partition."""
     per_folder = draws.withColumn(
         "_j", F.row_number().over(Window.partitionBy(item_col).orderBy("draw_key")))
+    most = per_folder.agg(F.max("_j")).first()[0] or 0
     ranked = top_k_per_group(files, [item_col], [hash_key(seed, file_col), F.col(file_col)],
-                             k_max, out="_j")
+                             most, out="_j")
     return per_folder.join(ranked, [item_col, "_j"]).drop("_j")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagecurate.session import ensure_checkpoint_dir
+
 
 def concat(*parts: DataFrame) -> DataFrame:
     """H1: union all by column name (missing columns become NULL)."""
@@ -19,6 +21,29 @@ def distinct_values(df: DataFrame, expr, name: str) -> DataFrame:
     return df.select(e.alias(name)).distinct()
 
 
+def first_distinct_pairs(df: DataFrame, file_col: str, link_col: str, order_col: str) -> DataFrame:
+    """in order of first appearance, the (file, link) pairs of which neither
+    the file nor the link has been kept before; pairs with a NULL are left out.
+
+    The walk is done in rounds: a pair that is the first left of its file and
+    of its link is kept, and all pairs that share either with a kept one go.
+    Every round settles the first pair left of the whole table and usually most
+    of the others; what is left is checkpointed."""
+    ensure_checkpoint_dir(df.sparkSession)
+    known = df.filter(F.col(file_col).isNotNull() & F.col(link_col).isNotNull())
+    left = known.groupBy(file_col, link_col).agg(F.min(order_col).alias(order_col)).checkpoint()
+    kept = left.limit(0)
+    while left.limit(1).count():
+        by_file = left.groupBy(file_col).agg(F.min(order_col).alias("_f"))
+        by_link = left.groupBy(link_col).agg(F.min(order_col).alias("_l"))
+        now = (left.join(by_file, file_col).join(by_link, link_col)
+               .filter((F.col(order_col) == F.col("_f")) & (F.col(order_col) == F.col("_l")))
+               .select(file_col, link_col, order_col)).checkpoint()
+        kept = kept.unionByName(now)
+        left = left.join(now.select(file_col), file_col, "left_anti").join(now.select(link_col), link_col, "left_anti").checkpoint()
+    return kept
+
+
 def pool_minus(pool: DataFrame, acquired: DataFrame, key: str = "id") -> DataFrame:
     """H4: pool rows not acquired (left anti on the key)."""
     return pool.join(acquired.select(key).distinct(), key, "left_anti")

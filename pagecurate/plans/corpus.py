@@ -50,8 +50,7 @@ def sample_corpus(spark: SparkSession, base: str, start_year: int, end_year: int
     folders = folders.withColumn("decade", decade("year"))
     draws = sample_with_replacement(folders, "decade", "folder", files_per_decade, seed)
     files = list_files(spark, base, draws)
-    chosen = draw_unseen(draws.withColumn("draw_key", F.col("draw_no")), files, "folder", "file_name",
-                         k_max=files_per_decade, seed=seed)
+    chosen = draw_unseen(draws.withColumn("draw_key", F.col("draw_no")), files, "folder", "file_name", seed=seed)
     # bounded by files_per_decade x decades
     paths = sorted({r.path for r in chosen.select("path").collect()})
     records = read_records(spark, paths)

@@ -81,7 +81,8 @@ def positional_features(df: DataFrame, numeric: list[str], flags: list[str], fit
     z = standardise(df, numeric, fit_on=fit_on, per_split=per_split)
     z = z.select(*[c for c in z.columns if c not in flags],
                  *[F.col(c).cast("boolean").cast("double").alias(c) for c in flags])
-    return VectorAssembler(inputCols=numeric + flags, outputCol="_pos", handleInvalid="skip").transform(z)
+    # rows with a missing feature are the caller's to drop (C3), not to lose here
+    return VectorAssembler(inputCols=numeric + flags, outputCol="_pos", handleInvalid="error").transform(z)
 
 
 def fit_positional_classifier(train: DataFrame, label_col: str, n_inputs: int = 9,

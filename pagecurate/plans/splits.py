@@ -7,9 +7,10 @@
 * ``split_contiguous`` — n contiguous parts, the first ``rows % n`` one longer.
 
 The class ranking of the stratified split is the heavy part: with two or
-three classes every class is a hot group, so the rank comes from
-``rank_within`` (range partitions, per-slice offsets) instead of a window
-partitioned by class.
+three classes every class is a hot group, so only (class, hash, id) is ranked,
+over range partitions; the rows found at the two borders of each class then
+label the wide rows by comparison, without a shuffle of these. The contiguous
+split does the same with its n - 1 borders.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pagecurate.operators.aggregates import files_by_decade
 from pagecurate.operators.joins import holdout_rows, train_rows
-from pagecurate.operators.ordering import Desc, global_index, rank_within, top_k_per_group
+from pagecurate.operators.ordering import Desc, part_of, top_k_per_group
 from pagecurate.operators.sampling import hash_key
 
 TRAIN, VAL, TEST = "train", "val", "test"
@@ -63,18 +64,12 @@ def stratified_split(df: DataFrame, target: str, id_col: str, seed: int = 42,
 
     Rows with a NULL target form their own stratum."""
     quotas = split_quotas(df, target, test_size, second_test_size)
-    ranked = rank_within(df, [target], [hash_key(seed, id_col), id_col], "_r")
-    # one row per class: broadcast is bounded by the class count
-    j = _join_quota(ranked, quotas, target)
-    role = (F.when(F.col("_r") < F.col("n_train"), F.lit(TRAIN))
-            .when(F.col("_r") < F.col("n_train") + F.col("n_val"), F.lit(VAL))
-            .otherwise(F.lit(TEST)))
-    return j.withColumn(out, role).drop("_r", "n_train", "n_val")
-
-
-def _join_quota(ranked: DataFrame, quotas: DataFrame, target: str) -> DataFrame:
-    q = quotas.select(F.col(target).alias("_qt"), "n_train", "n_val")
-    return ranked.join(F.broadcast(q), ranked[target].eqNullSafe(F.col("_qt")), "inner").drop("_qt")
+    # one row per class: the first rows of val and test
+    starts = quotas.select(target, F.array("n_train", F.col("n_train") + F.col("n_val")).alias("starts"))
+    role = F.element_at(F.array(F.lit(TRAIN), F.lit(VAL), F.lit(TEST)), F.col("_part").cast("int") + 1)
+    # an empty class part has no first row: its start coincides with the next one
+    parts = part_of(df, [target], [hash_key(seed, id_col), id_col], starts, "_part")
+    return parts.withColumn(out, role).drop("_part")
 
 
 def holdout_roles(files: DataFrame, decade_col: str, file_col: str, first_idx: str = "first_idx",
@@ -113,14 +108,8 @@ def holdout_parts(df: DataFrame, decade_col: str, file_col: str, idx_col: str,
 
 
 def split_contiguous(df: DataFrame, n: int, order: list, out: str = "part") -> DataFrame:
-    """``ntile(n)`` over ``order`` (1-based part numbers) from a
-    distributed global row index."""
-    idx = global_index(df, order, "_i")
-    # the row count enters as a scalar subquery (computed once)
-    j = idx.withColumn("_N", df.agg(F.count(F.lit(1))).scalar())
-    q = F.floor(F.col("_N") / F.lit(n))
-    r = F.col("_N") % F.lit(n)
-    big = r * (q + 1)
-    part = F.when(F.col("_i") < big, F.floor(F.col("_i") / (q + 1))) \
-            .otherwise(r + F.floor((F.col("_i") - big) / F.greatest(q, F.lit(1))))
-    return j.withColumn(out, (part + 1).cast("bigint")).drop("_i", "_N")
+    """``ntile(n)`` over ``order`` (1-based part numbers)."""
+    total = F.count(F.lit(1))
+    q, r = F.floor(total / F.lit(n)), total % F.lit(n)
+    starts = df.agg(F.array(*[F.lit(i) * q + F.least(F.lit(i), r) for i in range(1, n)]).cast("array<bigint>").alias("starts"))
+    return part_of(df, [], order, starts, "_part").withColumn(out, F.col("_part") + 1).drop("_part")

@@ -165,7 +165,7 @@ URL_INDEXED = r"/[a-z]{2}/(\d{3})(?:[^0-9]|$)"
 
 
 def try_int_sql(x: str) -> str:
-    return f"CASE WHEN regexp_matches({x}, '^\\s*[+-]?\\d{{1,9}}\\s*$') THEN CAST(trim({x}) AS INTEGER) END"
+    return f"CASE WHEN regexp_matches({x}, '^\\s*[+-]?\\d+\\s*$') THEN TRY_CAST(trim({x}) AS BIGINT) END"
 
 
 @register("page_number_from_link", f"""
@@ -527,7 +527,7 @@ FROM dj JOIN f ON dj.n_nationkey = f.c_nationkey AND dj.j = f.j
 def q_draw_unseen(spark, sf):
     d = q_sample_with_replacement(spark, sf).withColumn("draw_key", F.col("draw_no"))
     files = T(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("n_nationkey"), "c_custkey")
-    out = sampling.draw_unseen(d, files, "n_nationkey", "c_custkey", k_max=5, seed=42)
+    out = sampling.draw_unseen(d, files, "n_nationkey", "c_custkey", seed=42)
     return out.select("n_regionkey", "draw_no", "n_nationkey", "c_custkey")
 
 
@@ -615,6 +615,50 @@ def q_split_contiguous(spark, sf):
     return splits.split_contiguous(o, 7, ["o_orderkey"], "part")
 
 
+# ---- the same operators where the order key repeats: every row once, exact sizes
+REPEATED_STRAT_SQL = STRAT_SQL.replace("SELECT doc_id, quality, toxic FROM labels",
+                                       "SELECT l_orderkey AS doc_id, l_returnflag AS quality, 0 AS toxic FROM lineitem")
+
+
+@register("split_repeated_keys", """
+SELECT part, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys
+FROM (SELECT l_orderkey, CAST(ntile(7) OVER (ORDER BY l_orderkey DESC) AS BIGINT) AS part FROM lineitem) GROUP BY part
+""")
+def q_split_repeated_keys(spark, sf):
+    li = T(spark, sf, "lineitem").select("l_orderkey", "l_shipdate")
+    parts = splits.split_contiguous(li, 7, [ordering.Desc("l_orderkey")], "part")
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@register("renumber_repeated_keys", """
+SELECT l_orderkey, min(i) AS first, max(i) AS last, count(DISTINCT i) AS n
+FROM (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS i FROM lineitem) GROUP BY l_orderkey
+""")
+def q_renumber_repeated_keys(spark, sf):
+    li = T(spark, sf, "lineitem").select("l_orderkey", "l_shipdate")
+    i = ordering.global_index(li, ["l_orderkey"], "i")
+    return i.groupBy("l_orderkey").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.countDistinct("i").alias("n"))
+
+
+@register("batch_accuracy_repeated_keys", """
+SELECT round(avg(a), 6) AS batch_accuracy FROM (
+  SELECT avg(CAST(l_orderkey % 2 = l_orderkey % 3 AS INT)) AS a
+  FROM (SELECT l_orderkey, (row_number() OVER (ORDER BY l_orderkey) - 1) // 16 AS b FROM lineitem) GROUP BY b)
+""")
+def q_batch_accuracy_repeated_keys(spark, sf):
+    li = T(spark, sf, "lineitem").select("l_orderkey", (F.col("l_orderkey") % 2).alias("y"), (F.col("l_orderkey") % 3).alias("p"))
+    return metrics.batch_accuracy(li, "y", "p", ["l_orderkey"]).select(r6("batch_accuracy").alias("batch_accuracy"))
+
+
+@register("stratified_repeated_keys", REPEATED_STRAT_SQL + """
+SELECT quality AS class, split, count(*) AS n FROM split GROUP BY quality, split
+""")
+def q_stratified_repeated_keys(spark, sf):
+    li = T(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_shipdate")
+    s = splits.stratified_split(li, "l_returnflag", "l_orderkey", seed=42)
+    return s.groupBy(F.col("l_returnflag").alias("class"), "split").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("row_counts", """
 SELECT 'part_' || CAST(part AS VARCHAR) AS part, count(*) AS n FROM
   (SELECT ntile(7) OVER (ORDER BY o_orderkey) AS part FROM orders) GROUP BY part
@@ -838,26 +882,28 @@ def q_weighted_log_loss(spark, sf):
 
 
 @register("smoothed_log_loss", """
-WITH s AS (SELECT label % 3 AS y, l, list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) AS lse
-           FROM (SELECT label, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings))
-SELECT round(sum(0.8 * [1.0, 2.0, 5.0][y + 1] * (lse - l[y + 1])
-                 + 0.2 / 3 * (1.0 * (lse - l[1]) + 2.0 * (lse - l[2]) + 5.0 * (lse - l[3])))
-             / sum([1.0, 2.0, 5.0][y + 1]), 6) AS log_loss
+WITH s AS (SELECT label AS y, l, list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) AS lse,
+                  list_transform(range(0, 64), lambda c: 1.0 + c % 3) AS w
+           FROM (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings))
+SELECT round(sum(0.8 * w[y + 1] * (lse - l[y + 1])
+                 + 0.2 / 64 * list_sum(list_transform(range(1, 65), lambda c: w[c] * (lse - l[c]))))
+             / sum(w[y + 1]), 6) AS log_loss
 FROM s
 """)
 def q_smoothed_log_loss(spark, sf):
-    e = emb(spark, sf, 3).withColumn("y", F.pmod("label", F.lit(3)))
-    m = metrics.smoothed_log_loss(e, "logits", "y", [1.0, 2.0, 5.0], 0.2)
+    # the whole vector: 64 classes, weights 1, 2, 3 in turn
+    m = metrics.smoothed_log_loss(emb(spark, sf), "logits", "label", [1.0 + c % 3 for c in range(64)], 0.2)
     return m.select(r6("log_loss").alias("log_loss"))
 
 
 @register("binary_logit_loss", """
 SELECT round(avg(y * (greatest(-z, 0) + ln(1 + exp(-abs(z)))) + (1 - y) * (greatest(z, 0) + ln(1 + exp(-abs(z))))), 6)
        AS log_loss
-FROM (SELECT CAST(embedding[1] AS DOUBLE) AS z, CAST(label % 2 AS DOUBLE) AS y FROM embeddings)
+FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS z, CAST(label % 2 AS DOUBLE) AS y FROM embeddings)
 """)
 def q_binary_logit_loss(spark, sf):
-    e = T(spark, sf, "embeddings").select(F.col("embedding")[0].cast("double").alias("z"),
+    # every entry of the vector is a logit
+    e = T(spark, sf, "embeddings").select(F.explode(F.col("embedding").cast("array<double>")).alias("z"),
                                           F.pmod("label", F.lit(2)).alias("y"))
     return metrics.binary_logit_loss(e, "z", "y").select(r6("log_loss").alias("log_loss"))
 
@@ -957,18 +1003,39 @@ def q_colon_cut(spark, sf):
     return s.filter(F.col("before") < 2).select("event_id")
 
 
-@register("first_distinct_pairs", """
-WITH p AS (SELECT page_id, split_part(url, '/', 4) AS file, split_part(url, '/', 3) AS link FROM pages),
-f AS (SELECT file, arg_min(link, page_id) AS link, min(page_id) AS page_id FROM p GROUP BY file)
-SELECT file, link, page_id FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id) AS rn FROM f)
-WHERE rn = 1
-""")
+def greedy_pairs_sql(table_sql: str) -> str:
+    """Walk the distinct (file, link) pairs in order of their first row; keep a
+    pair when neither its file nor its link has been kept."""
+    return f"""
+WITH RECURSIVE p AS ({table_sql}),
+d AS (SELECT file, link, min(row_id) AS row_id FROM p GROUP BY file, link),
+n AS (SELECT *, row_number() OVER (ORDER BY row_id) AS i FROM d),
+w AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS files, CAST([] AS VARCHAR[]) AS links, CAST(NULL AS BIGINT) AS row_id
+  UNION ALL
+  SELECT n.i, CASE WHEN k THEN list_append(files, n.file) ELSE files END, CASE WHEN k THEN list_append(links, n.link) ELSE links END,
+         CASE WHEN k THEN n.row_id END
+  FROM (SELECT n.*, w.files, w.links, NOT (list_contains(w.files, n.file) OR list_contains(w.links, n.link)) AS k
+        FROM w JOIN n ON n.i = w.i + 1) n)
+SELECT d.file, d.link, d.row_id FROM w JOIN d ON d.row_id = w.row_id
+"""
+
+
+@register("first_distinct_pairs", greedy_pairs_sql(
+    "SELECT page_id AS row_id, split_part(url, '/', 4) AS file, split_part(url, '/', 3) AS link FROM pages"))
 def q_first_distinct_pairs(spark, sf):
-    p = T(spark, sf, "pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(4)).alias("file"),
+    p = T(spark, sf, "pages").select(F.col("page_id").alias("row_id"), F.split_part("url", F.lit("/"), F.lit(4)).alias("file"),
                                      F.split_part("url", F.lit("/"), F.lit(3)).alias("link"))
-    f = p.groupBy("file").agg(F.min_by("link", "page_id").alias("link"), F.min("page_id").alias("page_id"))
-    g = f.groupBy("link").agg(F.min_by("file", "page_id").alias("file"), F.min("page_id").alias("page_id"))
-    return g.select("file", "link", "page_id")
+    return setops.first_distinct_pairs(p, "file", "link", "row_id")
+
+
+@register("first_distinct_pairs_events", greedy_pairs_sql(
+    "SELECT event_id AS row_id, CAST(user_id AS VARCHAR) AS file, event_type || CAST(user_id % 7 AS VARCHAR) AS link FROM events"))
+def q_first_distinct_pairs_events(spark, sf):
+    # many pairs share a file or a link, so later pairs fill in for skipped ones
+    e = T(spark, sf, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").cast("string").alias("file"),
+                                      F.concat("event_type", F.pmod("user_id", F.lit(7)).cast("string")).alias("link"))
+    return setops.first_distinct_pairs(e, "file", "link", "row_id")
 
 
 # ---------------------------------------------------------------- D4/G1, D5 on conversations / pages
@@ -1202,7 +1269,7 @@ def q_positional_classifier(spark, sf):
     from pagecurate.plans import learn
     rows = filters.drop_incomplete(positional_rows(spark, sf), POS_NUMERIC)
     feats = learn.positional_features(rows, POS_NUMERIC, POS_FLAGS, fit_on=F.col("split") == "train")
-    model = learn.fit_positional_classifier(feats.filter(F.col("split") == "train"), "label", max_iter=8)
+    model = learn.fit_positional_classifier(feats.filter(F.col("split") == "train"), "label")
     out = model.transform(feats)
     raw = F.col("rawPrediction")
     from pyspark.ml.functions import vector_to_array
@@ -1220,7 +1287,7 @@ def q_combined_classifier(spark, sf):
                       (F.col("lang") == "en").alias("is_en"))
     pos = learn.positional_features(pos, ["n_chars", "n_lines"], ["is_en"], fit_on=F.col("split") == "train")
     model = learn.fit_combined_classifier(data.filter(F.col("split") == "train"), pos, "doc_id", "text",
-                                          "marginal_text", max_iter=15)
+                                          "marginal_text")
     scored = data.join(pos.select("doc_id", "_pos"), "doc_id")
     return learn.predictions(model, scored, ["doc_id", "split", "marginal_text"])
 
@@ -1246,13 +1313,44 @@ def q_evaluate_saved_model(spark, sf):
     return metrics.weighted_metrics(preds, "marginal_text", "preds")
 
 
-@register("active_learning")
+def al_rounds_sql(rounds: int) -> str:
+    """CTE ``picks`` (vec_id, round): every round draws 50 of what is left and picks 10."""
+    u = "1.0 - 1.0 / list_sum(list_transform(l, lambda x: exp(x - list_max(l))))"
+    parts, picks = [f"p0 AS (SELECT vec_id, {EMB_ALL} AS l FROM embeddings)"], []
+    for r in range(1, rounds + 1):
+        parts += [f"s{r} AS (SELECT * FROM p{r - 1} ORDER BY {hash_sql(41 + r, 'vec_id')}, vec_id LIMIT 50)",
+                  f"u{r} AS (SELECT vec_id, {u} AS u FROM s{r})",
+                  f"a{r} AS (SELECT vec_id FROM u{r} ORDER BY u DESC, vec_id LIMIT 10)",
+                  f"p{r} AS (SELECT * FROM p{r - 1} WHERE vec_id NOT IN (SELECT vec_id FROM a{r}))"]
+        picks.append(f"SELECT vec_id, {r} AS round FROM a{r}")
+    return f"WITH {', '.join(parts)}, picks AS ({' UNION ALL '.join(picks)})"
+
+
+@register("active_learning", al_rounds_sql(5) + """
+SELECT e.vec_id, CAST(e.label % 2 AS BIGINT) AS label, CAST(a.round AS BIGINT) AS round
+FROM picks a JOIN embeddings e ON e.vec_id = a.vec_id
+""")
 def q_active_learning(spark, sf):
     from pagecurate.plans.active import active_learning
     e = emb(spark, sf)
-    labelled, _pool = active_learning(e.select("vec_id", "logits"), e.select("vec_id", "label"),
-                                      id_col="vec_id", rounds=5)
-    return labelled
+    # labels 0/1 for every row: each pick is accepted
+    done = active_learning(e.select("vec_id", "logits"), e.select("vec_id", F.pmod("label", F.lit(2)).alias("label")),
+                           id_col="vec_id", rounds=5)
+    return done.labelled.select("vec_id", F.col("label").cast("bigint").alias("label"), F.col("round").cast("bigint").alias("round"))
+
+
+@register("active_learning_states", al_rounds_sql(5) + """
+SELECT e.vec_id, CAST(coalesce(a.round, 0) AS BIGINT) AS round,
+       CASE WHEN a.round IS NULL THEN 'pool' WHEN e.label IN (0, 1) THEN 'labelled' ELSE 'rejected' END AS state
+FROM embeddings e LEFT JOIN picks a ON e.vec_id = a.vec_id
+""")
+def q_active_learning_states(spark, sf):
+    from pagecurate.plans.active import active_learning
+    e = emb(spark, sf)
+    # the raw labels 0..9: picks with another label than 0/1 are rejected
+    done = active_learning(e.select("vec_id", "logits"), e.select("vec_id", "label"), id_col="vec_id", rounds=5)
+    states = [(done.labelled, "labelled"), (done.rejected, "rejected"), (done.pool.withColumn("round", F.lit(0)), "pool")]
+    return setops.concat(*[t.select("vec_id", F.col("round").cast("bigint").alias("round"), F.lit(s).alias("state")) for t, s in states])
 
 
 # ---------------------------------------------------------------- E8, E22 per split, I5, flagship

@@ -40,13 +40,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     writes there.
 
     A cluster names a shared folder in ``spark.checkpoint.dir`` (read from the
-    session, never overridden). Only when nothing is configured (local tests)
-    is a scratch folder of our own registered, through the SparkContext since
-    the setting itself cannot change in a running session."""
+    session, never overridden). Only a ``local`` master, where driver and
+    executors are one process, gets a scratch folder of our own when nothing is
+    configured; elsewhere that would be a folder of the driver's machine, so it
+    is an error."""
     sc = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_CONF, None) or None
     if sc.getCheckpointDir() is None:
         if root is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="pagecurate-ckpt-")
         sc.setCheckpointDir(root)
     if root is None:

@@ -52,9 +52,12 @@ def test_active_learning_rounds(spark):
     pool = spark.createDataFrame([(i, [float(i % 5), float((i * 7) % 5), 0.5]) for i in range(30)],
                                  "id INT, logits ARRAY<DOUBLE>")
     ann = spark.createDataFrame([(i, i % 3) for i in range(30)], "id INT, label INT")  # label 2 is rejected
-    labelled, rest = active_learning(pool, ann, id_col="id", rounds=3, pool_size=10, batch=4, seed=3)
-    lab = labelled.collect()
+    done = active_learning(pool, ann, id_col="id", rounds=3, pool_size=10, batch=4, seed=3)
+    lab, rest = done.labelled.collect(), done.pool
     picked_rounds = {r["round"] for r in lab}
     assert picked_rounds <= {1, 2, 3} and all(r.label in (0, 1) for r in lab)
-    assert rest.count() == 30 - 12                       # every picked row leaves the pool
+    rejected = {r.id for r in done.rejected.collect()}
+    assert {r.id % 3 for r in done.rejected.collect()} <= {2} and len(rejected) + len(lab) == 12
+    ids = {r.id for r in lab} | rejected | {r.id for r in rest.collect()}
+    assert len(ids) == rest.count() + len(lab) + len(rejected) == 30   # no row is lost
     assert not {r.id for r in lab} & {r.id for r in rest.collect()}
