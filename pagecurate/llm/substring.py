@@ -47,12 +47,15 @@ from pagecurate.llm.hashing import mix, window_hashes, word_hashes
 WINDOW = 35
 GRAM = 8
 #: Words that one FM-index holds.
-SHARD_WORDS = 1_000_000
-#: Places of an anchor beyond which it is split by content.
-HOT = 4_096
+SHARD_WORDS = 500_000
+#: Places of an anchor beyond which it is split by content. So many pieces hold
+#: two million words, some 200 MB while their index is built.
+HOT = 32_768
 #: Longest piece that is streamed at once; pieces overlap by WINDOW - 1 words.
 PIECE = 256
 MOST_BROADCAST = 500_000
+#: Places or runs (some 24 bytes each) that a join with the texts may broadcast.
+MOST_PLACES = 2_000_000
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -75,9 +78,26 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = _slide(grams, span, np.minimum)
     least[span - 1:span - 1 + len(low)] = low
     places = np.flatnonzero(_slide(least, span, np.maximum) == grams)
+    same = grams[places[1:]] == grams[places[:-1]]
+    if same.any():
+        places = places[_thinned(places, same, span)]
     return grams[places], places
 
 
+def _thinned(places: np.ndarray, same: np.ndarray, span: int) -> np.ndarray:
+    """Of places with one hash in a row (repeated words), as many as it takes
+    that every window over one of them still holds one: places that are kept lie
+    at most ``span`` apart. Equal windows need the same hash, not the same place."""
+    keep, last = [True], int(places[0])
+    after = [*same.tolist()[1:], False]
+    for i, (equal, next_equal) in enumerate(zip(same.tolist(), after), 1):
+        inner = equal and next_equal and places[i + 1] - last <= span
+        keep.append(not inner)
+        if not inner:
+            last = int(places[i])
+    return np.array(keep)
+
+
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -230,27 +250,28 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated_runs(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, runs) of the repeated runs of each class (node, rep, words_hash, anchors, places)."""
+    """(node, start, end) of the repeated runs of the classes (node, rep, words_hash, anchors, places)."""
     at = classes.select("node", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("node", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
     often = written(at.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "sub-anchors")
     places = written(at.join(hinted(often, MOST_BROADCAST), "anchor"), "sub-places")
     found = places.groupBy("node").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("found"))
     # a class is searched in one of its texts; the hash of its words is checked there
-    rows = _of_classes(texts, classes, found)
+    rows = _of_classes(texts, classes, found, places)
     pieces = written(rows.mapInArrow(_cut, "route long, second long, node long, start int, words binary"), "sub-pieces")
     whole = pieces.filter("words IS NOT NULL").select("route", "node", "start", "words")
     runs = whole.repartition("route").sortWithinPartitions("route").mapInArrow(_indexer(SHARD_WORDS), "node long, start int, end int")
     single = pieces.filter("words IS NULL").select("route", "second", "node", "start").distinct()
     twice = single.groupBy("route", "second").count().filter("count > 1").drop("count")
     runs = runs.unionByName(single.join(twice, ["route", "second"]).select("node", "start", (F.col("start") + WINDOW).alias("end")))
-    runs = written(runs.distinct(), "sub-runs")
-    return runs.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    return written(runs.distinct(), "sub-runs")
 
 
-def _of_classes(texts: DataFrame, classes: DataFrame, per_node: DataFrame) -> DataFrame:
-    """The texts of some classes, with what is known of each (per_node)."""
+def _of_classes(texts: DataFrame, classes: DataFrame, per_node: DataFrame, entries: DataFrame) -> DataFrame:
+    """The texts of some classes, with what is known of each: ``per_node``, the
+    lists of ``entries``. Broadcast when the entries are few enough."""
     keyed = written(per_node.join(classes.select("node", "rep", "words_hash"), "node"), "sub-nodes")
-    return texts.join(hinted(keyed, MOST_BROADCAST // 4), F.col("id").eqNullSafe(F.col("rep"))).drop("id", "rep")
+    few = entries.limit(MOST_PLACES + 1).count() <= MOST_PLACES
+    return texts.join(F.broadcast(keyed) if few else keyed, F.col("id").eqNullSafe(F.col("rep"))).drop("id", "rep")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +285,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                       .withColumn("node", F.monotonically_increasing_id()), "sub-classes")
     runs = _repeated_runs(classes, texts)
     alone = classes.filter("copies = 1")
-    changed = _of_classes(texts, alone, runs).mapInArrow(_remove, "node long, n_removed long, kept_sha256 string, kept_text string")
+    per_node = runs.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    changed = _of_classes(texts, alone, per_node, runs).mapInArrow(_remove, "node long, n_removed long, kept_sha256 string, kept_text string")
     known = classes.select("words_hash", "copies", "node").join(changed, "node", "left").drop("node")
     rows = signed.select("doc_id", "n_words", "words_hash", "all_sha256").join(known, "words_hash", "left")
     copied = F.coalesce(F.col("copies") > 1, F.lit(False))

@@ -85,11 +85,12 @@ def corpus():
             w[k:k] = p
         rows.append((i, random.choice([" ", "\n", "  "]).join(w)))
     rows += [(100, rows[7][1]), (7, rows[7][1]), (None, rows[8][1]), (None, "u " * 90), (101, "y " * 34), (102, "z " * 35), (103, None), (104, "")]
+    rows += [(110 + i, " ".join(["p q r"] * n + random.choices(v, k=5) + ["p q r"] * 20)) for i, n in enumerate((1, 9, 12, 13, 40))]
     rows += [(7, " ".join(passages[3])), (105, " ".join(random.choices(v, k=20_000)) + " " + " ".join(passages[4]))]
     return rows
 
 
-@pytest.mark.parametrize("hot,shard", [(4096, 1_000_000), (2, 1_000_000), (4096, 50)])
+@pytest.mark.parametrize("hot,shard", [(32768, 1_000_000), (2, 1_000_000), (32768, 50)])
 def test_equals_brute_force(spark, monkeypatch, hot, shard):
     monkeypatch.setattr(substring, "HOT", hot)
     monkeypatch.setattr(substring, "SHARD_WORDS", shard)
