@@ -72,8 +72,3 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
             m = memo[long_] = char_masks(long_)
         out.append(indel_ratio_py(long_, short, m))
     return pd.Series(out, dtype="Int32")
-
-
-def ratio_upper_bound(len_a, len_b):
-    """Largest ratio two texts of these lengths can reach (a Column expression)."""
-    return F.lit(200.0) * F.least(len_a, len_b) / F.greatest(len_a + len_b, F.lit(1))

@@ -1,9 +1,7 @@
 """Joins (D1-D3, D6-D8).
 
-Broadcast hints are placed only on sides whose size is bounded by construction
-(role tables of at most 6 files per decade, quota tables of a few classes);
-everything else is left to AQE, which switches to a broadcast at run time from
-measured sizes (``spark.sql.adaptive.autoBroadcastJoinThreshold``).
+No broadcast hints: AQE switches to a broadcast at run time from measured sizes
+(``spark.sql.adaptive.autoBroadcastJoinThreshold``).
 """
 
 from __future__ import annotations
@@ -12,22 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def holdout_rows(df: DataFrame, files: DataFrame, key: str = "file",
-                 bounded: bool = False) -> DataFrame:
-    """Rows whose ``key`` is in ``files`` (left semi). ``bounded=True``
-    broadcasts ``files``; pass it only when its size is bounded by construction."""
-    f = files.select(key).distinct()
-    return df.join(F.broadcast(f) if bounded else f, key, "left_semi")
+def holdout_rows(df: DataFrame, files: DataFrame, key: str = "file") -> DataFrame:
+    """Rows whose ``key`` is in ``files`` (left semi)."""
+    return df.join(files.select(key).distinct(), key, "left_semi")
 
 
-def train_rows(df: DataFrame, *excluded: DataFrame, key: str = "file",
-               bounded: bool = False) -> DataFrame:
-    """Rows whose ``key`` is in none of ``excluded`` (left anti);
-    ``bounded`` as in ``holdout_rows``."""
+def train_rows(df: DataFrame, *excluded: DataFrame, key: str = "file") -> DataFrame:
+    """Rows whose ``key`` is in none of ``excluded`` (left anti)."""
     out = df
     for ex in excluded:
-        e = ex.select(key).distinct()
-        out = out.join(F.broadcast(e) if bounded else e, key, "left_anti")
+        out = out.join(ex.select(key).distinct(), key, "left_anti")
     return out
 
 
@@ -40,6 +32,7 @@ def update_by_id(df: DataFrame, updates: DataFrame, key: str = "id",
     there is no last one."""
     cols = [c for c in updates.columns if c != key and c != order_col]
     row = F.struct(F.lit(True).alias("_set"), *cols)
+    updates = updates.filter(F.col(key).isNotNull())  # no row has a NULL key in common
     if order_col:
         last = updates.groupBy(key).agg(F.max_by(row, F.col(order_col)).alias("_u"))
     else:

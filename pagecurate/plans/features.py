@@ -18,6 +18,8 @@ from pagecurate.operators.ordering import Desc, global_index
 # Special token ids.
 PAD_ID, UNK_ID, START_ID, END_ID = 0, 1, 2, 3
 FIRST_TOKEN_ID = 4
+#: Vocabulary rows that a join may broadcast (some 30 bytes each).
+BROADCAST_TOKENS = 1_000_000
 TOKEN_SPLIT = r"[^\p{L}\p{N}]++"  # possessive: same split, no backtracking
 
 
@@ -72,22 +74,28 @@ def build_vocabulary(df: DataFrame, text_col: str, min_count: int = 1,
 
 
 def encode_text(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame,
-                max_len: int = 128, vocab_bounded: bool = False) -> DataFrame:
+                max_len: int = 128, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(id, input_ids, attention_mask) of fixed length ``max_len``:
     start id, the first ``max_len - 2`` token ids, end id, then padding.
 
-    ``vocab_bounded``: the vocabulary has a fixed size (``max_size``), so it is
-    broadcast; otherwise AQE picks the join from measured sizes and splits
-    the partitions of very frequent tokens."""
+    A vocabulary of at most ``broadcast_tokens`` rows (counted) is broadcast. Of
+    a larger one the most frequent ``broadcast_tokens`` are, and only the other
+    tokens are shuffled by token, so a frequent token is never a join key."""
     body_len = max_len - 2
     # only the tokens that can be kept leave the row; a text without tokens
     # still yields one (empty) row, so every id reaches the result
     toks = df.select(id_col, F.posexplode_outer(F.slice(tokenize(text_col), 1, body_len)).alias("pos", "token"))
     v = vocab.select("token", "token_id")
-    ids = (toks.join(F.broadcast(v) if vocab_bounded else v, "token", "left")
-           .select(id_col, "pos",
-                   F.when(F.col("pos").isNotNull(), F.coalesce("token_id", F.lit(UNK_ID).cast("bigint")))
-                   .alias("token_id")))
+    unknown = F.when(F.col("pos").isNotNull(), F.coalesce("token_id", F.lit(UNK_ID).cast("bigint"))).alias("token_id")
+    if vocab.limit(broadcast_tokens + 1).count() <= broadcast_tokens:
+        ids = toks.join(F.broadcast(v), "token", "left").select(id_col, "pos", unknown)
+    else:
+        # ids follow the frequency, so the first ids are the frequent tokens
+        frequent = F.col("token_id") < FIRST_TOKEN_ID + broadcast_tokens
+        headed = toks.join(F.broadcast(v.filter(frequent)), "token", "left")
+        rare = F.col("token_id").isNull() & F.col("pos").isNotNull()
+        tail = headed.filter(rare).drop("token_id").join(v.filter(~frequent), "token", "left")
+        ids = headed.filter(~rare).select(id_col, "pos", "token_id").unionByName(tail.select(id_col, "pos", unknown))
     # at most max_len - 2 entries per id
     pair = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))
     enc = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(pair)).alias("_l"))

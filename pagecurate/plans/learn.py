@@ -18,6 +18,8 @@ narrow ``transform`` over all splits at once.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagecurate.functions.logits import log_softmax_at
-from pagecurate.operators.metrics import with_class_weights
+from pagecurate.operators.joins import zip_features
+from pagecurate.operators.metrics import class_weights, weighted_log_loss, with_class_weights
 from pagecurate.plans.features import TOKEN_SPLIT, standardise
 from pagecurate.session import ensure_checkpoint_dir
 
@@ -102,31 +105,41 @@ def fit_positional_classifier(train: DataFrame, label_col: str, n_inputs: int =
 def fit_combined_classifier(text_df: DataFrame, pos_df: DataFrame, key: str, text_col: str,
                             label_col: str, max_iter: int = 30) -> PipelineModel:
     """Text TF-IDF ∥ positional vector, joined by key."""
-    j = text_df.join(pos_df.select(key, "_pos"), key).withColumn("_y", F.col(label_col).cast("double")).cache()
+    j = zip_features(text_df, pos_df.select(key, "_pos"), key).withColumn("_y", F.col(label_col).cast("double")).cache()
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_SPLIT, toLowercase=True)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=1 << 16)
     idf = IDF(inputCol="_tf", outputCol="_txt")
     va = VectorAssembler(inputCols=["_txt", "_pos"], outputCol="_features")
     lr = LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=max_iter)
-    return Pipeline(stages=[tok, tf, idf, va, lr]).fit(j)
+    try:
+        return Pipeline(stages=[tok, tf, idf, va, lr]).fit(j)
+    finally:
+        j.unpersist()
 
 
-def validation_log_loss(model, val: DataFrame, label_col: str) -> DataFrame:
-    """E17 of a fitted model's raw scores on the validation rows."""
+def validation_log_loss(model, val: DataFrame, label_col: str, weights: DataFrame | None = None) -> DataFrame:
+    """E17 of a fitted model's raw scores on the validation rows; with class
+    ``weights`` (label, weight) of the training rows E18, the loss that the
+    weighted fit minimises."""
     raw = model.transform(val).select(vector_to_array("rawPrediction").alias("_l"),
                                       F.col(label_col).cast("int").alias("_y"))
-    return raw.agg(F.avg(-log_softmax_at("_l", F.col("_y"))).alias("log_loss"))
+    if weights is None:
+        return raw.agg(F.avg(-log_softmax_at("_l", F.col("_y"))).alias("log_loss"))
+    w = weights.select(F.col(weights.columns[0]).cast("int").alias("_y"), F.col("weight").alias("_w"))
+    return weighted_log_loss(raw.join(w, "_y"), "_l", "_y", "_w")
 
 
 def choose_model(train: DataFrame, val: DataFrame, text_col: str, label_col: str,
                  regs=(0.0, 0.01, 0.1), weighted: bool = True, max_iter: int = 30):
-    """Fit one model per ``regParam``, keep the lowest validation loss.
+    """Fit one model per ``regParam``, keep the lowest validation loss
+    (class-weighted when the fit is).
     Returns (best model, table of (reg, log_loss))."""
     spark = train.sparkSession
     fitted, rows = [], []
+    weights = class_weights(train, label_col) if weighted else None
     for r in regs:
         m = fit_text_classifier(train, text_col, label_col, weighted=weighted, reg=r, max_iter=max_iter)
-        loss = validation_log_loss(m, val, label_col).first()["log_loss"]
+        loss = validation_log_loss(m, val, label_col, weights).first()["log_loss"]
         fitted.append(m)
         rows.append((float(r), float(loss)))
     best = min(range(len(rows)), key=lambda i: rows[i][1])
@@ -134,9 +147,10 @@ def choose_model(train: DataFrame, val: DataFrame, text_col: str, label_col: str
 
 
 def save_model(model: PipelineModel, name: str) -> str:
-    """A10: persist under the shared checkpoint folder (or an explicit path)."""
-    spark = _active()
-    path = name if "/" in name else f"{ensure_checkpoint_dir(spark)}/models/{name}"
+    """A10: persist at an explicit path, or under ``name`` in a folder of its
+    own below the shared checkpoint folder, so that runs do not overwrite each
+    other. Returns the path."""
+    path = name if "/" in name else f"{ensure_checkpoint_dir(_active())}/models/{uuid.uuid4().hex}/{name}"
     model.write().overwrite().save(path)
     return path
 

@@ -88,6 +88,7 @@ def positional_features(annotated: DataFrame, records: DataFrame, layouts: DataF
     norm = box_normalise(box, "page_width", "page_height")
     feats = m.select("id", *[norm[k].alias(c) for k, c in
                              zip(("left", "upper", "right", "lower"), POSITION_COLS)])
-    meta_cols = segs.select("id", *RECORD_COLS)
+    # an id that occurs on several pages takes its last place
+    meta_cols = segs.select("id", *RECORD_COLS, F.struct("file", "page_ord", "elem_ord").alias("_at"))
     upd = meta_cols.join(feats, "id", "left")
-    return update_by_id(annotated, upd, key="id")
+    return update_by_id(annotated, upd, key="id", order_col="_at")

@@ -63,15 +63,20 @@ def segment_label_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
         "doc_id", F.col("quality").alias("marginal_text"), F.col("toxic").alias("merged"))
     split = stratified_split(labels, "marginal_text", "doc_id", seed=42)
-    seg = document_segments(spark, sf_dir)
-    joined = update_by_id(seg, split, key="doc_id").filter(F.col("split").isNotNull())
-    ft = final_target("marginal_text", "merged")
+    # segments are counted per document before labels and splits come in
+    per_doc = document_segments(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    joined = update_by_id(per_doc, split, key="doc_id").filter(F.col("split").isNotNull())
+    third = (final_target("marginal_text", "merged") == 2).cast("double")
+
+    def share(value):
+        return F.sum(value * F.col("n")) / F.sum(F.when(value.isNotNull(), F.col("n")))
+
     r = joined.rollup("split").agg(
-        F.count(F.lit(1)).alias("segments"),
-        F.countDistinct("doc_id").alias("documents"),
-        F.avg("marginal_text").alias("marginal_share"),
-        F.avg("merged").alias("merged_share"),
-        F.avg((ft == 2).cast("double")).alias("merged_class_share"),
+        F.sum("n").alias("segments"),
+        F.count(F.lit(1)).alias("documents"),
+        share(F.col("marginal_text")).alias("marginal_share"),
+        share(F.col("merged")).alias("merged_share"),
+        share(third).alias("merged_class_share"),
         F.grouping("split").alias("_g"))
     return r.select(F.when(F.col("_g") == 1, F.lit("total")).otherwise(F.col("split")).alias("split"),
                     "segments", "documents",

@@ -88,9 +88,9 @@ def file_holdout_split(df: DataFrame, decade_col: str, file_col: str, idx_col: s
     """Every row with the role of its file (test / val / train)."""
     firsts = files_by_decade(df, decade_col, file_col, idx_col)
     roles = holdout_roles(firsts, decade_col, file_col, "first_idx", n_test, n_val)
-    # held-out files are at most (n_test + n_val) per decade: bounded broadcast
+    # held-out files are at most (n_test + n_val) per decade; their measured size picks the join
     r = roles.select(file_col, "role")
-    return df.join(F.broadcast(r), file_col, "left").withColumn(
+    return df.join(r, file_col, "left").withColumn(
         "role", F.coalesce(F.col("role"), F.lit(TRAIN)))
 
 
@@ -101,10 +101,9 @@ def holdout_parts(df: DataFrame, decade_col: str, file_col: str, idx_col: str,
     roles = holdout_roles(firsts, decade_col, file_col, "first_idx", n_test, n_val)
     test = roles.filter(F.col("role") == TEST)
     val = roles.filter(F.col("role") == VAL)
-    # held-out files: at most n_test + n_val per decade, so the broadcast is bounded
-    return {TEST: holdout_rows(df, test, file_col, bounded=True),
-            VAL: holdout_rows(df, val, file_col, bounded=True),
-            TRAIN: train_rows(df, test, val, key=file_col, bounded=True)}
+    return {TEST: holdout_rows(df, test, file_col),
+            VAL: holdout_rows(df, val, file_col),
+            TRAIN: train_rows(df, test, val, key=file_col)}
 
 
 def split_contiguous(df: DataFrame, n: int, order: list, out: str = "part") -> DataFrame:

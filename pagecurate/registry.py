@@ -1142,7 +1142,7 @@ def q_encode_text_fixed_vocab(spark, sf):
     from pagecurate.plans.features import build_vocabulary, encode_text
     d = T(spark, sf, "documents").select("doc_id", "text")
     vocab = build_vocabulary(d, "text", max_size=5000)
-    enc = encode_text(d, "doc_id", "text", vocab, max_len=128, vocab_bounded=True)
+    enc = encode_text(d, "doc_id", "text", vocab, max_len=128)
     return enc.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"),
                       F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_len"))
 
@@ -1210,8 +1210,7 @@ def labelled_docs(spark, sf, target="quality") -> DataFrame:
                                        F.col("toxic").alias("merged"))
     j = d.join(lb, "doc_id")
     tcol = {"quality": "marginal_text", "toxic": "merged"}.get(target, target)
-    # read by several fits and the scoring pass
-    return splits.stratified_split(j, tcol, "doc_id", seed=42).cache()
+    return splits.stratified_split(j, tcol, "doc_id", seed=42)
 
 
 @register("text_classifier")
@@ -1353,6 +1352,112 @@ def q_active_learning_states(spark, sf):
     return setops.concat(*[t.select("vec_id", F.col("round").cast("bigint").alias("round"), F.lit(s).alias("state")) for t, s in states])
 
 
+# ---- checks of the fitted models (J2-J7, A10): every row is predicted, the
+# predicted class is the argmax of the logits, splits have their exact sizes
+def prediction_check(preds: DataFrame, label_col: str, n_logits: int) -> DataFrame:
+    logits = F.array(*[F.col(f"logits{i + 1}") for i in range(n_logits)])
+    off = F.col("preds") != fx.argmax_class(logits)
+    return preds.groupBy("split", F.col(label_col).cast("bigint").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"),
+        F.count_if(off | F.col("preds").isNull()).alias("not_argmax"),
+        F.count_if(F.exists(logits, lambda x: x.isNull() | F.isnan(x))).alias("no_logits"))
+
+
+def prediction_check_sql(stratum: str, label: str) -> str:
+    src = STRAT_SQL.replace("SELECT doc_id, quality, toxic FROM labels",
+                            f"SELECT l.doc_id, l.{stratum} AS quality, l.quality AS q, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+    return src + f"""
+SELECT s.split, CAST({label} AS BIGINT) AS label, count(*) AS n, count(DISTINCT s.doc_id) AS docs, 0 AS not_argmax, 0 AS no_logits
+FROM split s JOIN labels l ON s.doc_id = l.doc_id GROUP BY ALL
+"""
+
+
+@register("text_classifier_check", prediction_check_sql("quality", "l.quality"))
+def q_text_classifier_check(spark, sf):
+    return prediction_check(q_text_classifier(spark, sf), "marginal_text", 2)
+
+
+@register("weighted_text_classifier_check", prediction_check_sql("quality", "l.quality"))
+def q_weighted_text_classifier_check(spark, sf):
+    return prediction_check(q_weighted_text_classifier(spark, sf), "marginal_text", 2)
+
+
+@register("merged_classifier_check", prediction_check_sql("toxic", "l.toxic"))
+def q_merged_classifier_check(spark, sf):
+    return prediction_check(q_merged_classifier(spark, sf), "merged", 2)
+
+
+@register("multiclass_classifier_check", prediction_check_sql("quality", "coalesce(l.quality, 0) + coalesce(l.toxic, 0)"))
+def q_multiclass_classifier_check(spark, sf):
+    return prediction_check(q_multiclass_classifier(spark, sf), "final_target", 3)
+
+
+@register("combined_classifier_check", prediction_check_sql("quality", "l.quality"))
+def q_combined_classifier_check(spark, sf):
+    return prediction_check(q_combined_classifier(spark, sf), "marginal_text", 2)
+
+
+@register("positional_classifier_check", """
+SELECT CASE WHEN year(l_shipdate) < 1997 THEN 'train' ELSE 'test' END AS split, CAST(l_returnflag = 'R' AS BIGINT) AS label,
+       count(*) AS n, 0 AS off
+FROM lineitem GROUP BY ALL
+""")
+def q_positional_classifier_check(spark, sf):
+    off = (F.col("preds") != (F.col("logits") > 0).cast("int")) | F.col("logits").isNull()
+    return q_positional_classifier(spark, sf).groupBy("split", F.col("label").cast("bigint").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(off).alias("off"))
+
+
+@register("saved_model_check", """
+SELECT count(*) AS n, 0 AS differing FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+""")
+def q_saved_model_check(spark, sf):
+    from pagecurate.plans import learn
+    data = labelled_docs(spark, sf)
+    model = learn.fit_text_classifier(data.filter(F.col("split") == "train"), "text", "marginal_text", weighted=True)
+    loaded = learn.load_model(learn.save_model(model, "check"))
+    a, b = (learn.predictions(m, data, ["doc_id"]).select("doc_id", F.struct("preds", "logits1", "logits2").alias(c))
+            for m, c in ((model, "a"), (loaded, "b")))
+    return a.join(b, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("differing"))
+
+
+# ---- A1-A3 over files: documents written as TEI records below the shared folder
+def tei_text():
+    """A record: four lines to a page, notes and segs in turn, links and ids."""
+    def escaped(x):
+        return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    doc = F.col("doc_id").cast("string")
+
+    def line(x, k):
+        page = F.lpad((k / 4).cast("int").cast("string"), 3, "0")
+        pb = F.when(k % 4 == 0, F.concat(F.lit('<pb facs="https://a.b/c/prot_1900_'), doc, F.lit("-"), page, F.lit('.jp2/_view"/>')))
+        tag = F.when(k % 2 == 0, "note").otherwise("seg")
+        ident = F.concat(F.lit("d"), doc, F.lit("-l"), k.cast("string"))
+        return F.concat(F.coalesce(pb, F.lit("")), F.lit("<"), tag, F.lit(' xml:id="'), ident, F.lit('">'), escaped(x), F.lit("</"), tag, F.lit(">"))
+
+    body = F.array_join(F.transform(F.split("text", "\n", -1), line), "")
+    return F.concat(F.lit("<TEI><head>Prot. "), doc, F.lit("</head><body>"), body, F.lit("</body></TEI>"))
+
+
+@register("tei_records", f"""
+SELECT 'd' || CAST(doc_id AS VARCHAR) || '-l' || CAST(line_no AS VARCHAR) AS id,
+       CAST((line_no // 4) % 1000 + 1 AS BIGINT) AS page_number, text_line
+FROM (SELECT doc_id, line_no, {norm_sql('raw')} AS text_line FROM ({DOC_LINES_SQL})) WHERE length(text_line) > 0
+""")
+def q_tei_records(spark, sf):
+    import uuid
+
+    from pagecurate.session import ensure_checkpoint_dir
+    from pagecurate.sources.tei import read_records, segments_table
+    root = f"{ensure_checkpoint_dir(spark)}/tei-{uuid.uuid4().hex}"
+    d = T(spark, sf, "documents").select("doc_id", tei_text().alias("value"))
+    # one file per record
+    d.repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\n").text(root)
+    seg = segments_table(explode_pages(read_records(spark, root, pattern="part-*")))
+    return seg.select("id", F.col("page_number").cast("bigint").alias("page_number"), "text_line")
+
+
 # ---------------------------------------------------------------- E8, E22 per split, I5, flagship
 @register("block_text", """
 SELECT conv_id, turn, array_to_string(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> ''), ' ')

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagecurate.operators.setops import concat
 from pagecurate.plans.splits import split_contiguous
 
 
 def read_annotations(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A5: CSV with a header row; quoted fields may span lines."""
+    """A5: CSV with a header row; quoted fields may span lines, so one task reads
+    a whole file."""
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
             .option("escape", '"').csv(path))
 
@@ -54,8 +54,11 @@ def read_parts(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def read_part_files(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
-    """Separate part files, in lexicographic order, unioned by name."""
-    return concat(*[spark.read.format(fmt).load(p).withColumn("part_file", F.lit(p)) for p in sorted(paths)])
+    """Separate part files in one read, with the path each row comes from
+    (``part_file``) and in the order of these paths. Parts of one schema."""
+    from_part = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1)
+    parts = spark.read.format(fmt).load(sorted(paths))
+    return parts.withColumn("part_file", from_part).orderBy("part_file")
 
 
 def materialise_subset(records: DataFrame, path: str) -> None:

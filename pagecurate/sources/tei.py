@@ -26,7 +26,7 @@ ID_ATTR = "xml:id"
 LINK_ATTR = "facs"
 
 
-def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], pattern: str = "*.xml") -> DataFrame:
     """A1: every ``*.xml`` under ``path`` (recursively) -> (file, folder, value).
 
     A missing folder in a path list is skipped."""
@@ -35,7 +35,7 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     if not paths:
         schema = "file STRING, folder STRING, value STRING"
         return spark.createDataFrame([], schema)
-    df = (spark.read.option("pathGlobFilter", "*.xml")
+    df = (spark.read.option("pathGlobFilter", pattern)
           .option("recursiveFileLookup", "true")
           .text(paths, wholetext=True))
     file = F.col("_metadata.file_path")

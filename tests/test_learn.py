@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from pagecurate.operators.filters import drop_incomplete
 from pagecurate.plans import learn
 
 
@@ -41,7 +42,9 @@ def test_choose_model_and_save_load(spark, docs):
 def test_positional_features_vector(spark):
     df = spark.createDataFrame([(1, 10.0, 2.0, True, "train"), (2, 20.0, 2.0, False, "train"),
                                 (3, 30.0, None, True, "test")], "id INT, a DOUBLE, b DOUBLE, f BOOLEAN, split STRING")
-    out = learn.positional_features(df, ["a", "b"], ["f"], fit_on=F.col("split") == "train")
+    with pytest.raises(Exception):              # a missing feature is not dropped in silence
+        learn.positional_features(df, ["a", "b"], ["f"], fit_on=F.col("split") == "train").collect()
+    out = learn.positional_features(drop_incomplete(df, ["a", "b"]), ["a", "b"], ["f"], fit_on=F.col("split") == "train")
     rows = {r.id: r._pos.toArray().tolist() for r in out.collect()}
     assert set(rows) == {1, 2}                 # the incomplete row is skipped
     assert rows[1] == [-1.0, 0.0, 1.0] and rows[2] == [1.0, 0.0, 0.0]

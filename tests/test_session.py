@@ -3,6 +3,8 @@ import subprocess
 import sys
 import tempfile
 
+import pytest
+
 from conftest import ROOT
 
 SCRIPT = """
@@ -22,6 +24,26 @@ print("OK", root)
 """
 
 
+def test_unset_checkpoint_dir_is_an_error_outside_local_masters():
+    from pagecurate import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
 def test_unset_checkpoint_dir_gets_a_scratch_folder():
     conf_dir = tempfile.mkdtemp(prefix="pc-emptyconf-")   # no spark-defaults.conf
     env = dict(os.environ, SPARK_CONF_DIR=conf_dir)
