@@ -173,18 +173,20 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of the links (a, b); a component is
-    named by its smallest node. Labels go to the smallest among a node and its
-    neighbours, then to the label's own label, until none changes."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")), "dup-edges")
-    labels = written(edges.groupBy("a").agg(F.min("b").alias("m"))
-                     .select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "dup-labels")
-    while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        hooked = written(labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "m").alias("component")), "dup-labels")
-        if not hooked.filter("old != component").limit(1).count():
-            return hooked.select("node", "component")
-        jump = hooked.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        labels = hooked.join(jump, hooked["component"] == jump["_n"], "left").select("node", F.least("component", F.coalesce("_c", "component")).alias("component"))
+    named by its smallest node. Contraction: every node goes to the smallest
+    among itself and its neighbours, and on to where that one goes; edges follow
+    their ends, and those within one node vanish, until none is left."""
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "dup-edges")
+    names = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "dup-names")
+    while edges.limit(1).count():
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        near = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), "dup-near")
+        further = near.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
+        up = written(near.join(further, near["up"] == further["_n"]).select("node", F.col("_u").alias("up")), "dup-up")
+        moved = edges.join(up.toDF("a", "x"), "a").join(up.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = written(moved.filter("a != b").distinct(), "dup-edges")
+        names = names.join(up.toDF("component", "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return written(names, "dup-names")
 
 
 @F.arrow_udf(T.IntegerType())
