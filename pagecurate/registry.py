@@ -1446,11 +1446,9 @@ SELECT 'd' || CAST(doc_id AS VARCHAR) || '-l' || CAST(line_no AS VARCHAR) AS id,
 FROM (SELECT doc_id, line_no, {norm_sql('raw')} AS text_line FROM ({DOC_LINES_SQL})) WHERE length(text_line) > 0
 """)
 def q_tei_records(spark, sf):
-    import uuid
-
-    from pagecurate.session import ensure_checkpoint_dir
+    from pagecurate.session import scratch_dir
     from pagecurate.sources.tei import read_records, segments_table
-    root = f"{ensure_checkpoint_dir(spark)}/tei-{uuid.uuid4().hex}"
+    root = scratch_dir(spark, "tei")
     d = T(spark, sf, "documents").select("doc_id", tei_text().alias("value"))
     # one file per record
     d.repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\n").text(root)
@@ -1533,9 +1531,8 @@ def q_attach_predictions(spark, sf):
 
 # ---------------------------------------------------------------- A5-A8 sinks and sources, round trip
 def _scratch(spark: SparkSession, what: str) -> str:
-    import uuid
-    from pagecurate.session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
+    from pagecurate.session import scratch_dir
+    return scratch_dir(spark, what)
 
 
 @register("csv_roundtrip", """

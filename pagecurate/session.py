@@ -6,7 +6,10 @@ On a cluster the session is created by the platform; we only read its settings.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,6 +54,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="pagecurate-ckpt-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)  # our own folder, of this process only
         sc.setCheckpointDir(root)
     if root is None:
         # registered earlier without the setting: the folder above the
@@ -59,5 +63,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return root
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables below the shared checkpoint folder,
+    grouped by application: ``<root>/pagecurate-<application id>`` can go when
+    the application has ended."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/pagecurate-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
