@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable
 from pathlib import Path
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagecurate.session import ensure_checkpoint_dir
+from pagecurate.session import scratch_dir
 
 #: A word is a run of characters outside space and U+0009..U+000D. As a Java
 #: pattern for the JVM side; ``bytes.split()`` cuts the same words in Python,
@@ -46,17 +45,11 @@ def ship_package(spark: SparkSession) -> None:
     sc._pagecurate_shipped = True
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, grouped by application."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/pagecurate-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage,
     survives lost executors, and later readers prune its columns."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

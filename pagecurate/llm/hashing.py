@@ -34,6 +34,12 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def slice_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash for each slice of bytes [start, end)."""
+    sums, down = _prefix_sums(raw)
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     padded = np.zeros(len(inside) + 2, np.int8)

@@ -27,7 +27,6 @@ manifest. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -39,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagecurate.llm.common import scratch_path
+from pagecurate.llm.hashing import slice_hashes
+from pagecurate.session import scratch_dir
 
 MAGIC = b"PKTOKEN1"
 BLOCK = 4096
@@ -48,10 +48,11 @@ END_ID = 0
 CACHE_PIECES = 500_000
 _TRAILER = struct.Struct("<QQQQQ8s")
 _HEADER = struct.Struct("<8sII")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Marks a text's first piece; a blank, so that the cut rule sees the text as it is.
-_FIRST = "\u2028"
-_MARKS = ".,;:!?"
+# first bytes of blank characters: ASCII blanks and separators, and the first
+# bytes in UTF-8 of the blanks beyond ASCII (U+0085, U+00A0, U+1680, U+2000 ff., U+3000)
+_BLANK_LEAD = np.zeros(256, bool)
+_BLANK_LEAD[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_MARKS = b".,;:!?"
 
 
 # ---- packing ---------------------------------------------------------------
@@ -195,74 +196,137 @@ class PackedFile:
 
 # ---- tokenizing ------------------------------------------------------------
 
+def cut_pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of texts [start, end) that lie end to end in a
+    buffer: the texts' starts, and each space between two characters that are not
+    blank. Characters whose first byte also begins a blank beyond ASCII count as
+    blank, so a few texts are cut less often than they could be."""
+    at = np.flatnonzero(raw == 0x20)
+    inner = np.ones(len(raw) + 1, bool)
+    inner[starts] = inner[ends] = inner[np.maximum(ends - 1, 0)] = False
+    at = at[inner[at]]
+    before, after = raw[at - 1], raw[np.minimum(at + 1, len(raw) - 1)]
+    plain = ~_BLANK_LEAD[before] & ~_BLANK_LEAD[after]
+    # the last byte of a character beyond ASCII does not tell its first byte
+    far = before >= 0x80
+    second, third = raw[np.maximum(at - 2, 0)], raw[np.maximum(at - 3, 0)]
+    plain &= ~(far & (_BLANK_LEAD[second] & (second >= 0x80) | _BLANK_LEAD[third] & (third >= 0x80)))
+    return np.sort(np.concatenate([starts[ends > starts], at[plain]]))
+
+
 class PieceEncoder:
     """Byte-level BPE of whole texts, one library call per new piece.
 
     The byte-level pre-tokenizer never joins characters across a single space
     between two non-blank characters, so a text is the sequence of its pieces
     (each with its leading space) and a piece always has the same ids. Pieces
-    recur, so a bounded memory of them saves most of the library's work."""
+    recur: those of a batch are grouped by two 64-bit hashes, each distinct one
+    is looked up in a bounded memory or tokenized, and the ids of the batch are
+    gathered with numpy; only new pieces are Python objects."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
+        # the memory: two hashes of each known piece, sorted by the first, and its ids in a pool
+        self.hashes, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.at, self.size, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
         # a byte-level token is written with one character per byte
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token_bytes = np.zeros(self.vocabulary, np.int64)
         self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
 
-    def _encode_inner(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces between blanks. They are encoded as one text and told
-        apart by the bytes that each token stands for."""
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_inner(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that begin with a space and do not end with a blank.
+        They are encoded as one text and told apart by the bytes that each token
+        stands for."""
         if not pieces:
             return {}
-        spaced = [" " + p for p in pieces]
-        ids = np.asarray(self._ids(["".join(spaced)])[0], "<u4")
-        ends = np.cumsum([len(p.encode()) for p in spaced])
+        ids = np.asarray(self._ids([b"".join(pieces).decode()])[0], "<u4")
+        ends = np.cumsum([len(p) for p in pieces])
         cut = (4 * (np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)).tolist()
         data = ids.tobytes()
         return {p: data[i:j] for p, i, j in zip(pieces, [0, *cut], cut)}
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_each(self, texts: list[str]) -> dict[str, bytes]:
-        return {t: np.asarray(ids, "<u4").tobytes() for t, ids in zip(texts, self._ids(texts))}
+    def _encode_each(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        return {p: np.asarray(ids, "<u4").tobytes() for p, ids in zip(pieces, self._ids([p.decode() for p in pieces]))}
 
-    def _encode_fresh(self, fresh: set[str]) -> dict[str, bytes]:
+    def _encode_fresh(self, fresh: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces that are not known. A run of letters and the
         punctuation behind it never share a token, so "word," needs only
         "word" and ","; pieces that open a text, or close it with a blank, are
         encoded one by one."""
-        outer = [p for p in fresh if p[0] == _FIRST or p[-1].isspace()]
-        inner = fresh.difference(outer)
-        parts = {}
-        for p in inner:
+        inner, outer, parts = set(), [], {}
+        for p in fresh:
+            text = p.decode()
+            if p[0] != 0x20 or text[-1].isspace():
+                outer.append(p)
+                continue
             core = p.rstrip(_MARKS)
-            if len(core) < len(p) and core.isalpha():
+            if len(core) < len(p) and text[1:len(text) - len(p) + len(core)].isalpha():
                 parts[p] = core
-        need = {c for c in parts.values() if c not in self.known}
-        found = self._encode_inner(list(need | inner.difference(parts)))
+                inner.add(core)
+            else:
+                inner.add(p)
+        found = self._encode_inner(list(inner))
         marks = self._encode_each(list({p[len(c):] for p, c in parts.items()}))
         for p, c in parts.items():
-            found[p] = (self.known.get(c) or found[c]) + marks[p[len(c):]]
-        plain = self._encode_each([p[1:] if p[0] == _FIRST else " " + p for p in outer])
-        for p in outer:
-            found[p] = plain[p[1:] if p[0] == _FIRST else " " + p]
-        return found
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # a text's first piece has no leading space: it is known under a key of its own
-        cut = [_CUT.split(_FIRST + t) if t else [] for t in texts]
-        known = self.known
-        found = self._encode_fresh({p for pieces in cut for p in pieces if p not in known})
-        out = [np.frombuffer(b"".join([known.get(p) or found[p] for p in pieces]), "<u4") for pieces in cut]
-        if len(known) < CACHE_PIECES:
-            known |= found
-        return out
+            found[p] = found[c] + marks[p[len(c):]]
+        return found | self._encode_each(outer)
+
+    def _tokenized(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and number of each piece's ids in a pool."""
+        found = self._encode_fresh(pieces)
+        ids = [found[p] for p in pieces]
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        return np.cumsum(size) - size, size, np.frombuffer(b"".join(ids), "<u4")
+
+    def _remembered(self, hashes: np.ndarray, checks: np.ndarray, piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for pieces given by their sorted hashes; ``piece(i)`` gives
+        the bytes of those that are not known, which are then remembered."""
+        where = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        known = (self.hashes[where] == hashes) & (self.checks[where] == checks) if len(self.hashes) else np.zeros(len(hashes), bool)
+        fresh = np.flatnonzero(~known)
+        new_at, new_size, new_pool = self._tokenized([piece(i) for i in fresh.tolist()])
+        at, size = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        at[known], size[known] = self.at[where[known]], self.size[where[known]]
+        at[fresh], size[fresh] = new_at + len(self.pool), new_size
+        pool = np.concatenate([self.pool, new_pool])
+        if len(self.hashes) < CACHE_PIECES:
+            # one entry per first hash
+            new = fresh[~np.isin(hashes[fresh], self.hashes)]
+            order = np.argsort(merged := np.concatenate([self.hashes, hashes[new]]), kind="stable")
+            self.hashes, self.pool = merged[order], pool
+            self.checks, self.at, self.size = (np.concatenate(v)[order] for v in ((self.checks, checks[new]), (self.at, at[new]), (self.size, size[new])))
+        return at, size, pool
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        coded = [(t or "").encode() for t in texts]
+        ends = np.cumsum([len(c) for c in coded], dtype=np.int64)
+        starts = ends - np.array([len(c) for c in coded], np.int64)
+        data = b"".join(coded)
+        if not data:
+            return [np.empty(0, np.uint32) for _ in texts]
+        raw = np.frombuffer(data, np.uint8)
+        begin = cut_pieces(raw, starts, ends)
+        end = np.append(begin[1:], len(raw))
+        hashes, first, which = np.unique(slice_hashes(raw, begin, end), return_index=True, return_inverse=True)
+        checks = slice_hashes(raw ^ np.uint8(0x5A), begin, end)
+        if (checks != checks[first][which]).any():  # two pieces of one hash: tell them apart by their bytes
+            _, first, which = np.unique([data[i:j] for i, j in zip(begin.tolist(), end.tolist())], return_index=True, return_inverse=True)
+            at, size, pool = self._tokenized([data[begin[i]:end[i]] for i in first.tolist()])
+        else:
+            at, size, pool = self._remembered(hashes, checks[first], lambda i: data[begin[first[i]]:end[first[i]]])
+        n = size[which]
+        behind = np.cumsum(n)
+        tokens = pool[np.repeat(at[which] - (behind - n), n) + np.arange(behind[-1])]
+        # a text's ids end where the pieces before the next text end
+        stop = np.append(0, behind)[np.searchsorted(begin, ends)]
+        return [tokens[i:j] for i, j in zip([0, *stop.tolist()], stop.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -272,7 +336,7 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def _batches(texts: list, chars: int = 1 << 20) -> Iterator[slice]:
+def _batches(texts: list, chars: int = 1 << 21) -> Iterator[slice]:
     """Runs of rows with about so many characters each."""
     start, held = 0, 0
     for i, t in enumerate(texts):
@@ -359,7 +423,7 @@ def _doc_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def tokens_of(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write and read back: one row per document."""
-    folder = scratch_path(docs.sparkSession, "tokens")
+    folder = scratch_dir(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, folder, tokenizer_path, **options))
 
 

@@ -49,9 +49,24 @@ def test_piece_ids_equal_the_library():
     random.seed(5)
     parts = [" ", "  ", "\n", "a", "b'", "'s", " ", "　", "\x1c", "\x85", "é", "12", "!", "😀", "\t", "can't", "<|endoftext|>", "​", " Wort", "\r\n"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 9))) for _ in range(3000)]
+    texts += [None, "", "a  b c", "«x» y « z", "a\u2003b c\u00a0 d", "\u3000 x y", "x \u0085 y", " lead", "trail ", "ß ä.", "né à, la"]
     enc = tf.PieceEncoder(tf.default_tokenizer())
     for _ in range(2):
         assert [x.tolist() + [0] for x in enc.encode(texts)] == plain_ids(texts)
+        assert [enc.encode([t])[0].tolist() + [0] for t in texts[-300:]] == plain_ids(texts[-300:])
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    texts = ["one two three", "four two one one", ""]
+    first = []
+
+    def few(raw, begin, end):
+        first.append(0)
+        return (end - begin).astype(np.uint64) if len(first) % 2 else real(raw, begin, end)
+
+    real = tf.slice_hashes
+    monkeypatch.setattr(tf, "slice_hashes", few)
+    assert [x.tolist() + [0] for x in tf.PieceEncoder(tf.default_tokenizer()).encode(texts)] == plain_ids(texts)
 
 
 def test_full_piece_memory(monkeypatch):
