@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from collections.abc import Iterable
 from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,17 +32,22 @@ def spans_array(found: Iterable[list[tuple[str, int, int]]]) -> pa.Array:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once per application: functions that
-    run in Python workers import it there."""
+    """Give the executors this package, once per application, by way of the
+    shared folder: functions that run in Python workers import it there."""
     sc = spark.sparkContext
     if getattr(sc, "_pagecurate_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="pagecurate-")) / "pagecurate.zip"
-    with zipfile.ZipFile(archive, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(archive))
+    archive = f"{scratch_dir(spark, 'package')}/pagecurate.zip"
+    store, path = fs.FileSystem.from_uri(archive)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(path) as out:
+        out.write(packed.getvalue())
+    sc.addPyFile(archive)
     sc._pagecurate_shipped = True
 
 

@@ -106,23 +106,24 @@ class PackedWriter:
     def __init__(self, path: str, bits: int, block: int = BLOCK):
         self.out, self.bits, self.block = _open(path, "w"), bits, block
         self.out.write(_HEADER.pack(MAGIC, bits, block))
-        self.at, self.offsets, self.rest, self.n_ids = _HEADER.size, [], np.empty(0, np.uint32), 0
+        self.at, self.offsets, self.rest, self.held, self.n_ids = _HEADER.size, [], [], 0, 0
         self.doc_ids, self.doc_starts = [], []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.doc_ids.append(doc_id)
         self.doc_starts.append(self.n_ids)
         self.n_ids += len(ids)
-        self.rest = np.concatenate([self.rest, ids]) if len(self.rest) else ids
-        if len(self.rest) >= 16 * self.block:
-            self._flush(len(self.rest) // self.block)
-
-    def _flush(self, blocks: int, last: bool = False) -> None:
-        for i in range(blocks):
-            self._write(self.rest[i * self.block:(i + 1) * self.block])
-        self.rest = self.rest[blocks * self.block:]
-        if last and len(self.rest):
-            self._write(self.rest)
+        self.rest.append(ids)
+        self.held += len(ids)
+        if self.held >= 16 * self.block:
+            self._flush()
+
+    def _flush(self, last: bool = False) -> None:
+        ids = np.concatenate(self.rest) if self.rest else np.empty(0, np.uint32)
+        whole = len(ids) if last else len(ids) // self.block * self.block
+        for i in range(0, whole, self.block):
+            self._write(ids[i:min(i + self.block, whole)])
+        self.rest, self.held = [ids[whole:]], len(ids) - whole
 
     def _write(self, ids: np.ndarray) -> None:
         data = pack(ids, self.bits)
@@ -131,7 +132,7 @@ class PackedWriter:
         self.at += len(data)
 
     def close(self) -> None:
-        self._flush(len(self.rest) // self.block, last=True)
+        self._flush(last=True)
         blocks_at = self.at
         table = np.asarray([*self.offsets, self.at], "<u8").tobytes()
         index = (np.asarray([d or 0 for d in self.doc_ids], "<i8").tobytes()
