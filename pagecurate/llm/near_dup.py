@@ -173,22 +173,30 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of the links (a, b); a component is
-    named by its smallest node. Contraction: every node goes to the smallest
-    among itself and its neighbours, and on to where that one goes; edges follow
-    their ends, and those within one node vanish, until none is left."""
+    named by its smallest node. Contraction: every node goes to the smallest of
+    its neighbours if that is smaller, and on to where that one goes; edges
+    follow their ends, and those within one node vanish, until none is left."""
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "dup-edges")
-    names = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "dup-names")
+    names = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("component"))
     while edges.limit(1).count():
-        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        near = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), "dup-near")
-        further = near.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
-        up = written(near.join(further, near["up"] == further["_n"]).select("node", F.col("_u").alias("up")), "dup-up")
-        moved = edges.join(up.toDF("a", "x"), "a").join(up.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = written(moved.filter("a != b").distinct(), "dup-edges")
+        near = written(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "dup-near")
+        up = written(near.join(near.toDF("up", "further"), "up", "left").select("node", F.coalesce("further", "up").alias("up")), "dup-up")
+        moved = edges.join(up.toDF("b", "y"), "b").join(up.toDF("a", "x"), "a", "left").select(F.coalesce("x", "a").alias("x"), "y")
+        edges = written(moved.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "dup-edges")
         names = names.join(up.toDF("component", "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
     return written(names, "dup-names")
 
 
+def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links."""
+    ends = links.join(found.toDF("a", "x"), "a", "left").join(found.toDF("b", "y"), "b", "left")
+    ends = written(ends.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")), "dup-ends")
+    up = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("component", "up")
+    alone = ends.filter("a = x").select("a").union(ends.filter("b = y").select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("component"))
+    every = found.unionByName(alone.join(found, "node", "left_anti"))
+    return written(every.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "dup-names")
+
+
 @F.arrow_udf(T.IntegerType())
 def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
     """Bytes that agree between two sketches."""
@@ -313,7 +321,7 @@ def find_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str)
             fresh = written(_in_blocks(known.join(sets, "node"), "area", "m", _linked_block), "dup-links")
             if fresh.limit(1).count():
                 links = links.unionByName(fresh)
-                found = components(links)
+                found = _grown(found, fresh)
         if times == MOST_SPLITS or not opened.filter(large).limit(1).count():
             return links, found
         times += 1
