@@ -215,22 +215,33 @@ def cut_pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return np.sort(np.concatenate([starts[ends > starts], at[plain]]))
 
 
+def _openings(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first seven bytes of each slice and its length (up to 255) in 64 bits:
+    tells slices apart independently of their hashes, short ones entirely."""
+    padded = data + bytes(8)
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[begin]
+    size = (end - begin).astype(np.uint64)
+    kept = np.minimum(size, np.uint64(7)) * np.uint64(8)
+    return (eight & ((np.uint64(1) << kept) - np.uint64(1))) | (np.minimum(size, np.uint64(255)) << np.uint64(56))
+
+
 class PieceEncoder:
     """Byte-level BPE of whole texts, one library call per new piece.
 
     The byte-level pre-tokenizer never joins characters across a single space
     between two non-blank characters, so a text is the sequence of its pieces
     (each with its leading space) and a piece always has the same ids. Pieces
-    recur: those of a batch are grouped by two 64-bit hashes, each distinct one
-    is looked up in a bounded memory or tokenized, and the ids of the batch are
-    gathered with numpy; only new pieces are Python objects."""
+    recur: those of a batch are grouped by a 64-bit hash (their openings and
+    lengths must agree, too), each distinct one is looked up in a bounded memory
+    or tokenized, and the ids of the batch are gathered with numpy; only new
+    pieces are Python objects."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        # the memory: two hashes of each known piece, sorted by the first, and its ids in a pool
+        # the memory: the hash (sorted) and opening of each known piece, and its ids in a pool
         self.hashes, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
         self.at, self.size, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
         # a byte-level token is written with one character per byte
@@ -263,12 +274,11 @@ class PieceEncoder:
         encoded one by one."""
         inner, outer, parts = set(), [], {}
         for p in fresh:
-            text = p.decode()
-            if p[0] != 0x20 or text[-1].isspace():
+            if p[0] != 0x20 or _BLANK_LEAD[p[-1]] or p[-1] >= 0x80 and p[-8:].decode(errors="ignore")[-1].isspace():
                 outer.append(p)
                 continue
             core = p.rstrip(_MARKS)
-            if len(core) < len(p) and text[1:len(text) - len(p) + len(core)].isalpha():
+            if len(core) < len(p) and (core[1:].isalpha() or not core.isascii() and core[1:].decode().isalpha()):
                 parts[p] = core
                 inner.add(core)
             else:
@@ -316,7 +326,7 @@ class PieceEncoder:
         begin = cut_pieces(raw, starts, ends)
         end = np.append(begin[1:], len(raw))
         hashes, first, which = np.unique(slice_hashes(raw, begin, end), return_index=True, return_inverse=True)
-        checks = slice_hashes(raw ^ np.uint8(0x5A), begin, end)
+        checks = _openings(data, begin, end)
         if (checks != checks[first][which]).any():  # two pieces of one hash: tell them apart by their bytes
             _, first, which = np.unique([data[i:j] for i, j in zip(begin.tolist(), end.tolist())], return_index=True, return_inverse=True)
             at, size, pool = self._tokenized([data[begin[i]:end[i]] for i in first.tolist()])
