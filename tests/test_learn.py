@@ -64,3 +64,25 @@ def test_active_learning_rounds(spark):
     ids = {r.id for r in lab} | rejected | {r.id for r in rest.collect()}
     assert len(ids) == rest.count() + len(lab) + len(rejected) == 30   # no row is lost
     assert not {r.id for r in lab} & {r.id for r in rest.collect()}
+
+
+def test_active_learning_refits_and_evaluates(spark):
+    from pagecurate.plans.active import active_learning
+    pool = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(40)], "id INT, logits ARRAY<DOUBLE>")
+    ann = spark.createDataFrame([(i, i % 2) for i in range(40)], "id INT, label INT")
+    fitted = []
+
+    def refit(rows):
+        fitted.append(rows.count())
+        # scores that know the parity: the lowest ids become the least certain
+        odd = F.col("id") % 2 == 1
+        strength = F.col("id") / 40.0 + 0.1
+        return lambda df: df.withColumn("logits", F.when(odd, F.array(-strength, strength)).otherwise(F.array(strength, -strength)))
+
+    done = active_learning(pool, ann, rounds=4, pool_size=40, batch=5, seed=1, refit=refit)
+    assert fitted == [5, 10, 15]                        # no fit before the first labels
+    assert [m["round"] for m in done.metrics] == [3, 4] and all(m["accuracy"] == 1.0 for m in done.metrics)
+    assert [m["n"] for m in done.metrics] == [15, 20] and done.pool.count() == 20 and done.rejected.count() == 0
+    later = sorted(r.id for r in done.labelled.filter("round = 2").collect())
+    first = {r.id for r in done.labelled.filter("round = 1").collect()}
+    assert later == [i for i in range(40) if i not in first][:5]
