@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,6 +31,19 @@ def spans_array(found: Iterable[list[tuple[str, int, int]]]) -> pa.Array:
     return pa.array(([{"kind": k, "start": s, "end": e} for k, s, e in row] for row in found), type=_ARROW_SPANS)
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def values(array: pa.Array, rows: int = 1_000) -> Iterator:
+    """The values of an array, converted a few at a time."""
+    for i in range(0, len(array), rows):
+        yield from array.slice(i, rows).to_pylist()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per application, by way of the
     shared folder: functions that run in Python workers import it there."""

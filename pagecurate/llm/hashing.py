@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -12,6 +14,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Bytes over which prefix sums run at once: keeps the tables of powers small.
+STRETCH = 1 << 18
 _powers = {"n": 0}
 
 
@@ -25,7 +29,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, 0..n, kept between calls."""
     if _powers["n"] <= n:
-        size = max(1 << 16, 1 << (n + 1).bit_length())
+        size = max(1 << 16, 1 << n.bit_length())
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -34,12 +38,6 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def slice_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash for each slice of bytes [start, end)."""
-    sums, down = _prefix_sums(raw)
-    return mix((sums[ends] - sums[starts]) * down[starts])
-
-
 def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     padded = np.zeros(len(inside) + 2, np.int8)
@@ -55,15 +53,30 @@ def _prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, down
 
 
+def _stretches(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+    """Slices [start, end), ascending, in stretches of about STRETCH bytes: first
+    and last slice, their starts and ends in the stretch, its prefix sums."""
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + STRETCH)))
+        at = starts[i]
+        yield i, j, starts[i:j] - at, ends[i:j] - at, *_prefix_sums(raw[at:ends[j - 1]])
+        i = j
+
+
+def slice_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash for each slice of bytes [start, end), in ascending order and
+    apart: its polynomial in an odd base modulo 2**64, from prefix sums."""
+    out = np.empty(len(starts), np.uint64)
+    for i, j, a, b, sums, down in _stretches(raw, starts, ends):
+        out[i:j] = mix((sums[b] - sums[a]) * down[a])
+    return out
+
+
 def word_hashes(data: bytes) -> np.ndarray:
-    """A hash for each word (run of bytes that are not blank): its polynomial
-    in an odd base modulo 2**64, from prefix sums over the whole text."""
+    """A hash for each word (run of bytes that are not blank)."""
     raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64)
-    starts, ends = _runs(~_BLANK[raw])
-    sums, down = _prefix_sums(raw)
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    return slice_hashes(raw, *_runs(~_BLANK[raw])) if len(raw) else np.empty(0, np.uint64)
 
 
 def token_features(data: bytes, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,16 +84,14 @@ def token_features(data: bytes, prefixes: tuple[int, ...]) -> tuple[np.ndarray,
     their starts, ends, and a row of hashes for each: the token, then its
     prefixes of so many bytes (0 where the token is shorter)."""
     raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 1 + len(prefixes)), np.uint64)
     starts, ends = _runs(_TOKEN[raw])
-    sums, down = _prefix_sums(raw)
-    base = sums[starts]
     out = np.zeros((len(starts), 1 + len(prefixes)), np.uint64)
-    out[:, 0] = mix((sums[ends] - base) * down[starts])
-    for i, k in enumerate(prefixes, 1):
-        long = ends - starts >= k
-        out[long, i] = mix((sums[starts[long] + k] - base[long]) * down[starts[long]] + np.uint64(k))
+    for i, j, a, b, sums, down in _stretches(raw, starts, ends):
+        base, scale, rows = sums[a], down[a], out[i:j]
+        rows[:, 0] = mix((sums[b] - base) * scale)
+        for column, k in enumerate(prefixes, 1):
+            long = b - a >= k
+            rows[long, column] = mix((sums[a[long] + k] - base[long]) * scale[long] + np.uint64(k))
     return starts, ends, out
 
 

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagecurate.llm.common import WORD, hinted, written
+from pagecurate.llm.common import WORD, hinted, small_batches, written
 from pagecurate.llm.hashing import mix, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     times, plus = _permutations(0)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             n, names, bands, sketches = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text)
@@ -146,7 +146,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
     texts. A node's text is any row with its id whose set has its hash."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             kept, sets = [], []
             for node, name, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 s = shingle_set(text)
@@ -341,7 +341,7 @@ def _split(members: DataFrame, docs: DataFrame, every: DataFrame, id_col: str, t
     times, plus = _permutations(level)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = batch.column(1).to_pylist()
             bands = [band_hashes(min_max(np.array(s, np.int64).view(np.uint64), times, plus)) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bands)], names=["node", "bands"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagecurate.llm.common import SPANS, digest, n_kind, spans_array
+from pagecurate.llm.common import SPANS, digest, n_kind, spans_array, values
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "url", "account"]
@@ -158,7 +158,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
 
 @F.arrow_udf(SPANS)
 def pii_spans(texts: pa.Array) -> pa.Array:
-    return spans_array(find_spans(t) if t else [] for t in texts.to_pylist())
+    return spans_array(find_spans(t) if t else [] for t in values(texts))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:

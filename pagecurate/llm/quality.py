@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagecurate.llm.common import written
+from pagecurate.llm.common import values, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_plain", "n_marked", "n_ended"]
 _COUNTS_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
@@ -76,7 +76,7 @@ def count_text(text: str) -> tuple[int, ...]:
 
 @F.arrow_udf(_COUNTS_TYPE)
 def text_counts(texts: pa.Array) -> pa.Array:
-    rows = np.array([count_text(t or "") for t in texts.to_pylist()], np.int64).reshape(-1, len(COUNTS))
+    rows = np.array([count_text(t or "") for t in values(texts)], np.int64).reshape(-1, len(COUNTS))
     return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COUNTS))], names=COUNTS)
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagecurate.llm.common import hinted, written
+from pagecurate.llm.common import hinted, small_batches, written
 from pagecurate.llm.fmindex import FMIndex, repeated_runs
 from pagecurate.llm.hashing import mix, window_hashes, word_hashes
 
@@ -109,7 +109,7 @@ def _list_column(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_words, words_hash, all_sha256, anchors, places of each row."""
-    for batch in batches:
+    for batch in small_batches(batches):
         n, names, shas, hashes, places = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             data = (text or "").encode()
@@ -129,7 +129,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces around the anchors of a class: route, node, start, words.
     Windows of hot anchors go out one by one, as their two hashes."""
-    for batch in batches:
+    for batch in small_batches(batches):
         columns = {name: batch.column(name).to_pylist() for name in ("node", "words_hash", "text", "found")}
         rows: dict[str, list] = {c: [] for c in ("route", "second", "node", "start", "words")}
         for node, name, text, found in zip(*columns.values()):
@@ -233,7 +233,7 @@ def _indexer(shard_words: int):
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, n_removed, kept_sha256, kept_text of the classes with repeated runs."""
-    for batch in batches:
+    for batch in small_batches(batches):
         out = [], [], [], []
         for node, name, text, runs in zip(*(batch.column(c).to_pylist() for c in ("node", "words_hash", "text", "runs"))):
             words = text.encode().split()

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagecurate.llm.common import small_batches
 from pagecurate.llm.hashing import slice_hashes
 from pagecurate.session import scratch_dir
 
@@ -347,7 +348,7 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def _batches(texts: list, chars: int = 1 << 21) -> Iterator[slice]:
+def _batches(texts: list, chars: int = 1 << 20) -> Iterator[slice]:
     """Runs of rows with about so many characters each."""
     start, held = 0, 0
     for i, t in enumerate(texts):
@@ -374,7 +375,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
         encoder, out, path, first = _encoder(tokenizer_path), None, None, None
         bits = bits_for(encoder.vocabulary)
         end = np.asarray([end_id], np.uint32)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if out is None and ids:
                 path, first = f"{folder}/tokens-{uuid.uuid4().hex}.bin", ids[0]

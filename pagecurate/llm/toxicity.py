@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagecurate.llm.common import hinted, written
+from pagecurate.llm.common import hinted, small_batches, values, written
 from pagecurate.llm.hashing import token_features
 
 BUCKETS = 1 << 20
@@ -92,7 +92,7 @@ def count_buckets(labelled: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, BUCKETS), np.int64)
         place = np.empty(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 used = token_buckets(text)[2].reshape(-1)
                 used = used[used >= 0]
@@ -174,14 +174,14 @@ _ARROW_SEGMENTS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())
 def scan_udf(weights: dict[int, tuple[float, float]]):
     """Column function: text -> (n_tokens, segments); segments in code points."""
     marked = np.array(sorted(weights), np.int64)
-    values = np.array([weights[b] for b in marked.tolist()], float).reshape(-1, 2)
+    pairs = np.array([weights[b] for b in marked.tolist()], float).reshape(-1, 2)
 
     @F.arrow_udf(_SCAN)
     def scan(texts: pa.Array) -> pa.Array:
         odds, z = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)  # the last entry is for -1
-        odds[marked], z[marked] = values[:, 0], values[:, 1]
+        odds[marked], z[marked] = pairs[:, 0], pairs[:, 1]
         n, found = [], []
-        for text in texts.to_pylist():
+        for text in values(texts):
             starts, ends, buckets = token_buckets(text)
             n.append(len(starts))
             found.append([])
