@@ -82,7 +82,7 @@ def test_active_learning_refits_and_evaluates(spark):
     done = active_learning(pool, ann, rounds=4, pool_size=40, batch=5, seed=1, refit=refit)
     assert fitted == [5, 10, 15]                        # no fit before the first labels
     assert [m["round"] for m in done.metrics] == [3, 4] and all(m["accuracy"] == 1.0 for m in done.metrics)
-    assert [m["n"] for m in done.metrics] == [15, 20] and done.pool.count() == 20 and done.rejected.count() == 0
+    assert done.labelled.count() == 20 and done.pool.count() == 20 and done.rejected.count() == 0
     later = sorted(r.id for r in done.labelled.filter("round = 2").collect())
     first = {r.id for r in done.labelled.filter("round = 1").collect()}
     assert later == [i for i in range(40) if i not in first][:5]
