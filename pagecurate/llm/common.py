@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -21,6 +22,8 @@ from pagecurate.session import scratch_dir
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
                                   T.StructField("end", T.IntegerType())]))
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -32,10 +35,15 @@ def spans_array(found: Iterable[list[tuple[str, int, int]]]) -> pa.Array:
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that few texts at a time are Python objects."""
+    """The batches in slices, so that few texts at a time are Python objects.
+    When they are done the worker, which lives on, gives back what it has freed."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
 
 
 def values(array: pa.Array, rows: int = 1_000) -> Iterator:
@@ -47,6 +55,8 @@ def values(array: pa.Array, rows: int = 1_000) -> Iterator:
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per application, by way of the
     shared folder: functions that run in Python workers import it there."""
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":  # not set: the default suits narrow rows, not texts
+        spark.conf.set(ARROW_ROWS, "2000")
     sc = spark.sparkContext
     if getattr(sc, "_pagecurate_shipped", False):
         return
