@@ -1,14 +1,23 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index
-Hamming blocks, exact weighted-shingle similarity. DataFrame functions only.
+"""Benchmark decontamination: shared shingles, SimHash of item-sized windows,
+multi-index Hamming blocks, exact weighted-shingle similarity. DataFrame
+functions only.
 
 Words are cut at blanks, A-Z in lower case; a shingle is five words (all words
 of a shorter item). A window is as many consecutive words of a document as the
 benchmark item has (the whole document if it is shorter).
 
 1. Windows. A window can only reach the threshold if it shares a shingle with
-   the item, so a shared shingle at word ``i`` of a document and word ``j`` of an
-   item names the window that starts at ``i - j`` (moved into the document).
-   All shingles of all texts are looked up; nothing is sampled.
+   the item. Moving a window right to its first shared shingle loses no common
+   shingle, so one of the windows that start at a shared shingle (moved into the
+   document) is the most similar one. The windows aligned with the item (start
+   ``i - j`` for a shared shingle at word ``i`` of the document and word ``j`` of
+   the item) are tried as well, since of equally similar windows the first is
+   reported. All shingles of all texts are looked up; nothing is sampled.
+   The shared shingles of each window are counted: all of them bound its
+   similarity from above, those that are among the first in the document that
+   the item can match (as many as it has of each) from below. A window stays if
+   its upper bound reaches the threshold and the best lower bound of its
+   document and item.
 2. Fingerprints. Each distinct window and each item get a 64-bit SimHash, every
    occurrence of a shingle voting with weight one.
 3. Blocks. The fingerprint is cut into ``RADIUS + 1`` blocks; of two
@@ -33,7 +42,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagecurate.llm.common import hinted, words, written
@@ -92,6 +101,38 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
             .withColumn("n_words", n).withColumn("width", F.least(F.lit(SHINGLE), n)))
 
 
+def _candidates(shared: DataFrame, index: DataFrame) -> DataFrame:
+    """doc_id, text_hash, item, n_words, start of the windows that can be the most
+    similar ones: ``shared`` has the shared shingles (``i``) of documents and items."""
+    pair = ["doc_id", "text_hash", "item"]
+    n_a, n_b = F.least("n_doc", "n_words") - F.col("width") + 1, F.col("n_words") - F.col("width") + 1
+
+    def enough(common: Column) -> Column:  # similarity common / (n_a + n_b - common)
+        return (100 + MIN_SIMILARITY) * common >= MIN_SIMILARITY * (n_a + n_b)
+
+    shared = (shared.repartition(*pair).distinct().withColumn("all", F.count("*").over(Window.partitionBy(*pair))).filter(enough(F.col("all"))).drop("all")
+              .withColumn("sure", (F.row_number().over(Window.partitionBy(*pair, "hash").orderBy("i")) <= F.col("times")).cast("int")))
+    shared = written(shared, "leak-shared")
+    sizes = [*pair, "n_doc", "n_words", "width"]
+
+    def inside(start: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(start, F.col("n_doc") - F.col("n_words"))).alias("start")
+
+    starts = (shared.select(*sizes, inside(F.col("i"))).unionByName(shared.join(index.select("item", "hash", "j"), ["item", "hash"]).select(*sizes, inside(F.col("i") - F.col("j"))))
+              .distinct())
+    # running counts of the shared shingles before the first and after the last shingle of each window
+    none = F.lit(0)
+    bounds = F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("turn")), F.struct((F.col("start") + n_a - 1).alias("at"), F.lit(2).alias("turn"))))
+    events = (starts.select(*sizes, "start", none.alias("one"), none.alias("sure"), bounds)
+              .unionByName(shared.select(*sizes, F.lit(None).cast("int").alias("start"), F.lit(1).alias("one"), "sure", F.col("i").alias("at"), F.lit(1).alias("turn"))))
+    so_far = Window.partitionBy(*pair).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = (events.withColumn("most", F.sum("one").over(so_far)).withColumn("least", F.sum("sure").over(so_far)).filter("turn <> 1")
+               .groupBy(*sizes, "start").agg((F.max("most") - F.min("most")).alias("most"), (F.max("least") - F.min("least")).alias("least")))
+    best = F.max("least").over(Window.partitionBy(*pair))
+    return (counted.withColumn("best", best).filter(enough(F.col("most")) & (F.col("most") >= F.col("best")))
+            .select(*pair, "n_words", "start"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, text_hash,
@@ -99,8 +140,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     hamming distance and similarity."""
     items = written(_items(benchmark, item_col, item_text_col), "leak-items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most SHINGLE values
-    index = hinted(items.select("item", "n_words", F.posexplode(_hash_shingles(F.col("words"), F.col("width"))).alias("j", "hash")),
+    index = hinted(items.select("item", "n_words", "width", F.posexplode(_hash_shingles(F.col("words"), F.col("width"))).alias("j", "hash")),
                    MOST_BROADCAST)
+    wanted = hinted(index.groupBy("item", "n_words", "width", "hash").agg(F.count("*").alias("times")), MOST_BROADCAST)
 
     # the key of a document row: its id and the hash of its text
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), lower_words(F.col(text_col)).alias("words"))
@@ -109,8 +151,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         at = texts.select("doc_id", "text_hash", F.size("words").alias("n_doc"),
                           F.posexplode(_hash_shingles(F.col("words"), width)).alias("i", "hash"))
         places = at if places is None else places.unionByName(at)
-    start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("j"), F.col("n_doc") - F.col("n_words")))
-    anchored = written(places.join(index, "hash").select("doc_id", "text_hash", "item", "n_words", start.alias("start")).distinct(), "leak-anchors")
+    anchored = written(_candidates(places.join(wanted, "hash"), index), "leak-anchors")
 
     # the words of the anchored windows, then each distinct window once
     by_doc = anchored.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "n_words", "start")).alias("at"))

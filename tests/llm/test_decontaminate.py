@@ -1,5 +1,6 @@
 """op9: edges against the SQL over exact similarity, radius and blocks."""
 import random
+from collections import Counter
 
 import pandas as pd
 from llm_duck import duck, same_rows
@@ -78,3 +79,47 @@ def test_plan_is_native_and_shuffles_no_text(spark):
     q = dc.op9_decontaminate(spark, "/root/testdata/sf0.001")
     plan = q._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def moved_passages():
+    """Items whose most similar window starts at no aligned place: halves swapped,
+    swapped after 30 words, words put in the middle; and one below the threshold."""
+    def item(name, n):
+        return [f"{name}{i}" for i in range(n)]
+    before, after = [f"p{i}" for i in range(40)], [f"q{i}" for i in range(40)]
+    a, b, c, e = item("a", 100), item("b", 100), item("c", 110), item("e", 60)
+    inner = item("x", 5) + c[5:55] + item("y", 10) + c[55:105] + item("z", 5)
+    docs = [(1, a[50:] + a[:50]), (2, b[30:] + b[:30]), (3, inner), (4, e[:30] + item("v", 20) + e[30:]), (5, a), (6, a[50:] + a[:50] + a), (7, a[50:90])]
+    docs = [(i, " ".join(before + w + after)) for i, w in docs] + [(8, " ".join(a[50:] + a[:50])), (None, " ".join(before + a[50:] + a[:50])), (9, "r r " * 60), (10, " ".join(a[10:] + a[:9]))]
+    return docs, [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, " ".join(e)), (5, "r r r r r r r r r r r r " + " ".join(item("s", 12)))]
+
+
+def best_similarity(text, item):
+    """Over every start."""
+    w, b = text.split(), item.split()
+    k = min(dc.SHINGLE, len(b))
+
+    def bag(x):
+        return Counter(tuple(x[i:i + k]) for i in range(len(x) - k + 1))
+    of_item, best = bag(b), (0.0, 0)
+    for start in range(max(1, len(w) - len(b) + 1)):
+        of_window = bag(w[start:start + len(b)])
+        common = (of_window & of_item).total()
+        best = max(best, (common / (of_window | of_item).total(), -start))
+    return best[0]
+
+
+def test_best_window_of_every_start(spark):
+    docs, items = moved_passages()
+    want = {(d, i): best_similarity(text, item) for d, text in docs for i, item in items}
+    want = {k: v for k, v in want.items() if v >= 0.75}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = dc.find_leaks(d, b).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in rows}
+    assert got == want and len(rows) == len(got)
+    assert {(1, 1), (2, 2), (3, 3), (None, 1)} <= set(got) and (4, 4) not in got
+    texts = dict(docs)
+    for r in rows:  # the reported window has the reported similarity
+        window = " ".join(texts[r.doc_id].split()[r.start:r.start + r.n_words])
+        assert best_similarity(window, dict(items)[r.item_id]) == r.similarity
+    assert {r.doc_id for r in dc.drop_leaks(d, b).collect()} == set(texts) - {k for k, _ in got}
