@@ -11,8 +11,8 @@ lies in its scope: a secret for an access identifier or an endpoint, either of
 these for a secret. Strong parts are always reported.
 
 The join runs inside the row, since a scope never leaves its document: parts
-are sorted, and every interval looks up its nearest complementary neighbour on
-either side by bisection, so a text with n parts costs n log n and emits at
+are sorted, and every interval looks up by bisection how far the complementary
+parts that start in its reach extend (the running maximum of their ends), so a text with n parts costs n log n and emits at
 most n spans, whatever its size.
 
 Kinds, in listed order: ``assign``, ``access``, ``hex`` (the base, strong),
@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +45,8 @@ COMPLEMENTS = {"secret": ("access", "endpoint"), "access": ("secret",), "endpoin
 REACH = 300
 MIN_ENTROPY = 3.5
 
+_start = itemgetter(0)
+
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -82,11 +86,12 @@ def _parts(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     strong = sorted(found)
     starts = [s for s, _, _ in strong]
+    reach = list(accumulate((e for _, e, _ in strong), max))  # ends overlap: the furthest so far
 
     def free(start: int, end: int) -> bool:
         """Whether no strong part overlaps [start, end)."""
         i = bisect_left(starts, end)
-        return not any(e > start for _, e, _ in strong[max(0, i - len(BASE_KINDS)):i])
+        return i == 0 or reach[i - 1] <= start
 
     found += [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)] if "://" in text or "host" in lower else []
     hosts = [(s, e) for s, e, k in found if k == "endpoint"]
@@ -109,6 +114,7 @@ def _linked(text: str, parts: list[tuple[int, int, str]]) -> list[tuple[int, int
     by_role: dict[tuple[int, str], list[tuple[int, int]]] = {}
     for start, end, kind in sorted(parts):
         by_role.setdefault((bisect_left(walls, start), ROLE[kind]), []).append((start, end))
+    reach = {key: list(accumulate((e for _, e in others), max)) for key, others in by_role.items()}
     kept = []
     for start, end, kind in parts:
         scope = bisect_left(walls, start)
@@ -117,9 +123,9 @@ def _linked(text: str, parts: list[tuple[int, int, str]]) -> list[tuple[int, int
             continue
         for role in COMPLEMENTS[ROLE[kind]]:
             others = by_role.get((scope, role), [])
-            i = bisect_left(others, (start, end))
-            # parts of one role hardly overlap, so the neighbours are the nearest
-            if any(s - end <= REACH and start - e <= REACH for s, e in others[max(0, i - 2):i + 2]):
+            # of the parts that start in reach, the one that ends last
+            i = bisect_right(others, end + REACH, key=_start)
+            if i and start - reach[scope, role][i - 1] <= REACH:
                 kept.append((start, end, kind))
                 break
     return kept

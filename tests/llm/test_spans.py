@@ -117,3 +117,17 @@ def test_edge_rows(spark, mod, find, out):
 def test_mask(spark):
     df = spark.createDataFrame([(1, "mail x@y.zz, é call +1 (555) 123-4567 now"), (2, None)], "doc_id long, text string")
     assert [r.text for r in pii.mask_pii(df).orderBy("doc_id").collect()] == ["mail [email], é call [phone] now", None]
+
+
+def test_long_strong_parts_reach_over_inner_ones():
+    hexes = "0123456789abcdef01234567", "89abcdef0123456789abcdef"
+    inner = f"token={hexes[0]}-{hexes[1]}-"
+    text = inner + "zz" * ((460 - len(inner)) // 2) + " " * 10 + "host: db.example.org"
+    spans = secret_links.find_spans(text)
+    assert [k for k, _, _ in spans].count("hex") == 2 and spans[-1][0] == "endpoint"
+    # more runs than kinds inside one assign: no weak part is added inside it
+    runs = "x".join(["0123456789abcdef01234567"] * 5) + "+Zq9Lm3Xw8Rt5Vb2Np7Ks4"
+    tokens = secret_links.find_spans(f"secret={runs}. client_id=abcdef")
+    assert "weak_secret" not in [k for k, _, _ in tokens]
+    parts = [(0, 460, "assign"), (6, 30, "hex"), (31, 55, "hex"), (470, 480, "endpoint"), (761, 765, "endpoint")]
+    assert (470, 480, "endpoint") in secret_links._linked("x" * 800, parts) and (761, 765, "endpoint") not in secret_links._linked("x" * 800, parts)
