@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +41,7 @@ _PHONE_TAIL = re.compile(r"[ ().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[^\s<>\"']+")
 _USER_PATH = re.compile(r"/(?:~|u/|users?/|profile/|@)[A-Za-z0-9._-]+")
 _ACCOUNT = re.compile(r"(?: ?(?:number|num|no\.?|nr\.?|#))? ?[:=#]? ?([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
+_LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
 _ID_TOKEN = re.compile(r"[A-Za-z0-9-]+")
 
 
@@ -54,8 +56,7 @@ def _anchors():
         a.add_word(f"{d}.", ("ip", 2))
         a.add_word(f"+{d}", ("phone", 2))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, ("account", len(form)))
+        a.add_word(cue, ("account", len(cue)))
     a.make_automaton()
     return a
 
@@ -143,7 +144,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     where the next may begin, also when validation drops it."""
     ends = dict.fromkeys(KINDS, 0)
     found = []
-    for last, (kind, width) in _anchors().iter(text):
+    for last, (kind, width) in _anchors().iter(text.translate(_LOWER)):  # of the same length; cues in any case
         at = last - width + 1
         if at < ends[kind]:
             continue

@@ -131,3 +131,10 @@ def test_long_strong_parts_reach_over_inner_ones():
     assert "weak_secret" not in [k for k, _, _ in tokens]
     parts = [(0, 460, "assign"), (6, 30, "hex"), (31, 55, "hex"), (470, 480, "endpoint"), (761, 765, "endpoint")]
     assert (470, 480, "endpoint") in secret_links._linked("x" * 800, parts) and (761, 765, "endpoint") not in secret_links._linked("x" * 800, parts)
+
+
+@pytest.mark.parametrize("cue", ["Customer ID", "Customer Id", "customer iD", "Member ID", "MEMBER id", "aCCount", "SSn"])
+def test_account_cues_in_any_case(cue):
+    text = f"her {cue}: 12345678 ok"
+    assert pii.find_spans(text) == [("account", text.index("1"), text.index(" ok"))]
+    assert pii.find_spans("IBan GB82 WEST 1234 5698 7654 32") == [("account", 5, 32)]
