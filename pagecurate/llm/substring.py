@@ -271,7 +271,8 @@ def _of_classes(texts: DataFrame, classes: DataFrame, per_node: DataFrame, entri
     lists of ``entries``. Broadcast when the entries are few enough."""
     keyed = written(per_node.join(classes.select("node", "rep", "words_hash"), "node"), "sub-nodes")
     few = entries.limit(MOST_PLACES + 1).count() <= MOST_PLACES
-    return texts.join(F.broadcast(keyed) if few else keyed, F.col("id").eqNullSafe(F.col("rep"))).drop("id", "rep")
+    # rows without text may share an id with a class
+    return texts.filter("text IS NOT NULL").join(F.broadcast(keyed) if few else keyed, F.col("id").eqNullSafe(F.col("rep"))).drop("id", "rep")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -108,3 +108,11 @@ def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     want = brute(rows)
     assert got(substring.op2_substrings(spark, SF_SMALL)) == want and sum(r[2] for r in want) > 0
+
+
+@pytest.mark.parametrize("hot", [substring.HOT, 1])
+def test_rows_without_text_share_ids_with_repeated_ones(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(words + ["a"])), (1, None), (2, "b " + " ".join(words)), (None, " ".join(["c"] + words + ["d"])), (None, None)]
+    assert got(substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
