@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,11 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Masks of the first 0..8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_KEY = np.uint64(0x8EBC6AF09C88C6E3)
+#: Slices of more bytes than this are hashed, and compared, one by one.
+LONG = 64
 #: Bytes over which prefix sums run at once: keeps the tables of powers small.
 STRETCH = 1 << 18
 _powers = {"n": 0}
@@ -64,21 +70,60 @@ def _stretches(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterato
         i = j
 
 
+def _eight(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as little-endian words."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
+
+
 def slice_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash for each slice of bytes [start, end), in ascending order and
-    apart: its polynomial in an odd base modulo 2**64, from prefix sums."""
-    out = np.empty(len(starts), np.uint64)
-    for i, j, a, b, sums, down in _stretches(raw, starts, ends):
-        out[i:j] = mix((sums[b] - sums[a]) * down[a])
+    """A 64-bit hash for each slice of bytes [start, end): its words of eight
+    bytes are folded, one after the other, through a bijection that spreads every
+    bit, beginning with the length. Slices of up to eight bytes and one length
+    never collide; others do by chance, whatever their texts have in common.
+    Slices of more than LONG bytes go through BLAKE2."""
+    eight, size = _eight(raw), ends - starts
+    out = mix(size.astype(np.uint64) ^ _KEY)
+    live = np.arange(len(starts)) if (size <= LONG).all() else np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        live = live[size[live] > at] if at or (size == 0).any() else live
+        if not len(live):
+            break
+        word = eight[starts[live] + at] & _FIRST[np.minimum(size[live] - at, 8)]
+        out[live] = mix(out[live] ^ word)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i]:ends[i]], digest_size=8).digest(), "little")
     return out
 
 
+def equal_slices(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each slice [start, end) has the bytes that ``other`` has from ``at`` on."""
+    a, b, size = _eight(raw), _eight(other), ends - starts
+    same = np.ones(len(starts), bool)
+    live = np.flatnonzero(size > 0)
+    for k in range(0, LONG, 8):
+        if not len(live):
+            break
+        differ = (a[starts[live] + k] ^ b[at[live] + k]) & _FIRST[np.minimum(size[live] - k, 8)]
+        same[live] &= differ == 0
+        live = live[size[live] > k + 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        same[i] &= bool(np.array_equal(raw[starts[i]:ends[i]], other[at[i]:at[i] + size[i]]))
+    return same
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A hash for each word (run of bytes that are not blank)."""
     raw = np.frombuffer(data, np.uint8)
     return slice_hashes(raw, *_runs(~_BLANK[raw])) if len(raw) else np.empty(0, np.uint64)
 
 
+def word_slices(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words."""
+    return _runs(~_BLANK[np.frombuffer(data, np.uint8)])
+
+
 def token_features(data: bytes, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens (runs of ASCII letters and digits and of bytes beyond ASCII):
     their starts, ends, and a row of hashes for each: the token, then its

@@ -2,7 +2,8 @@
 
 A document's set holds its distinct five-word shingles (words cut at blanks,
 A-Z in lower case; all words as one shingle when there are fewer), as 64-bit
-hashes. Two documents are linked when ``100 * common >= 75 * union``, decided on
+hashes: two different shingles of a pair of documents of a million words each
+are taken for one with a probability of 1e-7, whatever the texts. Two documents are linked when ``100 * common >= 75 * union``, decided on
 their full sets; a group is a connected component of links.
 
 Signatures. Under each permutation both the smallest and the largest hash are
@@ -39,7 +40,8 @@ splits when a key is skewed.
 Defined results: no words or NULL text: empty set, linked with nothing, its own
 component. The component's id is its smallest id; NULL ids count only where a
 component has no other. Repeated rows and equal texts form a component. An
-empty table gives no rows. Existing columns of the output's names are replaced.
+empty table gives no rows. Ids are cast to long; one that is not a number fails
+the job. Existing columns of the output's names are replaced.
 """
 
 from __future__ import annotations

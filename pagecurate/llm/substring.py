@@ -22,18 +22,22 @@ at ``SHARD_WORDS``, so its memory does not grow with the input.
 Hot groups. Documents with the same words are one class; if it has several
 members all their windows are repeated, and one member stands for the class
 elsewhere. An anchor with more than ``HOT`` places is split by content: its
-windows are counted by a 128-bit hash with map-side aggregation.
+windows are counted by a 128-bit hash of their text with map-side aggregation.
 
-Words are compared by 64-bit hashes. Defined results: NULL and empty texts have
+Hashes of words only route: a shard gets the words themselves and numbers
+them anew, so words that share a hash are told apart. Defined results: NULL and empty texts have
 no words; texts of fewer than ``WINDOW`` words keep all; repeated rows are
 places of their own, so they remove each other; ids may repeat or be NULL; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; extra columns are ignored; ids are cast to long, and
+one that is not a number fails the job.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +46,7 @@ from pyspark.sql import functions as F
 
 from pagecurate.llm.common import hinted, small_batches, written
 from pagecurate.llm.fmindex import FMIndex, repeated_runs
-from pagecurate.llm.hashing import mix, window_hashes, word_hashes
+from pagecurate.llm.hashing import window_hashes, word_hashes
 
 WINDOW = 35
 GRAM = 8
@@ -56,7 +60,7 @@ PIECE = 256
 MOST_BROADCAST = 500_000
 #: Places or runs (some 24 bytes each) that a join with the texts may broadcast.
 MOST_PLACES = 2_000_000
-_SECOND = np.uint64(0xA0761D6478BD642F)
+_TWO_LONGS = struct.Struct("<qq")
 
 
 def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -127,32 +131,32 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces around the anchors of a class: route, node, start, words.
-    Windows of hot anchors go out one by one, as their two hashes."""
+    """The pieces around the anchors of a class: route, node, start, words
+    (joined by one space). Windows of hot anchors go out one by one, as the two
+    halves of a 128-bit hash."""
     for batch in small_batches(batches):
         columns = {name: batch.column(name).to_pylist() for name in ("node", "words_hash", "text", "found")}
         rows: dict[str, list] = {c: [] for c in ("route", "second", "node", "start", "words")}
         for node, name, text, found in zip(*columns.values()):
-            data = text.encode()
-            if hashlib.blake2b(b" ".join(data.split()), digest_size=16).digest() != name:
+            words = text.encode().split()
+            joined = b" ".join(words)
+            if hashlib.blake2b(joined, digest_size=16).digest() != name:
                 continue
-            h = word_hashes(data)
+            n = len(words)
+            at_byte = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)]).tolist()
             hot = set()
             for f in found:
                 at = f["place"]
                 if f["hot"]:
-                    hot.update(range(max(0, at + GRAM - WINDOW), min(at, len(h) - WINDOW) + 1))
+                    hot.update(range(max(0, at + GRAM - WINDOW), min(at, n - WINDOW) + 1))
                     continue
-                a, b = max(0, at + GRAM - WINDOW), min(len(h), at + WINDOW)
-                for key, v in zip(rows, (f["anchor"], None, node, a, h[a:b].tobytes())):
+                a, b = max(0, at + GRAM - WINDOW), min(n, at + WINDOW)
+                for key, v in zip(rows, (f["anchor"], None, node, a, joined[at_byte[a]:at_byte[b] - 1])):
+                    rows[key].append(v)
+            for s in sorted(hot):
+                name = hashlib.blake2b(joined[at_byte[s]:at_byte[s + WINDOW] - 1], digest_size=16).digest()
+                for key, v in zip(rows, (*_TWO_LONGS.unpack(name), node, s, None)):
                     rows[key].append(v)
-            if hot:
-                starts = np.array(sorted(hot))
-                one = window_hashes(h, WINDOW)[starts].view(np.int64).tolist()
-                two = window_hashes(mix(h ^ _SECOND), WINDOW)[starts].view(np.int64).tolist()
-                for s, x, y in zip(starts.tolist(), one, two):
-                    for key, v in zip(rows, (x, y, node, s, None)):
-                        rows[key].append(v)
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows["route"], pa.int64()), pa.array(rows["second"], pa.int64()), pa.array(rows["node"], pa.int64()),
              pa.array(rows["start"], pa.int32()), pa.array(rows["words"], pa.binary())], names=list(rows))
@@ -162,32 +166,26 @@ def shard_runs(nodes: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> tu
     """(node, start, end) of the repeated runs of one shard."""
     order = np.lexsort((starts, nodes))
     parts, homes, here = [], [], 0  # homes: (node, start in the document, place in the text, length)
+    known: dict[bytes, int] = {}
     last_node, last_end = None, 0
     for i in order.tolist():
         node, start = int(nodes[i]), int(starts[i])
-        words = np.frombuffer(pieces[i], np.uint64)
+        words = pieces[i].split(b" ")
         end = start + len(words)
         if node == last_node and start <= last_end:
             words = words[last_end - start:]
-            if not len(words):
+            if not words:
                 continue
             homes[-1][3] += len(words)
         else:
             if parts:
-                parts.append(None)  # a separator
+                parts.append([0])  # a separator
                 here += 1
             homes.append([node, start, here, len(words)])
-        parts.append(words)
+        parts.append([known.setdefault(w, len(known) + 1) for w in words])
         here += len(words)
         last_node, last_end = node, end
-    symbols, numbers = np.unique(np.concatenate([p for p in parts if p is not None]), return_inverse=True)
-    text, at, taken = np.zeros(here, np.int64), 0, 0
-    for p in parts:
-        if p is None:
-            at += 1
-        else:
-            text[at:at + len(p)] = numbers[taken:taken + len(p)] + 1
-            at, taken = at + len(p), taken + len(p)
+    text = np.fromiter(chain.from_iterable(parts), np.int64, here)
     home = np.array(homes, np.int64)
     # long runs are streamed in pieces that overlap by a window less one
     step = PIECE - WINDOW + 1
@@ -196,7 +194,7 @@ def shard_runs(nodes: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> tu
     nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     begin = home[of, 2] + nth * step
     end = np.minimum(begin + PIECE, home[of, 2] + home[of, 3])
-    a, b = repeated_runs(FMIndex(text, len(symbols) + 1), text, begin, end, WINDOW)
+    a, b = repeated_runs(FMIndex(text, len(known) + 1), text, begin, end, WINDOW)
     own = np.searchsorted(home[:, 2], a, "right") - 1
     shift = home[own, 1] - home[own, 2]
     return home[own, 0], a + shift, b + shift
@@ -224,7 +222,7 @@ def _indexer(shard_words: int):
                 nodes.append(node)
                 starts.append(start)
                 pieces.append(piece)
-                held += len(piece) // 8
+                held += piece.count(b" ") + 1
         if pieces:
             yield close()
 

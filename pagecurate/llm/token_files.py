@@ -22,11 +22,14 @@ an unnamed file and nothing else. Reading: one task per file.
 
 Defined results: NULL text is an empty text (only the end id); NULL ids come
 first; repeated ids are ordered by text; an empty table gives an empty
-manifest. Extra columns are ignored.
+manifest. Extra columns are ignored; ids are cast to long, and one that is not
+a number fails the job. The string of a special token in a text becomes that
+token, as the library does by default.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagecurate.llm.common import small_batches
-from pagecurate.llm.hashing import slice_hashes
+from pagecurate.llm.hashing import equal_slices, slice_hashes
 from pagecurate.session import scratch_dir
 
 MAGIC = b"PKTOKEN1"
@@ -216,14 +219,12 @@ def cut_pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return np.sort(np.concatenate([starts[ends > starts], at[plain]]))
 
 
-def _openings(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The first seven bytes of each slice and its length (up to 255) in 64 bits:
-    tells slices apart independently of their hashes, short ones entirely."""
-    padded = data + bytes(8)
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[begin]
-    size = (end - begin).astype(np.uint64)
-    kept = np.minimum(size, np.uint64(7)) * np.uint64(8)
-    return (eight & ((np.uint64(1) << kept) - np.uint64(1))) | (np.minimum(size, np.uint64(255)) << np.uint64(56))
+def _byte_level(file: dict) -> bool:
+    """Whether a tokenizer file is a BPE whose texts may be cut by ``cut_pieces``."""
+    cutter, model = file["pre_tokenizer"] or {}, file["model"]
+    plain = {"truncation", "padding", "normalizer", "post_processor"}
+    return (cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+            and model["type"] == "BPE" and not model.get("dropout") and not any(file.get(k) for k in plain))
 
 
 class PieceEncoder:
@@ -232,18 +233,24 @@ class PieceEncoder:
     The byte-level pre-tokenizer never joins characters across a single space
     between two non-blank characters, so a text is the sequence of its pieces
     (each with its leading space) and a piece always has the same ids. Pieces
-    recur: those of a batch are grouped by a 64-bit hash (their openings and
-    lengths must agree, too), each distinct one is looked up in a bounded memory
-    or tokenized, and the ids of the batch are gathered with numpy; only new
-    pieces are Python objects."""
+    recur: those of a batch are grouped by a 64-bit hash, each distinct one is
+    looked up in a bounded memory or tokenized, and the ids of the batch are
+    gathered with numpy; only new pieces are Python objects. Wherever a hash is
+    met again the bytes of the pieces are compared.
+
+    Texts that hold the string of an added token go to the library whole, and
+    so do all texts when the file is not a plain byte-level BPE (another
+    pre-tokenizer or model, a normalizer, truncation, padding, dropout)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        # the memory: the hash (sorted) and opening of each known piece, and its ids in a pool
-        self.hashes, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.by_piece = _byte_level(json.loads(self.tokenizer.to_str()))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the memory: the hash (sorted) and bytes of each known piece, and its ids in a pool
+        self.hashes, self.bytes = np.empty(0, np.uint64), np.empty(0, np.uint8)
+        self.byte_at, self.byte_size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.at, self.size, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
         # a byte-level token is written with one character per byte
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -297,26 +304,48 @@ class PieceEncoder:
         size = np.array([len(x) // 4 for x in ids], np.int64)
         return np.cumsum(size) - size, size, np.frombuffer(b"".join(ids), "<u4")
 
-    def _remembered(self, hashes: np.ndarray, checks: np.ndarray, piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same for pieces given by their sorted hashes; ``piece(i)`` gives
-        the bytes of those that are not known, which are then remembered."""
+    def _remembered(self, hashes: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for distinct pieces [begin, end), in ascending order of their
+        hashes; those that are not known are then remembered."""
+        size_in = end - begin
         where = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        known = (self.hashes[where] == hashes) & (self.checks[where] == checks) if len(self.hashes) else np.zeros(len(hashes), bool)
+        known = np.zeros(len(hashes), bool)
+        if len(self.hashes):
+            met = np.flatnonzero((self.hashes[where] == hashes) & (self.byte_size[where] == size_in))
+            known[met] = equal_slices(raw, begin[met], end[met], self.bytes, self.byte_at[where[met]])
         fresh = np.flatnonzero(~known)
-        new_at, new_size, new_pool = self._tokenized([piece(i) for i in fresh.tolist()])
+        pieces = [raw[i:j].tobytes() for i, j in zip(begin[fresh].tolist(), end[fresh].tolist())]
+        new_at, new_size, new_pool = self._tokenized(pieces)
         at, size = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
         at[known], size[known] = self.at[where[known]], self.size[where[known]]
         at[fresh], size[fresh] = new_at + len(self.pool), new_size
         pool = np.concatenate([self.pool, new_pool])
         if len(self.hashes) < CACHE_PIECES:
             # one entry per first hash
-            new = fresh[~np.isin(hashes[fresh], self.hashes)]
+            first = ~np.isin(hashes[fresh], self.hashes)
+            new = fresh[first]
+            held = np.frombuffer(b"".join(pieces), np.uint8)
+            byte_at = np.cumsum(size_in[fresh]) - size_in[fresh] + len(self.bytes)
             order = np.argsort(merged := np.concatenate([self.hashes, hashes[new]]), kind="stable")
-            self.hashes, self.pool = merged[order], pool
-            self.checks, self.at, self.size = (np.concatenate(v)[order] for v in ((self.checks, checks[new]), (self.at, at[new]), (self.size, size[new])))
+            self.hashes, self.pool, self.bytes = merged[order], pool, np.concatenate([self.bytes, held])
+            self.byte_at, self.byte_size, self.at, self.size = (np.concatenate(v)[order] for v in (
+                (self.byte_at, byte_at[first]), (self.byte_size, size_in[new]), (self.at, at[new]), (self.size, size[new])))
         return at, size, pool
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The library's ids of each text (``add_special_tokens=False``)."""
+        whole = [i for i, t in enumerate(texts) if t and (not self.by_piece or any(a in t for a in self.added))]
+        if not whole:
+            return self._encode_pieces(texts)
+        rest = [*texts]
+        for i in whole:
+            rest[i] = ""
+        out = self._encode_pieces(rest)
+        for i in whole:
+            out[i] = np.asarray(self._ids([texts[i]])[0], np.uint32)
+        return out
+
+    def _encode_pieces(self, texts: list[str | None]) -> list[np.ndarray]:
         coded = [(t or "").encode() for t in texts]
         ends = np.cumsum([len(c) for c in coded], dtype=np.int64)
         starts = ends - np.array([len(c) for c in coded], np.int64)
@@ -327,12 +356,12 @@ class PieceEncoder:
         begin = cut_pieces(raw, starts, ends)
         end = np.append(begin[1:], len(raw))
         hashes, first, which = np.unique(slice_hashes(raw, begin, end), return_index=True, return_inverse=True)
-        checks = _openings(data, begin, end)
-        if (checks != checks[first][which]).any():  # two pieces of one hash: tell them apart by their bytes
+        of = first[which]
+        if (end - begin == (end - begin)[of]).all() and equal_slices(raw, begin, end, raw, begin[of]).all():
+            at, size, pool = self._remembered(hashes, raw, begin[first], end[first])
+        else:  # two pieces of one hash: tell them apart by their bytes
             _, first, which = np.unique([data[i:j] for i, j in zip(begin.tolist(), end.tolist())], return_index=True, return_inverse=True)
             at, size, pool = self._tokenized([data[begin[i]:end[i]] for i in first.tolist()])
-        else:
-            at, size, pool = self._remembered(hashes, checks[first], lambda i: data[begin[first[i]]:end[first[i]]])
         n = size[which]
         behind = np.cumsum(n)
         tokens = pool[np.repeat(at[which] - (behind - n), n) + np.arange(behind[-1])]
@@ -389,8 +418,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
                 "path": path, "shard": TaskContext.get().partitionId(), "n_docs": len(out.doc_ids), "n_ids": out.n_ids,
                 "first_id": first, "bits": bits, "vocabulary": encoder.vocabulary}], schema=_MANIFEST_ARROW)
 
+    # the opening of the text parts repeated ids over several tasks in the same order
     ordered = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-               .repartitionByRange("id").sortWithinPartitions("id", "text"))
+               .repartitionByRange("id", F.substring("text", 1, 64)).sortWithinPartitions("id", "text"))
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 

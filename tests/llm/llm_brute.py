@@ -4,6 +4,10 @@ import zlib
 
 import numpy as np
 
+#: Two words that a polynomial modulo 2**64 cannot tell apart, whatever its base.
+_BITS = "".join(str(bin(i).count("1") % 2) for i in range(1024))
+THUE_MORSE = (_BITS.translate(str.maketrans("01", "ab")), _BITS.translate(str.maketrans("01", "ba")))
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

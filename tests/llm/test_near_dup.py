@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from llm_brute import near_dups, shingles
+from llm_brute import THUE_MORSE, near_dups, shingles
 
 from pagecurate.llm import near_dup as nd
 
@@ -32,11 +32,12 @@ def corpus():
     for i, n in enumerate((1, 2, 3, 4, 5, 6)):
         rows += [(3000 + 10 * i, " ".join(v[:n])), (3001 + 10 * i, " \n".join(v[:n]).upper())]
     rows += [(4000, None), (4001, ""), (4002, "\n "), (None, rows[0][1]), (None, "alone in the world of ids"), (5, "alone again or the same text"), (5, "alone again or the same text"),
-             (6, "x " * 50_000), (7, "X " * 49_000)]
+             (6, "x " * 50_000), (7, "X " * 49_000),
+             (8, THUE_MORSE[0]), (9, THUE_MORSE[1]), (10, " ".join(["a", *THUE_MORSE] * 2 + ["b", *THUE_MORSE[::-1], "c"]))]
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"BUCKET_ROWS": 8, "BLOCK": 4}])
+@pytest.mark.parametrize("limits", [{}, {"BUCKET_ROWS": 8, "BLOCK": 4, "MOST_BROADCAST": 1}, {"BUCKET_ROWS": 4, "MOST_SPLITS": 1}])
 def test_equals_all_pairs(spark, monkeypatch, limits):
     for k, x in limits.items():
         monkeypatch.setattr(nd, k, x)

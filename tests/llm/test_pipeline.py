@@ -5,6 +5,7 @@ import corpus_pipeline
 import pytest
 from llm_brute import near_dups, token_rows
 from llm_duck import duck
+from tokenizers import Tokenizer
 
 from pagecurate.llm import decontaminate, mixing, token_files, toxicity
 from pagecurate.llm.common import written
@@ -59,7 +60,7 @@ def test_mix(stages):
 
 
 def test_token_output(stages):
-    tokenizer = token_files.PieceEncoder(token_files.default_tokenizer()).tokenizer
+    tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
     assert sorted((tuple(r) for r in stages[5][1].collect()), key=repr) == token_rows(texts(stages[4][1]), tokenizer)
 
 

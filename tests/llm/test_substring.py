@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from llm_brute import THUE_MORSE
 
 from pagecurate.llm import fmindex, substring
 
@@ -86,13 +87,16 @@ def corpus():
         rows.append((i, random.choice([" ", "\n", "  "]).join(w)))
     rows += [(100, rows[7][1]), (7, rows[7][1]), (None, rows[8][1]), (None, "u " * 90), (101, "y " * 34), (102, "z " * 35), (103, None), (104, "")]
     rows += [(110 + i, " ".join(["p q r"] * n + random.choices(v, k=5) + ["p q r"] * 20)) for i, n in enumerate((1, 9, 12, 13, 40))]
+    rows += [(106 + i, " ".join([f"t{k}" for k in range(34)] + [w])) for i, w in enumerate(THUE_MORSE)]
     rows += [(7, " ".join(passages[3])), (105, " ".join(random.choices(v, k=20_000)) + " " + " ".join(passages[4]))]
     return rows
 
 
-@pytest.mark.parametrize("hot,shard", [(32768, 1_000_000), (2, 1_000_000), (32768, 50)])
-def test_equals_brute_force(spark, monkeypatch, hot, shard):
+@pytest.mark.parametrize("hot,shard,places", [(32768, 1_000_000, 2_000_000), (2, 1_000_000, 2_000_000), (32768, 50, 1)])
+def test_equals_brute_force(spark, monkeypatch, hot, shard, places):
     monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "MOST_PLACES", places)  # at 1 the texts are shuffled
+    monkeypatch.setattr(substring, "MOST_BROADCAST", places)
     monkeypatch.setattr(substring, "SHARD_WORDS", shard)
     rows = corpus()
     df = spark.createDataFrame([(*r, "c", 3) for r in rows], "doc_id long, text string, node string, n_words int").repartition(3)

@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from llm_brute import THUE_MORSE
+from tokenizers import Tokenizer
 
 from pagecurate.llm import token_files as tf
 
@@ -11,7 +13,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 def plain_ids(texts):
-    t = tf.PieceEncoder(tf.default_tokenizer()).tokenizer
+    t = Tokenizer.from_file(tf.default_tokenizer())  # the library as it comes
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -56,6 +58,30 @@ def test_piece_ids_equal_the_library():
         assert [enc.encode([t])[0].tolist() + [0] for t in texts[-300:]] == plain_ids(texts[-300:])
 
 
+def test_special_strings_and_long_pieces():
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", f"{end}a", f"a{end}", end * 3, f" {end} {end} ", "<|endoftext|", "|> <|endoftext", *THUE_MORSE,
+             *("x " + "abcdefgh" * 40 + c for c in "ab"), " ".join(THUE_MORSE), THUE_MORSE[0][:600] + "b"]
+    enc = tf.PieceEncoder(tf.default_tokenizer())
+    assert enc.encode(["hello <|endoftext|> world"])[0].tolist() == [31373, 220, 50256, 995]
+    for _ in range(2):
+        assert [x.tolist() + [0] for x in enc.encode(texts)] == plain_ids(texts)
+        assert [enc.encode([t])[0].tolist() + [0] for t in texts] == plain_ids(texts)
+
+
+def test_other_tokenizer_files(tmp_path):
+    import json
+    import public_tokenizers
+    texts = ["Hello there,  World", "a\u00a0b C", " x", ""]
+    own = json.loads(Tokenizer.from_file(tf.default_tokenizer()).to_str())
+    own["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "lower.json").write_text(json.dumps(own))
+    for path in (public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "lower.json")):
+        library, enc = Tokenizer.from_file(path), tf.PieceEncoder(path)
+        assert not enc.by_piece
+        assert [x.tolist() for x in enc.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_equal_hashes_are_told_apart(monkeypatch):
     texts = ["one two three", "four two one one", ""]
     first = []
@@ -93,7 +119,7 @@ def test_query_equals_the_library(spark):
 
 
 def test_edge_rows(spark):
-    rows = [(3, None), (1, ""), (2, "a b"), (2, "a b"), (None, "x"), (9, "word " * 300_000), (2, "a"), (-5, "neg")]
+    rows = [(3, None), (1, ""), (2, "a b"), (2, "a b"), (None, "x"), (9, "word " * 300_000), (2, "a"), (-5, "neg"), (7, THUE_MORSE[0]), (8, THUE_MORSE[1]), (10, "to <|endoftext|> and on"), *((None, f"t {i}") for i in range(50))]
     df = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, start string").repartition(3)
     got = tf.tokens_of(df, tf.default_tokenizer(), block=128)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
