@@ -57,13 +57,13 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return slice_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
 
 
-def _run_bits(lang: str, hashes: np.ndarray, size: int) -> np.ndarray:
-    """The place in the filter of each run of ``size`` words of a language."""
+def _run_bits(lang: str, hashes: np.ndarray, size: int, bits: int) -> np.ndarray:
+    """The place in a filter of so many bits of each run of ``size`` words of a language."""
     n = max(0, len(hashes) - size + 1)
     h = np.full(n, _hashes([lang.encode()])[0] + np.uint64(size))
     for k in range(size):
         h = h * _STEP + hashes[k:k + n]
-    return (mix(h) % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (mix(h) % np.uint64(bits)).astype(np.int64)
 
 
 def number_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -99,7 +99,7 @@ def batch_stripes(lang: str, texts: list[str | None], size: int, frequent: np.nd
     for k in range(size):
         starts &= inside[k:k + len(starts)]
     if frequent is not None:
-        bit = _run_bits(lang, np.concatenate([[np.uint64(0)], _hashes(words)])[ids] if words else ids.view(np.uint64), size - 1)
+        bit = _run_bits(lang, np.concatenate([[np.uint64(0)], _hashes(words)])[ids] if words else ids.view(np.uint64), size - 1, 8 * len(frequent))
         passes = (frequent[bit >> 3] >> (bit & 7) & 1).astype(bool)
         starts &= passes[:-1] & passes[1:]
     at, n = count_runs(ids, np.flatnonzero(starts), size) if starts.any() else (np.empty(0, np.int64),) * 2
@@ -139,18 +139,19 @@ def stripes(texts: DataFrame, size: int, frequent: np.ndarray | None) -> DataFra
 
 def phrase_filter(phrases: DataFrame, size: int) -> np.ndarray:
     """Bitmap of FILTER_BITS bits with those of the phrases (lang, phrase) set."""
+    n_bits = FILTER_BITS
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by_lang: dict[str, list] = {}
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_lang.setdefault(lang, []).extend(phrase.encode().split(b" "))
-            at = np.concatenate([_run_bits(lang, _hashes(words), size)[::size] for lang, words in by_lang.items()] or [np.empty(0, np.int64)])
+            at = np.concatenate([_run_bits(lang, _hashes(words), size, n_bits)[::size] for lang, words in by_lang.items()] or [np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["at", "mask"])
 
     # at most FILTER_BITS / 64 rows, whatever the number of phrases
     words = phrases.mapInArrow(bits, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(n_bits // 64, np.int64)
     out[words.column("at").to_numpy()] = words.column("mask").to_numpy()
     return out.view(np.uint8)
 

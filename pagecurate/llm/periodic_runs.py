@@ -152,6 +152,7 @@ def find_periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_dropped, collapsed_sha256, and ``collapsed`` where words were dropped (the
     kept words joined by one space; NULL means that all words stay, or that
     ``with_text`` is off). ``reword`` may change a row's words first."""
+    batch_words = BATCH_WORDS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, docs, held = [], [], 0
@@ -173,7 +174,7 @@ def find_periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 ids.append(doc_id)
                 docs.append(reword(doc_id, words) if reword else words)
                 held += len(words)
-                if held >= BATCH_WORDS:
+                if held >= batch_words:
                     yield judged()
                     ids, docs, held = [], [], 0
         if ids:
