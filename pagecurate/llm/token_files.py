@@ -322,14 +322,14 @@ class PieceEncoder:
         pool = np.concatenate([self.pool, new_pool])
         if len(self.hashes) < CACHE_PIECES:
             # one entry per first hash
-            first = ~np.isin(hashes[fresh], self.hashes)
+            first = self.hashes[where[fresh]] != hashes[fresh] if len(self.hashes) else np.ones(len(fresh), bool)
             new = fresh[first]
+            slot = np.searchsorted(self.hashes, hashes[new])  # both in ascending order
             held = np.frombuffer(b"".join(pieces), np.uint8)
             byte_at = np.cumsum(size_in[fresh]) - size_in[fresh] + len(self.bytes)
-            order = np.argsort(merged := np.concatenate([self.hashes, hashes[new]]), kind="stable")
-            self.hashes, self.pool, self.bytes = merged[order], pool, np.concatenate([self.bytes, held])
-            self.byte_at, self.byte_size, self.at, self.size = (np.concatenate(v)[order] for v in (
-                (self.byte_at, byte_at[first]), (self.byte_size, size_in[new]), (self.at, at[new]), (self.size, size[new])))
+            self.pool, self.bytes = pool, np.concatenate([self.bytes, held])
+            self.hashes, self.byte_at, self.byte_size, self.at, self.size = (np.insert(a, slot, v) for a, v in (
+                (self.hashes, hashes[new]), (self.byte_at, byte_at[first]), (self.byte_size, size_in[new]), (self.at, at[new]), (self.size, size[new])))
         return at, size, pool
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
