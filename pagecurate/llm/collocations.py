@@ -12,11 +12,18 @@ stripes, and the greatest cell of a stripe (and, keyed by the phrase without its
 first word, the greatest one on the other side) says whether an extension
 subsumes the phrase.
 
-Rounds. Both parts of a frequent phrase that leave out its first or last word are
-frequent, so the stripes of m words only count where both were frequent in the
-round before. Tasks know this from a bitmap of ``FILTER_BITS`` bits, which is
-what is sent to them whatever the corpus. It can let other phrases pass but
-never misses one, and counts are exact, since cells carry their words.
+Passes. Both parts of a frequent phrase that leave out its first or last word are
+frequent, so a pass only counts phrases whose parts passed the one before:
+
+1. words, exactly;
+2. and 3. pairs, then triples, counted under a 64-bit hash alone, which bounds
+   each phrase's count from above;
+4. the stripes: pairs and triples that may be frequent, and longer phrases all
+   of whose triples may be.
+
+Tasks know what passed from bitmaps of ``FILTER_BITS`` bits, which is what is
+sent to them whatever the corpus. A hash or a bit can let a phrase pass but never
+misses one, and the stripes carry their words, so all counts are exact.
 
 Scores. Each cut of a candidate joins the counts of its two parts; all
 arithmetic is on decimals of 38 digits. A count is a BIGINT; words of one language
@@ -37,121 +44,159 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagecurate.llm.common import hinted, small_batches, written
-from pagecurate.llm.hashing import mix, slice_hashes
+from pagecurate.llm.hashing import equal_slices, mix, runs_of, slice_hashes
 
 MOST_WORDS = 5
 MIN_COUNT = 100
 TOP = 2000
+#: A power of two; the bitmaps take an eighth of it in bytes.
+FILTER_BITS = 1 << 26
 #: Per cent of a phrase's count that a longer candidate needs to subsume it.
 SUBSUMED = 100
 NO_LANG = "und"
 CUTS = b".,;:!?\n\x0b\x0c\r"
-FILTER_BITS = 1 << 26
 MOST_BROADCAST = 500_000
 _FLAT = bytes.maketrans(CUTS + bytes(range(65, 91)), b"\n" * len(CUTS) + bytes(range(97, 123)))
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[[0x20, 0x09, 0x0A]] = True  # what is left between words
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-    return slice_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+# ---- words of a batch --------------------------------------------------------
 
+def cut_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts end to end as bytes, and of each word its start, end and piece."""
+    raw = np.frombuffer(b"\n".join((t or "").encode() for t in texts).translate(_FLAT), np.uint8)
+    starts, ends = runs_of(~_BETWEEN[raw])
+    return raw, starts, ends, np.cumsum(raw == 10)[starts]
 
-def _run_bits(lang: str, hashes: np.ndarray, size: int, bits: int) -> np.ndarray:
-    """The place in a filter of so many bits of each run of ``size`` words of a language."""
-    n = max(0, len(hashes) - size + 1)
-    h = np.full(n, _hashes([lang.encode()])[0] + np.uint64(size))
+
+def number_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word, place of the first word of each number); equal words,
+    by their bytes, have one number."""
+    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    of = first[ids]
+    if (ends - starts != (ends - starts)[of]).any() or not equal_slices(raw, starts, ends, raw, starts[of]).all():
+        words = [raw[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]  # two words of one hash
+        _, first, ids = np.unique(np.array(words, object), return_index=True, return_inverse=True)
+    return ids, first
+
+
+def run_hashes(lang: str, hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words of a language."""
+    name = np.frombuffer(lang.encode(), np.uint8)
+    h = np.full(max(0, len(hashes) - size + 1), slice_hashes(name, np.array([0]), np.array([len(name)]))[0] + np.uint64(size))
     for k in range(size):
-        h = h * _STEP + hashes[k:k + n]
-    return (mix(h) % np.uint64(bits)).astype(np.int64)
+        h = h * _STEP + hashes[k:k + len(h)]
+    return mix(h)
 
 
-def number_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of some texts, and the texts as their numbers from 1
-    on; 0 stands between pieces."""
-    known: dict[bytes, int] = {}
-    ids = [0]
-    for text in texts:
-        for piece in (text or "").encode().translate(_FLAT).split(b"\n"):
-            if words := piece.split():
-                ids += [known.setdefault(w, len(known) + 1) for w in words]
-                ids.append(0)
-    return list(known), np.array(ids, np.int64)
+def places(lang: str, hashes: np.ndarray, piece: np.ndarray, size: int, filters: dict[int, np.ndarray]) -> np.ndarray:
+    """Where the runs of ``size`` words begin that lie in one piece and of which
+    the runs of ``part`` words, the longest there is a filter for, all pass it."""
+    n = max(0, len(hashes) - size + 1)
+    starts = piece[:n] == piece[size - 1:size - 1 + n]
+    part = max((k for k in filters if k <= size), default=0)
+    if part and n:
+        bits = filters[part]
+        at = (run_hashes(lang, hashes, part) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+        passes = (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+        for k in range(size - part + 1):
+            starts &= passes[k:k + n]
+    return np.flatnonzero(starts)
 
 
 def count_runs(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a place, number) of each distinct run of ``size`` numbers that begins at
-    one of the places ``at``."""
+    """(numbers, count) of each distinct run of ``size`` words that begins at one
+    of the places ``at``, in order of the numbers."""
+    if not len(at):
+        return np.empty((0, size), np.int64), np.empty(0, np.int64)
     names = ids[at]
     for k in range(1, size):
         names = np.unique(names * (ids.max() + 1) + ids[at + k], return_inverse=True)[1]
     _, first, n = np.unique(names, return_index=True, return_counts=True)
-    return at[first], n
+    return np.stack([ids[at[first] + k] for k in range(size)], axis=1), n
 
 
-def batch_stripes(lang: str, texts: list[str | None], size: int, frequent: np.ndarray | None) -> Iterator[tuple[str, list[str | None], list[int]]]:
-    """(prefix, next words, counts) of the stripes for phrases of ``size`` words.
-    ``frequent``: filter of the phrases of one word less. The stripe of the empty
-    prefix counts all words under NULL, too."""
-    words, ids = number_words(texts)
-    inside = ids > 0
-    starts = np.ones(max(0, len(ids) - size + 1), bool)
-    for k in range(size):
-        starts &= inside[k:k + len(starts)]
-    if frequent is not None:
-        bit = _run_bits(lang, np.concatenate([[np.uint64(0)], _hashes(words)])[ids] if words else ids.view(np.uint64), size - 1, 8 * len(frequent))
-        passes = (frequent[bit >> 3] >> (bit & 7) & 1).astype(bool)
-        starts &= passes[:-1] & passes[1:]
-    at, n = count_runs(ids, np.flatnonzero(starts), size) if starts.any() else (np.empty(0, np.int64),) * 2
-    text = [w.decode() for w in words]
-    if size == 1:
-        if len(at):
-            yield "", [*(text[i - 1] for i in ids[at].tolist()), None], [*n.tolist(), int(n.sum())]
+def batch_stripes(lang: str, texts: list[str | None], sizes: tuple[int, ...],
+                  filters: dict[int, np.ndarray]) -> Iterator[tuple[int, str, list[str | None], list[int]]]:
+    """(size, prefix, next words, counts) of the stripes for phrases of these
+    sizes. The stripe of the empty prefix counts all words under NULL, too."""
+    raw, starts, ends, piece = cut_words(texts)
+    if not len(starts):
         return
-    rows = np.stack([ids[at + k] for k in range(size)], axis=1)
-    order = np.lexsort(rows.T[::-1])
-    rows, n = rows[order], n[order]
-    turns = np.flatnonzero(np.append(True, (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1))) if len(rows) else np.empty(0, np.int64)
-    for a, b in zip(turns.tolist(), [*turns[1:].tolist(), len(rows)]):
-        yield " ".join(text[i - 1] for i in rows[a, :-1].tolist()), [text[i - 1] for i in rows[a:b, -1].tolist()], n[a:b].tolist()
+    hashes = slice_hashes(raw, starts, ends)
+    ids, first = number_words(raw, starts, ends, hashes)
+    word = [raw[a:b].tobytes().decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    for size in sizes:
+        rows, n = count_runs(ids, places(lang, hashes, piece, size, filters), size)
+        if size == 1:
+            yield 1, "", [*(word[i] for i in rows[:, 0].tolist()), None], [*n.tolist(), int(n.sum())]
+            continue
+        turns = np.flatnonzero(np.append(True, (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1))) if len(rows) else rows[:, 0]
+        for a, b in zip(turns.tolist(), [*turns[1:].tolist(), len(rows)]):
+            yield size, " ".join(word[i] for i in rows[a, :-1].tolist()), [word[i] for i in rows[a:b, -1].tolist()], n[a:b].tolist()
+
+
+# ---- passes over the texts -----------------------------------------------------
 
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str | None]]]:
+    for batch in small_batches(batches, 4_000):
+        texts: dict[str, list] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts.setdefault(lang, []).append(text)
+        yield from texts.items()
 
-def stripes(texts: DataFrame, size: int, frequent: np.ndarray | None) -> DataFrame:
-    """(lang, prefix, next, n): the merged stripes for phrases of ``size`` words of
-    the texts (lang, text)."""
+
+def stripes(texts: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndarray]) -> DataFrame:
+    """(size, lang, prefix, next, n): the merged stripes of the texts (lang, text)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 4_000):
-            by_lang: dict[str, list] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, of_lang in by_lang.items():
-                rows = list(batch_stripes(lang, of_lang, size, frequent))
-                for a in range(0, len(rows), 20_000):
-                    prefix, following, n = zip(*rows[a:a + 20_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(prefix)), pa.array(prefix), pa.array(following, pa.list_(pa.string())),
-                                                      pa.array(n, pa.list_(pa.int64()))], names=["lang", "prefix", "next", "n"])
-
-    built = texts.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text").mapInArrow(build, "lang string, prefix string, next array<string>, n array<long>")
-    cells = built.select("lang", "prefix", F.inline(F.arrays_zip("next", "n")))
-    return cells.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
-
-
-def phrase_filter(phrases: DataFrame, size: int) -> np.ndarray:
-    """Bitmap of FILTER_BITS bits with those of the phrases (lang, phrase) set."""
-    n_bits = FILTER_BITS
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by_lang: dict[str, list] = {}
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).extend(phrase.encode().split(b" "))
-            at = np.concatenate([_run_bits(lang, _hashes(words), size, n_bits)[::size] for lang, words in by_lang.items()] or [np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["at", "mask"])
+        for lang, of_lang in _by_lang(batches):
+            rows = list(batch_stripes(lang, of_lang, sizes, filters))
+            for a in range(0, len(rows), 20_000):
+                size, prefix, following, n = zip(*rows[a:a + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array([lang] * len(prefix)), pa.array(prefix), pa.array(following, pa.list_(pa.string())),
+                                                  pa.array(n, pa.list_(pa.int64()))], names=["size", "lang", "prefix", "next", "n"])
+
+    built = texts.mapInArrow(build, "size int, lang string, prefix string, next array<string>, n array<long>")
+    cells = built.select("size", "lang", "prefix", F.inline(F.arrays_zip("next", "n")))
+    return cells.groupBy("size", "lang", "prefix", "next").agg(F.sum("n").alias("n"))
+
+
+def hashed_counts(texts: DataFrame, size: int, filters: dict[int, np.ndarray]) -> DataFrame:
+    """(hash, n): the occurrences of the phrases of ``size`` words, by their hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, of_lang in _by_lang(batches):
+            raw, starts, ends, piece = cut_words(of_lang)
+            hashes = slice_hashes(raw, starts, ends)
+            found, n = np.unique(run_hashes(lang, hashes, size)[places(lang, hashes, piece, size, filters)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
+
+    return texts.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
 
+def _word_hashes(words: DataFrame) -> DataFrame:
+    """(hash) of words (lang, word)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in _by_lang(batches):
+            words = [w.encode() for w in texts]
+            ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+            hashes = slice_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+            yield pa.RecordBatch.from_arrays([pa.array(run_hashes(lang, hashes, 1).view(np.int64))], names=["hash"])
+
+    return words.mapInArrow(of, "hash long")
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, as bytes, with those of the hashes set."""
+    at = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
     # at most FILTER_BITS / 64 rows, whatever the number of phrases
-    words = phrases.mapInArrow(bits, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(n_bits // 64, np.int64)
+    words = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(mask).alias("mask")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words.column("at").to_numpy()] = words.column("mask").to_numpy()
     return out.view(np.uint8)
 
@@ -159,20 +204,21 @@ def phrase_filter(phrases: DataFrame, size: int) -> np.ndarray:
 def frequent_phrases(texts: DataFrame, most_words: int = MOST_WORDS, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, prefix, suffix, size, n) of the phrases that occur
     ``min_count`` times, and (lang, total) with all words of each language."""
-    found, totals, frequent = None, None, None
-    for size in range(1, most_words + 1):
-        cells = stripes(texts, size, frequent).filter((F.col("n") >= min_count) | F.col("next").isNull())
-        cells = written(cells, f"stripes-{size}")
-        if size == 1:
-            totals = cells.filter("next IS NULL").select("lang", F.col("n").alias("total"))
-        phrase = F.concat_ws(" ", F.when(F.col("prefix") != "", F.col("prefix")), "next")
-        phrases = cells.filter("next IS NOT NULL").select(
-            "lang", phrase.alias("phrase"), "prefix", F.substring_index(phrase, " ", 1 - size if size > 1 else 1).alias("suffix"), F.lit(size).alias("size"), "n")
-        found = phrases if found is None else found.unionByName(phrases)
-        if size < most_words:
-            frequent = phrase_filter(phrases.select("lang", "phrase"), size)
-    return found, totals
-
+    texts = texts.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
+    often = F.col("n") >= min_count
+    words = written(stripes(texts, (1,), {}).filter(often | F.col("next").isNull()), "stripes-words")
+    filters = {1: bitmap(_word_hashes(words.filter("next IS NOT NULL").select("lang", "next")))}
+    for size in range(2, min(most_words, 3) + 1):
+        filters[size] = bitmap(hashed_counts(texts, size, {size - 1: filters[size - 1]}).filter(often).select("hash"))
+    longer = written(stripes(texts, tuple(range(2, most_words + 1)), filters).filter(often), "stripes-phrases")
+    phrase = F.concat_ws(" ", F.when(F.col("prefix") != "", F.col("prefix")), "next")
+    after_first = F.concat_ws(" ", F.when(F.col("prefix").contains(" "), F.expr("substring_index(prefix, ' ', 2 - size)")), "next")
+    found = (words.filter("next IS NOT NULL").unionByName(longer)
+             .select("lang", phrase.alias("phrase"), "prefix", after_first.alias("suffix"), "size", "n"))
+    return found, words.filter("next IS NULL").select("lang", F.col("n").alias("total"))
+
+
+# ---- scores --------------------------------------------------------------------
 
 def _scores(candidates: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r, n, score: each candidate by its weakest cut."""

@@ -44,7 +44,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     padded = np.zeros(len(inside) + 2, np.int8)
     padded[1:-1] = inside
@@ -116,12 +116,12 @@ def equal_slices(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: n
 def word_hashes(data: bytes) -> np.ndarray:
     """A hash for each word (run of bytes that are not blank)."""
     raw = np.frombuffer(data, np.uint8)
-    return slice_hashes(raw, *_runs(~_BLANK[raw])) if len(raw) else np.empty(0, np.uint64)
+    return slice_hashes(raw, *runs_of(~_BLANK[raw])) if len(raw) else np.empty(0, np.uint64)
 
 
 def word_slices(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words."""
-    return _runs(~_BLANK[np.frombuffer(data, np.uint8)])
+    return runs_of(~_BLANK[np.frombuffer(data, np.uint8)])
 
 
 def token_features(data: bytes, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def token_features(data: bytes, prefixes: tuple[int, ...]) -> tuple[np.ndarray,
     their starts, ends, and a row of hashes for each: the token, then its
     prefixes of so many bytes (0 where the token is shorter)."""
     raw = np.frombuffer(data, np.uint8)
-    starts, ends = _runs(_TOKEN[raw])
+    starts, ends = runs_of(_TOKEN[raw])
     out = np.zeros((len(starts), 1 + len(prefixes)), np.uint64)
     for i, j, a, b, sums, down in _stretches(raw, starts, ends):
         base, scale, rows = sums[a], down[a], out[i:j]

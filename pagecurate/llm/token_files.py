@@ -360,7 +360,7 @@ class PieceEncoder:
         if (end - begin == (end - begin)[of]).all() and equal_slices(raw, begin, end, raw, begin[of]).all():
             at, size, pool = self._remembered(hashes, raw, begin[first], end[first])
         else:  # two pieces of one hash: tell them apart by their bytes
-            _, first, which = np.unique([data[i:j] for i, j in zip(begin.tolist(), end.tolist())], return_index=True, return_inverse=True)
+            _, first, which = np.unique(np.array([data[i:j] for i, j in zip(begin.tolist(), end.tolist())], object), return_index=True, return_inverse=True)
             at, size, pool = self._tokenized([data[begin[i]:end[i]] for i in first.tolist()])
         n = size[which]
         behind = np.cumsum(n)
