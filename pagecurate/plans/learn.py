@@ -31,7 +31,7 @@ from pagecurate.functions.logits import log_softmax_at
 from pagecurate.operators.joins import zip_features
 from pagecurate.operators.metrics import class_weights, weighted_log_loss, with_class_weights
 from pagecurate.plans.features import TOKEN_SPLIT, standardise
-from pagecurate.session import ensure_checkpoint_dir
+from pagecurate.session import ensure_checkpoint_dir, shuffle_partitions
 
 
 def text_pipeline(text_col: str, label_col: str, weight_col: str | None = None,
@@ -95,7 +95,8 @@ def fit_positional_classifier(train: DataFrame, label_col: str, n_inputs: int =
     mlp = MultilayerPerceptronClassifier(featuresCol="_pos", labelCol="_y",
                                          layers=[n_inputs] + [hidden] * depth + [2],
                                          maxIter=max_iter, seed=seed)
-    src = train.withColumn("_y", F.col(label_col).cast("double")).cache()
+    # a table of one file would be fitted in one task; only the vectors move
+    src = train.select("_pos", F.col(label_col).cast("double").alias("_y")).repartition(shuffle_partitions(train.sparkSession)).cache()
     try:
         return mlp.fit(src)
     finally:

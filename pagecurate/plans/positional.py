@@ -61,7 +61,7 @@ def positional_features(annotated: DataFrame, records: DataFrame, layouts: DataF
     segs = segs.join(ids, "id", "left_semi")
     pages = layouts.select("package_id", "page_index", "page_width", "page_height")
     if max_page_offset > 0:
-        located = nearest_following(segs, pages, ["package_id"], "id", "page_index", "page_index",
+        located = nearest_following(segs, pages, ["package_id"], "page_index", "page_index",
                                     max_page_offset, ["page_width", "page_height"])
         located = located.withColumn("layout_index", F.col("found_pos"))
     else:
@@ -76,19 +76,20 @@ def positional_features(annotated: DataFrame, records: DataFrame, layouts: DataF
     seg_text = seg_text.withColumn("_speaker", is_speaker)
     usable = seg_text.filter(F.col("layout_index").isNotNull())
     keys = ["package_id", "layout_index"]
+    usable = usable.withColumn("_at", F.struct("file", "page_ord", "elem_ord"))
+    carry = ["_at", "n_colons", "_speaker", "page_width", "page_height"]
     whole = match_blocks(usable.filter(~F.col("_speaker")), blocks, keys, "id", "text_line", "elem_ord",
-                         "block_id", "block_text", "block_idx", scorer="indel")
+                         "block_id", "block_text", "block_idx", scorer="indel", carry=carry)
     cut = match_blocks(usable.filter(F.col("_speaker")), blocks, keys, "id", "text_line", "elem_ord",
-                       "block_id", "block_text", "block_idx", scorer="indel", seg_colons="n_colons")
+                       "block_id", "block_text", "block_idx", scorer="indel", seg_colons="n_colons", carry=carry)
     match = whole.unionByName(cut)
-    m = (match.join(blocks.select("package_id", "layout_index", "block_idx", "block_box", "words"),
-                    ["package_id", "layout_index", "block_idx"])
-         .join(seg_text.select("id", "n_colons", "_speaker", "page_width", "page_height"), "id"))
+    m = match.join(blocks.select("package_id", "layout_index", "block_idx", "block_box", "words"),
+                   ["package_id", "layout_index", "block_idx"])
     box = F.when(F.col("_speaker"), speaker_box(F.col("words"), F.col("n_colons"))).otherwise(F.col("block_box"))
     norm = box_normalise(box, "page_width", "page_height")
-    feats = m.select("id", *[norm[k].alias(c) for k, c in
+    feats = m.select("id", "_at", *[norm[k].alias(c) for k, c in
                              zip(("left", "upper", "right", "lower"), POSITION_COLS)])
     # an id that occurs on several pages takes its last place
     meta_cols = segs.select("id", *RECORD_COLS, F.struct("file", "page_ord", "elem_ord").alias("_at"))
-    upd = meta_cols.join(feats, "id", "left")
+    upd = meta_cols.join(feats, ["id", "_at"], "left")
     return update_by_id(annotated, upd, key="id", order_col="_at")

@@ -1086,7 +1086,19 @@ GROUP BY p.page_id
 def q_nearest_following_page(spark, sf):
     p = T(spark, sf, "pages").select("page_id")
     lb = T(spark, sf, "labels").select("doc_id")
-    return nearest_following(p, lb, [], "page_id", "page_id", "doc_id", 10)
+    return nearest_following(p, lb, [], "page_id", "doc_id", 10)
+
+
+@register("nearest_following_repeated", """
+SELECT k.g, k.page_id, (SELECT min(l.doc_id) FROM labels l WHERE l.doc_id % 3 = k.g AND l.doc_id BETWEEN k.page_id AND k.page_id + 4) AS found_pos
+FROM (SELECT page_id % 3 AS g, page_id FROM pages UNION ALL SELECT page_id % 3, page_id FROM pages UNION ALL SELECT NULL, page_id FROM pages) k
+""")
+def q_nearest_following_repeated(spark, sf):
+    """Ids that repeat or are NULL, several right rows of one position, keys in groups."""
+    p = T(spark, sf, "pages").select((F.col("page_id") % 3).alias("g"), "page_id")
+    left = p.unionAll(p).unionAll(p.select(F.lit(None).cast("bigint").alias("g"), "page_id"))
+    lb = T(spark, sf, "labels").select((F.col("doc_id") % 3).alias("g"), "doc_id")
+    return nearest_following(left, lb.unionAll(lb), ["g"], "page_id", "doc_id", 4).drop("page_offset")
 
 
 # ---------------------------------------------------------------- J1 vocabulary / encoding on documents

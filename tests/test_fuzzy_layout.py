@@ -83,5 +83,56 @@ def test_nearest_following_offsets(spark):
                                  "pkg STRING, id STRING, page INT")
     right = spark.createDataFrame([("p", 4), ("p", 10), ("p", 11), ("p", 25)], "pkg STRING, page INT")
     got = {r.id: (r.found_pos, r.page_offset) for r in
-           nearest_following(left, right, ["pkg"], "id", "page", "page", 10).collect()}
+           nearest_following(left, right, ["pkg"], "page", "page", 10).collect()}
     assert got == {"a": (4, 4), "b": (4, 3), "c": (None, None), "d": (None, None), "e": (None, None)}
+
+
+def test_nearest_following_equals_a_nested_loop(spark):
+    r = random.Random(5)
+    left = [(r.choice("pq") if r.random() > 0.1 else None, r.choice(["a", "b", None]), r.randint(0, 30) if r.random() > 0.1 else None) for _ in range(120)]
+    right = [(r.choice("pqr") if r.random() > 0.1 else None, r.randint(0, 40) if r.random() > 0.1 else None, r.randint(0, 5)) for _ in range(60)]
+    ldf = spark.createDataFrame(left, "pkg STRING, id STRING, page INT").repartition(5)
+    rdf = spark.createDataFrame(right, "pkg STRING, page INT, width INT").repartition(3)
+    for most in (0, 3, 10):
+        want = []
+        for pkg, i, page in left:
+            fits = [(q, w) for k, q, w in right if k is not None and k == pkg and q is not None and page is not None and page <= q <= page + most]
+            q, w = min(fits, default=(None, None))
+            want.append((pkg, i, page, q, None if q is None else q - page, w))
+        got = nearest_following(ldf, rdf, ["pkg"], "page", "page", most, ["width"])
+        assert got.columns == ["pkg", "id", "page", "found_pos", "page_offset", "width"]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert nearest_following(ldf, rdf.limit(0), ["pkg"], "page", "page", 3).filter("found_pos IS NOT NULL").count() == 0
+    assert nearest_following(ldf.limit(0), rdf, ["pkg"], "page", "page", 3).count() == 0
+
+
+def lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_match_blocks_rows_and_repeated_ids(spark):
+    """One result per segment row: ids that repeat on a page, NULL ids, equal rows; blocks far from the ordinal."""
+    r = random.Random(8)
+    letters = "aeint .,xyzåÄ12"
+    segs, blocks = [], []
+    for page in range(5):
+        blocks += [(page, bi, "".join(r.choices(letters, k=r.randint(0, 40)))) for bi in range(r.randint(0, 12))]
+        for si in range(8):
+            base = r.choice([t for p, _, t in blocks if p == page] or ["q"])
+            segs.append((page, r.choice(["s", "t", None]), "".join(c for c in base if r.random() > 0.2), r.randint(0, 12)))
+    segs += segs[:6]
+    sdf = spark.createDataFrame(segs, "page INT, id STRING, text STRING, ord INT").repartition(4)
+    bdf = spark.createDataFrame(blocks, "page INT, idx INT, btext STRING").withColumn("bid", F.col("idx"))
+    for name, scorer in (("indel", indel_ratio_py), ("levenshtein", lambda a, b: -lev(a, b))):
+        want = []
+        for page, sid, text, o in segs:
+            best = max(((scorer(text, t), -abs(bi - o), -bi) for p, bi, t in blocks if p == page), default=None)
+            if best:
+                want.append((page, sid, -best[2], -best[2], float(best[0]), o))
+        got = match_blocks(sdf, bdf, ["page"], "id", "text", "ord", "bid", "btext", "idx", scorer=name, carry=["ord"])
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
