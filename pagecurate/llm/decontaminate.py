@@ -1,35 +1,32 @@
-"""Benchmark decontamination: shared shingles, SimHash of item-sized windows,
-multi-index Hamming blocks, exact weighted-shingle similarity. DataFrame
-functions only.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming
+blocks, exact weighted-shingle similarity. DataFrame functions only.
 
 Words are cut at blanks, A-Z in lower case; a shingle is five words (all words
-of a shorter item). A window is as many consecutive words of a document as the
+of a shorter item). A window is as many consecutive words of a document as a
 benchmark item has (the whole document if it is shorter).
 
-1. Windows. A window can only reach the threshold if it shares a shingle with
-   the item. Moving a window right to its first shared shingle loses no common
-   shingle, so one of the windows that start at a shared shingle (moved into the
-   document) is the most similar one. The windows aligned with the item (start
-   ``i - j`` for a shared shingle at word ``i`` of the document and word ``j`` of
-   the item) are tried as well, since of equally similar windows the first is
-   reported. All shingles of all texts are looked up; nothing is sampled.
-   The shared shingles of each window are counted: all of them bound its
-   similarity from above, those that are among the first in the document that
-   the item can match (as many as it has of each) from below. A window stays if
-   its upper bound reaches the threshold and the best lower bound of its
-   document and item.
-2. Fingerprints. Each distinct window and each item get a 64-bit SimHash, every
-   occurrence of a shingle voting with weight one.
-3. Blocks. The fingerprint is cut into ``RADIUS + 1`` blocks; of two
-   fingerprints within the radius at least one block is equal, so an equi-join
-   on (item, block, value) finds every pair within the radius.
+1. Documents. All shingles of all texts are looked up among those of the items. A
+   document is searched for windows of a length only if, for some item of that
+   length, it holds so many of its shingles that a window could reach the
+   threshold. That is all that shingles decide here.
+2. Fingerprints. Every window of these lengths in these documents gets a 64-bit
+   SimHash, every occurrence of a shingle voting with weight one. It rolls: the
+   votes of a document for each bit are summed up along its words once, several
+   bits to a number, and a window's votes are the difference of two such sums. Long
+   documents are summed in chunks that overlap by the longest item.
+3. Blocks. A fingerprint has five blocks of 13 or 12 bits. Of two fingerprints
+   within ``RADIUS`` bits at least one block differs in at most ``NEAR`` bits, so each
+   item lists all values that near to its blocks, and an equi-join on (length,
+   block, value) finds every item within the radius of a window. Nothing else ties
+   windows to items.
 4. Verification. Weighted Jaccard similarity of the two bags of shingles, each
    weighted by its number of occurrences: sum of the lesser over sum of the
    greater counts, on the shingles themselves.
 
-At similarity 0.75 the fingerprints differ in 11 bits on average with a
-standard deviation of 3, so a radius of 23 loses about one in 50,000 pairs
-that lie exactly at the threshold, and none that can be measured above it.
+At similarity 0.75 the fingerprints differ in 11 bits on average with a standard
+deviation of 3, so a radius of 19 loses one window in 400 that lies exactly at the
+threshold, one in 1,000 at 0.8 and none that can be measured at 0.9; a document is
+lost only with all its windows of an item.
 
 Broadcasts are hinted only below a counted number of rows; beyond it the same
 joins are shuffled. Defined results: NULL and empty texts and items match
@@ -41,6 +38,9 @@ give an empty report; extra columns are ignored.
 from __future__ import annotations
 
 import string
+from functools import reduce
+from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,9 +48,11 @@ from pyspark.sql import functions as F
 from pagecurate.llm.common import hinted, words, written
 
 SHINGLE = 5
-RADIUS = 23
+RADIUS = 19
+#: Bits in which one block of two fingerprints within the radius differs at most.
+NEAR = 3
 MIN_SIMILARITY = 75  # per cent
-BLOCK_BITS = [3] * 16 + [2] * 8
+BLOCK_BITS = [13, 13, 13, 13, 12]
 MOST_BROADCAST = 500_000
 
 
@@ -93,6 +95,16 @@ def fingerprint_blocks(fp: Column) -> Column:
     return F.array(*out)
 
 
+def near_blocks(fp: Column) -> Column:
+    """Array of (block, value) with all values within NEAR bits of the blocks."""
+    out = []
+    for i, width in enumerate(BLOCK_BITS):
+        masks = [sum(1 << b for b in bits) for k in range(NEAR + 1) for bits in combinations(range(width), k)]
+        own = F.element_at(fingerprint_blocks(fp), i + 1)
+        out.append(F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.struct(own["block"].alias("block"), own["value"].bitwiseXOR(m).alias("value"))))
+    return F.concat(*out)
+
+
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """item_id, item (key), n_words, width, words of each distinct item."""
     rows = benchmark.select(F.col(item_col).alias("item_id"), lower_words(F.col(text_col)).alias("words")).distinct()
@@ -101,36 +113,69 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
             .withColumn("n_words", n).withColumn("width", F.least(F.lit(SHINGLE), n)))
 
 
-def _candidates(shared: DataFrame, index: DataFrame) -> DataFrame:
-    """doc_id, text_hash, item, n_words, start of the windows that can be the most
-    similar ones: ``shared`` has the shared shingles (``i``) of documents and items."""
-    pair = ["doc_id", "text_hash", "item"]
+def _enough(common: Column) -> Column:
+    """Whether ``common`` shared shingles let a window reach the threshold."""
     n_a, n_b = F.least("n_doc", "n_words") - F.col("width") + 1, F.col("n_words") - F.col("width") + 1
+    return (100 + MIN_SIMILARITY) * common >= MIN_SIMILARITY * (n_a + n_b)  # similarity common / (n_a + n_b - common)
 
-    def enough(common: Column) -> Column:  # similarity common / (n_a + n_b - common)
-        return (100 + MIN_SIMILARITY) * common >= MIN_SIMILARITY * (n_a + n_b)
 
-    shared = (shared.repartition(*pair).distinct().withColumn("all", F.count("*").over(Window.partitionBy(*pair))).filter(enough(F.col("all"))).drop("all")
-              .withColumn("sure", (F.row_number().over(Window.partitionBy(*pair, "hash").orderBy("i")) <= F.col("times")).cast("int")))
-    shared = written(shared, "leak-shared")
-    sizes = [*pair, "n_doc", "n_words", "width"]
+def _lanes(longest: int) -> tuple[int, int]:
+    """(bits of a lane, positions of a chunk): sums over a chunk and the longest
+    window fit a lane, and as many lanes as possible a BIGINT."""
+    bits = next(b for b in (16, 21, 31) if longest <= 1 << (b - 2))
+    return bits, 1 << (bits - 2)
 
-    def inside(start: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(start, F.col("n_doc") - F.col("n_words"))).alias("start")
 
-    starts = (shared.select(*sizes, inside(F.col("i"))).unionByName(shared.join(index.select("item", "hash", "j"), ["item", "hash"]).select(*sizes, inside(F.col("i") - F.col("j"))))
-              .distinct())
-    # running counts of the shared shingles before the first and after the last shingle of each window
-    none = F.lit(0)
-    bounds = F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("turn")), F.struct((F.col("start") + n_a - 1).alias("at"), F.lit(2).alias("turn"))))
-    events = (starts.select(*sizes, "start", none.alias("one"), none.alias("sure"), bounds)
-              .unionByName(shared.select(*sizes, F.lit(None).cast("int").alias("start"), F.lit(1).alias("one"), "sure", F.col("i").alias("at"), F.lit(1).alias("turn"))))
-    so_far = Window.partitionBy(*pair).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = (events.withColumn("most", F.sum("one").over(so_far)).withColumn("least", F.sum("sure").over(so_far)).filter("turn <> 1")
-               .groupBy(*sizes, "start").agg((F.max("most") - F.min("most")).alias("most"), (F.max("least") - F.min("least")).alias("least")))
-    best = F.max("least").over(Window.partitionBy(*pair))
-    return (counted.withColumn("best", best).filter(enough(F.col("most")) & (F.col("most") >= F.col("best")))
-            .select(*pair, "n_words", "start"))
+def window_fingerprints(texts: DataFrame, wanted: DataFrame, widths: list[int], longest: int) -> DataFrame:
+    """(doc_id, text_hash, n_words, width, start, fp) of all windows of the wanted
+    lengths that hold a shingle. ``texts``: doc_id, text_hash, words; ``wanted``: _id, _hash, lengths (of
+    structs width, n_words). Rows with one id and text count once."""
+    bits, step = _lanes(longest)
+    per = 63 // bits if bits > 16 else 4
+    groups = [range(b, min(64, b + per)) for b in range(0, 64, per)]
+    sums = [f"s{j}" for j in range(len(groups))]
+    same_row = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_hash"] == F.col("_hash"))
+    found = texts.join(wanted, same_row).select("doc_id", "text_hash", "words", "lengths").dropDuplicates(["doc_id", "text_hash"])
+    found = written(found, "leak-texts")
+
+    def of(h: Column, b: int) -> Column:
+        return F.shiftright(h, b).bitwiseAND(F.lit(1).cast("long"))
+
+    votes = [reduce(add, [F.shiftleft(of(F.col("h"), b), bits * t) for t, b in enumerate(group)]).alias(c) for c, group in zip(sums, groups)]
+    near = F.floor(F.greatest(F.col("at") - longest, F.lit(0)) / step)
+    places = None
+    for width in widths:
+        at = (found.filter(F.exists("lengths", lambda x: x["width"] == width))
+              .select("doc_id", "text_hash", F.lit(width).alias("width"), F.posexplode(_hash_shingles(F.col("words"), width)).alias("at", "h"))
+              .select("doc_id", "text_hash", "width", "at", F.explode(F.array_distinct(F.array(F.floor(F.col("at") / step), near))).alias("chunk"), *votes))
+        places = at if places is None else places.unionByName(at)
+    n_doc = F.size("words")
+    windows = (found.select("doc_id", "text_hash", n_doc.alias("n_doc"), F.inline("lengths"))
+               .withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_doc") - F.col("n_words"), F.lit(0)))))
+               .withColumn("chunk", F.floor(F.col("start") / step)).withColumn("m", F.least("n_doc", "n_words") - F.col("width") + 1).filter("m > 0"))
+    # running votes before the first and after the last shingle of each window
+    bounds = F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("turn")), F.struct((F.col("start") + F.col("m") - 1).alias("at"), F.lit(2).alias("turn"))))
+    events = (windows.select("doc_id", "text_hash", "width", "chunk", "n_words", "start", "m", bounds)
+              .unionByName(places.withColumn("turn", F.lit(1)), allowMissingColumns=True))
+    so_far = Window.partitionBy("doc_id", "text_hash", "width", "chunk").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = events.select("doc_id", "text_hash", "width", "chunk", "n_words", "start", "m", "turn", *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in sums])
+    cast = summed.filter("turn <> 1").groupBy("doc_id", "text_hash", "width", "chunk", "n_words", "start", "m").agg(*[(F.max(c) - F.min(c)).alias(c) for c in sums])
+
+    def bit(j: int, t: int, b: int) -> Column:
+        count = F.shiftright(F.col(sums[j]), bits * t).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        return F.when(2 * count > F.col("m"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+
+    fp = reduce(lambda x, y: x.bitwiseOR(y), [bit(j, t, b) for j, group in enumerate(groups) for t, b in enumerate(group)])
+    return cast.select("doc_id", "text_hash", "n_words", "width", "start", fp.alias("fp"))
+
+
+def near_items(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(the windows' columns, item, hamming) of the windows (n_words, fp, ..) and
+    the items (item, n_words, item_fp) within RADIUS bits, each pair once."""
+    index = hinted(written(items.select("item", "n_words", "item_fp", F.inline(near_blocks(F.col("item_fp")))), "leak-index"), MOST_BROADCAST)
+    probes = windows.select("*", F.inline(fingerprint_blocks(F.col("fp"))))
+    found = probes.join(index, ["n_words", "block", "value"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    return found.filter(F.col("hamming") <= RADIUS).select(*windows.columns, "item", "hamming").distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -138,51 +183,49 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per document and benchmark item found in it: doc_id, text_hash,
     item_id, and of the most similar window its start (in words), n_words,
     hamming distance and similarity."""
-    items = written(_items(benchmark, item_col, item_text_col), "leak-items")
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most SHINGLE values
-    index = hinted(items.select("item", "n_words", "width", F.posexplode(_hash_shingles(F.col("words"), F.col("width"))).alias("j", "hash")),
-                   MOST_BROADCAST)
-    wanted = hinted(index.groupBy("item", "n_words", "width", "hash").agg(F.count("*").alias("times")), MOST_BROADCAST)
+    items = written(_items(benchmark, item_col, item_text_col).withColumn("item_fp", simhash(_hash_shingles(F.col("words"), F.col("width")))), "leak-items")
+    widths = sorted(r[0] for r in items.select("width").distinct().collect()) or [SHINGLE]  # at most SHINGLE values
+    longest = items.agg(F.coalesce(F.max("n_words"), F.lit(1))).first()[0]
+    wanted = items.select("item", "n_words", "width", F.explode(_hash_shingles(F.col("words"), F.col("width"))).alias("hash")).distinct()
 
-    # the key of a document row: its id and the hash of its text
+    # 1. the key of a document row: its id and the hash of its text
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), lower_words(F.col(text_col)).alias("words"))
     places = None
-    for width in widths or [SHINGLE]:
-        at = texts.select("doc_id", "text_hash", F.size("words").alias("n_doc"),
-                          F.posexplode(_hash_shingles(F.col("words"), width)).alias("i", "hash"))
+    for width in widths:
+        at = texts.select("doc_id", "text_hash", F.size("words").alias("n_doc"), F.explode(_hash_shingles(F.col("words"), width)).alias("hash"))
         places = at if places is None else places.unionByName(at)
-    anchored = written(_candidates(places.join(wanted, "hash"), index), "leak-anchors")
-
-    # the words of the anchored windows, then each distinct window once
-    by_doc = anchored.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "n_words", "start")).alias("at"))
-    by_doc = hinted(by_doc.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "at"), MOST_BROADCAST)
+    shared = places.join(hinted(wanted, MOST_BROADCAST), "hash").groupBy("doc_id", "text_hash", "n_doc", "item", "n_words", "width").count()
+    lengths = shared.filter(_enough(F.col("count"))).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("width", "n_words")).alias("lengths"))
+    lengths = written(lengths.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "lengths"), "leak-lengths")
+    # a row holds at most one entry per length of an item
+    searched = F.broadcast(lengths) if lengths.agg(F.coalesce(F.sum(F.size("lengths")), F.lit(0))).first()[0] <= MOST_BROADCAST else lengths
+
+    # 2. and 3.
+    windows = window_fingerprints(texts, searched, widths, longest)
+    near = written(near_items(windows, items.select("item", "n_words", "item_fp")), "leak-near")
+
+    # 4. the words of the windows found, each distinct window and item once
+    by_doc = near.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "n_words", "start", "hamming")).alias("at"))
+    by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "at")
+    by_doc = F.broadcast(by_doc) if near.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else by_doc
     same_row = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_hash"] == F.col("_hash"))
     found = texts.join(by_doc, same_row).select("doc_id", "text_hash", "words", F.explode("at").alias("w"))
     text = F.concat_ws(" ", F.slice("words", F.col("w.start") + 1, F.col("w.n_words")))
-    seen = written(found.select("doc_id", "text_hash", "w.item", "w.start", text.alias("text"))
+    seen = written(found.select("doc_id", "text_hash", "w.item", "w.start", "w.hamming", text.alias("text"))
                    .withColumn("window", F.md5(F.col("text").cast("binary"))).distinct(), "leak-windows")
-    distinct = seen.groupBy("item", "window").agg(F.first("text").alias("text"))
-    known = hinted(items, MOST_BROADCAST)
-    windows = (distinct.join(known.select("item", "width"), "item")
-               .withColumn("words", F.split("text", " ")).withColumn("fp", simhash(_hash_shingles(F.col("words"), F.col("width")))))
-    windows = written(windows.select("item", "window", "words", "width", "fp"), "leak-fingerprints")
-
-    item_fps = items.select("item", simhash(_hash_shingles(F.col("words"), F.col("width"))).alias("item_fp"))
-    blocks = item_fps.select("item", "item_fp", F.inline(fingerprint_blocks(F.col("item_fp"))))
-    pairs = (windows.select("item", "window", "fp", F.inline(fingerprint_blocks(F.col("fp")))).join(hinted(blocks, MOST_BROADCAST), ["item", "block", "value"])
-             .withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).filter(F.col("hamming") <= RADIUS)
-             .select("item", "window", "hamming").distinct())
+    known = hinted(items.select("item", "item_id", "n_words", "width"), MOST_BROADCAST)
+    distinct = seen.groupBy("item", "window").agg(F.first("text").alias("text")).join(known.select("item", "width"), "item").withColumn("words", F.split("text", " "))
 
     def bags(df: DataFrame, *keys: str) -> DataFrame:
         return df.select(*keys, F.explode(_text_shingles(F.col("words"), F.col("width"))).alias("shingle")).groupBy(*keys, "shingle").count()
 
-    both = (bags(windows.join(pairs, ["item", "window"], "left_semi"), "item", "window").withColumnRenamed("count", "a")
+    both = (bags(distinct, "item", "window").withColumnRenamed("count", "a")
             .join(bags(items, "item").withColumnRenamed("count", "b"), ["item", "shingle"], "left"))
-    shared = both.groupBy("item", "window").agg(F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("common"), F.sum("a").alias("n_a"))
+    common = both.groupBy("item", "window").agg(F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("common"), F.sum("a").alias("n_a"))
     union = F.col("n_a") + F.col("n_words") - F.col("width") + 1 - F.col("common")
-    verified = (shared.join(known.select("item", "item_id", "n_words", "width"), "item").filter(100 * F.col("common") >= MIN_SIMILARITY * union)
-                .select("item", "window", "item_id", "n_words", (F.col("common") / union).alias("similarity")).join(pairs, ["item", "window"]))
-    hits = seen.select("doc_id", "text_hash", "item", "window", "start").join(verified, ["item", "window"])
+    verified = (common.join(known, "item").filter(100 * F.col("common") >= MIN_SIMILARITY * union)
+                .select("item", "window", "item_id", "n_words", (F.col("common") / union).alias("similarity")))
+    hits = seen.select("doc_id", "text_hash", "item", "window", "start", "hamming").join(verified, ["item", "window"])
     best = F.max_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct(F.col("similarity"), -F.col("start")))
     return hits.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("best")).select("doc_id", "text_hash", "item_id", "best.*")
 
@@ -199,21 +242,23 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
-#: Every anchored window against its item by the exact similarity, without fingerprints.
+#: Every window of the documents that hold enough shingles of an item against that
+#: item by the exact similarity, without fingerprints.
 OP9_SQL = rf"""
 WITH d AS (
   SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS th, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 b AS (
   SELECT *, least(5, len(w)) AS k FROM (
     SELECT DISTINCT item_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
-bs AS (SELECT item_id, w, k, j, array_to_string(w[j:j + k - 1], ' ') AS s FROM b, range(1, 100000) r(j) WHERE j <= len(w) - k + 1),
+bs AS (SELECT DISTINCT item_id, w, k, array_to_string(w[j:j + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM b)),
 kk AS (SELECT DISTINCT k FROM b),
 ds AS (
   SELECT doc_id, th, w, i, array_to_string(w[i:i + k - 1], ' ') AS s
   FROM (SELECT doc_id, th, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, kk)),
-win AS (
-  SELECT DISTINCT ds.doc_id, ds.th, ds.w AS dw, bs.item_id, bs.w AS bw, bs.k, greatest(0, least(i - j, len(ds.w) - len(bs.w))) AS start
-  FROM ds JOIN bs USING (s)),
+near AS (
+  SELECT ds.doc_id, ds.th, ds.w AS dw, bs.item_id, bs.w AS bw, bs.k FROM ds JOIN bs USING (s) GROUP BY ALL
+  HAVING 175 * count(*) >= 75 * (least(len(dw), len(bw)) + len(bw) - 2 * bs.k + 2)),
+win AS (SELECT *, unnest(range(0, greatest(len(dw) - len(bw), 0) + 1)) AS start FROM near),
 numbered AS (SELECT row_number() OVER () AS id, *, dw[start + 1:start + len(bw)] AS ww FROM win),
 a AS (
   SELECT id, s, count(*) AS n FROM (

@@ -10,18 +10,38 @@ from pagecurate.llm import decontaminate as dc
 F = dc.F
 
 
-def test_blocks_cover_the_fingerprint_and_the_radius(spark):
-    assert sum(dc.BLOCK_BITS) == 64 and len(dc.BLOCK_BITS) == dc.RADIUS + 1
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def test_blocks_find_all_within_the_radius(spark):
+    assert sum(dc.BLOCK_BITS) == 64 and (dc.NEAR + 1) * len(dc.BLOCK_BITS) > dc.RADIUS
     random.seed(2)
-    pairs = []
-    for _ in range(200):
-        a = random.getrandbits(64) - (1 << 63)
-        flips = sum(1 << b for b in random.sample(range(64), dc.RADIUS))
-        b = ((a % (1 << 64)) ^ flips)
-        pairs.append((a, b - (1 << 64) if b >= 1 << 63 else b))
-    df = spark.createDataFrame(pairs, "a long, b long")
-    equal = F.size(F.filter(F.arrays_zip(dc.fingerprint_blocks(F.col("a")).alias("x"), dc.fingerprint_blocks(F.col("b")).alias("y")), lambda z: z["x"] == z["y"]))
-    assert df.filter(equal == 0).count() == 0
+    windows, items = [], []
+    for i in range(60):
+        a = random.getrandbits(64)
+        items.append((i, 7, signed(a)))
+        for far in (0, 1, dc.RADIUS, dc.RADIUS + 1, 32):
+            b = a ^ sum(1 << x for x in random.sample(range(64), far))
+            windows.append((len(windows), 7 if far != 1 else 8, signed(b)))
+    w = spark.createDataFrame(windows, "w int, n_words int, fp long")
+    got = dc.near_items(w, spark.createDataFrame(items, "item int, n_words int, item_fp long"))
+    far = {(w, i): ((a ^ b) & ((1 << 64) - 1)).bit_count() for w, n, a in windows for i, m, b in items if n == m}
+    assert sorted((r.w, r.item, r.hamming) for r in got.collect()) == sorted((*k, h) for k, h in far.items() if h <= dc.RADIUS)
+
+
+def test_rolling_fingerprints_equal_those_of_each_window(spark, monkeypatch):
+    random.seed(5)
+    rows = [(i, i, random.choices([f"w{k}" for k in range(30)], k=n)) for i, n in enumerate((1, 5, 12, 40, 300))]
+    lengths = [{"width": 5, "n_words": 9}, {"width": 5, "n_words": 20}, {"width": 3, "n_words": 3}]
+    docs = spark.createDataFrame(rows, "doc_id long, text_hash long, words array<string>")
+    wanted = spark.createDataFrame([(i, i, lengths) for i, _, _ in rows], "_id long, _hash long, lengths array<struct<width:int,n_words:int>>")
+    for lanes in ((16, 1 << 14), (16, 64), (21, 32), (31, 50)):
+        monkeypatch.setattr(dc, "_lanes", lambda longest, lanes=lanes: lanes)
+        got = dc.window_fingerprints(docs, wanted, [3, 5], 20)
+        again = got.join(docs.select("doc_id", "words"), "doc_id").withColumn("window", F.slice("words", F.col("start") + 1, F.col("n_words")))
+        assert again.filter(F.col("fp") != dc.simhash(dc._hash_shingles(F.col("window"), F.col("width")))).count() == 0
+        assert got.count() == sum(max(0, len(w) - x["n_words"]) + 1 for _, _, w in rows for x in lengths if len(w) >= x["width"])
 
 
 def test_simhash_equals_a_direct_count(spark):
@@ -53,12 +73,15 @@ def passages():
     return docs, items
 
 
+def tables(docs, items):
+    return duck(documents=pd.DataFrame(docs, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}), benchmark=pd.DataFrame(items, columns=["item_id", "text"]))
+
+
 def test_equals_sql_on_planted_passages(spark):
     docs, items = passages()
     d = spark.createDataFrame([(*r, "c", 1) for r in docs], "doc_id long, text string, item_id string, words int")
     b = spark.createDataFrame(items, "item_id long, text string")
-    con = duck(documents=pd.DataFrame(docs, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}),
-               benchmark=pd.DataFrame(items, columns=["item_id", "text"]))
+    con = tables(docs, items)
     got = dc.find_leaks(d, b).drop("text_hash", "hamming")
     assert same_rows(got, con, dc.OP9_SQL) > 30
     kept = dc.drop_leaks(d, b)
@@ -114,6 +137,7 @@ def test_best_window_of_every_start(spark):
     want = {(d, i): best_similarity(text, item) for d, text in docs for i, item in items}
     want = {k: v for k, v in want.items() if v >= 0.75}
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert same_rows(dc.find_leaks(d, b).drop("text_hash", "hamming"), tables(docs, items), dc.OP9_SQL) == len(want)
     rows = dc.find_leaks(d, b).collect()
     got = {(r.doc_id, r.item_id): r.similarity for r in rows}
     assert got == want and len(rows) == len(got)
@@ -123,3 +147,20 @@ def test_best_window_of_every_start(spark):
         window = " ".join(texts[r.doc_id].split()[r.start:r.start + r.n_words])
         assert best_similarity(window, dict(items)[r.item_id]) == r.similarity
     assert {r.doc_id for r in dc.drop_leaks(d, b).collect()} == set(texts) - {k for k, _ in got}
+
+
+def test_recall_of_the_radius(spark):
+    """Of documents with a window at 0.75 to 0.8 by exact similarity, the share found."""
+    random.seed(12)
+    v = [f"w{i}" for i in range(3000)]
+    items = [(i, random.choices(v, k=59)) for i in range(120)]
+    docs = []
+    for i, w in items:  # 55 shingles; an edit at either end costs as many shingles as words
+        left = random.randint(0, 6)
+        docs.append((i, random.choices(v, k=20) + ["new"] * left + w[left:59 - (6 - left)] + random.choices(v, k=20)))
+    docs = [(i, " ".join(w)) for i, w in docs]
+    exact = {i for i, text in docs if best_similarity(text, " ".join(items[i][1])) >= 0.75}
+    rows = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    found = {r.doc_id for r in rows if r.doc_id == r.item_id}
+    print(f"recall {len(found & exact) / len(exact):.3f} of {len(exact)}, hamming up to {max(r.hamming for r in rows)}")
+    assert found <= exact and len(exact) > 100 and len(found) >= 0.99 * len(exact)
