@@ -91,11 +91,14 @@ def plan_mix(docs: DataFrame, weights: Sequence[float], share: float = 1.0, max_
     """How often the mix takes each document. ``weights`` go to the sources in
     code-point order (NULL last), repeating; ``share`` of all words is the
     budget. Returns ``docs`` with size, source_size, target, repeats, taken."""
+    out = ["size", "source_size", "target", "repeats", "taken"]
     text = F.col(text_col)
     key = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"),
                                         F.md5(F.coalesce(text, F.lit("")).cast("binary")))), 1, KEY_DIGITS)
-    sized = docs.withColumn("size", n_words(text)).withColumn("_key", key)
-    rows = written(sized.select(F.col(source_col).alias("source"), "size", F.col("_key").alias("key")), "mix-rows")
+    # the columns of docs travel in one, so that none clashes with a column of the plan
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in out]
+    sized = docs.select(F.struct(*kept).alias("_row"), F.col(source_col).alias("source"), n_words(text).alias("size"), key.alias("_key"))
+    rows = written(sized.select("source", "size", F.col("_key").alias("key")), "mix-rows")
     ranked = with_ordinal(rows.groupBy("source").agg(F.sum("size").alias("source_size")),
                           [F.col("source").isNull().cast("int"), F.col("source")], "rank")
     sources = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]),
@@ -111,11 +114,9 @@ def plan_mix(docs: DataFrame, weights: Sequence[float], share: float = 1.0, max_
     plan = hinted(written(plan, "mix-plan"), 100_000)
     extra = F.coalesce((F.substring("_key", 1, F.length("last_key")) <= F.col("last_key")) & (F.length("last_key") == KEY_DIGITS)
                        | (F.substring("_key", 1, F.length("last_key")) < F.col("last_key")), F.lit(False))
-    return (sized.drop("source_size", "target", "whole", "last_key", "repeats", "taken")
-            .join(plan, F.col(source_col).eqNullSafe(F.col("_source")))
+    return (sized.join(plan, F.col("source").eqNullSafe(F.col("_source")))
             .withColumn("repeats", F.col("whole") + extra.cast("long"))
-            .withColumn("taken", F.col("size") * F.col("repeats"))
-            .drop("_key", "_source", "whole", "last_key"))
+            .withColumn("taken", F.col("size") * F.col("repeats")).select("_row.*", *out))
 
 
 def mix(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text",

@@ -63,8 +63,11 @@ _WEAK_ACCESS = re.compile(
     r"\b(?:" + "|".join(map(_either_case, ("client_id", "clientid", "access_id", "user", "username", "login", "account_id", "key_id")))
     + r""")["']? *[:=] *["']?([A-Za-z0-9+/_.@=-]+)""")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_ENDPOINT = re.compile(
-    r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s<>"']+|\b""" + _either_case("host") + r"""["']? *[:=] *["']?[A-Za-z0-9.-]+(?::[0-9]+)?""")
+# a run of scheme characters before "://"; only its first character can begin one
+_SCHEME = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]++(?=://)")
+_LETTER = re.compile(r"[A-Za-z]")
+_AFTER_SCHEME = re.compile(r"""://[^\s<>"']+""")
+_HOST = re.compile(r"\b" + _either_case("host") + r"""["']? *[:=] *["']?[A-Za-z0-9.-]+(?::[0-9]+)?""")
 _BLANK_LINE = re.compile(r"\n[\x20\x09-\x0D]*\n")
 
 
@@ -76,6 +79,27 @@ def _random_looking(token: str) -> bool:
     return -sum(k / n * math.log2(k / n) for k in Counter(token).values()) >= MIN_ENTROPY
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses ``scheme://rest`` and ``host: name``, leftmost and apart. A scheme
+    is found from its "://", to the left, so a text is read a fixed number of times."""
+    found, at = [], 0
+    runs = _SCHEME.finditer(text) if "://" in text else iter(())
+    run, host = next(runs, None), _HOST.search(text)
+    while run or host:
+        letter = _LETTER.search(text, max(at, run.start()), run.end()) if run and run.end() > at else None
+        rest = _AFTER_SCHEME.match(text, run.end()) if letter else None
+        if rest is None and run:
+            run = next(runs, None)
+        elif rest and (host is None or letter.start() <= host.start()):
+            found.append((letter.start(), at := rest.end()))
+            run = next(runs, None)
+        else:
+            found.append((host.start(), at := host.end()))
+        if host and host.start() < at:
+            host = _HOST.search(text, at)
+    return found
+
+
 def _parts(text: str) -> list[tuple[int, int, str]]:
     """Strong and weak parts of a text as (start, end, kind)."""
     lower = text.lower()
@@ -93,7 +117,7 @@ def _parts(text: str) -> list[tuple[int, int, str]]:
         i = bisect_left(starts, end)
         return i == 0 or reach[i - 1] <= start
 
-    found += [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)] if "://" in text or "host" in lower else []
+    found += [(s, e, "endpoint") for s, e in endpoints(text)] if "://" in text or "host" in lower else []
     hosts = [(s, e) for s, e, k in found if k == "endpoint"]
     found += [(m.start(), m.end(), "weak_access") for m in _WEAK_ACCESS.finditer(text)
               if free(m.start(), m.end())] if ":" in text or "=" in text else []

@@ -27,6 +27,8 @@ from pagecurate.llm.common import hinted, with_ordinal, written
 BITS = 60
 #: UTF-8 bytes of text in one shard.
 SHARD_BYTES = 32 << 20
+#: The same in the query, so that tables of any size split.
+QUERY_BYTES = 16 << 10
 
 
 def _hash_bits(id_col: Column, text: Column) -> Column:
@@ -71,8 +73,10 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_
     """Append n_bytes, shard (its bits, ``.page`` on overflow), depth,
     shard_bytes and shard_docs to every row."""
     out = ["n_bytes", "shard", "depth", "shard_bytes", "shard_docs"]
-    rows = (docs.drop(*out).withColumn("n_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
-            .withColumn("_h", _hash_bits(F.col(id_col), F.col(text_col))))
+    # the columns of docs travel in one, so that none clashes with a helper
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in out]
+    rows = docs.select(F.struct(*kept).alias("_row"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
+                       _hash_bits(F.col(id_col), F.col(text_col)).alias("_h"))
     narrow = written(rows.select(F.col("_h").alias("h"), "n_bytes"), "shard-rows")
     for i, (width, table) in enumerate(build_directory(narrow, limit)):
         leaf = table.select(F.col("cell").alias(f"_cell{i}"), F.struct("depth", "shard_bytes", "shard_docs").alias(f"_leaf{i}"))
@@ -90,7 +94,7 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_
         sums = paged.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
         paged = paged.drop("shard_bytes", "shard_docs").join(sums, "shard").drop("_at", "_first", "_most")
         rows = rows.filter(~over).unionByName(paged)
-    return rows.select(*[c for c in docs.columns if c not in out], *out)
+    return rows.select("_row.*", *out)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, **cols) -> None:
@@ -101,10 +105,10 @@ def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, **cols) -
 
 def op7_shards(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return assign_shards(docs).drop("text")
+    return assign_shards(docs, QUERY_BYTES).drop("text")
 
 
-def op7_sql(limit: int = SHARD_BYTES) -> str:
+def op7_sql(limit: int = QUERY_BYTES) -> str:
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,

@@ -244,14 +244,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     end in code points, score, expected by chance), evidence, held_out, score and predicted
     behind the columns ``carry`` (all by default)."""
     out = ["n_tokens", "passages", "evidence", "held_out", "score", "predicted"]
-    keep = [c for c in (docs.columns if carry is None else carry) if c not in out]
+    # the carried columns travel in one, so that none clashes with a helper
+    keep = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry) if c not in out]
     sample = F.broadcast(labelled_sample(labels, id_col))  # at most MAX_LABELLED rows
-    marked = docs.join(sample, docs[id_col] == sample["_labelled"], "left").drop("_labelled")
-    counts = written(count_buckets(marked.select(F.col(text_col), F.col("_label"))), "toxic-counts")
+    packed = docs.select((F.struct(*keep) if keep else F.lit(None)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    marked = packed.join(sample, F.col("_id") == F.col("_labelled"), "left").drop("_labelled")
+    counts = written(count_buckets(marked.select("_text", "_label")), "toxic-counts")
     model = fit_weights(counts)
-    scanned = written(marked.withColumn("_held", held_out(F.col(id_col)))
-                      .withColumn("_scan", scan_udf(model["weights"])(F.col(text_col)))
-                      .select(*keep, "_held", "_label", "_scan.*"), "toxic-segments")
+    scanned = written(marked.withColumn("_held", held_out(F.col("_id")))
+                      .withColumn("_scan", scan_udf(model["weights"])(F.col("_text")))
+                      .select("_row", "_held", "_label", "_scan.*"), "toxic-segments")
     clean = scanned.filter("_label = 0").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"),
                                              F.coalesce(F.sum(F.size("segments")), F.lit(0)).alias("m")).first()
     least = min((w for w, _ in model["weights"].values()), default=0.0)
@@ -265,7 +267,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                                                           F.exp(-_normal_score(model, s["score"], F.col("n_tokens"))).alias("expected")))
     return (scored.join(table, tenth == F.col("_tenth")).withColumn("passages", F.filter(expected, lambda s: s["expected"] <= MAX_EXPECTED))
             .withColumn("held_out", F.col("_held"))
-            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*keep, *out))
+            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*(["_row.*"] if keep else []), *out))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

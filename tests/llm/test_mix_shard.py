@@ -3,7 +3,9 @@ import pandas as pd
 import pytest
 from llm_duck import duck, same_rows
 
-from pagecurate.llm import mixing, sharding
+from pagecurate.llm import mixing, sharding, toxicity
+
+F = mixing.F
 
 SCHEMA = "doc_id long, text string, source string, size string, target string, shard string, rank int"
 
@@ -109,3 +111,20 @@ def test_write_shards(spark, tmp_path):
     sharding.write_shards(df, f"{tmp_path}/out", 1000)
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == len(SHARD_ROWS)
+
+
+def test_inner_names_as_columns(spark):
+    """Columns of the input with the names of helpers stay as they are."""
+    names = ["whole", "last_key", "_key", "_source", "_row", "rank", "key", "_label", "_labelled", "_held", "_scan", "_id", "_h", "_leaf", "_leaf0", "_cell0", "_at", "_tenth", "size", "n_bytes"]
+    df = table(spark, [(i, f"some words {i} " * (i % 7), "ab"[i % 2]) for i in range(60)] + [(3, "same", "a")] * 30)
+    df = df.select("doc_id", "text", "source", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    for out, replaced in ((mixing.plan_mix(df, (5, 2, 1)), {"size"}), (sharding.assign_shards(df, 100), {"n_bytes"}), (toxicity.score_toxicity(df, labels), set())):
+        rows = out.collect()
+        assert len(rows) == 90 and len(set(out.columns)) == len(out.columns)
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names if n not in replaced)
+
+
+def test_query_splits_at_every_size(spark):
+    depths = {r.depth for r in sharding.op7_shards(spark, "/root/testdata/sf0.001").select("depth").distinct().collect()}
+    assert len(depths) >= 4

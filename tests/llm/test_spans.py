@@ -138,3 +138,23 @@ def test_account_cues_in_any_case(cue):
     text = f"her {cue}: 12345678 ok"
     assert pii.find_spans(text) == [("account", text.index("1"), text.index(" ok"))]
     assert pii.find_spans("IBan GB82 WEST 1234 5698 7654 32") == [("account", 5, 32)]
+
+
+_OLD_ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s<>"']+|\b[Hh][Oo][Ss][Tt]["']? *[:=] *["']?[A-Za-z0-9.-]+(?::[0-9]+)?""")
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["host", "HOST", ":", "://", "//", "/", "=", " ", '"', "a", "9", ".", "-", "http", "x.y", "\n", "é", "<", "1:80"]), max_size=14).map("".join))
+def test_endpoints_equal_the_plain_pattern(text):
+    assert secret_links.endpoints(text) == [m.span() for m in _OLD_ENDPOINT.finditer(text)]
+
+
+def test_long_runs_take_linear_time():
+    import time
+    start = time.perf_counter()
+    for text in ("a" * 1_000_000 + "://x", "a." * 500_000 + " host", "://" + "b" * 1_000_000, "9a://" * 200_000, "host:" * 200_000 + "://"):
+        secret_links.find_spans(text)
+    assert time.perf_counter() - start < 10
+    start = time.perf_counter()
+    secret_links.endpoints("x" * 1_000_000 + " ://")
+    assert time.perf_counter() - start < 1
