@@ -8,8 +8,9 @@ benchmark item has (the whole document if it is shorter).
 1. Documents. All shingles of all texts are looked up among those of the items. A
    document is searched for windows of a length only if, for some item of that
    length, it holds so many of its shingles that a window could reach the
-   threshold. That is all that shingles decide here.
-2. Fingerprints. Every window of these lengths in these documents gets a 64-bit
+   threshold, and only from the first to the last window that holds one of
+   them. That is all that shingles decide here.
+2. Fingerprints. Every window of these lengths in these stretches gets a 64-bit
    SimHash, every occurrence of a shingle voting with weight one. It rolls: the
    votes of a document for each bit are summed up along its words once, several
    bits to a number, and a window's votes are the difference of two such sums. Long
@@ -57,7 +58,9 @@ MOST_BROADCAST = 500_000
 
 
 def lower_words(text: Column) -> Column:
-    return words(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    """Words with A-Z in lower case. Of an ASCII text ``lower`` changes nothing else."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return words(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase)))
 
 
 def _shingles(ws: Column, width: Column | int, make) -> Column:
@@ -126,17 +129,15 @@ def _lanes(longest: int) -> tuple[int, int]:
     return bits, 1 << (bits - 2)
 
 
-def window_fingerprints(texts: DataFrame, wanted: DataFrame, widths: list[int], longest: int) -> DataFrame:
-    """(doc_id, text_hash, n_words, width, start, fp) of all windows of the wanted
-    lengths that hold a shingle. ``texts``: doc_id, text_hash, words; ``wanted``: _id, _hash, lengths (of
-    structs width, n_words). Rows with one id and text count once."""
+def window_fingerprints(found: DataFrame, widths: list[int], longest: int) -> DataFrame:
+    """(doc_id, text_hash, n_words, width, start, fp) of the wanted windows that
+    hold a shingle. ``found``: doc_id, text_hash, words, lengths (structs of width,
+    n_words, and the first and last start), a row for each id and text."""
     bits, step = _lanes(longest)
     per = 63 // bits if bits > 16 else 4
     groups = [range(b, min(64, b + per)) for b in range(0, 64, per)]
     sums = [f"s{j}" for j in range(len(groups))]
-    same_row = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_hash"] == F.col("_hash"))
-    found = texts.join(wanted, same_row).select("doc_id", "text_hash", "words", "lengths").dropDuplicates(["doc_id", "text_hash"])
-    found = written(found, "leak-texts")
+    n_doc = F.size("words")
 
     def of(h: Column, b: int) -> Column:
         return F.shiftright(h, b).bitwiseAND(F.lit(1).cast("long"))
@@ -145,13 +146,17 @@ def window_fingerprints(texts: DataFrame, wanted: DataFrame, widths: list[int],
     near = F.floor(F.greatest(F.col("at") - longest, F.lit(0)) / step)
     places = None
     for width in widths:
-        at = (found.filter(F.exists("lengths", lambda x: x["width"] == width))
-              .select("doc_id", "text_hash", F.lit(width).alias("width"), F.posexplode(_hash_shingles(F.col("words"), width)).alias("at", "h"))
+        own = F.filter("lengths", lambda x: x["width"] == width)
+        low = F.array_min(F.transform(own, lambda x: x["first"]))
+        high = F.array_max(F.transform(own, lambda x: F.least(n_doc, x["last"] + x["n_words"])))
+        stretch = found.filter(F.size(own) > 0).select("doc_id", "text_hash", low.alias("low"), F.slice("words", low + 1, high - low).alias("words"))
+        at = (stretch.select("doc_id", "text_hash", "low", F.posexplode(_hash_shingles(F.col("words"), width)).alias("at", "h"))
+              .select("doc_id", "text_hash", F.lit(width).alias("width"), (F.col("low") + F.col("at")).alias("at"), "h")
               .select("doc_id", "text_hash", "width", "at", F.explode(F.array_distinct(F.array(F.floor(F.col("at") / step), near))).alias("chunk"), *votes))
         places = at if places is None else places.unionByName(at)
-    n_doc = F.size("words")
     windows = (found.select("doc_id", "text_hash", n_doc.alias("n_doc"), F.inline("lengths"))
-               .withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_doc") - F.col("n_words"), F.lit(0)))))
+               .withColumn("last", F.least(F.col("last"), F.greatest(F.col("n_doc") - F.col("n_words"), F.lit(0))))
+               .withColumn("start", F.explode(F.sequence(F.col("first"), F.col("last"))))
                .withColumn("chunk", F.floor(F.col("start") / step)).withColumn("m", F.least("n_doc", "n_words") - F.col("width") + 1).filter("m > 0"))
     # running votes before the first and after the last shingle of each window
     bounds = F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("turn")), F.struct((F.col("start") + F.col("m") - 1).alias("at"), F.lit(2).alias("turn"))))
@@ -189,29 +194,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     wanted = items.select("item", "n_words", "width", F.explode(_hash_shingles(F.col("words"), F.col("width"))).alias("hash")).distinct()
 
     # 1. the key of a document row: its id and the hash of its text
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), lower_words(F.col(text_col)).alias("words"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    worded = texts.select("doc_id", "text_hash", lower_words(F.col("text")).alias("words"))
     places = None
     for width in widths:
-        at = texts.select("doc_id", "text_hash", F.size("words").alias("n_doc"), F.explode(_hash_shingles(F.col("words"), width)).alias("hash"))
+        at = worded.select("doc_id", "text_hash", F.size("words").alias("n_doc"), F.posexplode(_hash_shingles(F.col("words"), width)).alias("i", "hash"))
         places = at if places is None else places.unionByName(at)
-    shared = places.join(hinted(wanted, MOST_BROADCAST), "hash").groupBy("doc_id", "text_hash", "n_doc", "item", "n_words", "width").count()
-    lengths = shared.filter(_enough(F.col("count"))).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("width", "n_words")).alias("lengths"))
-    lengths = written(lengths.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "lengths"), "leak-lengths")
+    shared = (places.join(hinted(wanted, MOST_BROADCAST), "hash").groupBy("doc_id", "text_hash", "n_doc", "item", "n_words", "width")
+              .agg(F.count("*").alias("count"), F.min("i").alias("low"), F.max("i").alias("high")))
+    stretch = (shared.filter(_enough(F.col("count"))).groupBy("doc_id", "text_hash", "width", "n_words")
+               .agg(F.greatest(F.lit(0), F.min("low") - F.first("n_words") + F.first("width")).alias("first"), F.max("high").alias("last")))
+    lengths = written(stretch.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+                      .agg(F.collect_list(F.struct("width", "n_words", "first", "last")).alias("lengths")), "leak-lengths")
     # a row holds at most one entry per length of an item
     searched = F.broadcast(lengths) if lengths.agg(F.coalesce(F.sum(F.size("lengths")), F.lit(0))).first()[0] <= MOST_BROADCAST else lengths
+    same_row = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_hash"] == F.col("_hash"))
+    # rows with one id and text count once
+    found = texts.join(searched, same_row).dropDuplicates(["doc_id", "text_hash"])
+    found = written(found.select("doc_id", "text_hash", lower_words(F.col("text")).alias("words"), "lengths"), "leak-texts")
 
     # 2. and 3.
-    windows = window_fingerprints(texts, searched, widths, longest)
+    windows = window_fingerprints(found, widths, longest)
     near = written(near_items(windows, items.select("item", "n_words", "item_fp")), "leak-near")
 
     # 4. the words of the windows found, each distinct window and item once
     by_doc = near.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "n_words", "start", "hamming")).alias("at"))
     by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "at")
-    by_doc = F.broadcast(by_doc) if near.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else by_doc
-    same_row = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_hash"] == F.col("_hash"))
-    found = texts.join(by_doc, same_row).select("doc_id", "text_hash", "words", F.explode("at").alias("w"))
+    at_text = found.join(by_doc, found["doc_id"].eqNullSafe(F.col("_id")) & (found["text_hash"] == F.col("_hash"))).select("doc_id", "text_hash", "words", F.explode("at").alias("w"))
     text = F.concat_ws(" ", F.slice("words", F.col("w.start") + 1, F.col("w.n_words")))
-    seen = written(found.select("doc_id", "text_hash", "w.item", "w.start", "w.hamming", text.alias("text"))
+    seen = written(at_text.select("doc_id", "text_hash", "w.item", "w.start", "w.hamming", text.alias("text"))
                    .withColumn("window", F.md5(F.col("text").cast("binary"))).distinct(), "leak-windows")
     known = hinted(items.select("item", "item_id", "n_words", "width"), MOST_BROADCAST)
     distinct = seen.groupBy("item", "window").agg(F.first("text").alias("text")).join(known.select("item", "width"), "item").withColumn("words", F.split("text", " "))

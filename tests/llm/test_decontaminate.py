@@ -33,15 +33,18 @@ def test_blocks_find_all_within_the_radius(spark):
 def test_rolling_fingerprints_equal_those_of_each_window(spark, monkeypatch):
     random.seed(5)
     rows = [(i, i, random.choices([f"w{k}" for k in range(30)], k=n)) for i, n in enumerate((1, 5, 12, 40, 300))]
-    lengths = [{"width": 5, "n_words": 9}, {"width": 5, "n_words": 20}, {"width": 3, "n_words": 3}]
-    docs = spark.createDataFrame(rows, "doc_id long, text_hash long, words array<string>")
-    wanted = spark.createDataFrame([(i, i, lengths) for i, _, _ in rows], "_id long, _hash long, lengths array<struct<width:int,n_words:int>>")
+    lengths = [{"width": 5, "n_words": 9, "first": 0, "last": 10_000}, {"width": 5, "n_words": 20, "first": 0, "last": 10_000}, {"width": 3, "n_words": 3, "first": 0, "last": 10_000}]
+    some = [{"width": 5, "n_words": 9, "first": 77, "last": 81}, {"width": 5, "n_words": 20, "first": 140, "last": 140}]
+    rows.append((9, 9, rows[-1][2]))
+    docs = spark.createDataFrame([(*r, some if r[0] == 9 else lengths) for r in rows],
+                                 "doc_id long, text_hash long, words array<string>, lengths array<struct<width:int,n_words:int,first:int,last:int>>")
     for lanes in ((16, 1 << 14), (16, 64), (21, 32), (31, 50)):
         monkeypatch.setattr(dc, "_lanes", lambda longest, lanes=lanes: lanes)
-        got = dc.window_fingerprints(docs, wanted, [3, 5], 20)
+        got = dc.window_fingerprints(docs, [3, 5], 20)
         again = got.join(docs.select("doc_id", "words"), "doc_id").withColumn("window", F.slice("words", F.col("start") + 1, F.col("n_words")))
         assert again.filter(F.col("fp") != dc.simhash(dc._hash_shingles(F.col("window"), F.col("width")))).count() == 0
-        assert got.count() == sum(max(0, len(w) - x["n_words"]) + 1 for _, _, w in rows for x in lengths if len(w) >= x["width"])
+        assert got.filter("doc_id < 9").count() == sum(max(0, len(w) - x["n_words"]) + 1 for _, _, w in rows[:-1] for x in lengths if len(w) >= x["width"])
+        assert {(r.n_words, r.start) for r in got.filter("doc_id = 9").collect()} == {(9, s) for s in range(77, 82)} | {(20, 140)}
 
 
 def test_simhash_equals_a_direct_count(spark):
