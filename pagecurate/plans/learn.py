@@ -7,10 +7,12 @@ trained under the same target / class-weight / split rules:
 * text models: tokens -> hashed term frequencies -> IDF -> logistic
   regression (``rawPrediction`` plays the logits);
 * class weights (E9) enter through ``weightCol``;
-* the positional model is a multilayer perceptron over the 9 layout features;
-* the combined model assembles text and scaled positional features by key
-  (never by row position);
-* model choice keeps the fitted model with the lowest validation log loss.
+* the positional model is the network of ``plans.network`` over the 9 layout
+  features;
+* the combined model assembles the text vector and the network's hidden vector
+  by key (never by row position);
+* model choice fits all candidates on text features written once and keeps the
+  one with the lowest validation log loss.
 
 Fitting runs as Spark jobs (treeAggregate over the partitions); scoring is a
 narrow ``transform`` over all splits at once.
@@ -19,9 +21,10 @@ narrow ``transform`` over all splits at once.
 from __future__ import annotations
 
 import uuid
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -31,7 +34,11 @@ from pagecurate.functions.logits import log_softmax_at
 from pagecurate.operators.joins import zip_features
 from pagecurate.operators.metrics import class_weights, weighted_log_loss, with_class_weights
 from pagecurate.plans.features import TOKEN_SPLIT, standardise
-from pagecurate.session import ensure_checkpoint_dir, shuffle_partitions
+from pagecurate.plans.network import Network, fit_network, with_hidden, with_logit
+from pagecurate.session import ensure_checkpoint_dir, scratch_dir
+
+#: Candidates of ``choose_model`` that are fitted side by side.
+FITS_AT_ONCE = 4
 
 
 def text_pipeline(text_col: str, label_col: str, weight_col: str | None = None,
@@ -89,28 +96,32 @@ def positional_features(df: DataFrame, numeric: list[str], flags: list[str], fit
 
 
 def fit_positional_classifier(train: DataFrame, label_col: str, n_inputs: int = 9,
-                              hidden: int = 180, depth: int = 4, max_iter: int = 50,
-                              seed: int = 42):
-    """Feed-forward net over the positional vector (``_pos``)."""
-    mlp = MultilayerPerceptronClassifier(featuresCol="_pos", labelCol="_y",
-                                         layers=[n_inputs] + [hidden] * depth + [2],
-                                         maxIter=max_iter, seed=seed)
-    # a table of one file would be fitted in one task; only the vectors move
-    src = train.select("_pos", F.col(label_col).cast("double").alias("_y")).repartition(shuffle_partitions(train.sparkSession)).cache()
-    try:
-        return mlp.fit(src)
-    finally:
-        src.unpersist()
+                              hidden: int = 180, depth: int = 4, steps: int = 40,
+                              weight: float | None = None, seed: int = 42) -> Network:
+    """The network over the positional vector (``_pos``), class 1 weighted
+    by E10 unless ``weight`` is given."""
+    return fit_network(train, "_pos", label_col, n_inputs, hidden, depth, steps, weight=weight, seed=seed)
+
+
+def positional_predictions(net: Network, df: DataFrame, keep: list[str]) -> DataFrame:
+    """J8 + B19: ``keep`` + preds + the logit of the positional network."""
+    out = with_logit(df.select(*keep, "_pos"), net, "_pos")
+    return out.select(*keep, (F.col("logits") > 0).cast("int").alias("preds"), "logits")
+
 
+def combined_features(text_df: DataFrame, pos_df: DataFrame, net: Network, key: str) -> DataFrame:
+    """The rows of ``text_df`` with the hidden vector (``_hidden``) that
+    ``net`` gives for the positional vector of the same key."""
+    return zip_features(text_df, with_hidden(pos_df.select(key, "_pos"), net, "_pos").select(key, "_hidden"), key)
 
-def fit_combined_classifier(text_df: DataFrame, pos_df: DataFrame, key: str, text_col: str,
-                            label_col: str, max_iter: int = 30) -> PipelineModel:
-    """Text TF-IDF ∥ positional vector, joined by key."""
-    j = zip_features(text_df, pos_df.select(key, "_pos"), key).withColumn("_y", F.col(label_col).cast("double")).cache()
+
+def fit_combined_classifier(train: DataFrame, text_col: str, label_col: str, max_iter: int = 30) -> PipelineModel:
+    """Text TF-IDF beside the hidden vector of ``combined_features``."""
+    j = train.withColumn("_y", F.col(label_col).cast("double")).cache()
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_SPLIT, toLowercase=True)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=1 << 16)
     idf = IDF(inputCol="_tf", outputCol="_txt")
-    va = VectorAssembler(inputCols=["_txt", "_pos"], outputCol="_features")
+    va = VectorAssembler(inputCols=["_txt", "_hidden"], outputCol="_features")
     lr = LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=max_iter)
     try:
         return Pipeline(stages=[tok, tf, idf, va, lr]).fit(j)
@@ -133,18 +144,40 @@ def validation_log_loss(model, val: DataFrame, label_col: str, weights: DataFram
 def choose_model(train: DataFrame, val: DataFrame, text_col: str, label_col: str,
                  regs=(0.0, 0.01, 0.1), weighted: bool = True, max_iter: int = 30):
     """Fit one model per ``regParam``, keep the lowest validation loss
-    (class-weighted when the fit is).
+    (class-weighted when the fit is; ties: the first).
+
+    The text features are fitted and written once, the candidates are fitted side
+    by side on them, and one job over the validation rows scores all of them.
     Returns (best model, table of (reg, log_loss))."""
     spark = train.sparkSession
-    fitted, rows = [], []
-    weights = class_weights(train, label_col) if weighted else None
-    for r in regs:
-        m = fit_text_classifier(train, text_col, label_col, weighted=weighted, reg=r, max_iter=max_iter)
-        loss = validation_log_loss(m, val, label_col, weights).first()["log_loss"]
-        fitted.append(m)
-        rows.append((float(r), float(loss)))
-    best = min(range(len(rows)), key=lambda i: rows[i][1])
-    return fitted[best], spark.createDataFrame(rows, "reg DOUBLE, log_loss DOUBLE")
+    src = train.withColumn("_y", F.col(label_col).cast("double"))
+    w = None
+    if weighted:
+        src = with_class_weights(src, "_y", "_w")
+        c = class_weights(train, label_col)
+        w = c.select(F.col(c.columns[0]).cast("int").alias("_y"), F.col("weight").alias("_w"))
+    *text, lr = text_pipeline(text_col, "_y", "_w" if weighted else None, max_iter=max_iter).getStages()
+    head = Pipeline(stages=text).fit(src)
+    path = scratch_dir(spark, "choose")
+    head.transform(src).select("_features", "_y", *(["_w"] if weighted else [])).write.parquet(path)
+    features = spark.read.parquet(path).cache()
+    fitted = [None] * len(regs)
+    try:
+        each = lr.fitMultiple(features, [{lr.regParam: float(r)} for r in regs])
+        with ThreadPool(min(len(regs), FITS_AT_ONCE)) as pool:
+            for i, m in pool.imap_unordered(lambda _: next(each), regs):
+                fitted[i] = m
+    finally:
+        features.unpersist()
+    scored = head.transform(val).select("_features", F.col(label_col).cast("int").alias("_y"))
+    scored = scored.join(w, "_y") if weighted else scored.withColumn("_w", F.lit(1.0))
+    for i, m in enumerate(fitted):
+        scored = m.copy({m.rawPredictionCol: f"_raw{i}", m.probabilityCol: "", m.predictionCol: ""}).transform(scored)
+    losses = scored.agg(*[F.try_divide(F.sum(-log_softmax_at(vector_to_array(f"_raw{i}"), F.col("_y")) * F.col("_w")),
+                                       F.sum("_w")).alias(f"l{i}") for i in range(len(regs))]).first()
+    rows = [(float(r), None if x is None else float(x)) for r, x in zip(regs, losses)]
+    best = min(range(len(rows)), key=lambda i: (rows[i][1] is None, rows[i][1]))
+    return PipelineModel(head.stages + [fitted[best]]), spark.createDataFrame(rows, "reg DOUBLE, log_loss DOUBLE")
 
 
 def save_model(model: PipelineModel, name: str) -> str:

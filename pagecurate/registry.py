@@ -1280,13 +1280,67 @@ def q_positional_classifier(spark, sf):
     from pagecurate.plans import learn
     rows = filters.drop_incomplete(positional_rows(spark, sf), POS_NUMERIC)
     feats = learn.positional_features(rows, POS_NUMERIC, POS_FLAGS, fit_on=F.col("split") == "train")
-    model = learn.fit_positional_classifier(feats.filter(F.col("split") == "train"), "label")
-    out = model.transform(feats)
-    raw = F.col("rawPrediction")
+    net = learn.fit_positional_classifier(feats.filter(F.col("split") == "train"), "label")
+    return learn.positional_predictions(net, feats, ["l_orderkey", "l_partkey", "split", "label"])
+
+
+# a network with fixed weights: its logit is 1 * quantity - 8 * line number + 2 * returned - 0.5
+FIXED_NET_SQL = """
+WITH z AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_returnflag = 'R' AS BIGINT) AS y,
+                  CAST(l_quantity AS DOUBLE) AS h1, 4.0 * l_linenumber - CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END + 0.25 AS h2
+           FROM lineitem),
+s AS (SELECT *, h1 - 2.0 * h2 AS z FROM z)
+"""
+
+
+def fixed_net_rows(spark, sf):
+    """Rows of lineitem with their inputs and the network, saved and loaded again."""
+    import numpy as np
+    from pagecurate.plans import network
+    from pagecurate.session import scratch_dir
+    li = T(spark, sf, "lineitem")
+    rows = li.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
+                     (F.col("l_returnflag") == "R").cast("int").alias("y"),
+                     F.array(F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double"),
+                             (F.col("l_linestatus") == "F").cast("double")).alias("x"))
+    first = [1.0, 0.0, 0.0, 4.0, 0.0, -1.0, 0.0, 0.25]       # three inputs, two units, their biases
+    net = network.Network([3, 2, 1], np.array(first + [1.0, -2.0, 0.0]))
+    path = network.save_network(net, spark, scratch_dir(spark, "net"))
+    return rows, network.load_network(spark, path)
+
+
+@register("evaluate_saved_network", FIXED_NET_SQL + """,
+per AS (SELECT c, count(*) FILTER (WHERE y = c) AS support, count(*) FILTER (WHERE (z > 0) = (c = 1)) AS predicted,
+               count(*) FILTER (WHERE y = c AND (z > 0) = (c = 1)) AS tp FROM s, (SELECT unnest([0, 1]) AS c) GROUP BY c),
+pm AS (SELECT c, support, coalesce(tp / nullif(predicted, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall FROM per),
+pm2 AS (SELECT *, coalesce(2.0 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM pm)
+SELECT round(sum(precision * support) / sum(support), 6) AS precision, round(sum(recall * support) / sum(support), 6) AS recall,
+       round(sum(f1 * support) / sum(support), 6) AS f1, round(sum(recall * support) / sum(support), 6) AS accuracy,
+       (SELECT round(avg(CASE WHEN y = 1 THEN 3.0 * (greatest(-z, 0) + ln(1 + exp(-abs(z)))) ELSE greatest(z, 0) + ln(1 + exp(-abs(z))) END), 6)
+        FROM s) AS log_loss
+FROM pm2
+""")
+def q_evaluate_saved_network(spark, sf):
+    """I7 on a network with known weights: load, score, weighted metrics, E20."""
+    from pagecurate.plans import network
+    rows, net = fixed_net_rows(spark, sf)
+    scored = network.with_logit(rows, net, "x").select("y", "logits", (F.col("logits") > 0).cast("int").alias("p"))
+    m = metrics.weighted_metrics(scored, "y", "p")
+    loss = metrics.binary_logit_loss(scored, "logits", "y", pos_weight=3.0)
+    return m.select(*[r6(c).alias(c) for c in ("precision", "recall", "f1", "accuracy")],
+                    r6(loss.select("log_loss").scalar()).alias("log_loss"))
+
+
+@register("hidden_vector", FIXED_NET_SQL + """
+SELECT l_orderkey, l_linenumber, h1, CAST(h2 AS DOUBLE) AS h2 FROM s
+""")
+def q_hidden_vector(spark, sf):
+    """The activations that the combined model gets from the positional network."""
     from pyspark.ml.functions import vector_to_array
-    return out.select("l_orderkey", "l_partkey", "split", "label",
-                      F.col("prediction").cast("int").alias("preds"),
-                      (vector_to_array(raw)[1] - vector_to_array(raw)[0]).alias("logits"))
+    from pagecurate.plans import network
+    rows, net = fixed_net_rows(spark, sf)
+    h = vector_to_array("_hidden")
+    return network.with_hidden(rows, net, "x").select("l_orderkey", "l_linenumber", h[0].alias("h1"), h[1].alias("h2"))
 
 
 @register("combined_classifier")
@@ -1297,10 +1351,12 @@ def q_combined_classifier(spark, sf):
                       F.size(F.split("text", "\n", -1)).cast("double").alias("n_lines"),
                       (F.col("lang") == "en").alias("is_en"))
     pos = learn.positional_features(pos, ["n_chars", "n_lines"], ["is_en"], fit_on=F.col("split") == "train")
-    model = learn.fit_combined_classifier(data.filter(F.col("split") == "train"), pos, "doc_id", "text",
-                                          "marginal_text")
-    scored = data.join(pos.select("doc_id", "_pos"), "doc_id")
-    return learn.predictions(model, scored, ["doc_id", "split", "marginal_text"])
+    train = F.col("split") == "train"
+    net = learn.fit_positional_classifier(pos.join(data.select("doc_id", "marginal_text"), "doc_id").filter(train),
+                                          "marginal_text", n_inputs=3)
+    both = learn.combined_features(data, pos, net, "doc_id")
+    model = learn.fit_combined_classifier(both.filter(train), "text", "marginal_text")
+    return learn.predictions(model, both, ["doc_id", "split", "marginal_text"])
 
 
 @register("model_selection")

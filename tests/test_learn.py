@@ -86,3 +86,15 @@ def test_active_learning_refits_and_evaluates(spark):
     later = sorted(r.id for r in done.labelled.filter("round = 2").collect())
     first = {r.id for r in done.labelled.filter("round = 1").collect()}
     assert later == [i for i in range(40) if i not in first][:5]
+
+
+def test_choose_model_losses_are_those_of_single_fits(spark, docs):
+    train, val = docs.filter("split = 'train'"), docs.filter("split = 'test'")
+    for weighted in (True, False):
+        best, table = learn.choose_model(train, val, "text", "marginal_text", regs=(0.5, 0.05), weighted=weighted, max_iter=8)
+        weights = learn.class_weights(train, "marginal_text") if weighted else None
+        for reg, loss in sorted(table.collect()):
+            alone = learn.fit_text_classifier(train, "text", "marginal_text", weighted=weighted, reg=reg, max_iter=8)
+            assert loss == pytest.approx(learn.validation_log_loss(alone, val, "marginal_text", weights).first()[0], abs=1e-9)
+        assert learn.validation_log_loss(best, val, "marginal_text", weights).first()[0] == pytest.approx(
+            min(r.log_loss for r in table.collect()), abs=1e-9)
