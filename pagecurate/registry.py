@@ -1524,6 +1524,69 @@ def q_tei_records(spark, sf):
     return seg.select("id", F.col("page_number").cast("bigint").alias("page_number"), "text_line")
 
 
+# ---------------------------------------------------------------- A4, A9 on files written from the tables
+@register("layout_blocks", """
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS block_idx FROM conversations WHERE conv_id IS NOT NULL),
+w AS (SELECT *, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS words FROM t)
+SELECT 'prot-2000--ak--' || conv_id AS package_id, CAST(conv_id % 7 + 1 AS BIGINT) AS page_index,
+       CAST(block_idx AS BIGINT) AS block_idx, 'B' || block_idx AS block_id, array_to_string(words, ' ') AS block_text,
+       CAST(len(words) AS BIGINT) AS n_words, 100.0::DOUBLE AS box_left, (1000.0 * block_idx)::DOUBLE AS box_upper,
+       1000.0::DOUBLE AS box_right, (1000.0 * block_idx + 500)::DOUBLE AS box_lower, 2000.0::DOUBLE AS page_width
+FROM w
+""")
+def q_layout_blocks(spark, sf):
+    """Conversations as layout pages: a file each, a block per turn, a line per line."""
+    from pagecurate.session import scratch_dir
+    from pagecurate.sources.alto import explode_blocks, read_layout
+    from pagecurate.sources.tables import write_files
+
+    def attribute(x):
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            x = F.replace(x, F.lit(sign), F.lit(name))
+        return x
+
+    def line(x):
+        words = F.transform(F.filter(F.split(x, " ", -1), lambda w: w != ""), lambda w, i: F.concat(
+            F.lit('<String CONTENT="'), attribute(w), F.lit('" HPOS="'), (i * 10).cast("string"), F.lit('" VPOS="5" WIDTH="8" HEIGHT="15"/>')))
+        return F.concat(F.lit("<TextLine>"), F.array_join(words, ""), F.lit("</TextLine>"))
+
+    def block(t, i):
+        place = F.concat(F.lit('" HPOS="100" VPOS="'), (i * 1000).cast("string"), F.lit('" WIDTH="900" HEIGHT="500">'))
+        return F.concat(F.lit('<TextBlock ID="B'), i.cast("string"), place,
+                        F.array_join(F.transform(F.split(t["text"], "\n", -1), line), ""), F.lit("</TextBlock>"))
+
+    turns = T(spark, sf, "conversations").filter("conv_id IS NOT NULL")
+    pages = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    name = F.format_string("%1$s/prot_2000__ak__%1$s-%2$03d.xml", F.col("conv_id").cast("string"), F.col("conv_id") % 7 + 1)
+    alto = F.concat(F.lit('<alto><Layout><Page WIDTH="2000" HEIGHT="3000"><PrintSpace>'), F.array_join(F.transform("t", block), ""),
+                    F.lit("</PrintSpace></Page></Layout></alto>"))
+    root = scratch_dir(spark, "alto")
+    write_files(pages.select(name.alias("name"), alto.alias("value")), root, "name", "value")
+    b = explode_blocks(read_layout(spark, root))
+    return b.select("package_id", F.col("page_index").cast("bigint").alias("page_index"), F.col("block_idx").cast("bigint").alias("block_idx"),
+                    "block_id", "block_text", F.size("words").cast("bigint").alias("n_words"),
+                    *[F.col(f"block_box.{k}").cast("double").alias(f"box_{k}") for k in ("left", "upper", "right", "lower")], "page_width")
+
+
+@register("materialised_records", """
+SELECT CAST(1900 + doc_id % 50 AS VARCHAR) AS folder, 'prot-' || (1900 + doc_id % 50) || '--ak--' || doc_id || '.xml' AS name, md5(text) AS digest
+FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0
+""")
+def q_materialised_records(spark, sf):
+    """Every document as a record file of a year folder, read back by A1 (which
+    gives no row for an empty file)."""
+    from pagecurate.session import scratch_dir
+    from pagecurate.sources.tables import materialise_subset
+    from pagecurate.sources.tei import read_records
+    year = (F.col("doc_id") % 50 + 1900).cast("string")
+    file = F.concat(F.lit("prot-"), year, F.lit("--ak--"), F.col("doc_id").cast("string"), F.lit(".xml"))
+    root = scratch_dir(spark, "records")
+    materialise_subset(T(spark, sf, "documents").filter("doc_id IS NOT NULL").select(year.alias("folder"), file.alias("file"), F.col("text").alias("value")), root)
+    rec = read_records(spark, root)
+    return rec.select("folder", F.element_at(F.split("file", "/"), -1).alias("name"), F.md5("value").alias("digest"))
+
+
 # ---------------------------------------------------------------- E8, E22 per split, I5, flagship
 @register("block_text", """
 SELECT conv_id, turn, array_to_string(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> ''), ' ')

@@ -7,12 +7,21 @@ growing table per record.
 
 from __future__ import annotations
 
+import sys
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pagecurate.plans.splits import split_contiguous
 
+# ship this module's code with the writing tasks, so executors need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read_annotations(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A5: CSV with a header row; quoted fields may span lines, so one task reads
@@ -61,7 +70,34 @@ def read_part_files(spark: SparkSession, paths: list[str], fmt: str = "parquet")
     return parts.withColumn("part_file", from_part).orderBy("part_file")
 
 
-def materialise_subset(records: DataFrame, path: str) -> None:
-    """The sampled records, one folder per year folder."""
-    (records.select("folder", F.element_at(F.split("file", "/"), -1).alias("name"), "value")
-     .write.mode("overwrite").partitionBy("folder").parquet(path))
+def write_files(df: DataFrame, root: str, name_col: str, value_col: str) -> int:
+    """One text file per row: ``root``/``name_col`` holds ``value_col`` (UTF-8).
+
+    Names may have folders and must be distinct; a row without a name is an error,
+    one without a value makes an empty file. Every task writes its own rows under
+    temporary names and moves them in place, so a task that runs again (lost
+    executor, speculation) leaves the same files. Returns their number."""
+    def write(batches):
+        where = root.removeprefix("file:") if root.startswith("file:/") else root
+        store, base = fs.FileSystem.from_uri(where) if ":" in where else (fs.LocalFileSystem(), where)
+        for b in batches:
+            for name, value in zip(b["name"].to_pylist(), b["value"].to_pylist()):
+                if not name:
+                    raise ValueError("a file has no name")
+                path = f"{base}/{name}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write((value or "").encode("utf-8"))
+                store.move(part, path)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    rows = df.select(F.col(name_col).alias("name"), F.col(value_col).alias("value"))
+    return rows.mapInArrow(write, "n BIGINT").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def materialise_subset(records: DataFrame, path: str) -> int:
+    """The files of the sampled records (folder, file, value), below ``path``
+    in their year folders and under their own names. Returns their number."""
+    name = F.concat_ws("/", "folder", F.element_at(F.split("file", "/"), -1))
+    return write_files(records.select(name.alias("name"), "value"), path, "name", "value")

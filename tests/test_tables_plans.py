@@ -41,7 +41,25 @@ def test_corpus_sample(spark):
     files = {r.file.split("/")[-2] for r in seg.select("file").distinct().collect()}
     assert files == {"1921", "1931", "1871"}          # 1991 is in the gap; 200001 has no page
     assert seg.groupBy("file").agg(F.countDistinct("page_link")).filter("`count(DISTINCT page_link)` > 1").count() == 0
-    assert spark.read.parquet(f"{out}/records").count() >= 3
+    copies = {os.path.join(d, n) for d, _, names in os.walk(f"{out}/records") for n in names if n.endswith(".xml")}
+    assert len(copies) >= 3 and files <= {c.split("/")[-2] for c in copies}
+    for c in copies:                                  # the same bytes in the same year folder
+        with open(c, "rb") as a, open(c.replace(f"{out}/records", base), "rb") as b:
+            assert a.read() == b.read()
+
+
+def test_write_files_keeps_bytes_and_names(spark, tmp_path):
+    from pagecurate.sources.tables import write_files
+    rows = [("a/x.xml", "å\r\n\x00z"), ("a/y.xml", ""), ("b.xml", None), ("c/d/e.txt", "q" * 100_000)]
+    df = spark.createDataFrame(rows, "name STRING, value STRING")
+    for _ in range(2):                                # a second run leaves the same files
+        assert write_files(df, f"file:{tmp_path}", "name", "value") == 4
+    found = {os.path.relpath(os.path.join(d, n), tmp_path): open(os.path.join(d, n), "rb").read()
+             for d, _, names in os.walk(tmp_path) for n in names if not n.endswith(".crc")}
+    assert found == {n: (v or "").encode() for n, v in rows}
+    assert write_files(df.limit(0), str(tmp_path / "none"), "name", "value") == 0
+    with pytest.raises(Exception, match="no name"):
+        write_files(spark.createDataFrame([(None, "a")], "name STRING, value STRING"), str(tmp_path), "name", "value")
 
 
 def test_positional_features(spark):
