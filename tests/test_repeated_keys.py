@@ -2,10 +2,13 @@
 rows of the splits are not shuffled."""
 import re
 from collections import Counter
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pagecurate.operators import ordering
 from pagecurate.operators.joins import update_by_id
 from pagecurate.operators.layout import match_blocks
 from pagecurate.operators.ordering import Desc, global_index, part_of, running_scan
@@ -91,3 +94,39 @@ def test_update_keeps_existing_values(spark):
                                       ("&#1114112;&#xD800;", "&#1114112;&#xD800;"), ("plain", "plain"), ("", ""), (None, None)])
 def test_unescape_is_one_pass(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "s string").select(xml_unescape("s").alias("o")).first().o == want
+
+
+def _values(spark, kind):
+    import random
+    rng = random.Random(kind)
+    made = {"bigint": lambda: rng.choice([None, -(1 << 63), (1 << 63) - 1, rng.randint(-50, 50), rng.randint(-10**12, 10**12)]),
+            "string": lambda: rng.choice([None, "", "same prefix " + str(rng.randint(0, 60)), "ü" * rng.randint(1, 9), chr(rng.randint(33, 50000))]),
+            "double": lambda: rng.choice([None, float("inf"), float("-inf"), float("nan"), rng.random(), rng.uniform(-1e6, 1e6), 1e300]),
+            "timestamp": lambda: rng.choice([None, datetime(1850, 1, 1) + timedelta(seconds=rng.randint(0, 10**9))]),
+            "boolean": lambda: rng.choice([None, True, False])}[kind]
+    return spark.createDataFrame([("ab"[i % 3 == 0], made(), i) for i in range(400)], f"c string, v {kind}, i int")
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "double", "timestamp", "boolean"])
+@pytest.mark.parametrize("down", [False, True])
+def test_selection_equals_the_full_order(spark, monkeypatch, kind, down):
+    """Refined cells (of few rows, and of many that share a position) give the
+    parts of the sorted rows, for every type and direction."""
+    df = _values(spark, kind)
+    starts = spark.createDataFrame([("a", [0, 7, 7, 100]), ("b", [40, 133, 200, 999])], "c string, starts array<bigint>")
+    by = F.col("v").desc_nulls_last() if down else F.col("v").asc_nulls_first()
+    ranked = df.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(by, "i")) - 1).join(starts, "c")
+    expected = sorted((r.i, r.p) for r in ranked.withColumn("p", F.size(F.filter("starts", lambda s: s <= F.col("r")))).collect())
+    order = [Desc("v") if down else "v", "i"]
+    for cells, near in ((64, 5), (4096, 0)):
+        monkeypatch.setattr(ordering, "CELLS", cells)
+        monkeypatch.setattr(ordering, "NEAR_ROWS", near)
+        assert sorted((r.i, r.p) for r in part_of(df, ["c"], order, starts, "p").collect()) == expected
+
+
+def test_selection_numbers_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "NEAR_ROWS", 5)
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    got = split_contiguous(df, 7, ["k"], "part").collect()
+    assert Counter(r.part for r in got) == {p: 143 if p <= 6 else 142 for p in range(1, 8)}
+    assert [k for _, k in sorted((r.part, r.k) for r in got)] == sorted(r.k for r in got)
