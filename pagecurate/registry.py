@@ -1064,6 +1064,28 @@ def conv_parts(spark, sf):
     return seg, blk
 
 
+def indel_ctes(pairs: str) -> str:
+    """SQL tables for the Indel ratio of the texts ``st`` and ``bt`` of ``pairs``: the
+    longest common subsequence by its ends. ``ends[k]`` is the least end in bt of a
+    common subsequence of length k; each character of st moves every end to the next
+    place of that character after the end before it. Result: ``il(st, bt, n)``."""
+    return f"""
+ip AS (SELECT DISTINCT st, bt FROM {pairs} WHERE length(st) > 0 AND length(bt) > 0),
+ic AS (SELECT bt, c, list(i ORDER BY i) AS m FROM (
+  SELECT bt, unnest(string_split(bt, '')) AS c, unnest(range(1, length(bt) + 1)) AS i FROM (SELECT DISTINCT bt FROM ip)) GROUP BY bt, c),
+inx AS (SELECT bt, c, flatten(list_transform(range(1, len(m) + 1), lambda j:
+  list_resize([]::INTEGER[], m[j] - coalesce(m[j - 1], 0), m[j]::INTEGER))) AS nx FROM ic),
+iw AS (SELECT st, bt, list(nx ORDER BY i) AS steps FROM (
+  SELECT st, bt, unnest(string_split(st, '')) AS c, unnest(range(1, length(st) + 1)) AS i FROM ip) JOIN inx USING (bt, c) GROUP BY st, bt),
+il AS (SELECT st, bt, len(list_reduce(steps, lambda ends, nx: list_filter(list_transform(range(1, len(ends) + 2), lambda k:
+  least(coalesce(ends[k], {_NO_END}), coalesce(nx[coalesce(ends[k - 1], 0) + 1], {_NO_END}))::INTEGER), lambda e: e < {_NO_END}), []::INTEGER[])) AS n FROM iw)"""
+
+
+_NO_END = 2147483647
+INDEL_SCORE_SQL = """CASE WHEN length(st) + length(bt) = 0 THEN 100.0 ELSE round_even(100.0 * (1.0 -
+  (length(st) + length(bt) - 2 * coalesce(n, 0))::DOUBLE / (length(st) + length(bt))), 0) END"""
+
+
 @register("match_blocks", CONV_SQL)
 def q_match_blocks(spark, sf):
     seg, blk = conv_parts(spark, sf)
@@ -1071,7 +1093,16 @@ def q_match_blocks(spark, sf):
     return m.select("conv_id", F.col("sid").alias("turn"), F.col("bi").alias("block_turn"), "score")
 
 
-@register("match_blocks_indel")
+@register("match_blocks_indel", f"""
+WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS txt FROM conversations),
+p AS (SELECT a.conv_id, a.turn, b.turn AS bi, a.txt AS st, b.txt AS bt
+      FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role <> 'user'),
+{indel_ctes('p')}
+SELECT conv_id, turn, bi AS block_turn, CAST(score AS DOUBLE) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, abs(bi - turn), bi) AS rn
+  FROM (SELECT p.*, {INDEL_SCORE_SQL} AS score FROM p LEFT JOIN il USING (st, bt)))
+WHERE rn = 1
+""")
 def q_match_blocks_indel(spark, sf):
     seg, blk = conv_parts(spark, sf)
     m = match_blocks(seg, blk, ["conv_id"], "sid", "st", "so", "bid", "bt", "bi", scorer="indel")
@@ -1490,11 +1521,12 @@ def q_saved_model_check(spark, sf):
 
 
 # ---- A1-A3 over files: documents written as TEI records below the shared folder
+def escaped(x):
+    return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def tei_text():
     """A record: four lines to a page, notes and segs in turn, links and ids."""
-    def escaped(x):
-        return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
     doc = F.col("doc_id").cast("string")
 
     def line(x, k):
@@ -1525,6 +1557,27 @@ def q_tei_records(spark, sf):
 
 
 # ---------------------------------------------------------------- A4, A9 on files written from the tables
+def alto_text(turns):
+    """A layout page: a block per turn of the array ``turns``, a line per line."""
+    def attribute(x):
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            x = F.replace(x, F.lit(sign), F.lit(name))
+        return x
+
+    def line(x):
+        words = F.transform(F.filter(F.split(x, " ", -1), lambda w: w != ""), lambda w, i: F.concat(
+            F.lit('<String CONTENT="'), attribute(w), F.lit('" HPOS="'), (i * 10).cast("string"), F.lit('" VPOS="5" WIDTH="8" HEIGHT="15"/>')))
+        return F.concat(F.lit("<TextLine>"), F.array_join(words, ""), F.lit("</TextLine>"))
+
+    def block(t, i):
+        place = F.concat(F.lit('" HPOS="100" VPOS="'), (i * 1000).cast("string"), F.lit('" WIDTH="900" HEIGHT="500">'))
+        return F.concat(F.lit('<TextBlock ID="B'), i.cast("string"), place,
+                        F.array_join(F.transform(F.split(t["text"], "\n", -1), line), ""), F.lit("</TextBlock>"))
+
+    return F.concat(F.lit('<alto><Layout><Page WIDTH="2000" HEIGHT="3000"><PrintSpace>'), F.array_join(F.transform(turns, block), ""),
+                    F.lit("</PrintSpace></Page></Layout></alto>"))
+
+
 @register("layout_blocks", """
 WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS block_idx FROM conversations WHERE conv_id IS NOT NULL),
@@ -1541,28 +1594,11 @@ def q_layout_blocks(spark, sf):
     from pagecurate.sources.alto import explode_blocks, read_layout
     from pagecurate.sources.tables import write_files
 
-    def attribute(x):
-        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-            x = F.replace(x, F.lit(sign), F.lit(name))
-        return x
-
-    def line(x):
-        words = F.transform(F.filter(F.split(x, " ", -1), lambda w: w != ""), lambda w, i: F.concat(
-            F.lit('<String CONTENT="'), attribute(w), F.lit('" HPOS="'), (i * 10).cast("string"), F.lit('" VPOS="5" WIDTH="8" HEIGHT="15"/>')))
-        return F.concat(F.lit("<TextLine>"), F.array_join(words, ""), F.lit("</TextLine>"))
-
-    def block(t, i):
-        place = F.concat(F.lit('" HPOS="100" VPOS="'), (i * 1000).cast("string"), F.lit('" WIDTH="900" HEIGHT="500">'))
-        return F.concat(F.lit('<TextBlock ID="B'), i.cast("string"), place,
-                        F.array_join(F.transform(F.split(t["text"], "\n", -1), line), ""), F.lit("</TextBlock>"))
-
     turns = T(spark, sf, "conversations").filter("conv_id IS NOT NULL")
     pages = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
     name = F.format_string("%1$s/prot_2000__ak__%1$s-%2$03d.xml", F.col("conv_id").cast("string"), F.col("conv_id") % 7 + 1)
-    alto = F.concat(F.lit('<alto><Layout><Page WIDTH="2000" HEIGHT="3000"><PrintSpace>'), F.array_join(F.transform("t", block), ""),
-                    F.lit("</PrintSpace></Page></Layout></alto>"))
     root = scratch_dir(spark, "alto")
-    write_files(pages.select(name.alias("name"), alto.alias("value")), root, "name", "value")
+    write_files(pages.select(name.alias("name"), alto_text("t").alias("value")), root, "name", "value")
     b = explode_blocks(read_layout(spark, root))
     return b.select("package_id", F.col("page_index").cast("bigint").alias("page_index"), F.col("block_idx").cast("bigint").alias("block_idx"),
                     "block_id", "block_text", F.size("words").cast("bigint").alias("n_words"),
@@ -1587,6 +1623,76 @@ def q_materialised_records(spark, sf):
     return rec.select("folder", F.element_at(F.split("file", "/"), -1).alias("name"), F.md5("value").alias("digest"))
 
 
+# ---------------------------------------------------------------- I4 on TEI and ALTO files written from the tables
+def clean_sql(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '[^\\x20-\\x7E\\n]', '?', 'g')"
+
+
+@register("positional_features", f"""
+WITH t AS (SELECT conv_id, turn // 4 + 1 AS page, turn, role, {clean_sql('text')} AS txt
+           FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+seg AS (SELECT *, row_number() OVER (PARTITION BY conv_id, page ORDER BY turn, txt) - 1 AS so, {norm_sql('txt')} AS st,
+               max(page) OVER (PARTITION BY conv_id) AS pages FROM t WHERE role = 'user'),
+blk AS (SELECT conv_id, page + CASE WHEN conv_id % 4 = 3 THEN 1 ELSE 0 END AS layout,
+               row_number() OVER (PARTITION BY conv_id, page ORDER BY turn, txt) - 1 AS bi,
+               array_to_string(list_filter(string_split(replace(txt, chr(10), ' '), ' '), lambda w: w <> ''), ' ') AS bt
+        FROM t WHERE role <> 'user'),
+loc AS (SELECT seg.*, (SELECT min(layout) FROM blk WHERE blk.conv_id = seg.conv_id AND layout BETWEEN page AND page + 1) AS layout
+        FROM seg WHERE length(st) > 0),
+p AS (SELECT loc.conv_id, page, so, st, bi, bt FROM loc JOIN blk ON loc.conv_id = blk.conv_id AND loc.layout = blk.layout),
+{indel_ctes('p')},
+best AS (SELECT conv_id, page, so, bi FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, page, so ORDER BY score DESC, abs(bi - so), bi) AS rn
+  FROM (SELECT p.*, {INDEL_SCORE_SQL} AS score FROM p LEFT JOIN il USING (st, bt))) WHERE rn = 1)
+SELECT 's' || conv_id || '-' || page || '-' || so AS id,
+       CASE WHEN bi IS NOT NULL THEN 50.0 END::DOUBLE AS left_pos, round(bi * 1000.0 / 3000 * 1000, 6)::DOUBLE AS upper_pos,
+       CASE WHEN bi IS NOT NULL THEN 500.0 END::DOUBLE AS right_pos, round((bi * 1000.0 + 500) / 3000 * 1000, 6)::DOUBLE AS lower_pos,
+       CAST(1900 + conv_id % 50 AS BIGINT) AS year, round(page * 1000.0 / pages, 6)::DOUBLE AS relative_page_number,
+       CAST(page % 2 = 0 AS BIGINT) AS even_page, CAST(conv_id % 3 = 0 AS BIGINT) AS second_chamber, CAST(conv_id % 3 = 2 AS BIGINT) AS unicameral
+FROM loc LEFT JOIN best USING (conv_id, page, so)
+""")
+def q_positional_features(spark, sf):
+    """User turns as records, a page per four turns, the other turns as the blocks of the
+    page's layout; a quarter of the layouts lies on the following page (D5)."""
+    from pagecurate.plans.positional import positional_features
+    from pagecurate.session import scratch_dir
+    from pagecurate.sources.alto import read_layout
+    from pagecurate.sources.tables import write_files
+    from pagecurate.sources.tei import read_records, segments_table
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E\n]", "?")
+    turns = T(spark, sf, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL").select(
+        "conv_id", F.floor(F.col("turn") / 4).cast("int").alias("p"), "turn", "role", clean.alias("text"))
+    turns = turns.withColumn("p", F.col("p") + 1)
+    number = F.col("conv_id").cast("string")
+    year = (F.col("conv_id") % 50 + 1900).cast("string")
+    chamber = F.element_at(F.array(F.lit("--ak--"), F.lit("--fk--"), F.lit("--")), (F.col("conv_id") % 3 + 1).cast("int"))
+    package = F.concat(F.lit("prot-"), year, chamber, number)
+    pages = turns.groupBy("conv_id", "p", (F.col("role") == "user").alias("said")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    root = scratch_dir(spark, "positions")
+    # layouts: a file per page
+    layout = F.col("p") + F.when(F.col("conv_id") % 4 == 3, 1).otherwise(0)
+    name = F.concat(number, F.lit("/"), F.replace(package, F.lit("-"), F.lit("_")), F.format_string("-%03d.xml", layout))
+    write_files(pages.filter("NOT said").select(name.alias("name"), alto_text("t").alias("value")), f"{root}/alto", "name", "value")
+
+    # records: a file per conversation
+    def segment(t, i):
+        ident = F.concat(F.lit("s"), number, F.lit("-"), F.col("p").cast("string"), F.lit("-"), i.cast("string"))
+        return F.concat(F.lit('<seg xml:id="'), ident, F.lit('">'), escaped(t["text"]), F.lit("</seg>"))
+
+    link = F.concat(F.lit("https://a.b/c/"), F.replace(package, F.lit("-"), F.lit("_")), F.format_string("-%03d.jp2/_view", F.col("p")))
+    page = F.concat(F.lit('<pb facs="'), link, F.lit('"/>'), F.array_join(F.transform("t", segment), ""))
+    records = pages.filter("said").select("conv_id", F.struct("p", page.alias("page")).alias("page"))
+    records = records.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda x: x["page"]), "").alias("body"))
+    value = F.concat(F.lit("<TEI><head>"), package, F.lit("</head><body>"), F.col("body"), F.lit("</body></TEI>"))
+    write_files(records.select(F.concat(year, F.lit("/"), package, F.lit(".xml")).alias("name"), value.alias("value")), f"{root}/tei", "name", "value")
+
+    rec = read_records(spark, f"{root}/tei")
+    found = positional_features(segments_table(explode_pages(rec)), rec, read_layout(spark, f"{root}/alto"), max_page_offset=1)
+    return found.select("id", *[r6(f"pos{c}").alias(f"{c.lower()}_pos") for c in ("Left", "Upper", "Right", "Lower")],
+                        r6("relative_page_number").alias("relative_page_number"),
+                        *[F.col(c).cast("bigint").alias(c) for c in ("year", "even_page", "second_chamber", "unicameral")])
+
+
 # ---------------------------------------------------------------- E8, E22 per split, I5, flagship
 @register("block_text", """
 SELECT conv_id, turn, array_to_string(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> ''), ' ')
