@@ -4,7 +4,7 @@ annotated segments + TEI records + ALTO layouts -> segments + posLeft/Upper/
 Right/Lower (per mille of the page) + year, relative_page_number, even_page,
 second_chamber, unicameral.
 
-One job instead of a table rewrite per record: records are read once, every
+No table rewrite per record: records and layouts are read and cut once, every
 (record, page) of the table is processed (not only the first page of each
 file), layouts are looked up by hash join on (package, page index), segments
 are matched to blocks inside their page (``match_blocks``), and the features
@@ -21,6 +21,7 @@ from pagecurate.functions.boxes import box_normalise
 from pagecurate.functions.links import package_id, page_index_from_facs, page_stem_from_link
 from pagecurate.operators.joins import update_by_id
 from pagecurate.operators.layout import match_blocks, nearest_following, speaker_box
+from pagecurate.session import ensure_checkpoint_dir
 from pagecurate.sources.alto import explode_blocks
 from pagecurate.sources.tei import explode_pages, explode_segments, record_head, record_length
 
@@ -58,16 +59,18 @@ def positional_features(annotated: DataFrame, records: DataFrame, layouts: DataF
     ``type`` attribute is ``speaker`` (the others match whole blocks)."""
     segs = record_segments(records)
     ids = annotated.select("id").distinct()
-    segs = segs.join(ids, "id", "left_semi")
+    ensure_checkpoint_dir(annotated.sparkSession)
+    # cut once: the segments and the blocks are each read several times below
+    segs = segs.join(ids, "id", "left_semi").checkpoint()
     pages = layouts.select("package_id", "page_index", "page_width", "page_height")
     if max_page_offset > 0:
         located = nearest_following(segs, pages, ["package_id"], "page_index", "page_index",
                                     max_page_offset, ["page_width", "page_height"])
-        located = located.withColumn("layout_index", F.col("found_pos"))
+        located = located.withColumn("layout_index", F.col("found_pos")).checkpoint()
     else:
         located = segs.join(pages, ["package_id", "page_index"], "left") \
             .withColumn("layout_index", F.when(F.col("page_width").isNotNull(), F.col("page_index")))
-    blocks = explode_blocks(layouts).withColumnRenamed("page_index", "layout_index")
+    blocks = explode_blocks(layouts).withColumnRenamed("page_index", "layout_index").checkpoint()
     seg_text = located.withColumn("n_colons", F.size(F.split("text_line", ":", -1)) - 1)
     if speaker_colons == "by_type":
         is_speaker = F.coalesce(F.col("elem_type") == "speaker", F.lit(False))
@@ -78,11 +81,15 @@ def positional_features(annotated: DataFrame, records: DataFrame, layouts: DataF
     keys = ["package_id", "layout_index"]
     usable = usable.withColumn("_at", F.struct("file", "page_ord", "elem_ord"))
     carry = ["_at", "n_colons", "_speaker", "page_width", "page_height"]
-    whole = match_blocks(usable.filter(~F.col("_speaker")), blocks, keys, "id", "text_line", "elem_ord",
-                         "block_id", "block_text", "block_idx", scorer="indel", carry=carry)
-    cut = match_blocks(usable.filter(F.col("_speaker")), blocks, keys, "id", "text_line", "elem_ord",
-                       "block_id", "block_text", "block_idx", scorer="indel", seg_colons="n_colons", carry=carry)
-    match = whole.unionByName(cut)
+
+    def matched(speaker: bool) -> DataFrame:
+        return match_blocks(usable.filter(F.col("_speaker") == speaker), blocks, keys, "id", "text_line", "elem_ord",
+                            "block_id", "block_text", "block_idx", scorer="indel", seg_colons="n_colons" if speaker else None, carry=carry)
+
+    if speaker_colons == "by_type":
+        match = matched(False).unionByName(matched(True))
+    else:
+        match = matched(bool(speaker_colons))
     m = match.join(blocks.select("package_id", "layout_index", "block_idx", "block_box", "words"),
                    ["package_id", "layout_index", "block_idx"])
     box = F.when(F.col("_speaker"), speaker_box(F.col("words"), F.col("n_colons"))).otherwise(F.col("block_box"))
