@@ -56,6 +56,8 @@ def sample_corpus(spark: SparkSession, base: str, start_year: int, end_year: int
     records = read_records(spark, paths)
     if output:
         materialise_subset(records, f"{output}/records")
-    pages = explode_pages(records).withColumn("_pid", F.concat_ws("#", "file", F.col("page_ord").cast("string")))
+    # a page is known by folder, file name and place, wherever the corpus lies
+    name = F.element_at(F.split("file", "/"), -1)
+    pages = explode_pages(records).withColumn("_pid", F.concat_ws("#", "folder", name, F.col("page_ord").cast("string")))
     picked = sample_per_group(pages, ["file"], "_pid", pages_per_file, seed).drop("_pid")
     return segments_table(picked)

@@ -1623,6 +1623,38 @@ def q_materialised_records(spark, sf):
     return rec.select("folder", F.element_at(F.split("file", "/"), -1).alias("name"), F.md5("value").alias("digest"))
 
 
+@register("corpus_sample", f"""
+WITH doc AS (SELECT doc_id, text, CAST(1900 + doc_id % 50 AS VARCHAR) AS folder,
+                    'prot-' || (1900 + doc_id % 50) || '--ak--' || doc_id || '.xml' AS name FROM documents WHERE doc_id IS NOT NULL),
+fol AS (SELECT folder, CAST(folder AS INTEGER) // 10 * 10 AS decade FROM (SELECT DISTINCT folder FROM doc)
+        WHERE CAST(folder AS INTEGER) BETWEEN 1905 AND 1944),
+r AS (SELECT *, row_number() OVER (PARTITION BY decade ORDER BY folder) - 1 AS i, count(*) OVER (PARTITION BY decade) AS n FROM fol),
+dr AS (SELECT decade, n, j, CAST('0x' || substr({hash_sql(42, 'decade', 'j')}, 1, 8) AS BIGINT) % n AS i
+       FROM (SELECT DISTINCT decade, n FROM r), (SELECT unnest(range(20)) AS j)),
+df AS (SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY j) AS nth FROM dr JOIN r USING (decade, i)),
+fi AS (SELECT doc_id, text, folder, name, row_number() OVER (PARTITION BY folder ORDER BY {hash_sql(42, 'name')}, name) AS nth FROM doc),
+ln AS (SELECT doc_id, folder, name, pos - 1 AS line_no, (pos - 1) // 4 + 1 AS page, {norm_sql('raw')} AS text_line FROM (
+  SELECT doc_id, folder, name, unnest(string_split(text, chr(10))) AS raw, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos
+  FROM fi JOIN df USING (folder, nth))),
+pg AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY {hash_sql(42, "folder || '#' || name || '#' || page")}, page) AS rk
+       FROM (SELECT DISTINCT doc_id, folder, name, page FROM ln WHERE length(text_line) > 0))
+SELECT name, 'd' || ln.doc_id || '-l' || line_no AS id, CAST((page - 1) % 1000 + 1 AS BIGINT) AS page_number, text_line
+FROM ln JOIN pg USING (doc_id, page) WHERE rk <= 2 AND length(text_line) > 0
+""")
+def q_corpus_sample(spark, sf):
+    """I1 end to end: every document as a record of a year folder; twenty files a decade
+    and two pages a file are drawn, copied and cut."""
+    from pagecurate.plans.corpus import sample_corpus
+    from pagecurate.session import scratch_dir
+    from pagecurate.sources.tables import write_files
+    year = (F.col("doc_id") % 50 + 1900).cast("string")
+    name = F.concat(year, F.lit("/prot-"), year, F.lit("--ak--"), F.col("doc_id").cast("string"), F.lit(".xml"))
+    root = scratch_dir(spark, "corpus")
+    write_files(T(spark, sf, "documents").filter("doc_id IS NOT NULL").select(name.alias("name"), tei_text().alias("value")), f"{root}/all", "name", "value")
+    seg = sample_corpus(spark, f"{root}/all", 1905, 1944, files_per_decade=20, pages_per_file=2, output=f"{root}/sample")
+    return seg.select(F.element_at(F.split("file", "/"), -1).alias("name"), "id", F.col("page_number").cast("bigint").alias("page_number"), "text_line")
+
+
 # ---------------------------------------------------------------- I4 on TEI and ALTO files written from the tables
 def clean_sql(x: str) -> str:
     return f"regexp_replace(coalesce({x}, ''), '[^\\x20-\\x7E\\n]', '?', 'g')"
