@@ -6,11 +6,10 @@
   them validation, the rest train; rows follow their file.
 * ``split_contiguous`` — n contiguous parts, the first ``rows % n`` one longer.
 
-The class ranking of the stratified split is the heavy part: with two or
-three classes every class is a hot group, so only (class, hash, id) is ranked,
-over range partitions; the rows found at the two borders of each class then
-label the wide rows by comparison, without a shuffle of these. The contiguous
-split does the same with its n - 1 borders.
+With two or three classes every class is a hot group, so no class is sorted: the
+rows at its two borders are found by selection (``ordering.part_of``), and label
+the wide rows by comparison, without a shuffle of these. The contiguous split
+does the same with its n - 1 borders.
 """
 
 from __future__ import annotations
