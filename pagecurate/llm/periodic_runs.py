@@ -92,7 +92,8 @@ def opened_lags(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
         whole = at[half] == at + size
         names, at = dense[whole] * (len(ids) + 1) + dense[half[whole]], at[whole]
         size *= 2
-    place, lag = np.concatenate(places or [at]), np.concatenate(lags or [at])
+    none = np.empty(0, np.int64)
+    place, lag = np.concatenate([none, *places]), np.concatenate([none, *lags])
     order = np.lexsort((place, lag))
     place, lag = place[order], lag[order]
     first = np.ones(len(place), bool)

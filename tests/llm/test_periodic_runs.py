@@ -53,6 +53,12 @@ def brute_row(doc_id, text):
 COLUMNS = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
 
 
+def test_texts_too_short_for_a_run_share_none():
+    assert pr.batch_runs([[b"a"] * 3, [b"b"] * 3]) == [[], []]
+    assert pr.batch_runs([[b"a"] * 2] * 9) == [[]] * 9
+    assert pr.batch_runs([]) == [] and pr.batch_runs([[], []]) == [[], []]
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.lists(st.integers(0, 3), min_size=1, max_size=9), st.integers(1, 7)), max_size=5), max_size=5))
 def test_runs_of_any_words(texts):
