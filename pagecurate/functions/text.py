@@ -20,6 +20,12 @@ def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def computed_once(c: Column, use) -> Column:
+    """``use(c)`` for a ``use`` that names its argument several times: written out,
+    ``c`` would be computed each time, and nested uses multiply."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def normalise_text(c) -> Column:
     """NULL -> '', drop line feeds (no blank in their place), collapse every
     white-space run to one blank, strip both ends."""
@@ -33,12 +39,13 @@ def xml_unescape(c) -> Column:
     """Resolve numeric character references and the five predefined entities in
     one pass, i.e. give the text a parser would hand to the caller: what a
     reference stands for is not read again (``&#38;lt;`` is ``&lt;``)."""
-    s = _c(c)
-    between = F.split(s, XML_REFERENCE, -1)
-    refs = F.regexp_extract_all(s, F.lit(XML_REFERENCE), F.lit(0))
-    pieces = F.transform(between, lambda t, i: F.concat(t, F.coalesce(_resolved(F.get(refs, i)), F.lit(""))))
-    # the regex runs only on texts that can hold one
-    return F.when(s.contains("&"), F.array_join(pieces, "")).otherwise(s)
+    def resolved(s):
+        pieces = F.zip_with(F.split(s, XML_REFERENCE, -1), F.regexp_extract_all(s, F.lit(XML_REFERENCE), F.lit(0)),
+                            lambda t, ref: F.concat(t, F.coalesce(_resolved(ref), F.lit(""))))
+        # the regex runs only on texts that can hold one
+        return F.when(s.contains("&"), F.array_join(pieces, "")).otherwise(s)
+
+    return computed_once(_c(c), resolved)
 
 
 def _resolved(ref: Column) -> Column:

@@ -59,3 +59,31 @@ def test_no_shuffle_in_extraction(spark, pages):
     rec = read_records(spark, TEI)
     plan = segments_table(explode_pages(rec))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_listing_and_reading_in_tasks_as_by_sparks_source(spark, tmp_path, monkeypatch):
+    from pagecurate.sources import tei
+    texts = {"å b%20+c#.xml": "x\r\ny", "_x.xml": "hidden", "_a=1.xml": "part", ".h.xml": "hidden", "e.xml": "", "x&1.xml": "z" * 5_000_000,
+             "sub_x/q1.xml": "q", "sub_x/_hid/r.xml": "hidden", "sub_x/deep/r.xml": "r", "sub_x/r.txt": "no"}
+    for name, text in texts.items():
+        (tmp_path / "a b" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "a b" / name).write_bytes(text.encode())
+    base = f"{tmp_path}/a b"
+    asked = [base, f"file://{base}", [f"{base}/sub_x", f"{base}/_x.xml", f"{base}/x&1.xml"], f"{base}/sub_x/_hid"]
+    rec = [read_records(spark, p) for p in asked]
+    # no record file is in an index on the driver
+    assert not [f for r in rec for f in r.inputFiles() if f.endswith(".xml")]
+    got = [sorted(map(tuple, r.collect())) for r in rec]
+    monkeypatch.setattr(tei, "listing", lambda *a: None)
+    assert got == [sorted(map(tuple, read_records(spark, p).collect())) for p in asked] and len(got[0]) == 5
+
+
+def test_parts_of_a_segment_are_computed_once(spark):
+    lines = spark.createDataFrame([("<seg xml:id='a'>b</seg>",)], "c string").select(tei_lines("c").alias("l"))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xml:id") <= 4 and plan.count(r"(?s)^<[^>]*>(.*)$") == 1
+
+
+def tei_lines(c):
+    from pagecurate.sources.tei import found_elements, page_lines
+    return page_lines(found_elements(F.col(c)))
