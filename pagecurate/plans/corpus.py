@@ -3,7 +3,7 @@ file per draw (H3) -> pages (A2) -> pages per file (G3) -> segments (A3).
 
 Folder and file names are sampled first; only the chosen records are read
 (an explicit path list), so I/O is proportional to the sample. The listings
-are distributed (``binaryFile`` source without its content column); the only
+are made by tasks, a folder each (``sources.files``); the only
 thing brought to the driver is the chosen path list, which is bounded by
 ``files_per_decade`` x decades.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pagecurate.functions.meta import decade
 from pagecurate.operators.filters import year_window
 from pagecurate.operators.sampling import draw_unseen, sample_per_group, sample_with_replacement
+from pagecurate.sources.files import listing
 from pagecurate.sources.tables import materialise_subset
 from pagecurate.sources.tei import explode_pages, read_records, segments_table
 
@@ -36,8 +37,11 @@ def list_files(spark: SparkSession, base: str, folders: DataFrame) -> DataFrame:
     paths = [f"{base.rstrip('/')}/{r.folder}" for r in folders.select("folder").distinct().collect()]
     if not paths:
         return spark.createDataFrame([], "folder STRING, file_name STRING, path STRING")
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(paths)
-             .select("path"))
+    files = listing(spark, paths, "*.xml", recursive=False)
+    if files is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(paths).select("path")
+    else:
+        files = files.select(F.concat("store", "path").alias("path"))
     parts = F.split("path", "/")
     return files.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file_name"),
                         "path")
