@@ -70,6 +70,11 @@ def read_part_files(spark: SparkSession, paths: list[str], fmt: str = "parquet")
     return parts.withColumn("part_file", from_part).orderBy("part_file")
 
 
+#: Files whose texts a task of ``write_files`` holds at a time.
+WRITE_ROWS = 200
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def write_files(df: DataFrame, root: str, name_col: str, value_col: str) -> int:
     """One text file per row: ``root``/``name_col`` holds ``value_col`` (UTF-8).
 
@@ -80,12 +85,16 @@ def write_files(df: DataFrame, root: str, name_col: str, value_col: str) -> int:
     def write(batches):
         where = root.removeprefix("file:") if root.startswith("file:/") else root
         store, base = fs.FileSystem.from_uri(where) if ":" in where else (fs.LocalFileSystem(), where)
+        made = set()
         for b in batches:
             for name, value in zip(b["name"].to_pylist(), b["value"].to_pylist()):
                 if not name:
                     raise ValueError("a file has no name")
                 path = f"{base}/{name}"
-                store.create_dir(path.rpartition("/")[0], recursive=True)
+                folder = path.rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 part = f"{path}.{uuid.uuid4().hex}.part"
                 with store.open_output_stream(part) as out:
                     out.write((value or "").encode("utf-8"))
@@ -93,7 +102,17 @@ def write_files(df: DataFrame, root: str, name_col: str, value_col: str) -> int:
             yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
 
     rows = df.select(F.col(name_col).alias("name"), F.col(value_col).alias("value"))
-    return rows.mapInArrow(write, "n BIGINT").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    spark = df.sparkSession
+    rows_set = spark.conf.get(ARROW_ROWS, None)
+    # the usual 10,000 rows to a batch suit narrow rows, not whole files
+    spark.conf.set(ARROW_ROWS, str(WRITE_ROWS))
+    try:
+        return rows.mapInArrow(write, "n BIGINT").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    finally:
+        if rows_set is None:
+            spark.conf.unset(ARROW_ROWS)
+        else:
+            spark.conf.set(ARROW_ROWS, rows_set)
 
 
 def materialise_subset(records: DataFrame, path: str) -> int:

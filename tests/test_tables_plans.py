@@ -48,6 +48,30 @@ def test_corpus_sample(spark):
             assert a.read() == b.read()
 
 
+def test_write_files_gets_few_rows_at_a_time(spark, tmp_path, monkeypatch):
+    from pagecurate.sources import tables
+    seen = []
+    taken = type(spark.range(1)).mapInArrow
+
+    def noted(self, f, schema):
+        seen.append(int(spark.conf.get(tables.ARROW_ROWS)))
+        return taken(self, f, schema)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", noted)
+    before = spark.conf.get(tables.ARROW_ROWS)
+    df = spark.range(700).select(F.col("id").cast("string").alias("name"), F.col("id").cast("string").alias("value"))
+    assert tables.write_files(df, str(tmp_path), "name", "value") == 700 and seen and max(seen) <= tables.WRITE_ROWS
+    assert spark.conf.get(tables.ARROW_ROWS) == before
+
+
+def test_tei_records_of_repeated_and_null_ids(spark, tmp_path):
+    from pagecurate.registry import QUERIES
+    rows = [(1, "a & b\nc"), (1, "a & b\nc"), (1, "d"), (None, "no id"), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["tei_records"](spark, str(tmp_path)).collect()))
+    assert got == [("d1-l0", 1, "a & b"), ("d1-l0", 1, "a & b"), ("d1-l0", 1, "d"), ("d1-l1", 1, "c"), ("d1-l1", 1, "c")]
+
+
 def test_write_files_keeps_bytes_and_names(spark, tmp_path):
     from pagecurate.sources.tables import write_files
     rows = [("a/x.xml", "å\r\n\x00z"), ("a/y.xml", ""), ("b.xml", None), ("c/d/e.txt", "q" * 100_000)]
