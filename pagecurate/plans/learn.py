@@ -41,6 +41,14 @@ from pagecurate.session import ensure_checkpoint_dir, scratch_dir
 FITS_AT_ONCE = 4
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read back, for rows that
+    several fits and scorings read."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_pipeline(text_col: str, label_col: str, weight_col: str | None = None,
                   num_features: int = 1 << 16, reg: float = 0.0, max_iter: int = 30,
                   family: str = "auto") -> Pipeline:

@@ -1377,7 +1377,8 @@ def q_hidden_vector(spark, sf):
 @register("combined_classifier")
 def q_combined_classifier(spark, sf):
     from pagecurate.plans import learn
-    data = labelled_docs(spark, sf)
+    # read several times below: the split and the hidden vectors are made once
+    data = learn.kept(labelled_docs(spark, sf), "labelled")
     pos = data.select("doc_id", "split", F.col("n_chars").cast("double").alias("n_chars"),
                       F.size(F.split("text", "\n", -1)).cast("double").alias("n_lines"),
                       (F.col("lang") == "en").alias("is_en"))
@@ -1385,7 +1386,7 @@ def q_combined_classifier(spark, sf):
     train = F.col("split") == "train"
     net = learn.fit_positional_classifier(pos.join(data.select("doc_id", "marginal_text"), "doc_id").filter(train),
                                           "marginal_text", n_inputs=3)
-    both = learn.combined_features(data, pos, net, "doc_id")
+    both = learn.kept(learn.combined_features(data, pos, net, "doc_id"), "combined")
     model = learn.fit_combined_classifier(both.filter(train), "text", "marginal_text")
     return learn.predictions(model, both, ["doc_id", "split", "marginal_text"])
 

@@ -123,3 +123,36 @@ def test_combined_features_join_by_key(rows):
     model = learn.fit_combined_classifier(both, "text", "label", max_iter=5)
     assert model.stages[-1].numFeatures == (1 << 16) + 4
     assert learn.predictions(model, both, ["id"]).count() == 200
+
+
+def test_the_layers_without_activation_are_one_product(data):
+    class Counted(np.ndarray):
+        wide = 0
+
+        def __array_ufunc__(self, ufunc, method, *a, **k):
+            if ufunc is np.matmul and all(x.ndim == 2 for x in a) and len(a[0]) >= 50 and min(a[1].shape) >= 50:
+                Counted.wide += 1
+            strip = lambda t: tuple(x.view(np.ndarray) if isinstance(x, Counted) else x for x in t)
+            if "out" in k:
+                k["out"] = strip(k["out"])
+            got = getattr(ufunc, method)(*strip(a), **k)
+            return got.view(Counted) if isinstance(got, np.ndarray) else got
+
+    net = network.new_network(3, hidden=50, depth=2, seed=1)
+    x = data[0].view(Counted)
+    logits, hidden = network.forward(net.layers(), x)
+    assert Counted.wide == 1      # 3 -> 50 -> 50 is one narrow product, 50 -> 50 the wide one
+    assert [float(z) for z in logits[:5]] == pytest.approx([plain_forward(net, r)[0] for r in data[0][:5]], abs=1e-5)
+    assert hidden.shape == (200, 50)
+
+
+def test_combined_classifier_makes_the_hidden_vectors_once(spark, tmp_path, monkeypatch):
+    from pagecurate import registry
+    rows = [(i, "word%d text\nof line" % (i % 7), "en" if i % 3 else "de", 20 + i % 7, i % 2, i % 5 // 4) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, quality int, toxic int").createOrReplaceTempView("t")
+    spark.sql("select doc_id, text, lang, n_chars, 'a' as source from t").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("select doc_id, quality, toxic from t").write.parquet(f"{tmp_path}/labels.parquet")
+    fit = learn.fit_positional_classifier
+    monkeypatch.setattr(learn, "fit_positional_classifier", lambda *a, **k: fit(*a, **k, hidden=4, depth=1, steps=2))
+    out = registry.QUERIES["combined_classifier"](spark, str(tmp_path))
+    assert "predict" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 60
