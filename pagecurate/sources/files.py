@@ -6,8 +6,8 @@ by a task, level by level, the names are written to the shared folder, and tasks
 read the files of their names; the driver sees the paths it was given. Stores that
 Arrow does not know, and patterns beyond ``*`` and ``?``, are left to Spark's sources.
 
-As there, names that begin with ``.`` or ``_`` (without ``=``) are hidden, and an empty
-file gives no row.
+As there, names that begin with ``.`` or ``_`` (without ``=``) are hidden, and empty
+files are passed over.
 """
 
 from __future__ import annotations
@@ -68,6 +68,8 @@ def _roots(spark: SparkSession, paths: list[str]) -> list[tuple[str, str, bool]]
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         status = hp.getFileSystem(conf).getFileStatus(hp)
+        if status.isFile() and not status.getLen():
+            continue
         uri = status.getPath().toUri()
         authority = uri.getAuthority()
         out.append((f"{uri.getScheme()}:" + (f"//{authority}" if authority else ""), uri.getPath(), status.isDirectory()))
@@ -89,7 +91,7 @@ def listing(spark: SparkSession, paths: list[str], pattern: str, recursive: bool
         for b in batches:
             for store, path in zip(b["store"].to_pylist(), b["path"].to_pylist()):
                 system, base = open_store(store)
-                found = [(i.base_name, i.type == fs.FileType.Directory) for i in system.get_file_info(fs.FileSelector(base + path))]
+                found = [(i.base_name, i.type == fs.FileType.Directory) for i in system.get_file_info(fs.FileSelector(base + path)) if i.size != 0]
                 found = [(f"{path.rstrip('/')}/{n}", d) for n, d in found if (recursive and not _hidden(n) if d else wanted(n))]
                 for i in range(0, len(found), 10_000):
                     part = found[i:i + 10_000]

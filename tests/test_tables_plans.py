@@ -72,6 +72,16 @@ def test_tei_records_of_repeated_and_null_ids(spark, tmp_path):
     assert got == [("d1-l0", 1, "a & b"), ("d1-l0", 1, "a & b"), ("d1-l0", 1, "d"), ("d1-l1", 1, "c"), ("d1-l1", 1, "c")]
 
 
+def test_drawn_folders_are_listed_without_an_index(spark, tmp_path):
+    from pagecurate.plans.corpus import list_files
+    for name in ("1900/a.xml", "1900/empty.xml", "1900/b.txt", "1900/deep/c.xml", "1901/a.xml"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "empty" in name else "x")
+    files = list_files(spark, str(tmp_path), spark.createDataFrame([("1900",)], "folder STRING"))
+    assert not [f for f in files.inputFiles() if f.endswith(".xml")]
+    assert [tuple(r) for r in files.collect()] == [("1900", "a.xml", f"file:{tmp_path}/1900/a.xml")]
+
+
 def test_write_files_keeps_bytes_and_names(spark, tmp_path):
     from pagecurate.sources.tables import write_files
     rows = [("a/x.xml", "å\r\n\x00z"), ("a/y.xml", ""), ("b.xml", None), ("c/d/e.txt", "q" * 100_000)]
