@@ -3,8 +3,10 @@
 Texts are cut into pieces at ``CUTS``, pieces into words (A-Z in lower case); a
 phrase is a run of words of one piece. For phrases of m words each prefix of
 m - 1 words keys a stripe: an associative counter of the words that follow it. A
-task builds the stripes of its batches; stripes of one prefix are merged
-elementwise, by summing their cells (prefix, next word) with map-side
+task sums the cells (prefix, next word) of its batches and gives on one stripe of
+a prefix for all of them, or for as many as hold ``MOST_CELLS`` different cells,
+so that stripes grow with the tasks and not with the batches a prefix occurs in.
+Stripes of one prefix are merged elementwise, by summing their cells with map-side
 combination, so the stripe of a frequent prefix is never gathered in one place.
 Cells of at least ``MIN_COUNT`` are the frequent phrases of m words: they are
 the extensions of the prefix, their totals are the counts of the prefixes of the next
@@ -16,13 +18,14 @@ Passes. Both parts of a frequent phrase that leave out its first or last word ar
 frequent, so a pass only counts phrases whose parts passed the one before:
 
 1. words, exactly;
-2. and 3. pairs, then triples, counted under a 64-bit hash alone, which bounds
-   each phrase's count from above;
-4. the stripes: pairs and triples that may be frequent, and longer phrases all
-   of whose triples may be.
+2. to 4. pairs, triples, then all longer phrases of such triples, counted under a
+   64-bit hash alone, which bounds each phrase's count from above;
+5. the stripes of the phrases that may be frequent.
 
 Tasks know what passed from bitmaps of ``FILTER_BITS`` bits, which is what is
-sent to them whatever the corpus. A hash or a bit can let a phrase pass but never
+sent to them whatever the corpus. Each hash has ``HASH_BITS`` of them: with one, the
+phrases let through by chance grow with the square of the corpus, by those asked
+for and by those that passed. A hash or its bits can let a phrase pass but never
 misses one, and the stripes carry their words, so all counts are exact.
 
 Scores. Each cut of a candidate joins the counts of its two parts; all
@@ -36,10 +39,11 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +55,16 @@ MIN_COUNT = 100
 TOP = 2000
 #: A power of two; the bitmaps take an eighth of it in bytes.
 FILTER_BITS = 1 << 26
+HASH_BITS = 4
 #: Per cent of a phrase's count that a longer candidate needs to subsume it.
 SUBSUMED = 100
 NO_LANG = "und"
 CUTS = b".,;:!?\n\x0b\x0c\r"
 MOST_BROADCAST = 500_000
+#: Different cells a task holds before it gives its stripes on, and those of one
+#: row: a longer stripe goes on in the next. Bounds on memory; the sums are the same.
+MOST_CELLS = 1 << 19
+ROW_CELLS = 20_000
 _FLAT = bytes.maketrans(CUTS + bytes(range(65, 91)), b"\n" * len(CUTS) + bytes(range(97, 123)))
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[[0x20, 0x09, 0x0A]] = True  # what is left between words
@@ -91,6 +100,17 @@ def run_hashes(lang: str, hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(h)
 
 
+def passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes have all their bits set in a bitmap."""
+    last = np.uint64(8 * len(bits) - 1)
+    at, step = (hashes & last).astype(np.int64), (hashes >> np.uint64(32) & last | np.uint64(1)).astype(np.int64)
+    passes = np.ones(len(hashes), bool)
+    for k in range(HASH_BITS):
+        bit = at + k * step & int(last)
+        passes &= (bits[bit >> 3] >> (bit & 7) & 1).astype(bool)
+    return passes
+
+
 def places(lang: str, hashes: np.ndarray, piece: np.ndarray, size: int, filters: dict[int, np.ndarray]) -> np.ndarray:
     """Where the runs of ``size`` words begin that lie in one piece and of which
     the runs of ``part`` words, the longest there is a filter for, all pass it."""
@@ -98,44 +118,115 @@ def places(lang: str, hashes: np.ndarray, piece: np.ndarray, size: int, filters:
     starts = piece[:n] == piece[size - 1:size - 1 + n]
     part = max((k for k in filters if k <= size), default=0)
     if part and n:
-        bits = filters[part]
-        at = (run_hashes(lang, hashes, part) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
-        passes = (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+        passes = passing(run_hashes(lang, hashes, part), filters[part])
         for k in range(size - part + 1):
             starts &= passes[k:k + n]
     return np.flatnonzero(starts)
 
 
+def number_runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first row of each number, number of each row) of rows given by
+    their columns, numbered in order; equal rows have one number."""
+    names, most = columns[0], max(int(c.max()) for c in columns) + 1
+    for column in columns[1:]:
+        names = np.unique(names * most + column, return_inverse=True)[1]
+    return np.unique(names, return_index=True, return_inverse=True)[1:]
+
+
 def count_runs(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, count) of each distinct run of ``size`` words that begins at one
     of the places ``at``, in order of the numbers."""
     if not len(at):
         return np.empty((0, size), np.int64), np.empty(0, np.int64)
-    names = ids[at]
-    for k in range(1, size):
-        names = np.unique(names * (ids.max() + 1) + ids[at + k], return_inverse=True)[1]
-    _, first, n = np.unique(names, return_index=True, return_counts=True)
-    return np.stack([ids[at[first] + k] for k in range(size)], axis=1), n
+    first, names = number_runs([ids[at + k] for k in range(size)])
+    return np.stack([ids[at[first] + k] for k in range(size)], axis=1), np.bincount(names)
 
 
-def batch_stripes(lang: str, texts: list[str | None], sizes: tuple[int, ...],
-                  filters: dict[int, np.ndarray]) -> Iterator[tuple[int, str, list[str | None], list[int]]]:
-    """(size, prefix, next words, counts) of the stripes for phrases of these
-    sizes. The stripe of the empty prefix counts all words under NULL, too."""
+def batch_counts(lang: str, texts: list[str | None], sizes: tuple[int, ...],
+                 filters: dict[int, np.ndarray]) -> tuple[list[str | None], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The words by number, and for each size the phrases as rows of numbers and
+    their counts. Phrases of one word count all words under NULL, too."""
     raw, starts, ends, piece = cut_words(texts)
     if not len(starts):
-        return
+        return [], {}
     hashes = slice_hashes(raw, starts, ends)
     ids, first = number_words(raw, starts, ends, hashes)
-    word = [raw[a:b].tobytes().decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    word = [*(raw[a:b].tobytes().decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())), None]
+    counts = {}
     for size in sizes:
         rows, n = count_runs(ids, places(lang, hashes, piece, size, filters), size)
         if size == 1:
-            yield 1, "", [*(word[i] for i in rows[:, 0].tolist()), None], [*n.tolist(), int(n.sum())]
-            continue
-        turns = np.flatnonzero(np.append(True, (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1))) if len(rows) else rows[:, 0]
-        for a, b in zip(turns.tolist(), [*turns[1:].tolist(), len(rows)]):
-            yield size, " ".join(word[i] for i in rows[a, :-1].tolist()), [word[i] for i in rows[a:b, -1].tolist()], n[a:b].tolist()
+            rows, n = np.append(rows, [[len(first)]], axis=0), np.append(n, n.sum())
+        counts[size] = rows, n
+    return word, counts
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One (rows, counts) of several: each distinct row once, in order."""
+    rows, n = (np.concatenate(x) for x in zip(*parts))
+    first, names = number_runs(list(rows.T))
+    total = np.zeros(len(first), np.int64)
+    np.add.at(total, names, n)
+    return rows[first], total
+
+
+class Gathered:
+    """The phrases of one language in the batches of a task: words numbered in order
+    of their coming, for each size parts of (rows of numbers, counts)."""
+
+    def __init__(self) -> None:
+        self.number: dict[str | None, int] = {}
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(self, word: list[str | None], counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        for size, (rows, n) in counts.items():
+            if len(n):
+                used, at = np.unique(rows, return_inverse=True)
+                number = np.array([self.number.setdefault(word[i], len(self.number)) for i in used.tolist()])
+                self.parts.setdefault(size, []).append((number[at].reshape(rows.shape), n))
+
+    def cells(self) -> int:
+        return sum(len(n) for parts in self.parts.values() for _, n in parts)
+
+    def merge(self) -> None:
+        """One part of each size, in which each phrase has one row, in order."""
+        self.parts = {size: [summed(parts)] for size, parts in self.parts.items()}
+
+    def stripes(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """(size, lang, prefix, next words, counts), after a merge."""
+        words = pa.array(list(self.number), pa.string())
+        for size, [(rows, n)] in self.parts.items():
+            turns = np.append(True, (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1))
+            turns[::ROW_CELLS] = True
+            begin = np.flatnonzero(turns)
+            prefix = [words.take(pa.array(rows[begin, k])) for k in range(size - 1)]
+            cuts = pa.array(np.append(begin, len(n)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(begin), size, np.int32)), pa.array([lang] * len(begin), pa.string()),
+                 pc.binary_join_element_wise(*prefix, " ") if prefix else pa.array([""] * len(begin)),
+                 pa.ListArray.from_arrays(cuts, words.take(pa.array(rows[:, -1]))), pa.ListArray.from_arrays(cuts, pa.array(n, pa.int64()))],
+                names=["size", "lang", "prefix", "next", "n"])
+
+
+def task_stripes(texts: Iterable[tuple[str, list[str | None]]], sizes: tuple[int, ...], filters: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(size, lang, prefix, next words, counts) of the batches (lang, texts) of a task."""
+    gathered: dict[str, Gathered] = {}
+    cells = 0
+    for lang, of_lang in texts:
+        word, counts = batch_counts(lang, of_lang, sizes, filters)
+        gathered.setdefault(lang, Gathered()).add(word, counts)
+        cells += sum(len(n) for _, n in counts.values())
+        if cells > MOST_CELLS:
+            for g in gathered.values():
+                g.merge()
+            cells = sum(g.cells() for g in gathered.values())
+            if cells > MOST_CELLS // 2:  # merging again would free little
+                for of, g in gathered.items():
+                    yield from g.stripes(of)
+                gathered, cells = {}, 0
+    for lang, g in gathered.items():
+        g.merge()
+        yield from g.stripes(lang)
 
 
 # ---- passes over the texts -----------------------------------------------------
@@ -152,27 +243,23 @@ def stripes(texts: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndar
     """(size, lang, prefix, next, n): the merged stripes of the texts (lang, text)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, of_lang in _by_lang(batches):
-            rows = list(batch_stripes(lang, of_lang, sizes, filters))
-            for a in range(0, len(rows), 20_000):
-                size, prefix, following, n = zip(*rows[a:a + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array([lang] * len(prefix)), pa.array(prefix), pa.array(following, pa.list_(pa.string())),
-                                                  pa.array(n, pa.list_(pa.int64()))], names=["size", "lang", "prefix", "next", "n"])
+        yield from task_stripes(_by_lang(batches), sizes, filters)
 
     built = texts.mapInArrow(build, "size int, lang string, prefix string, next array<string>, n array<long>")
     cells = built.select("size", "lang", "prefix", F.inline(F.arrays_zip("next", "n")))
     return cells.groupBy("size", "lang", "prefix", "next").agg(F.sum("n").alias("n"))
 
 
-def hashed_counts(texts: DataFrame, size: int, filters: dict[int, np.ndarray]) -> DataFrame:
-    """(hash, n): the occurrences of the phrases of ``size`` words, by their hash."""
+def hashed_counts(texts: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndarray]) -> DataFrame:
+    """(hash, n): the occurrences of the phrases of these sizes, by their hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, of_lang in _by_lang(batches):
             raw, starts, ends, piece = cut_words(of_lang)
             hashes = slice_hashes(raw, starts, ends)
-            found, n = np.unique(run_hashes(lang, hashes, size)[places(lang, hashes, piece, size, filters)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
+            for size in sizes:
+                found, n = np.unique(run_hashes(lang, hashes, size)[places(lang, hashes, piece, size, filters)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
 
     return texts.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
@@ -192,10 +279,12 @@ def _word_hashes(words: DataFrame) -> DataFrame:
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
     """FILTER_BITS bits, as bytes, with those of the hashes set."""
-    at = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    last = F.lit(FILTER_BITS - 1).cast("long")
+    first, step = F.col("hash").bitwiseAND(last), F.shiftrightunsigned("hash", 32).bitwiseAND(last).bitwiseOR(F.lit(1).cast("long"))
+    bits = hashes.select(F.explode(F.array(*((first + k * step).bitwiseAND(last) for k in range(HASH_BITS)))).alias("bit"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63).cast("long")).cast("int"))
     # at most FILTER_BITS / 64 rows, whatever the number of phrases
-    words = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(mask).alias("mask")).toArrow()
+    words = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(mask).alias("mask")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words.column("at").to_numpy()] = words.column("mask").to_numpy()
     return out.view(np.uint8)
@@ -208,8 +297,10 @@ def frequent_phrases(texts: DataFrame, most_words: int = MOST_WORDS, min_count:
     often = F.col("n") >= min_count
     words = written(stripes(texts, (1,), {}).filter(often | F.col("next").isNull()), "stripes-words")
     filters = {1: bitmap(_word_hashes(words.filter("next IS NOT NULL").select("lang", "next")))}
-    for size in range(2, min(most_words, 3) + 1):
-        filters[size] = bitmap(hashed_counts(texts, size, {size - 1: filters[size - 1]}).filter(often).select("hash"))
+    for sizes in [(2,), (3,), tuple(range(4, most_words + 1))]:
+        if sizes and sizes[-1] <= most_words:
+            passed = bitmap(hashed_counts(texts, sizes, {sizes[0] - 1: filters[sizes[0] - 1]}).filter(often).select("hash"))
+            filters |= dict.fromkeys(sizes, passed)
     longer = written(stripes(texts, tuple(range(2, most_words + 1)), filters).filter(often), "stripes-phrases")
     phrase = F.concat_ws(" ", F.when(F.col("prefix") != "", F.col("prefix")), "next")
     after_first = F.concat_ws(" ", F.when(F.col("prefix").contains(" "), F.expr("substring_index(prefix, ' ', 2 - size)")), "next")

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pagecurate.llm import collocations as co
@@ -77,3 +78,44 @@ def test_products_beyond_64_bits(spark):
     totals = spark.createDataFrame([("en", 10**16 + 1)], "lang string, total long")
     r = co._scores(one, counts, totals).first()
     assert r.score == 1000 * 9 * 10**12 * (10**16 + 1) // ((10**13 - 7) * (10**13 - 9))
+
+
+def counted(batches):
+    """(rows, counts of the phrases) of stripes."""
+    counts = Counter()
+    for b in batches:
+        for r in b.to_pylist():
+            assert 0 < len(r["next"]) == len(r["n"]) <= co.ROW_CELLS
+            for word, n in zip(r["next"], r["n"]):
+                counts[r["size"], r["lang"], r["prefix"], word] += n
+    return sum(b.num_rows for b in batches), counts
+
+
+def test_one_stripe_of_a_prefix_for_all_batches_of_a_task(monkeypatch):
+    texts = [("en", ["a b c a b", "b a, é a b c d e f", None]), ("de", ["a b"]), ("en", [None, ""])]
+    one, counts = counted(list(co.task_stripes(texts, (1, 2, 3, 4, 5), {})))
+    many, sums = counted(list(co.task_stripes(texts * 40, (1, 2, 3, 4, 5), {})))
+    assert many == one and sums == {k: 40 * n for k, n in counts.items()}
+    assert counts[1, "en", "", None] == 14 and counts[2, "en", "a", "b"] == 3 and counts[5, "en", "b c d e", "f"] == 1
+    monkeypatch.setattr(co, "ROW_CELLS", 3)
+    for cells in (0, 1, 20, 60, 100):  # given on early, in shorter rows: the same sums
+        monkeypatch.setattr(co, "MOST_CELLS", cells)
+        rows, sums = counted(list(co.task_stripes(texts * 40, (1, 2, 3, 4, 5), {})))
+        assert rows >= one and sums == {k: 40 * n for k, n in counts.items()}
+
+
+def test_few_hashes_pass_by_chance(spark, monkeypatch):
+    monkeypatch.setattr(co, "FILTER_BITS", 1 << 16)
+    hashes = np.random.default_rng(3).integers(-2**63, 2**63, 100_000)
+    bits = co.bitmap(spark.createDataFrame([(int(h),) for h in hashes[:2_000]], "hash long"))
+    passes = co.passing(hashes.view(np.uint64), bits)
+    assert passes[:2_000].all() and passes[2_000:].sum() < 200  # about 3,000 with one bit each
+
+
+def test_stripes_hold_only_phrases_often_enough(spark, monkeypatch):
+    held, stripes = [], co.stripes
+    monkeypatch.setattr(co, "stripes", lambda *args: held.append(stripes(*args)) or held[-1])
+    rows = [("en", t) for t in ["a b c", "b c d", "c d e", "a b c d x", "b c d e x"] for _ in range(10)] + [("en", "a b c d e")]
+    found, _ = co.frequent_phrases(spark.createDataFrame(rows, "lang string, text string"), min_count=10)
+    assert sorted(r.phrase for r in found.filter("size > 3").collect()) == ["a b c d", "a b c d x", "b c d e", "b c d e x", "b c d x", "c d e x"]
+    assert min(r.n for r in held[1].collect()) >= 10
