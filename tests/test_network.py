@@ -156,3 +156,57 @@ def test_combined_classifier_makes_the_hidden_vectors_once(spark, tmp_path, monk
     monkeypatch.setattr(learn, "fit_positional_classifier", lambda *a, **k: fit(*a, **k, hidden=4, depth=1, steps=2))
     out = registry.QUERIES["combined_classifier"](spark, str(tmp_path))
     assert "predict" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 60
+
+
+def test_training_rows_are_packed_once_and_all(spark, rows, data, monkeypatch):
+    whole, seen = network.full_gradient, []
+
+    def watched(blocks, *a):
+        seen.append([(bytes(r.x), bytes(r.y)) for r in blocks.collect()])
+        return whole(blocks, *a)
+
+    monkeypatch.setattr(network, "full_gradient", watched)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")         # more partitions than tasks of a step
+    monkeypatch.setattr(network, "TASKS_PER_CORE", 1)
+    try:
+        net = network.fit_network(rows, "_pos", "label", 3, hidden=4, depth=1, steps=2, seed=5, dtype=np.float64)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert seen[0] == seen[1] and len(seen[0]) <= 40              # one row a batch, not one a training row
+    xs = np.concatenate([np.frombuffer(x).reshape(-1, 3) for x, _ in seen[0]])
+    ys = np.concatenate([np.frombuffer(y) for _, y in seen[0]])
+    assert sorted(map(tuple, np.column_stack([xs, ys]))) == sorted(map(tuple, np.column_stack(data)))
+    weight = (data[1] == 0).sum() / (data[1] == 1).sum()
+    assert net.losses == pytest.approx(single_process(*data, 2, weight, 0.003, hidden=4, depth=1, seed=5)[1], abs=1e-9)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_chunks_share_their_work_arrays(data, monkeypatch, depth):
+    import tracemalloc
+    xs, ys = np.tile(data[0], (3, 1)), np.tile(data[1], 3).astype(float)
+    layers = network.new_network(3, hidden=256, depth=depth, seed=2).layers()
+    loss, grad = network.gradient(layers, xs, ys, 1.5)
+    logits, hidden = network.forward(layers, xs)
+    monkeypatch.setattr(network, "CHUNK", 128)                   # the last chunk is shorter
+    sums = network.GradientSum(layers, 1.5)
+    sums.add(xs[:128], ys[:128])
+    tracemalloc.start()
+    sums.add(xs[128:], ys[128:])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 128 * 256 * 8                                   # less than one layer's activations
+    assert sums.loss == pytest.approx(loss) and sums.gradient() == pytest.approx(grad, abs=1e-8)
+    space = network.Space()
+    for i in range(0, 600, 128):
+        z, h = network.forward(layers, xs[i:i + 128], space)
+        assert z == pytest.approx(logits[i:i + 128], abs=1e-12) and h == pytest.approx(hidden[i:i + 128], abs=1e-12)
+
+
+def test_scores_of_missing_and_wrong_vectors(spark):
+    net = network.new_network(3, hidden=4, depth=1, seed=1)
+    df = spark.createDataFrame([(0, [1.0, None, 2.0]), (1, [1.0, 2.0, 3.0])], "id INT, x ARRAY<DOUBLE>")
+    got = dict(network.with_logit(df, net, "x").select("id", "logits").collect())
+    assert got[0] is None and got[1] == pytest.approx(plain_forward(net, np.array([1.0, 2.0, 3.0]))[0], abs=1e-6)
+    for bad in ([1.0, 2.0], None):
+        with pytest.raises(Exception, match="a vector is missing or has not 3 entries"):
+            network.with_logit(spark.createDataFrame([(0, bad)], df.schema), net, "x").collect()
