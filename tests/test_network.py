@@ -195,7 +195,7 @@ def test_chunks_share_their_work_arrays(data, monkeypatch, depth):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 128 * 256 * 8                                   # less than one layer's activations
-    assert sums.loss == pytest.approx(loss) and sums.gradient() == pytest.approx(grad, abs=1e-8)
+    assert sums.loss == pytest.approx(loss) and sums.total == pytest.approx(grad, abs=1e-8)
     space = network.Space()
     for i in range(0, 600, 128):
         z, h = network.forward(layers, xs[i:i + 128], space)
